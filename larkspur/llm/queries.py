@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.neardup import near_duplicates
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.sharding import assign_shards
+from larkspur.llm.substring import remove_repeated
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +36,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = assign_shards(_table(spark, sf_dir, "documents"), shards=16)
     return assigned.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@_query
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+@_query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = remove_repeated(_table(spark, sf_dir, "documents"), window=35, minimiser=8)
+    return done.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
