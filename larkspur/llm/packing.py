@@ -14,6 +14,7 @@ a hash of (id, piece), then of id and piece.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,10 +28,13 @@ from larkspur.llm._shared import bucket_count, cut, ranked
 from larkspur.llm._words import chunked, words_of
 
 #: Words whose ids a worker remembers; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Pieces of one length that are ranked by one window.
 BUCKET_ROWS = 20_000
 
+#: A character that the tokenizer turns into one id of its own; it stands between words that are encoded together.
+BETWEEN = "\x01"
+
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -39,31 +43,46 @@ def _tokenizer(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
-        special = {i: a.content for i, a in t.get_added_tokens_decoder().items() if a.special}
-        _tokenizers[path] = t, next(iter(special.items()), None), list(special.values()), {}
+        specials = [re.escape(a.content.encode()) for a in t.get_added_tokens_decoder().values()]
+        mark = t.encode(BETWEEN, add_special_tokens=False).ids
+        _tokenizers[path] = t, mark[0] if len(mark) == 1 else None, re.compile(b"|".join([BETWEEN.encode(), *specials]), re.IGNORECASE), {}
     return _tokenizers[path]
 
 
+def _core(w: bytes) -> tuple[bytes, bytes]:
+    """A word without what doesn't matter to its ids, and a final dot or comma, which is a token of its own."""
+    tail = b""
+    if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalnum():
+        w, tail = w[:-1], w[-1:]
+    return (w.lower() if w.isascii() else w), tail
+
+
 def _ids_of_words(path: str, words: list[bytes]) -> list[bytes]:
-    """Little-endian ids of each word. New words are encoded in one call, with a special token between them."""
+    """Little-endian ids of each word. Words that are new are encoded together, with BETWEEN between them."""
     t, mark, specials, known = _tokenizer(path)
     new = [w for w in words if w not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
         new = words
-    if new:
-        texts = [w.decode("utf-8", "replace") for w in new]
-        plain = [k for k, x in enumerate(texts) if not any(s in x for s in specials)] if mark else []
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = np.array(t.encode(f" {mark[1]} ".join(texts[k] for k in some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
-            start = 0
-            for k, end in zip(some, ends.tolist(), strict=True):
-                known[new[k]] = ids[start:end].tobytes()
-                start = end + 1
-        for k in sorted(set(range(len(new))) - set(plain)):
-            known[new[k]] = np.array(t.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
+    if not new:
+        return [known[w] for w in words]
+    odd = [w for w in new if specials.search(w)] if mark is not None else new
+    for w in odd:
+        known[w] = np.array(t.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    split = [(w, *_core(w)) for w in new if w not in known]
+    plain = [w for w in {x for _, core, tail in split for x in (core, tail)} if w and w not in known]
+    for at in range(0, len(plain), 20_000):
+        some = plain[at : at + 20_000]
+        text = f" {BETWEEN} ".join([w.decode("utf-8", "replace") for w in some])
+        ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(np.flatnonzero(ids == mark), len(ids)).tolist()
+        start, raw = 0, ids.tobytes()
+        for w, end in zip(some, ends, strict=True):
+            known[w] = raw[4 * start : 4 * end]
+            start = end + 1
+    for w, core, tail in split:
+        if w not in known:
+            known[w] = known[core] + known[tail] if tail else known[core]
     return [known[w] for w in words]
 
 
@@ -90,7 +109,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     """One row a piece: id, piece, start, length, ids_crc32, and ids (little-endian, 4 bytes each) if with_ids.
 
     tokenizer is a file of the tokenizers library that the executors have at the same path. by_word: the tokenizer
-    drops white space and never joins what stands on its two sides, so each word can be encoded on its own.
+    ignores case, drops white space, never joins what stands on its two sides, and makes a dot or comma after a letter or
+    digit a token of its own, so words can be encoded one by one; else whole texts are.
     """
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField("id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
