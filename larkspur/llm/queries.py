@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.llm.ann import build_index, search
 from larkspur.llm.neardup import near_duplicates
 from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality import assess_quality
@@ -46,6 +47,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "doc_id")
 
 
+@_query
+def op3_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, books = build_index(_table(spark, sf_dir, "embeddings"))
+    found = search(index, books, F.col("id") % 20 == 0, k=20)
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
+
+
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = assign_shards(_table(spark, sf_dir, "documents"), shards=16)
