@@ -15,6 +15,7 @@ from larkspur.llm.packing import pack_documents
 from larkspur.llm.quality import assess_quality
 from larkspur.llm.sharding import assign_shards
 from larkspur.llm.substring import remove_repeated
+from larkspur.llm.toxicity import score_toxicity
 from larkspur.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,12 @@ def op3_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("id").cast("long").alias("vec_id"), "score")
 
 
+@_query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 @_query
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = assign_shards(_table(spark, sf_dir, "documents"), shards=16)
