@@ -6,11 +6,12 @@ hashes cost 2 * bands * rows minhashes. With 12 bands of 3, a pair of similarity
 probability 0.9996. A key that no other document has is dropped before the pairs are formed: it can't make a
 table key that two documents share.
 
-Copies with equal sets are one class from the start. In a table's bucket, first every class is paired with the least; the
-pairs are verified on the full sets, which gives components; then only classes of different components that
-still share a bucket are paired, in further stars and at last each with each, so no link between
-components is lost while a group of n near copies takes about n comparisons. Components are found by alternating
-large-star and small-star steps, on tables; nothing but counts comes to the driver.
+Copies with equal sets are one class from the start. In a table's bucket, every class is paired with the least; these
+pairs are verified on the full sets, which gives components. What is left are classes of different components
+that share a key of the first collection. They are compared in blocks of about BLOCK members: a product of the
+members' shingle matrices, over the shingles that a block has twice and with hashes cut to 32 bits, counts what two sets share or more. Only pairs that reach the
+threshold leave the block and are verified on the full sets. So no pair within a component and no list of a group's pairs is ever made, and no link is lost. Components are
+found by alternating large-star and small-star steps, on tables; nothing but counts comes to the driver.
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer than k words
 are one shingle; rows with the same id are one document; a row whose id is null has no component and is kept; an empty
@@ -32,8 +33,9 @@ from larkspur.llm._shared import cut
 from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
 
 BANDS, ROWS = 12, 3
-#: When the pairs between components that share a bucket are more than so many times the members, another star comes first.
-STAR_ABOVE, STARS = 8, 4
+BLOCK = 512
+#: Bytes of shingles that one call of a grouped function gets, on average, and columns of a matrix.
+CALL_BYTES, COLUMNS = 16 << 20, 8192
 
 
 def _shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -144,35 +146,102 @@ def _linked(docs: DataFrame, classes: DataFrame, k: int, percent: int, bands: in
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     left = F.col("band") < bands
     sides = halves.join(shared, "key").groupBy("id").agg(F.collect_set(F.when(left, F.col("key"))).alias("x"), F.collect_set(F.when(~left, F.col("key"))).alias("y"))
+    sides = cut(sides.filter((F.size("x") > 0) & (F.size("y") > 0)), "sides")
     tables = sides.select("id", F.explode("x").alias("x"), "y").select("id", "x", F.explode("y").alias("y")).select("id", F.xxhash64("x", "y").alias("table"))
     least = tables.groupBy("table").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("table", "a")
-    members = cut(tables.join(least, "table").select("table", "id", "a"), "members")
-    pairs = cut(members.filter("id <> a").select("a", F.col("id").alias("b")).distinct(), "pairs")
-    wanted = members.select("id").distinct()
+    stars = tables.join(least, "table").select("a", F.col("id").alias("b")).distinct()
+    pairs = cut(stars.filter("a <> b"), "pairs")
+    members = sides.select("id", F.explode("x").alias("x"))
+    wanted = stars.select(F.col("b").alias("id"))
     sets = cut(_set_table(docs, wanted, k), "sets")
     links = cut(_verified(pairs, sets, percent), "links")
-    for star in range(STARS + 1):
-        known = cut(components(links), "components")
-        named = members.select("table", "id").join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_ = named.groupBy("table").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("table")
-        named = cut(named.join(open_, "table", "left_semi"), "open")
-        inside = named.groupBy("table", "component").agg(F.count(F.lit(1)).alias("n"))
-        sizes = inside.groupBy("table").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"))
-        n, across = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("s")) / 2), F.lit(0.0))).first()
-        if not n:
-            return known
-        one = named.select("table", F.col("id").alias("a"), F.col("component").alias("ca"))
-        two = named.select("table", F.col("id").alias("b"), F.col("component").alias("cb"))
-        last = star == STARS or across <= STAR_ABOVE * n
-        if not last:  # one member of each bucket, another in each star, instead of all
-            one = one.groupBy("table").agg(F.min_by(F.struct("a", "ca"), F.xxhash64("a", F.lit(star))).alias("c")).select("table", "c.a", "c.ca")
-        found = one.join(two, "table").filter("ca < cb" if last else "ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = cut(found.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        new = cut(_verified(found, sets, percent), "links")
-        pairs, links = pairs.unionByName(found), links.unionByName(new)
-        if last:
-            return components(links)
-    return None
+    known = cut(components(links), "components")
+    found = _across(members, known, sets, percent)
+    if found is None:
+        return known
+    more = cut(_verified(found.join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+    return components(links.unionByName(more))
+
+
+def _across(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs of different components that share a key x and seem to reach the threshold."""
+    named = members.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = named.groupBy("x").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi").select("x", "n")
+    named = cut(named.join(open_, "x"), "open")
+    if named.isEmpty():
+        return None
+    short = cut(_short(sets.join(named.select("id").distinct(), "id", "left_semi")), "short")
+    # a component of a bucket is dealt into blocks of its own if it is large, else with others
+    inside = named.groupBy("x", "component").agg(F.count(F.lit(1)).alias("own"))
+    parts = F.ceil(F.col("own") / BLOCK)
+    dealt = named.join(inside, ["x", "component"]).withColumn("alone", F.when(F.col("own") > BLOCK, F.col("component")))
+    dealt = dealt.withColumn("block", F.when(F.col("own") > BLOCK, F.xxhash64("component", F.pmod(F.xxhash64("id"), parts))).otherwise(F.pmod(F.xxhash64("component"), F.ceil(F.col("n") / BLOCK))))
+    dealt = cut(dealt.select("x", "block", "alone", "id", "component"), "dealt")
+    blocks = dealt.groupBy("x", "block").agg(F.first("alone").alias("alone"))
+    other = blocks.select("x", F.col("block").alias("with"), F.col("alone").alias("with_alone"))
+    both = blocks.join(other, "x").filter("block <= with and not (alone <=> with_alone and alone is not null)").select("x", "block", "with")
+    sides = both.select("x", "block", "with", F.explode(F.when(F.col("block") == F.col("with"), F.array(F.col("block"))).otherwise(F.array("block", "with"))).alias("own"))
+    pair = F.xxhash64("x", "block", "with").alias("pair")
+    groups = sides.join(dealt.select("x", F.col("block").alias("own"), "id", "component"), ["x", "own"]).select(pair, (F.col("own") != F.col("with")).alias("first"), (F.col("block") == F.col("with")).alias("one"), "id", "component").join(short, "id")
+    size = groups.agg(F.coalesce(F.sum(F.octet_length("short")), F.lit(0))).first()[0]
+    schema = T.StructType([T.StructField("a", members.schema["id"].dataType), T.StructField("b", members.schema["id"].dataType)])
+
+    def compared(table: pa.Table) -> pa.Table:
+        pair, component = table.column("pair").to_numpy(), table.column("component").to_numpy()
+        first, one = (table.column(c).to_numpy() for c in ("first", "one"))
+        ids, full = table.column("id").combine_chunks(), table.column("n").to_numpy()
+        sets = [np.unique(np.frombuffer(x, np.uint32)) for x in table.column("short").to_pylist()]
+        order = np.argsort(pair, kind="stable")
+        starts = np.append(np.flatnonzero(np.append(True, np.diff(pair[order]) != 0)), len(order))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            rows = order[lo:hi]
+            left = np.arange(len(rows)) if one[rows[0]] else np.flatnonzero(first[rows])
+            right = np.arange(len(rows)) if one[rows[0]] else np.flatnonzero(~first[rows])
+            if not len(left) or not len(right):
+                continue
+            n = full[rows]
+            lost = n - [len(sets[r]) for r in rows]
+            both = _common([sets[r] for r in rows], left, right) + lost[left][:, None] + lost[right]
+            near = 100 * both >= percent * (n[left][:, None] + n[right] - both)
+            x, y = np.nonzero(near & (component[rows[left]][:, None] != component[rows[right]]))
+            found.append((rows[left[x]], rows[right[y]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+    call = F.pmod("pair", F.lit(1 + size // CALL_BYTES)).alias("call")
+    found = groups.select(call, "pair", "first", "one", "id", "component", "short", "n").groupBy("call").applyInArrow(compared, schema)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many numbers each two of the sets share."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = (np.cumsum(times > 1) - 1)[which]
+    again = times[which] > 1
+    owner, column = owner[again], column[again]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for at in range(0, int(column.max()) + 1 if len(column) else 0, COLUMNS):
+        some = (column >= at) & (column < at + COLUMNS)
+        matrix = np.zeros((len(sets), min(COLUMNS, int(column.max()) + 1 - at)), np.float32)
+        matrix[owner[some], column[some] - at] = 1
+        out += (matrix[left] @ matrix[right].T).astype(np.int64)
+    return out
+
+
+def _short(sets: DataFrame) -> DataFrame:
+    """(id, short, n): the shingles' hashes cut to 4 bytes, and how many there are."""
+    schema = T.StructType([sets.schema["id"], T.StructField("short", T.BinaryType()), T.StructField("n", T.LongType())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [np.frombuffer(s, np.uint64) for s in batch.column("set").to_pylist()]
+            short = pa.array([(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in full], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), short, pa.array([len(s) for s in full], pa.int64())], schema.names)
+
+    return sets.mapInArrow(made, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 11) -> DataFrame:
