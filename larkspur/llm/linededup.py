@@ -5,8 +5,8 @@ the lines near them and survive insertions elsewhere. A chunk of two or more lin
 too is removed, but for its first occurrence (least id, then text, then place). The chunks' hashes only find candidates: those that
 occur more than once are compared by their bytes, so chunks that merely share a hash stay.
 
-Chunks are found inside each row, without a shuffle; what is shuffled are chunk hashes, and the bytes of repeated
-chunks only. Counts are aggregated before the shuffle, so a line that a third of all documents have costs one row a task.
+Chunks are found inside each row, without a shuffle; what is shuffled are chunk hashes, and the bytes of chunks that
+pass a fixed-size filter of the repeated hashes. Counts are aggregated before the shuffle, so a line that a third of all documents have costs one row a task.
 
 Defined results: a null text stays null, an empty one empty; rows with equal id and text are one row's worth: they keep and lose the same
 chunks; null ids order first; a document whose chunks are all removed has an empty text; an empty table gives an empty result. All other columns are
@@ -22,6 +22,8 @@ from larkspur.llm._shared import cut
 
 #: Lines that decide on a boundary, one in how many lines ends a chunk, and lines of a chunk that may be removed.
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
+#: Bits of the filter of repeated hashes: 16 MB at most.
+FILTER_BITS = 27
 
 
 def _line_hash(line: Column) -> Column:
@@ -56,8 +58,15 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, key, first_line, n_lines) of the chunks that go: all occurrences but the first of each repeated chunk."""
     chunks = chunked_lines(docs, id_col, text_col, window, divisor).filter(F.col("n_lines") >= least)
     hashed = chunks.withColumn("hash", F.xxhash64("body"))
-    more = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    found = cut(hashed.join(more, "hash", "left_semi"), "chunks")
+    more = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a bitmap of the repeated hashes, FILTER_BITS bits whatever the input, spares other chunks the shuffle of their bytes
+    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    bitmap = cut(more.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), "bitmap")
+    at = F.bitmap_bit_position(bit)
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(shiftrightunsigned(hash, {64 - FILTER_BITS})) & 7 as int))")) != 0
+    found = hashed.join(F.broadcast(bitmap), (F.bitmap_bucket_number(bit) == F.col("bucket")) & is_set).drop("bucket", "bits")
+    found = cut(found, "chunks")
     place = F.struct("id", "key", "chunk")
     firsts = found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end")).filter("kept <> end or not (kept <=> end)")
     firsts = firsts.select(F.col("hash").alias("_lk_hash"), F.col("body").alias("_lk_body"), "kept")
