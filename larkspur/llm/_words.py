@@ -50,13 +50,13 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches whose texts hold about CHUNK_BYTES, with the texts as UTF-8."""
+def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches whose texts hold about `most` bytes, with the texts as UTF-8."""
     for batch in batches:
         texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
         start, size = 0, 0
         for i, t in enumerate(texts):
-            if size and size + len(t) > CHUNK_BYTES:
+            if size and size + len(t) > most:
                 yield batch.slice(start, i - start), texts[start:i]
                 start, size = i, 0
             size += len(t)

@@ -34,8 +34,8 @@ from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_
 
 BANDS, ROWS = 12, 3
 BLOCK = 512
-#: Bytes of shingles that one call of a grouped function gets, on average, and columns of a matrix.
-CALL_BYTES, COLUMNS = 16 << 20, 8192
+#: Bytes of shingles that one call of a grouped function gets, on average, columns of a matrix, and bytes of text worked on at once.
+CALL_BYTES, COLUMNS, TEXT_BYTES = 4 << 20, 2048, 2 << 20
 
 
 def _shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -79,7 +79,7 @@ def _sketches(docs: DataFrame, id_type: T.DataType, k: int, bands: int, rows: in
     schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunked(batches, "text"):
+        for batch, texts in chunked(batches, "text", TEXT_BYTES):
             sets = _shingles(texts, k)
             keys = _signatures(sets, bands, rows, seed)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -95,7 +95,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("set", T.BinaryType())])
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunked(batches, "text"):
+        for batch, texts in chunked(batches, "text", TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in _shingles(texts, k)], pa.binary())], schema.names)
 
     return docs.join(wanted, "id", "left_semi").mapInArrow(made, schema).groupBy("id").agg(F.min("set").alias("set"))
