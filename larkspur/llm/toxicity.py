@@ -18,9 +18,10 @@ scored each; without any usable label every score is 0; other columns are not lo
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.llm._shared import cut
 from larkspur.llm._words import chunked, words_of
 
 #: Labelled rows that are fitted to, and the size of the lexicon and of the context vocabulary, at most.
@@ -127,7 +129,6 @@ class Model:
 
 
 FEATURES = 9
-_automata: dict[int, tuple[Model, Automaton, dict[bytes, tuple[int, str]]]] = {}
 
 
 def normal(word: bytes) -> str:
@@ -166,10 +167,6 @@ def _features(texts: list[bytes], automaton: Automaton, context: dict[str, float
     return out
 
 
-def _log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[str, float]:
-    return {w: float(np.log((k + 0.05) / (n_toxic + 1)) - np.log((clean[w] + 0.05) / (n_clean + 1))) for w, k in toxic.items()}
-
-
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Logistic regression by Newton steps."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -186,41 +183,66 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray,
     return mean, scale, b
 
 
-def learn(texts: list[bytes], labels: np.ndarray) -> Model | None:
-    """Lexicon, context weights and score from labelled texts; None unless both labels occur."""
-    n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    if not n1 or not n0:
+def _counted(sample: DataFrame, words: Callable[[list[bytes]], Iterator[tuple[int, set[str]]]]) -> DataFrame:
+    """(word, toxic, clean): in how many texts or contexts of each label a word is; words yields (row, its words)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in chunked(batches, "text", 1 << 20):
+            labels, by = batch.column(1).to_pylist(), (Counter(), Counter())
+            for i, found in words(texts):
+                by[labels[i]].update(found)
+            names = sorted(by[0] | by[1])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([by[1][w] for w in names], pa.int64()), pa.array([by[0][w] for w in names], pa.int64())], ["word", "toxic", "clean"])
+
+    return sample.mapInArrow(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def _words_in(texts: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+    for i, t in enumerate(texts):
+        yield i, {normal(w) for w in set(t.split())} - {""}
+
+
+def _contexts(terms: list[str]) -> Callable[[list[bytes]], Iterator[tuple[int, set[str]]]]:
+    def around(texts: list[bytes]) -> Iterator[tuple[int, set[str]]]:
+        automaton = Automaton(terms, 1, LEAST_LENGTH)
+        for i, t in enumerate(texts):
+            raw = t.split()
+            hit = {w for w in set(raw) if automaton.kind(normal(w))}
+            for p, x in enumerate(raw if hit else []):
+                if x in hit:
+                    yield i, {normal(w) for w in raw[max(0, p - CONTEXT) : p] + raw[p + 1 : p + CONTEXT + 1]} | {""}
+
+    return around
+
+
+def learn(sample: DataFrame) -> Model | None:
+    """Lexicon, context weights and score from rows (text, label); None unless both labels occur.
+
+    Words are counted by tasks; the driver gets TERMS terms, CONTEXT_TERMS context words and FEATURES numbers a row.
+    """
+    n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(n) < 2:
         return None
-    toxic, clean = Counter(), Counter()
-    plain: dict[bytes, str] = {}
-    for t, y in zip(texts, labels.tolist(), strict=True):
-        raw = set(t.split())
-        plain.update({w: normal(w) for w in raw if w not in plain})
-        (toxic if y else clean).update({plain[w] for w in raw} - {""})
-    odds = _log_odds(toxic, clean, n1, n0)
+    counts = _counted(sample, _words_in)
+    odds = F.log((F.col("toxic") + 0.05) / (n[1] + 1)) - F.log((F.col("clean") + 0.05) / (n[0] + 1))
     # a term must raise the odds of its documents well past even, and be in several
-    sure = {w: v for w, v in odds.items() if toxic[w] >= LEAST_DOCUMENTS and len(w) >= 3 and toxic[w] >= 4 * clean[w] and v >= np.log(8)}
-    terms = sorted(sure, key=lambda w: (-toxic[w] * sure[w], w))[:TERMS]
-    automaton, known = Automaton(terms, 1, LEAST_LENGTH), {}
-    context_toxic, context_clean, seen = Counter(), Counter(), [0, 0]
-    hits = {w for w, x in plain.items() if automaton.kind(x)}
-    for t, y in zip(texts, labels.tolist(), strict=True):
-        raw = t.split()
-        if hits.isdisjoint(raw):
-            continue
-        words = [plain[x] for x in raw]
-        for p, x in enumerate(raw):
-            if x in hits:
-                near = set(words[max(0, p - CONTEXT) : p] + words[p + 1 : p + CONTEXT + 1])
-                (context_toxic if y else context_clean).update(near)
-                seen[y] += 1
-    both = {w: context_toxic[w] + context_clean[w] for w in context_toxic | context_clean}
+    sure = counts.withColumn("odds", odds).filter((F.col("toxic") >= LEAST_DOCUMENTS) & (F.length("word") >= 3) & (F.col("toxic") >= 4 * F.col("clean")) & (F.col("odds") >= math.log(8)))
+    terms = [r["word"] for r in sure.orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").limit(TERMS).collect()]
+    near = _counted(sample, _contexts(terms)).filter(F.col("toxic") + F.col("clean") >= 20)
+    near = near.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(CONTEXT_TERMS + 1).collect()
+    seen = next(((r["toxic"], r["clean"]) for r in near if r["word"] == ""), (0, 0))  # "" counts the contexts
     context = {}
     if all(seen):
-        for w, _ in sorted(both.items(), key=lambda x: (-x[1], x[0]))[:CONTEXT_TERMS]:
-            if both[w] >= 20 and w not in terms:
-                context[w] = float(np.log((context_toxic[w] + 5) / (seen[1] + 10)) - np.log((context_clean[w] + 5) / (seen[0] + 10)))
-    mean, scale, weights = _fit(_features(texts, automaton, context, known), labels.astype(float))
+        context = {r["word"]: math.log((r["toxic"] + 5) / (seen[0] + 10)) - math.log((r["clean"] + 5) / (seen[1] + 10)) for r in near if r["word"] and r["word"] not in terms}
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = Automaton(terms, 1, LEAST_LENGTH)
+        for batch, texts in chunked(batches, "text", 1 << 20):
+            x = _features(texts, automaton, context, {})
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column(1)], ["x", "label"])
+
+    found = sample.mapInArrow(featured, "x array<double>, label int").toArrow()
+    mean, scale, weights = _fit(np.array(found.column("x").to_pylist()), found.column("label").to_numpy().astype(float))
     return Model(terms, context, mean, scale, weights)
 
 
@@ -230,10 +252,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1)").filter(~held_out)
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    # SAMPLE rows of two numbers: 0.6 MB, and the texts of the sample are spread over the tasks that find words in them
-    sample = texts.join(F.broadcast(chosen), "id").select("text", "label").toArrow()
-    some = [b"" if t is None else t for t in sample.column("text").cast(pa.binary()).to_pylist()]
-    model = learn(some, sample.column("label").to_numpy()) if len(some) else None
+    # SAMPLE rows of two numbers at most: 0.3 MB
+    sample = cut(texts.join(F.broadcast(chosen), "id").filter("text is not null").select("text", "label"), "labelled")
+    model = learn(sample)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
