@@ -24,13 +24,13 @@ def session(name: str = "larkspur", **settings: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that Python functions can import it there.
 
-    Also holds the batches that Python functions get to 16 MB, as long texts come in batches of thousands.
+    Also holds the batches that Python functions get to 4 MB, as long texts come in batches of thousands.
     """
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     _shipped.add(app)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     top = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="larkspur-code-")
     target = os.path.join(folder, "larkspur_code.zip")

@@ -1,0 +1,91 @@
+"""Files and exports."""
+
+from __future__ import annotations
+
+import json
+import sqlite3
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions.text import without_nul
+
+# Folders that a source scan leaves out.
+SKIPPED = ["node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", ".next", "coverage"]
+CODE = ["py", "ts", "tsx", "js", "jsx", "sql", "md", "sh", "yaml", "yml", "json", "toml"]
+# Names of a text column in a legacy store, in order of preference.
+TEXT_COLUMNS = ["content", "text", "body", "message", "value", "chunk"]
+
+
+def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
+
+
+def scan_files(spark: SparkSession, paths: list[str], pattern: str, least_bytes: int = 1024) -> DataFrame:
+    """(path, size, modified) of files below the paths whose names match, smaller ones left out, without reading them."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
+    return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(F.col("size") >= least_bytes)
+
+
+def source_tree(spark: SparkSession, root: str, changed: DataFrame | None = None, most_bytes: int = 100 << 10) -> DataFrame:
+    """(path, content, content_hash) of source files; changed (path): only those."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = rows.filter((F.col("length") <= most_bytes) & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(CODE))
+    rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    if changed is not None:
+        rows = rows.join(changed.select("path"), "path", "left_semi")
+    return rows.select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
+
+
+def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows whose (source_app, content_hash) hasn't been ingested."""
+    return rows.dropDuplicates(["source_app", "content_hash"]).join(seen.select("source_app", "content_hash"), ["source_app", "content_hash"], "left_anti")
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, least_chars: int = 20) -> DataFrame:
+    """(id, text) of a local SQLite table, read on the driver: a one-time import of a small store."""
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        columns = [r[1] for r in db.execute(f'pragma table_info("{table}")')]
+        text = next((c for c in TEXT_COLUMNS if c in columns), None)
+        rows = db.execute(f'select rowid, "{text}" from "{table}"').fetchall() if text else []
+    df = spark.createDataFrame([(int(i), None if t is None else str(t)) for i, t in rows], "id long, text string")
+    return df.withColumn("text", without_nul(F.col("text"))).filter(F.length(F.trim("text")) >= least_chars)
+
+
+def read_registry(spark: SparkSession, text: str) -> tuple[DataFrame, list[str]]:
+    """Projects with ranges from a registry document (JSON, or YAML if a parser is installed), and errors by row."""
+    try:
+        data = json.loads(text)
+    except ValueError:
+        import yaml
+
+        data = yaml.safe_load(text)
+    rows, errors = [], []
+    for slug, project in (data.get("projects") or {}).items():
+        for purpose, spec in (project.get("ports") or {}).items():
+            try:
+                a, _, b = str(spec).partition("-")
+                start, end = int(a), int(b or a)
+                if not 1 <= start <= end <= 65535:
+                    raise ValueError("out of range")
+                rows.append((slug, project.get("name", slug), purpose, start, end))
+            except ValueError as e:
+                errors.append(f"{slug}.{purpose}: {e}")
+    return spark.createDataFrame(rows, "slug string, name string, purpose string, range_start int, range_end int"), errors
+
+
+def write_export(path: str, compress: bool = False, **parts: DataFrame) -> dict[str, int]:
+    """Each part as JSON lines in a folder of its own, ordered within files; returns counts."""
+    counts = {}
+    for name, df in parts.items():
+        order = [c for c in ("created_at", "id") if c in df.columns]
+        (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "gzip" if compress else "none").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        counts[name] = df.count()
+    return counts
+
+
+def read_export(spark: SparkSession, path: str, schemas: dict[str, str], version: str, expected: str) -> dict[str, DataFrame]:
+    """The parts of an export; its schema version must be the expected one."""
+    if version != expected:
+        raise ValueError(f"export has schema {version}, this store has {expected}")
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
