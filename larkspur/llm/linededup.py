@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import cut
+from larkspur.llm._shared import cut, free_name, unpacked
 
 #: Lines that decide on a boundary, one in how many lines ends a chunk, and lines of a chunk that may be removed.
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
@@ -75,23 +75,24 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """docs with the repeated chunks' lines taken out of the text, and _lk_removed: how many lines went."""
+    """docs with the repeated chunks' lines taken out of the text, and as last column lines_removed (see free_name)."""
     gone = cut(repeated_chunks(docs, id_col, text_col, window, divisor, least), "gone")
-    lines = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("_lk_spans")).select(F.col("id").alias("_lk_id"), F.col("key").alias("_lk_key"), "_lk_spans")
-    key = F.md5(F.col(text_col).cast("string").cast("binary"))
-    marked = docs.withColumn("_lk_text_key", key).join(lines, F.col(id_col).eqNullSafe(F.col("_lk_id")) & (F.col("_lk_text_key") == F.col("_lk_key")), "left")
-    all_lines = F.split(F.col(text_col).cast("string"), "\n", -1)
+    spans = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("spans")).withColumnsRenamed({"id": "other_id", "key": "other_key"})
+    text = F.col(text_col).cast("string")
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
+    # a merge join at every size: it splits hot keys, and its cost follows the input
+    marked = packed.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("other_id")) & (F.col("key") == F.col("other_key")), "left")
+    marked = marked.withColumn("lines", F.when(F.col("spans").isNotNull(), F.split("text", "\n", -1)))
     # spans are sorted and apart: keep what lies between one's end and the next one's start
-    count = F.size("_lk_spans")
+    count = F.size("spans")
     between = F.transform(
         F.sequence(F.lit(0), count),
         lambda i: F.struct(
-            F.when(i == 0, 0).otherwise(F.get("_lk_spans", i - 1)["first_line"] + F.get("_lk_spans", i - 1)["n_lines"]).alias("a"),
-            F.when(i == count, F.size("_lk_lines")).otherwise(F.get("_lk_spans", i)["first_line"]).alias("b"),
+            F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["first_line"] + F.get("spans", i - 1)["n_lines"]).alias("a"),
+            F.when(i == count, F.size("lines")).otherwise(F.get("spans", i)["first_line"]).alias("b"),
         ),
     )
-    kept = F.flatten(F.transform(between, lambda s: F.slice("_lk_lines", s["a"] + 1, s["b"] - s["a"])))
-    marked = marked.withColumn("_lk_lines", F.when(F.col("_lk_spans").isNotNull(), all_lines))
-    removed = F.coalesce(F.aggregate("_lk_spans", F.lit(0), lambda n, s: n + s["n_lines"]), F.lit(0))
-    text = F.when(F.col("_lk_spans").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return marked.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], removed.alias("_lk_removed"))
+    kept = F.flatten(F.transform(between, lambda s: F.slice("lines", s["a"] + 1, s["b"] - s["a"])))
+    removed = F.coalesce(F.aggregate("spans", F.lit(0), lambda n, s: n + s["n_lines"]), F.lit(0))
+    new = F.when(F.col("spans").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("row").getField(text_col))
+    return marked.select(*unpacked("row", docs.columns, **{text_col: new}), removed.alias(free_name("lines_removed", docs.columns)))
