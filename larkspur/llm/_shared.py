@@ -66,3 +66,16 @@ def ranked(df: DataFrame, strata: list[str], spread: Column, order: list[Column]
         .withColumn(out, (F.col("_lk_row") + F.col("_lk_start")).cast("long"))
         .drop(b, "_lk_row", "_lk_start", *[f"_lk_k{i}" for i in range(len(keys))])
     )
+
+
+def free_name(wanted: str, taken: list[str]) -> str:
+    """wanted, with as many underscores after it as it takes not to clash (names are compared without case)."""
+    used = {t.lower() for t in taken}
+    while wanted.lower() in used:
+        wanted += "_"
+    return wanted
+
+
+def unpacked(row: str, names: list[str], **replaced: Column) -> list[Column]:
+    """The fields of a packed row as columns, some of them replaced."""
+    return [replaced.get(n, F.col(row).getField(n)).alias(n) for n in names]

@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import cut
+from larkspur.llm._shared import cut, unpacked
 
 SECTIONS, STEPS, BLOCK_ROWS, SEED = 32, 6, 256, 17
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -84,10 +84,10 @@ def weigh(shares: DataFrame, alpha: float, budget: float | None = 1.0) -> DataFr
 def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = None, budget: float | None = 1.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, keep: bool = False) -> DataFrame:
     """(id, source, tokens, epoch, block_key, row_key) of every reading; sorted by the last three, an epoch is a block permutation.
 
-    keep: docs' columns stand in front, and the others' names start with _lk_.
+    keep: docs' rows stand in front as one column, row, and the others' names start with _lk_.
     """
     tokens = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
-    own = [F.col(f"`{c}`") for c in docs.columns] if keep else []
+    own = [F.struct("*").alias("row")] if keep else []
     names = {n: f"_lk_{n}" for n in ("id", "source", "tokens")}
     rows = docs.select(*own, F.col(id_col).alias(names["id"]), F.col(source_col).alias(names["source"]), tokens.alias(names["tokens"]))
     narrow = cut(rows.select(*[F.col(v).alias(k) for k, v in names.items()]), "mix-rows")
@@ -128,10 +128,10 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     read = read.withColumn("_lk_readings", (F.col("_lk_whole") + more.cast("int")).cast("int")).filter("_lk_readings > 0")
     read = read.select("*", F.explode(F.sequence(F.lit(1), F.col("_lk_readings"))).alias("_lk_epoch"))
     added = [F.col("_lk_epoch"), block_key(F.col("_lk_epoch")).alias("_lk_block_key"), row_key(F.col("_lk_epoch")).alias("_lk_row_key")]
-    out = read.select(*own, *names.values(), *added)
+    out = read.select(*["row"] * keep, *names.values(), *added)
     return out if keep else out.toDF(*[c.removeprefix("_lk_") for c in out.columns])
 
 
 def mix_documents(docs: DataFrame, **options: object) -> DataFrame:
     """docs' columns, a row each time a document is read."""
-    return mix(docs, keep=True, **options).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return mix(docs, keep=True, **options).select(*unpacked("row", docs.columns))

@@ -143,7 +143,7 @@ FROM documents d LEFT JOIN done ON d.doc_id IS NOT DISTINCT FROM done.doc_id AND
 @_query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeated_chunks(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", F.col("_lk_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc_id", F.col("lines_removed").cast("long").alias("n_removed"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLES["op8_line_dedup"] = _LINES

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm._shared import free_name, unpacked
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -46,8 +48,10 @@ def intervals(events: DataFrame) -> DataFrame:
 
 
 def match_captures(captures: DataFrame, events: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
-    """captures with matched_entries (long), matched_lists (sorted array) and blocked (any match)."""
-    seen = captures.select(F.col(url_col).alias("_lk_url"), F.col(time_col).cast("timestamp_ntz").alias("_lk_at")).filter("_lk_url is not null and _lk_at is not null").distinct()
+    """captures with matched_entries (long), matched_lists (sorted array) and blocked (any match), named as free_name has it."""
+    url, moment = F.col(url_col).cast("string"), F.col(time_col).cast("timestamp_ntz")
+    packed = captures.select(F.struct("*").alias("row"), url.alias("url"), moment.alias("moment"))
+    seen = packed.select(F.col("url").alias("_lk_url"), F.col("moment").alias("_lk_at")).filter("_lk_url is not null and _lk_at is not null").distinct()
     keyed = seen.withColumn("_lk_month", F.trunc("_lk_at", "month")).select("*", F.explode(url_keys(F.col("_lk_url"))).alias("_lk_key"))
     months = seen.select(F.trunc("_lk_at", "month").alias("m")).agg(F.min("m").alias("lo"), F.max("m").alias("hi")).first()
     valid = intervals(events.withColumn("at", F.col("at").cast("timestamp_ntz")))
@@ -56,6 +60,7 @@ def match_captures(captures: DataFrame, events: DataFrame, url_col: str = "url",
     spread = valid.filter(first <= last).withColumn("month", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
     hits = keyed.join(spread, (F.col("_lk_key") == F.col("key")) & (F.col("_lk_month") == F.col("month")) & (F.col("valid_from") <= F.col("_lk_at")) & (F.col("valid_to").isNull() | (F.col("_lk_at") < F.col("valid_to"))))
     found = hits.groupBy("_lk_url", "_lk_at").agg(F.count(F.lit(1)).alias("_lk_n"), F.array_sort(F.collect_set("list")).alias("_lk_lists"))
-    out = captures.join(found, (F.col(url_col) == F.col("_lk_url")) & (F.col(time_col).cast("timestamp_ntz") == F.col("_lk_at")), "left")
-    empty = F.array().cast("array<string>")
-    return out.select(*[captures[c] for c in captures.columns], F.coalesce("_lk_n", F.lit(0)).cast("long").alias("matched_entries"), F.coalesce("_lk_lists", empty).alias("matched_lists"), F.col("_lk_n").isNotNull().alias("blocked"))
+    out = packed.join(found, (F.col("url") == F.col("_lk_url")) & (F.col("moment") == F.col("_lk_at")), "left")
+    names = [free_name(n, captures.columns) for n in ("matched_entries", "matched_lists", "blocked")]
+    added = [F.coalesce("_lk_n", F.lit(0)).cast("long"), F.coalesce("_lk_lists", F.array().cast("array<string>")), F.col("_lk_n").isNotNull()]
+    return out.select(*unpacked("row", captures.columns), *[c.alias(n) for c, n in zip(added, names, strict=True)])
