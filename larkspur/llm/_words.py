@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +65,16 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTE
             size += len(t)
         if start < len(texts):
             yield batch.slice(start), texts[start:]
+        del batch, texts
+    trim()
+
+
+def trim() -> None:
+    """Give free memory back to the system, as a worker stays for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from larkspur.llm._shared import bucket_count, cut, ranked
 from larkspur.llm._words import chunked, words_of
 
 #: Words whose ids a worker remembers; the table is emptied when it is full.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Pieces of one length that are ranked by one window.
 BUCKET_ROWS = 20_000
 
@@ -49,28 +50,39 @@ def _tokenizer(path: str) -> tuple:
     return _tokenizers[path]
 
 
-def _core(w: bytes) -> tuple[bytes, bytes]:
-    """A word without what doesn't matter to its ids, and a final dot or comma, which is a token of its own."""
-    tail = b""
-    if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalnum():
-        w, tail = w[:-1], w[-1:]
-    return (w.lower() if w.isascii() else w), tail
-
-
 def _ids_of_words(path: str, words: list[bytes]) -> list[bytes]:
-    """Little-endian ids of each word. Words that are new are encoded together, with BETWEEN between them."""
+    """Little-endian ids of each word. Words that are new are encoded together, with BETWEEN between them.
+
+    What doesn't matter to its ids is left out of a new word first: the case of an ASCII word, and a final dot or comma
+    after a letter or digit, which is a token of its own.
+    """
     t, mark, specials, known = _tokenizer(path)
-    new = [w for w in words if w not in known]
+    out = [known.get(w) for w in words]
+    new = [w for w, ids in zip(words, out, strict=True) if ids is None]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
-        new = words
+        out, new = [None] * len(words), words
     if not new:
-        return [known[w] for w in words]
-    odd = [w for w in new if specials.search(w)] if mark is not None else new
+        return out
+    odd: list[bytes] = new if mark is None else []
+    if mark is not None and specials.search(b" ".join(new)):
+        odd = [w for w in new if specials.search(w)]
     for w in odd:
         known[w] = np.array(t.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-    split = [(w, *_core(w)) for w in new if w not in known]
-    plain = [w for w in {x for _, core, tail in split for x in (core, tail)} if w and w not in known]
+    if odd:
+        new = [w for w in new if w not in known]
+    cores, tails = [], []
+    for w in new:
+        last = w[-1:]
+        core, tail = (w[:-1], last) if (last == b"." or last == b",") and w[-2:-1].isalnum() else (w, b"")
+        cores.append(core.lower() if core.isascii() else core)
+        tails.append(tail)
+    need = {*cores, b".", b","}
+    need.difference_update(known)
+    tokenize = t.model.tokenize
+    for w in [w for w in need if w.isalpha()]:  # ASCII letters only: the model gets such a word as it is
+        known[w] = array("I", [x.id for x in tokenize(w.decode())]).tobytes()
+    plain = [w for w in need if not w.isalpha()]
     for at in range(0, len(plain), 20_000):
         some = plain[at : at + 20_000]
         text = f" {BETWEEN} ".join([w.decode("utf-8", "replace") for w in some])
@@ -80,10 +92,10 @@ def _ids_of_words(path: str, words: list[bytes]) -> list[bytes]:
         for w, end in zip(some, ends, strict=True):
             known[w] = raw[4 * start : 4 * end]
             start = end + 1
-    for w, core, tail in split:
-        if w not in known:
+    for w, core, tail in zip(new, cores, tails, strict=True):
+        if w != core:
             known[w] = known[core] + known[tail] if tail else known[core]
-    return [known[w] for w in words]
+    return [known[w] if ids is None else ids for w, ids in zip(words, out, strict=True)]
 
 
 def _ids_of_texts(path: str, texts: list[bytes], end_id: int, by_word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -109,8 +121,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     """One row a piece: id, piece, start, length, ids_crc32, and ids (little-endian, 4 bytes each) if with_ids.
 
     tokenizer is a file of the tokenizers library that the executors have at the same path. by_word: the tokenizer
-    ignores case, drops white space, never joins what stands on its two sides, and makes a dot or comma after a letter or
-    digit a token of its own, so words can be encoded one by one; else whole texts are.
+    ignores case, drops white space, never joins what stands on its two sides, makes a dot or comma after a letter or
+    digit a token of its own, and gives its model a word of ASCII letters as it is, so words can be encoded one by one; else whole texts are.
     """
     id_type = docs.schema[id_col].dataType
     fields = [T.StructField("id", id_type), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
