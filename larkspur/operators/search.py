@@ -13,8 +13,8 @@ from larkspur.functions.vectors import cosine
 # Which kinds a source type stands for.
 SOURCE_KINDS = {"session": ("chunk", "session_summary"), "note": ("chunk",), "imported": ("chunk",), "decision": ("decision",), "pattern": ("pattern",), "issue": ("issue",)}
 CODE = "codebase"
-#: Query vectors in one literal.
-QUERY_BLOCK = 64
+#: Query vectors in one literal, and in one search: they are collected, so they are bounded.
+QUERY_BLOCK, MOST_QUERIES = 64, 10_000
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,9 @@ def vector_join_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     queries (query_id, vector) is a stated set, collected in blocks of QUERY_BLOCK into literals, so that each block costs a
     scan with a map-side top k per query and a shuffle of k rows a task and query.
     """
-    blocks = queries.select("query_id", "vector").collect()
+    blocks = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
+    if len(blocks) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: search them in parts")
     out = None
     for at in range(0, max(1, len(blocks)), QUERY_BLOCK):
         some = blocks[at : at + QUERY_BLOCK]
