@@ -53,7 +53,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+#: What a worker remembers between the tasks of one operator; the tasks of others empty it.
+remembered: list[dict] = []
+
+
+def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTES, keep: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts hold about `most` bytes, with the texts as UTF-8."""
     for batch in batches:
         texts = text_bytes(batch.column(batch.schema.get_field_index(text)))
@@ -66,6 +70,9 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTE
         if start < len(texts):
             yield batch.slice(start), texts[start:]
         del batch, texts
+    if not keep:
+        for known in remembered:
+            known.clear()
     trim()
 
 

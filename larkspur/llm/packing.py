@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm._shared import bucket_count, cut, ranked
-from larkspur.llm._words import chunked, words_of
+from larkspur.llm._words import chunked, remembered, words_of
 
 #: Words whose ids a worker remembers; the table is emptied when it is full.
 REMEMBERED = 700_000
@@ -47,6 +47,7 @@ def _tokenizer(path: str) -> tuple:
         specials = [re.escape(a.content.encode()) for a in t.get_added_tokens_decoder().values()]
         mark = t.encode(BETWEEN, add_special_tokens=False).ids
         _tokenizers[path] = t, mark[0] if len(mark) == 1 else None, re.compile(b"|".join([BETWEEN.encode(), *specials]), re.IGNORECASE), {}
+        remembered.append(_tokenizers[path][3])
     return _tokenizers[path]
 
 
@@ -129,7 +130,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", tex
     schema = T.StructType(fields + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunked(batches, "text"):
+        for batch, texts in chunked(batches, "text", keep=True):
             ids, ends = _ids_of_texts(tokenizer, texts, end_id, by_word)
             raw = memoryview(np.ascontiguousarray(ids)).cast("B")
             owner, piece, start, length, crc, kept = [], [], [], [], [], []

@@ -124,6 +124,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
     strings = cut(texts.mapInArrow(sent, "bucket long, part int, key binary, at long, windows long, packed binary"), "super-kmers")
+    filter_.destroy()
 
     def sorted_out(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
