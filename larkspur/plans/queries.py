@@ -451,7 +451,16 @@ def session_render(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", text.render_session(F.col("m")).alias("body"), "roles")
 
 
-@query("chunk_lines", None)
+CHUNKS = r"""WITH RECURSIVE d AS (SELECT doc_id AS id, string_split(text, chr(10)) AS l, list_transform(string_split(text, chr(10)), lambda x: len(x) + 1) AS z FROM documents),
+s AS (SELECT id, l, len(l)::INT AS n, list_transform(range(0, len(l) + 1), lambda k: coalesce(list_sum(z[1:k]), 0)::BIGINT) AS p FROM d),
+w AS (SELECT id, 0 AS i, 0 AS f, 0 AS a, -1 AS b FROM s
+  UNION ALL SELECT w.id, w.i + 1, CASE WHEN p[w.i + 2] - p[w.f + 1] >= 1600 THEN coalesce(list_max(list_filter(range(w.f, w.i + 1), lambda j: p[w.i + 2] - p[j + 1] >= 320)), w.f)::INT ELSE w.f END, w.f, CASE WHEN p[w.i + 2] - p[w.f + 1] >= 1600 THEN w.i ELSE -1 END FROM w JOIN s ON s.id = w.id WHERE w.i < s.n),
+c AS (SELECT id, a, b, 0 AS last FROM w WHERE b >= 0 UNION ALL SELECT w.id, w.f, s.n - 1, 1 FROM w JOIN s ON s.id = w.id AND w.i = s.n),
+t AS (SELECT c.id, (row_number() OVER (PARTITION BY c.id ORDER BY last, b) - 1)::INT AS chunk, array_to_string(l[a + 1:b + 1], chr(10)) AS content, a AS line_start, b AS line_end, last FROM c JOIN s ON s.id = c.id)
+SELECT id, chunk, content, line_start, line_end, (len(content) // 4)::INT AS token_count FROM t WHERE last = 0 OR regexp_matches(content, '\S')"""
+
+
+@query("chunk_lines", CHUNKS)
 def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = tables(spark, d, "documents")
     return chunking.chunk_lines(docs, "doc_id", "text")
