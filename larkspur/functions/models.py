@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.findings import parse_lessons
+
 Embedder = Callable[[list[str]], list[list[float]]]
 Writer = Callable[[str], "str | None"]
 
@@ -95,3 +97,10 @@ def fill_summaries(sessions: DataFrame, writer: Writer = extract) -> tuple[DataF
     filled = sessions.join(missing.select("id", F.col("summary").alias("_lk_new")), "id", "left").withColumn("summary", F.coalesce("summary", "_lk_new")).select(*sessions.columns)
     chunks = missing.select("project_id", F.lit("session").alias("source_type"), F.col("id").alias("source_id"), F.col("summary").alias("content"))
     return filled, chunks
+
+
+def extract_lessons(findings: DataFrame, writer: Writer) -> DataFrame:
+    """(job_id, lesson, category, context) from what writer makes of a job's findings (job_id, created_at, id, content), joined in order."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "content"))), lambda x: x["content"]), "\n")
+    told = summarise(findings.groupBy("job_id").agg(joined.alias("text")), "text", "answer", writer, LESSON_CUT)
+    return told.select("job_id", F.explode(parse_lessons(F.col("answer"))).alias("l")).select("job_id", "l.*")

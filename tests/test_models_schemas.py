@@ -50,3 +50,9 @@ def test_migrations(spark):
     more = schemas.record_migration(applied, "002.sql", "z", F.lit(dt.datetime(2024, 1, 2)))
     assert more.count() == 3 and schemas.record_migration(more, "002.sql", "z", F.lit(dt.datetime(2024, 1, 2))).count() == 3
     assert schemas.merge_settings({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 3}, "d": {"e": 1}}) == {"a": {"b": 3, "c": 2}, "d": {"e": 1}}
+
+
+def test_lessons(spark):
+    rows = spark.createDataFrame([(1, 2, "b", "second"), (1, 1, "a", "first"), (2, 1, "c", "x" * 9000)], "job_id int, created_at int, id string, content string")
+    got = models.extract_lessons(rows, lambda t: f"LESSON: {t.splitlines()[0][:5]} of {len(t)}\nCATEGORY: C")
+    assert sorted(map(tuple, got.collect())) == [(1, "first of 12", "c", None), (2, "xxxxx of 8000", "c", None)]
