@@ -98,7 +98,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     last = whole + 1
 
     def placed(df: DataFrame) -> DataFrame:
-        spread = F.floor(_hash48(F.lit(seed), F.col("_lk_id")) * F.col("blocks") / F.lit(float(1 << _BITS))).cast("long")
+        spread = F.floor(_hash48(F.lit(seed), F.col("_lk_id")) / F.lit(float(1 << _BITS)) * F.col("blocks")).cast("long")
         out = df.join(plan, F.col("_lk_source").eqNullSafe(F.col("_lk_plan"))).withColumn("_lk_block", spread)
         return out.withColumn("_lk_whole", whole).withColumn("_lk_rest", rest)
 

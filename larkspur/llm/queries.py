@@ -174,7 +174,7 @@ alpha AS (SELECT CASE WHEN (SELECT count(*) FROM shares) < 2 THEN 1.0 ELSE round
 plan AS (SELECT source, tokens AS all_tokens, round(pow(share, a) / (SELECT sum(pow(share, a)) FROM shares, alpha) * (SELECT sum(tokens) FROM shares)::DOUBLE)::BIGINT AS quota, ceil(n / 256.0)::BIGINT AS blocks FROM shares, alpha),
 placed AS (
   SELECT r.*, quota // all_tokens AS whole, quota % all_tokens AS rest,
-         floor(('0x' || substr(md5('17|' || coalesce(r.doc_id::VARCHAR, '')), 1, 12))::BIGINT * blocks / 281474976710656.0)::BIGINT AS block
+         floor(('0x' || substr(md5('17|' || coalesce(r.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 * blocks)::BIGINT AS block
   FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source),
 keyed AS (
   SELECT *, ('0x' || substr(md5('17|' || (whole + 1) || '|' || coalesce(source, '') || '|' || block), 1, 12))::BIGINT AS bk,

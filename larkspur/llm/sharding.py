@@ -39,7 +39,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     total = rows.count()
     buckets = bucket_count(total, BUCKET_ROWS)
     ties = [F.col(c) for c in ("_lk_hash", "id", "text_crc32", "size")]
-    spread = F.floor(F.col("_lk_hash") * F.lit(buckets) / F.lit(float(1 << _HASH_BITS)))
+    spread = F.floor(F.col("_lk_hash") / F.lit(float(1 << _HASH_BITS)) * F.lit(buckets))
     by_source = ranked(rows, ["source"], spread, ties, "_lk_rank", buckets)
     sized = by_source.join(sources.withColumnRenamed("source", "_lk_source"), F.col("source").eqNullSafe(F.col("_lk_source")), "left").drop("_lk_source")
     fraction = sized.withColumn("_lk_at", (F.col("_lk_rank") + 0.5) / F.col("_lk_source_rows"))
