@@ -55,7 +55,10 @@ def chunked_lines(docs: DataFrame, id_col: str, text_col: str, window: int = WIN
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
-    """(id, key, first_line, n_lines) of the chunks that go: all occurrences but the first of each repeated chunk."""
+    """(id, key, first_line, n_lines) of the chunks that go: all occurrences but the first of each repeated chunk.
+
+    Rows that repeat give their chunks again. Nothing is grouped after the join, so a chunk that very many documents have is split over tasks.
+    """
     chunks = chunked_lines(docs, id_col, text_col, window, divisor).filter(F.col("n_lines") >= least)
     hashed = chunks.withColumn("hash", F.xxhash64("body"))
     more = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -71,7 +74,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     firsts = found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end")).filter("kept <> end or not (kept <=> end)")
     firsts = firsts.select(F.col("hash").alias("_lk_hash"), F.col("body").alias("_lk_body"), "kept")
     gone = found.join(firsts, (F.col("hash") == F.col("_lk_hash")) & (F.col("body") == F.col("_lk_body"))).filter(~place.eqNullSafe(F.col("kept")))
-    return gone.select("id", "key", "first_line", "n_lines").distinct()
+    return gone.select("id", "key", "first_line", "n_lines")
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
