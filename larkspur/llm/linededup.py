@@ -72,7 +72,8 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(found, "chunks")
     place = F.struct("id", "key", "chunk")
     firsts = found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end")).filter("kept <> end or not (kept <=> end)")
-    firsts = firsts.select(F.col("hash").alias("_lk_hash"), F.col("body").alias("_lk_body"), "kept")
+    # a table, so that both sides of the join are dealt anew and a hot chunk's rows can be split
+    firsts = cut(firsts.select(F.col("hash").alias("_lk_hash"), F.col("body").alias("_lk_body"), "kept"), "firsts")
     gone = found.join(firsts, (F.col("hash") == F.col("_lk_hash")) & (F.col("body") == F.col("_lk_body"))).filter(~place.eqNullSafe(F.col("kept")))
     return gone.select("id", "key", "first_line", "n_lines")
 
@@ -82,10 +83,10 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     gone = cut(repeated_chunks(docs, id_col, text_col, window, divisor, least), "gone")
     spans = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("spans")).withColumnsRenamed({"id": "other_id", "key": "other_key"})
     text = F.col(text_col).cast("string")
-    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text.alias("text"), F.md5(text.cast("binary")).alias("key"))
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("key"))
     # a merge join at every size: it splits hot keys, and its cost follows the input
     marked = packed.join(spans.hint("merge"), F.col("id").eqNullSafe(F.col("other_id")) & (F.col("key") == F.col("other_key")), "left")
-    marked = marked.withColumn("lines", F.when(F.col("spans").isNotNull(), F.split("text", "\n", -1)))
+    marked = marked.withColumn("lines", F.when(F.col("spans").isNotNull(), F.split(F.col("row").getField(text_col).cast("string"), "\n", -1)))
     # spans are sorted and apart: keep what lies between one's end and the next one's start
     count = F.size("spans")
     between = F.transform(
