@@ -8,6 +8,10 @@ occur more than once are compared by their bytes, so chunks that merely share a
 Chunks are found inside each row, without a shuffle; what is shuffled are chunk hashes, and the bytes of chunks that
 pass a fixed-size filter of the repeated hashes. Counts are aggregated before the shuffle, so a line that a third of all documents have costs one row a task.
 
+Cut points depend on the text, so chunks miss most passages that lie inside otherwise different documents. remove_repeated_runs has
+every two neighbouring lines as a piece instead: each run of two or more lines that the corpus has elsewhere goes, but for its first
+occurrence. It is the same way from hashes to bytes, with pieces that overlap.
+
 Defined results: a null text stays null, an empty one empty; rows with equal id and text are one row's worth: they keep and lose the same
 chunks; null ids order first; a document whose chunks are all removed has an empty text; an empty table gives an empty result. All other columns are
 passed on, whatever their names.
@@ -57,12 +61,45 @@ def chunked_lines(docs: DataFrame, id_col: str, text_col: str, window: int = WIN
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """(id, key, first_line, n_lines) of the chunks that go: all occurrences but the first of each repeated chunk.
 
-    Rows that repeat give their chunks again. Nothing is grouped after the join, so a chunk that very many documents have is split over tasks.
+    Rows that repeat give their chunks again.
     """
     chunks = chunked_lines(docs, id_col, text_col, window, divisor).filter(F.col("n_lines") >= least)
-    hashed = chunks.withColumn("hash", F.xxhash64("body"))
+    return _repeated(chunks, "chunk").select("id", "key", "first_line", "n_lines")
+
+
+def line_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, key, first_line, body): every two neighbouring lines of every (id, text); key is the text's MD5."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    rows = rows.select("id", F.md5(F.col("text").cast("binary")).alias("key"), F.split("text", "\n", -1).alias("lines")).filter(F.size("lines") > 1)
+    pair = lambda i: F.struct(i.alias("first_line"), F.concat_ws("\n", F.get("lines", i), F.get("lines", i + 1)).alias("body"))
+    return rows.select("id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("lines") - 2), pair)).alias("p")).select("id", "key", "p.*")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, key, spans) of the texts that lose lines; spans (first_line, n_lines) are sorted and apart.
+
+    A line goes if it lies in a pair of lines that is not the pair's first occurrence and doesn't overlap that.
+    """
+    gone = _repeated(line_pairs(docs, id_col, text_col), "first_line")
+    same = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("key") == F.col("kept.key"))
+    gone = cut(gone.filter(~(same & (F.col("first_line") == F.col("kept.first_line") + 1))).select("id", "key", "first_line"), "gone")
+    starts = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set("first_line")).alias("starts"))
+    at = lambda i: F.get("starts", i)
+    last = F.size("starts") - 1
+    first = F.filter("starts", lambda x, i: (i == 0) | (x - at(i - 1) > 1))
+    final = F.filter("starts", lambda x, i: (i == last) | (at(i + 1) - x > 1))
+    spans = F.zip_with(first, final, lambda a, b: F.struct(a.alias("first_line"), (b - a + 2).alias("n_lines")))
+    return starts.select("id", "key", spans.alias("spans"))
+
+
+def _repeated(pieces: DataFrame, order: str) -> DataFrame:
+    """The pieces (id, key, body, and others) whose body occurs at an earlier place (id, key, order), with that as kept.
+
+    Nothing is grouped after the join, so a piece that very many documents have is split over tasks.
+    """
+    hashed = pieces.withColumn("hash", F.xxhash64("body"))
     more = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a bitmap of the repeated hashes, FILTER_BITS bits whatever the input, spares other chunks the shuffle of their bytes
+    # a bitmap of the repeated hashes, FILTER_BITS bits whatever the input, spares other pieces the shuffle of their bytes
     bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
     bitmap = cut(more.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), "bitmap")
     at = F.bitmap_bit_position(bit)
@@ -70,18 +107,27 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(shiftrightunsigned(hash, {64 - FILTER_BITS})) & 7 as int))")) != 0
     found = hashed.join(F.broadcast(bitmap), (F.bitmap_bucket_number(bit) == F.col("bucket")) & is_set).drop("bucket", "bits")
     found = cut(found, "chunks")
-    place = F.struct("id", "key", "chunk")
+    place = F.struct("id", "key", order)
     firsts = found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end")).filter("kept <> end or not (kept <=> end)")
-    # a table, so that both sides of the join are dealt anew and a hot chunk's rows can be split
+    # a table, so that both sides of the join are dealt anew and a hot piece's rows can be split
     firsts = cut(firsts.select(F.col("hash").alias("_lk_hash"), F.col("body").alias("_lk_body"), "kept"), "firsts")
-    gone = found.join(firsts, (F.col("hash") == F.col("_lk_hash")) & (F.col("body") == F.col("_lk_body"))).filter(~place.eqNullSafe(F.col("kept")))
-    return gone.select("id", "key", "first_line", "n_lines")
+    return found.join(firsts, (F.col("hash") == F.col("_lk_hash")) & (F.col("body") == F.col("_lk_body"))).filter(~place.eqNullSafe(F.col("kept")))
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LEAST_LINES) -> DataFrame:
     """docs with the repeated chunks' lines taken out of the text, and as last column lines_removed (see free_name)."""
     gone = cut(repeated_chunks(docs, id_col, text_col, window, divisor, least), "gone")
-    spans = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("spans")).withColumnsRenamed({"id": "other_id", "key": "other_key"})
+    spans = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("first_line", "n_lines"))).alias("spans"))
+    return _without(docs, spans, id_col, text_col)
+
+
+def remove_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the lines of repeated runs of two or more lines, and as last column lines_removed (see free_name)."""
+    return _without(docs, repeated_runs(docs, id_col, text_col), id_col, text_col)
+
+
+def _without(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    spans = spans.withColumnsRenamed({"id": "other_id", "key": "other_key"})
     text = F.col(text_col).cast("string")
     packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.md5(text.cast("binary")).alias("key"))
     # a merge join at every size: it splits hot keys, and its cost follows the input

@@ -8,6 +8,7 @@ from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from larkspur.llm import linededup, neardup, substring
 
 SCHEMA = "doc_id long, text string, _lk_id string, component_id int"
@@ -171,5 +172,35 @@ def test_line_chunks(spark):
     assert linededup.remove_repeated_chunks(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_repeated_runs_inside_different_texts(spark):
+    """Every run of two or more lines that occurs before goes, wherever it lies; the stage of the pipeline does the same."""
+    rng = random.Random(9)
+    passage, rows = [f"shared {i}" for i in range(40)], []
+    for i in range(60):
+        own = [f"own {rng.random()}" for _ in range(rng.randrange(2, 20))]
+        at, a = rng.randrange(len(own) + 1), rng.randrange(36)
+        own[at:at] = passage[a : a + rng.randrange(0, 5)]
+        rows.append((i, "\n".join(own)))
+    rows += [(100, None), (101, ""), (102, "z\nz\nz\nz\nz"), (103, "a\nz\nz\nz\nb"), (3, rows[3][1]), (None, rows[5][1])]
+    distinct = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    first, expected = {}, {}
+    for i, t in distinct:
+        lines = t.split("\n")
+        gone = set()
+        for k in range(len(lines) - 1):
+            place = first.setdefault((lines[k], lines[k + 1]), (i, t, k))
+            if place not in ((i, t, k), (i, t, k - 1)):
+                gone |= {k, k + 1}
+        expected[i, t] = [x for k, x in enumerate(lines) if k not in gone], len(gone)
+    assert expected[102, rows[62][1]] == (["z", "z"], 3) and expected[103, rows[63][1]] == (["a", "b"], 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text, r.lines_removed) for r in linededup.remove_repeated_runs(df).collect())
+    want = Counter((i, None, 0) if t is None else (i, "\n".join(expected[i, t][0]), expected[i, t][1]) for i, t in rows)
+    assert got == want
+    stage = corpus_pipeline.line_dedup(spark, df.selectExpr("*", "length(text) n_chars"), "").collect()
+    assert Counter((r.doc_id, r.text) for r in stage) == Counter({(i, t): n for (i, t, m), n in want.items() if not m or t.split()})
+    assert linededup.remove_repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_stretches():
     assert list(substring._stretches([1, 2, 3, 7, 9, 10])) == [(1, 3), (7, 7), (9, 10)]
