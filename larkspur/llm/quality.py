@@ -2,9 +2,10 @@
 
 The base rules count words, symbols, repeated lines and repeated 8-word windows. The model is a character 5-gram model
 with modified Kneser-Ney smoothing for each language. Batches count their n-grams, Spark adds them up over all documents and derives the lower orders'
-continuation counts, discounts, probabilities and back-off weights. The model goes to the workers as sorted arrays
-of hashes with the values beside them. The hashes have HASH_BITS bits, so the arrays have 2^HASH_BITS entries at most
-(about 200 MB) whatever the corpus; of n-grams that share a hash, the likelier's values stand.
+continuation counts, discounts, probabilities and back-off weights. As the model is that of the documents it scores, each
+n-gram of theirs is in its highest order, and only that order goes to the workers: sorted 64-bit keys of each language with the values
+beside them. For one language the key is a bijection of the packed n-gram, so no two n-grams share a value. SLICE n-grams at most
+(about 100 MB) are sent at a time; a corpus that has more is read again for each further slice, which adds the slice's share.
 
 A document's perplexity is that of its words: the exponential of the negative log-probability of all its characters, divided
 by the number of words. (By character, symbols that follow every word look cheap; by word they don't.) Each language's band
@@ -29,7 +30,9 @@ from pyspark.sql import types as T
 from larkspur.llm._shared import cut, unpacked
 from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
 
-ORDER, HASH_BITS, BELOW, ABOVE, BIN = 5, 24, 6.0, 4.0, 0.01
+ORDER, HASH_BITS, BELOW, ABOVE, BIN = 5, 64, 6.0, 4.0, 0.01
+#: N-grams that a worker holds at a time; a corpus with more is read once for each slice.
+SLICE = 1 << 23
 REPEAT_WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
 _BITS = 12  # of a symbol: code points are folded to 4095 numbers, 0 stands before a text's first character
@@ -116,14 +119,19 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return model.unionByName(last)
 
 
-def hash_arrays(model: DataFrame, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model as sorted hashes, log-probabilities and back-off weights: 2^bits entries at most."""
+def model_slice(model: DataFrame, part: int, parts: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Of each language the sorted keys and log-probabilities of the n-grams whose key is part modulo parts, a power of two."""
     whole = F.col("gram").bitwiseOR(F.shiftleft(F.col("k").cast("long"), 60))
-    key = F.shiftrightunsigned(F.xxhash64("lang", whole), 64 - bits).cast("int")
-    found = model.groupBy(key.alias("key")).agg(F.max(F.struct(F.col("logp").cast("float").alias("logp"), F.col("backoff").cast("float").alias("backoff"))).alias("v")).select("key", "v.logp", "v.backoff").toArrow()
-    keys = found.column("key").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], found.column("logp").to_numpy()[order], found.column("backoff").to_numpy()[order]
+    keyed = model.select("lang", F.xxhash64("lang", whole).alias("key"), F.col("logp").cast("float").alias("logp"))
+    found = keyed.filter(F.col("key").bitwiseAND(F.lit(parts - 1).cast("long")) == part).toArrow()
+    langs = found.column("lang").combine_chunks().dictionary_encode()
+    codes, keys, logp = langs.indices.to_numpy(), found.column("key").to_numpy().view(np.uint64), found.column("logp").to_numpy()
+    out = {}
+    for code, lang in enumerate(langs.dictionary.to_pylist()):
+        own = np.flatnonzero(codes == code)
+        own = own[np.argsort(keys[own])]
+        out[lang] = keys[own], logp[own]
+    return out
 
 
 def log_probabilities(grams: np.ndarray, seed: int, arrays: tuple, order: int = ORDER, bits: int = HASH_BITS) -> np.ndarray:
@@ -146,15 +154,23 @@ def log_probabilities(grams: np.ndarray, seed: int, arrays: tuple, order: int =
     return out
 
 
-def _nll(texts: list[bytes], seeds: np.ndarray, arrays: tuple) -> np.ndarray:
-    """Nats of each whole text; 0 for an empty one."""
+def _nll(texts: list[bytes], langs: np.ndarray, seeds: np.ndarray, arrays: dict, part: int, parts: int) -> np.ndarray:
+    """Nats of the n-grams of each whole text that the slice has; 0 for an empty text."""
     out = np.zeros(len(texts))
-    for seed in np.unique(seeds):
-        own = np.flatnonzero(seeds == seed)
+    for lang in sorted(set(langs)):
+        own = np.flatnonzero(langs == lang)
         grams, counts = _grams([texts[i] for i in own], ORDER)
         if len(grams):
+            seed = int(seeds[own[0]])
             codes, distinct = pd.factorize(grams)
-            sums = np.concatenate([[0.0], np.cumsum(log_probabilities(distinct, int(seed), arrays)[codes])])
+            mine = np.arange(len(distinct))
+            if parts > 1:
+                mine = np.flatnonzero(_xxhash64(distinct | np.uint64(ORDER << 60), seed) & np.uint64(parts - 1) == np.uint64(part))
+            values = np.zeros(len(distinct))
+            if len(mine):
+                keys, logp = arrays[lang]
+                values[mine] = log_probabilities(distinct[mine], seed, (keys, logp, np.zeros(len(keys), np.float32)))
+            sums = np.concatenate([[0.0], np.cumsum(values[codes])])
             ends = np.cumsum(counts)
             out[own] = sums[ends - counts] - sums[ends]
     return out
@@ -190,21 +206,35 @@ _ADDED = T.StructType([T.StructField(f"_lq_{n}", T.LongType()) for n in ("n_word
 
 def _scored(docs: DataFrame, text_col: str, lang_col: str, carried: Column) -> DataFrame:
     """(row, _lq_lang and the columns of _ADDED) as a table; row: what is carried of docs."""
-    spark = docs.sparkSession
-    arrays = spark.sparkContext.broadcast(hash_arrays(kneser_ney(count_ngrams(docs, text_col, lang_col))))
+    model = kneser_ney(count_ngrams(docs, text_col, lang_col)).filter(F.col("k") == ORDER)
+    n, parts = model.count(), 1
+    while parts * SLICE < n:
+        parts *= 2
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    given = docs.select(carried.alias("row"), lang.alias("_lq_lang"), F.xxhash64(lang).alias("_lq_seed"), F.col(text_col).cast("string").alias("_lq_text"))
-    kept = ["row", "_lq_lang"]
-    schema = T.StructType([given.schema[n] for n in kept] + _ADDED.fields)
+    given = docs.select(carried.alias("row"), lang.alias("_lq_lang"), F.xxhash64(lang).alias("_lq_seed"), F.col(text_col).cast("string").alias("_lq_text"), F.lit(0.0).alias("_lq_nats"))
+    for part in range(parts):
+        given = _add_slice(given, model, part, parts)
+    return given
+
+
+def _add_slice(given: DataFrame, model: DataFrame, part: int, parts: int) -> DataFrame:
+    """given with the slice's share added to _lq_nats; after the last slice (row, _lq_lang and the columns of _ADDED)."""
+    arrays = given.sparkSession.sparkContext.broadcast(model_slice(model, part, parts))
+    last = part == parts - 1
+    kept = ["row", "_lq_lang"] if last else ["row", "_lq_lang", "_lq_seed", "_lq_text"]
+    schema = T.StructType([given.schema[n] for n in kept] + (_ADDED.fields if last else [given.schema["_lq_nats"]]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = arrays.value
+        known = arrays.value
         for batch, texts in chunked(batches, "_lq_text"):
-            found = _base(texts)
-            seeds = batch.column(batch.schema.get_field_index("_lq_seed")).to_numpy()
-            added = [*found.values(), _nll(texts, seeds, model) / np.maximum(found["n_words"], 1)]
-            columns = [batch.column(batch.schema.get_field_index(n)) for n in kept]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in added], schema.names)
+            column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
+            langs = np.array(column("_lq_lang").to_pylist(), object)
+            nats = column("_lq_nats").to_numpy() + _nll(texts, langs, column("_lq_seed").to_numpy(), known, part, parts)
+            added = [nats]
+            if last:
+                found = _base(texts)
+                added = [*found.values(), nats / np.maximum(found["n_words"], 1)]
+            yield pa.RecordBatch.from_arrays([column(n) for n in kept] + [pa.array(x) for x in added], schema.names)
 
     out = cut(given.mapInArrow(scored, schema), "quality")
     arrays.destroy()

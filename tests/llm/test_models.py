@@ -103,6 +103,21 @@ def test_quality(spark):
     assert quality.assess_quality(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_each_ngram_has_its_own_value(spark, monkeypatch):
+    """More n-grams than 24 bits keep apart: each gets the value the model has for it, in one slice and in many."""
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(4)) for _ in range(60)), rng.choice(["zh", "ja", None]), "r", 1) for i in range(600)]
+    df, nll = spark.createDataFrame(rows, DOCS), {}
+    model, order = brute_model(rows), quality.ORDER
+    for i, t, lang, *_ in rows:
+        s = [0] * (order - 1) + [ord(c) % 4095 + 1 for c in t]
+        nll[i] = -sum(math.log(model[lang or ""][tuple(s[k - order + 1 : k + 1])]) for k in range(order - 1, len(s))) / 60
+    for most in (quality.SLICE, 40_000):
+        monkeypatch.setattr(quality, "SLICE", most)
+        got = {r.id: math.log(r.perplexity) for r in quality.assess_quality(df).select("id", "perplexity").collect()}
+        assert max(abs(got[i] - nll[i]) for i in nll) < 1e-5
+
+
 def test_hash_is_sparks(spark):
     x = [0, 1, -5, 2**62, 123456789]
     rows = spark.createDataFrame([(v,) for v in x], "v long").selectExpr("v", "xxhash64('fr', v) h", "xxhash64('fr') s").collect()
