@@ -482,7 +482,7 @@ def similar_existing(spark: SparkSession, d: str) -> DataFrame:
 @query("greedy_semantic_dedup", None)
 def greedy_semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
     (e,) = tables(spark, d, "embeddings")
-    rows = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.concat("label", F.lit("-"), F.col("vec_id") % 10).alias("batch"), F.col("embedding").alias("vector"))
+    rows = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("label").cast("string").alias("batch"), F.col("embedding").alias("vector"))
     return context.greedy_dedup(rows, "batch", "seq", 0.4)
 
 

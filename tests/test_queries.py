@@ -52,6 +52,17 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_greedy_semantic_dedup_compares_all_of_a_label(spark):
+    rows = duckdb.sql(f"SELECT vec_id, label, embedding FROM '{SF}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    dot, kept = lambda a, b: sum(x * y for x, y in zip(a, b)), {}
+    for i, label, v in rows:
+        own, norm = kept.setdefault(str(label), []), dot(v, v) ** 0.5
+        if all(dot(v, w) <= 0.4 * norm * n for _, w, n in own):
+            own.append((i, v, norm))
+    got = QUERIES["greedy_semantic_dedup"](spark, SF).collect()
+    assert {(r.batch, r.id) for r in got} == {(k, i) for k, own in kept.items() for i, _, _ in own} and len(got) < len(rows)
+
+
 def test_entry(spark):
     import __spark_entry__
 
