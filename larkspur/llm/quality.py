@@ -2,13 +2,16 @@
 
 The base rules count words, symbols, repeated lines and repeated 8-word windows. The model is a character 5-gram model
 with modified Kneser-Ney smoothing for each language. Batches count their n-grams, Spark adds them up over all documents and derives the lower orders'
-continuation counts, discounts, probabilities and back-off weights. As the model is that of the documents it scores, each
-n-gram of theirs is in its highest order, and only that order goes to the workers: sorted 64-bit keys of each language with the values
-beside them. For one language the key is a bijection of the packed n-gram, so no two n-grams share a value. SLICE n-grams at most
-(about 100 MB) are sent at a time; a corpus that has more is read again for each further slice, which adds the slice's share.
-
-A document's perplexity is that of its words: the exponential of the negative log-probability of all its characters, divided
-by the number of words. (By character, symbols that follow every word look cheap; by word they don't.) Each language's band
+continuation counts, discounts and probabilities. Texts are dealt into two folds by a hash, so that equal texts are in one fold, and each is scored by the
+model of the other fold: a document's own n-grams don't vouch for it, and what the other fold lacks backs off. Both folds'
+counts stand in one table, so Spark works out the value of each n-gram that a fold has under the other fold's model, back-off included,
+and only these values go to the workers: sorted 64-bit hashes of the n-grams of each language with two values
+beside them. Within a language the hash is a bijection of the packed n-gram, so no two n-grams share a value. SLICE n-grams at most
+(about 130 MB) are sent at a time; a corpus that has more is read again for each further slice, which adds the slice's share.
+
+A character is one symbol, or two from U+0600 on, so that five symbols fit 60 bits and no two characters are one. A document's perplexity is that of
+its words: the exponential of the negative log-probability of all its characters, divided by the number of words that have a letter or digit. (By character, symbols that
+follow every word look cheap, as do signs between blanks by word; so what isn't a word counts against the words.) Each language's and fold's band
 reaches BELOW interquartile ranges of the log-perplexity under the first and ABOVE over the third quartile of the documents
 that pass the base rules; both come from a histogram with bins of BIN over all documents.
 
@@ -18,6 +21,7 @@ the same or a null id are judged each; an empty table gives an empty result; all
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +34,15 @@ from pyspark.sql import types as T
 from larkspur.llm._shared import cut, unpacked
 from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
 
-ORDER, HASH_BITS, BELOW, ABOVE, BIN = 5, 64, 6.0, 4.0, 0.01
+ORDER, BELOW, ABOVE, BIN = 5, 6.0, 6.0, 0.01
 #: N-grams that a worker holds at a time; a corpus with more is read once for each slice.
 SLICE = 1 << 23
 REPEAT_WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
-_BITS = 12  # of a symbol: code points are folded to 4095 numbers, 0 stands before a text's first character
+_BITS = 12  # of a symbol: 0 stands before a text's first character
+#: Code points below PLAIN are one symbol; others are two, of 1088 first and 1024 second ones.
+PLAIN = 1536
+_LETTER = re.compile(r"[^\W_]")
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -51,126 +58,131 @@ def _xxhash64(x: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def _symbols(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all strings, from 1 to 3648, and how many each has; different strings have different symbols."""
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    wide = points >= PLAIN
+    starts = np.cumsum(1 + wide) - (1 + wide)
+    out = np.empty(len(points) + int(wide.sum()), np.int64)
+    out[starts] = np.where(wide, PLAIN + 1 + (points >> 10), points + 1)
+    out[starts[wide] + 1] = PLAIN + 1089 + (points[wide] & 1023)
+    ends = np.append(starts, len(out))[np.cumsum([0, *map(len, strings)])]
+    return out.astype(np.uint64), np.diff(ends)
+
+
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each character, packed in 60 bits, text after text; characters of each text."""
-    strings = [t.decode("utf-8", "replace") for t in texts]
-    counts = np.fromiter(map(len, strings), np.int64, len(strings))
-    before = "\0" * (order - 1)
-    points = np.frombuffer("".join(x for t in strings for x in (before, t)).encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = (points % np.uint32((1 << _BITS) - 1) + np.uint32(1)).astype(np.uint64)
-    is_text = np.repeat(np.tile([False, True], len(texts)), np.stack([np.full(len(texts), order - 1), counts], 1).reshape(-1))
-    symbols[~is_text] = 0
-    packed = symbols[order - 1 :].copy()
+    """The n-gram that ends at each symbol, packed in 60 bits, text after text; symbols of each text."""
+    found, counts = _symbols([t.decode("utf-8", "replace") for t in texts])
+    at = np.arange(len(found)) + (order - 1) * np.repeat(np.arange(1, len(texts) + 1), counts)
+    symbols = np.zeros(len(found) + (order - 1) * len(texts), np.uint64)
+    symbols[at] = found
+    packed = symbols[at].copy()
     for k in range(1, order):
-        packed |= symbols[order - 1 - k : len(symbols) - k] << np.uint64(_BITS * k)
-    return packed[is_text[order - 1 :]], counts
+        packed |= symbols[at - k] << np.uint64(_BITS * k)
+    return packed, counts
+
+
+def _lang(lang_col: str) -> Column:
+    """The language with a mark before it; '' stands for null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit(""))
+
+
+def _fold(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
 def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all characters of all texts; lang '' stands for null."""
+    """(lang, gram, n0, n1) over all characters of all texts: how often each fold has it."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunked(batches, "text"):
-            langs = np.array(batch.column(0).to_pylist(), object)
+            langs, folds = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
             for lang in sorted(set(langs)):
-                grams, _ = _grams([texts[i] for i in np.flatnonzero(langs == lang)], order)
+                own = np.flatnonzero(langs == lang)
+                grams, counts = _grams([texts[i] for i in own], order)
                 codes, distinct = pd.factorize(grams)
-                n = np.bincount(codes, minlength=len(distinct))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                second = np.repeat(folds[own], counts) == 1
+                n = [np.bincount(codes[x], minlength=len(distinct)).astype(np.int64) for x in (~second, second)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), *map(pa.array, n)], ["lang", "gram", "n0", "n1"])
 
-    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(_lang(lang_col).alias("lang"), _fold(text).alias("fold"), text.alias("text"))
+    return texts.mapInArrow(counted, "lang string, gram long, n0 long, n1 long").groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, k, gram, logp, backoff): the interpolated model, in the form that is looked up."""
+    """(lang, gram, n0, n1, p0, p1): the probability of each n-gram's last symbol after the others under either fold's interpolated model."""
+    folds = (0, 1)
     tables = {order: cut(counts, "ngrams")}
     for k in range(order - 1, 0, -1):
         shorter = F.col("gram").bitwiseAND((1 << _BITS * k) - 1)
-        tables[k] = cut(tables[k + 1].groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"ngrams-{k}")
-    levels = [t.groupBy("lang").agg(*[F.sum((F.col("n") == c).cast("long")).alias(f"n{c}") for c in range(1, 5)], F.count(F.lit(1)).alias("distinct")).withColumn("k", F.lit(k)) for k, t in tables.items()]
+        tables[k] = cut(tables[k + 1].groupBy("lang", shorter.alias("gram")).agg(*[F.count_if(F.col(f"n{f}") > 0).alias(f"n{f}") for f in folds]), f"ngrams-{k}")
+    levels = [t.groupBy("lang").agg(*[F.count_if(F.col(f"n{f}") == c).alias(f"n{f}_{c}") for f in folds for c in range(1, 5)], F.count(F.lit(1)).alias("distinct")).withColumn("k", F.lit(k)) for k, t in tables.items()]
     stats = levels[0]
     for more in levels[1:]:
         stats = stats.unionByName(more)
-    y = F.expr("try_divide(n1, n1 + 2 * n2)")
-    for c in (1, 2, 3):
-        found = c - (c + 1) * y * F.expr(f"try_divide(n{c + 1}, n{c})")
-        stats = stats.withColumn(f"d{c}", F.greatest(F.lit(0.05), F.least(F.coalesce(found, F.lit(c / 2)), F.lit(c - 0.05))))
-    stats = cut(stats.select("lang", "k", "d1", "d2", "d3", "distinct"), "discounts")
-    model = lower = None
+    for f in folds:
+        y = F.expr(f"try_divide(n{f}_1, n{f}_1 + 2 * n{f}_2)")
+        for c in (1, 2, 3):
+            found = c - (c + 1) * y * F.expr(f"try_divide(n{f}_{c + 1}, n{f}_{c})")
+            stats = stats.withColumn(f"d{f}_{c}", F.greatest(F.lit(0.05), F.least(F.coalesce(found, F.lit(c / 2)), F.lit(c - 0.05))))
+    stats = cut(stats.select("lang", "k", "distinct", *[f"d{f}_{c}" for f in folds for c in (1, 2, 3)]), "discounts")
+    lower = None
     for k in range(1, order + 1):
         t = tables[k].join(stats.filter(F.col("k") == k), "lang").withColumn("context", F.shiftright("gram", _BITS))
-        cut_off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.withColumn("off", F.least(cut_off, F.col("n").cast("double")))
-        contexts = t.groupBy("lang", "context").agg(F.sum("n").alias("all"), (F.sum("off") / F.sum("n")).alias("gamma"), F.first("distinct").alias("distinct"))
-        grams = t.select("lang", "gram", "context", "n", "off").join(contexts, ["lang", "context"])
+        for f in folds:
+            n = F.col(f"n{f}")
+            cut_off = F.when(n == 1, F.col(f"d{f}_1")).when(n == 2, F.col(f"d{f}_2")).otherwise(F.col(f"d{f}_3"))
+            t = t.withColumn(f"off{f}", F.least(cut_off, n.cast("double")))
+        sums = [x for f in folds for x in (F.sum(f"n{f}").alias(f"all{f}"), F.sum(f"off{f}").alias(f"lost{f}"))]
+        contexts = t.groupBy("lang", "context").agg(*sums)
+        grams = t.select("lang", "gram", "context", "distinct", "n0", "n1", "off0", "off1").join(contexts, ["lang", "context"])
         if lower is None:
-            grams = grams.withColumn("below", 1.0 / (F.col("distinct") + 1))
+            grams = grams.select("*", *[(1.0 / (F.col("distinct") + 1)).alias(f"below{f}") for f in folds])
         else:
-            grams = grams.withColumn("shorter", F.col("gram").bitwiseAND((1 << _BITS * (k - 1)) - 1)).join(lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("below")), ["lang", "shorter"])
-            weights = contexts.select("lang", F.col("context").alias("gram"), F.log("gamma").alias("backoff"))
-            done = lower.join(weights, ["lang", "gram"], "left").select("lang", F.lit(k - 1).alias("k"), "gram", F.log("p").alias("logp"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
-            model = done if model is None else model.unionByName(done)
-        lower = cut(grams.select("lang", "gram", ((F.col("n") - F.col("off")) / F.col("all") + F.col("gamma") * F.col("below")).alias("p")), f"model-{k}")
-        if k == 1:
-            unknown = contexts.select("lang", F.lit(0).alias("k"), F.lit(0).cast("long").alias("gram"), F.log(F.col("gamma") / (F.col("distinct") + 1)).alias("logp"), F.lit(0.0).alias("backoff"))
-            model = unknown
-    last = lower.select("lang", F.lit(order).alias("k"), "gram", F.log("p").alias("logp"), F.lit(0.0).alias("backoff"))
-    return model.unionByName(last)
+            shorter = F.col("gram").bitwiseAND((1 << _BITS * (k - 1)) - 1)
+            below = lower.select("lang", F.col("gram").alias("shorter"), *[F.col(f"p{f}").alias(f"below{f}") for f in folds])
+            grams = grams.withColumn("shorter", shorter).join(below, ["lang", "shorter"])
+        # a context that the fold lacks backs off
+        p = [F.when(F.col(f"all{f}") > 0, (F.col(f"n{f}") - F.col(f"off{f}") + F.col(f"lost{f}") * F.col(f"below{f}")) / F.col(f"all{f}")).otherwise(F.col(f"below{f}")).alias(f"p{f}") for f in folds]
+        lower = cut(grams.select("lang", "gram", "n0", "n1", *p), f"model-{k}")
+    return lower
 
 
 def model_slice(model: DataFrame, part: int, parts: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Of each language the sorted keys and log-probabilities of the n-grams whose key is part modulo parts, a power of two."""
-    whole = F.col("gram").bitwiseOR(F.shiftleft(F.col("k").cast("long"), 60))
-    keyed = model.select("lang", F.xxhash64("lang", whole).alias("key"), F.col("logp").cast("float").alias("logp"))
+    """Of each language the sorted hashes of the n-grams whose hash is part modulo parts, a power of two, and their log-probabilities.
+
+    A row of values: for texts of fold 0 (by the model of fold 1), and for texts of fold 1.
+    """
+    whole = F.col("gram").bitwiseOR(F.lit(ORDER << 60))
+    keyed = model.select("lang", F.xxhash64("lang", whole).alias("key"), F.log("p1").cast("float").alias("of0"), F.log("p0").cast("float").alias("of1"))
     found = keyed.filter(F.col("key").bitwiseAND(F.lit(parts - 1).cast("long")) == part).toArrow()
     langs = found.column("lang").combine_chunks().dictionary_encode()
-    codes, keys, logp = langs.indices.to_numpy(), found.column("key").to_numpy().view(np.uint64), found.column("logp").to_numpy()
+    codes, keys = langs.indices.to_numpy(), found.column("key").to_numpy().view(np.uint64)
+    values = np.stack([found.column(c).to_numpy() for c in ("of0", "of1")], 1)
     out = {}
     for code, lang in enumerate(langs.dictionary.to_pylist()):
         own = np.flatnonzero(codes == code)
         own = own[np.argsort(keys[own])]
-        out[lang] = keys[own], logp[own]
-    return out
-
-
-def log_probabilities(grams: np.ndarray, seed: int, arrays: tuple, order: int = ORDER, bits: int = HASH_BITS) -> np.ndarray:
-    """Of the last character of each n-gram, given those before it."""
-    keys, logp, backoff = arrays
-    out, todo = np.zeros(len(grams)), np.arange(len(grams))
-
-    def find(some: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        h = (_xxhash64(some | np.uint64(k << 60), seed) >> np.uint64(64 - bits)).astype(keys.dtype)
-        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-        return at, keys[at] == h if len(keys) else np.zeros(len(h), bool)
-
-    for k in range(order, -1, -1):
-        at, hit = find(grams[todo] & np.uint64((1 << _BITS * k) - 1), k)
-        out[todo[hit]] += logp[at[hit]]
-        todo = todo[~hit]
-        if k > 1 and len(todo):
-            at, hit = find(grams[todo] >> np.uint64(_BITS) & np.uint64((1 << _BITS * (k - 1)) - 1), k - 1)
-            out[todo[hit]] += backoff[at[hit]]
+        out[lang] = keys[own], values[own]
     return out
 
 
-def _nll(texts: list[bytes], langs: np.ndarray, seeds: np.ndarray, arrays: dict, part: int, parts: int) -> np.ndarray:
+def _nll(texts: list[bytes], langs: np.ndarray, folds: np.ndarray, seeds: np.ndarray, arrays: dict, part: int, parts: int) -> np.ndarray:
     """Nats of the n-grams of each whole text that the slice has; 0 for an empty text."""
     out = np.zeros(len(texts))
     for lang in sorted(set(langs)):
         own = np.flatnonzero(langs == lang)
         grams, counts = _grams([texts[i] for i in own], ORDER)
         if len(grams):
-            seed = int(seeds[own[0]])
             codes, distinct = pd.factorize(grams)
-            mine = np.arange(len(distinct))
-            if parts > 1:
-                mine = np.flatnonzero(_xxhash64(distinct | np.uint64(ORDER << 60), seed) & np.uint64(parts - 1) == np.uint64(part))
-            values = np.zeros(len(distinct))
+            hashes = _xxhash64(distinct | np.uint64(ORDER << 60), int(seeds[own[0]]))
+            mine = np.flatnonzero(hashes & np.uint64(parts - 1) == np.uint64(part))
+            values = np.zeros((len(distinct), 2))
             if len(mine):
                 keys, logp = arrays[lang]
-                values[mine] = log_probabilities(distinct[mine], seed, (keys, logp, np.zeros(len(keys), np.float32)))
-            sums = np.concatenate([[0.0], np.cumsum(values[codes])])
+                values[mine] = logp[np.searchsorted(keys, hashes[mine])]
+            sums = np.concatenate([[0.0], np.cumsum(values[codes, np.repeat(folds[own], counts)])])
             ends = np.cumsum(counts)
             out[own] = sums[ends - counts] - sums[ends]
     return out
@@ -198,30 +210,32 @@ def _base(texts: list[bytes]) -> dict[str, np.ndarray]:
         full = [x for x in t.split(b"\n") if x.strip()]
         lines[i] = len(full) - len(set(full))
     failed = (w.counts < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * w.counts)
-    return {"n_words": w.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated, "base_failed": failed}
+    lettered = np.fromiter((_LETTER.search(x.decode("utf-8", "replace")) is not None for x in w.distinct), bool, len(w.distinct))
+    read = np.bincount(w.owners, lettered[w.ids], minlength=len(texts)).astype(np.int64)
+    return {"n_words": w.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated, "base_failed": failed, "lettered": read}
 
 
 _ADDED = T.StructType([T.StructField(f"_lq_{n}", T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("_lq_base_failed", T.BooleanType()), T.StructField("_lq_nll", T.DoubleType())])
 
 
 def _scored(docs: DataFrame, text_col: str, lang_col: str, carried: Column) -> DataFrame:
-    """(row, _lq_lang and the columns of _ADDED) as a table; row: what is carried of docs."""
-    model = kneser_ney(count_ngrams(docs, text_col, lang_col)).filter(F.col("k") == ORDER)
+    """(row, _lq_lang, _lq_fold and the columns of _ADDED) as a table; row: what is carried of docs."""
+    model = kneser_ney(count_ngrams(docs, text_col, lang_col))
     n, parts = model.count(), 1
     while parts * SLICE < n:
         parts *= 2
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(""))
-    given = docs.select(carried.alias("row"), lang.alias("_lq_lang"), F.xxhash64(lang).alias("_lq_seed"), F.col(text_col).cast("string").alias("_lq_text"), F.lit(0.0).alias("_lq_nats"))
+    text = F.col(text_col).cast("string")
+    given = docs.select(carried.alias("row"), _lang(lang_col).alias("_lq_lang"), _fold(text).alias("_lq_fold"), F.xxhash64(_lang(lang_col)).alias("_lq_seed"), text.alias("_lq_text"), F.lit(0.0).alias("_lq_nats"))
     for part in range(parts):
         given = _add_slice(given, model, part, parts)
     return given
 
 
 def _add_slice(given: DataFrame, model: DataFrame, part: int, parts: int) -> DataFrame:
-    """given with the slice's share added to _lq_nats; after the last slice (row, _lq_lang and the columns of _ADDED)."""
+    """given with the slice's share added to _lq_nats; after the last slice (row, _lq_lang, _lq_fold and the columns of _ADDED)."""
     arrays = given.sparkSession.sparkContext.broadcast(model_slice(model, part, parts))
     last = part == parts - 1
-    kept = ["row", "_lq_lang"] if last else ["row", "_lq_lang", "_lq_seed", "_lq_text"]
+    kept = ["row", "_lq_lang", "_lq_fold"] + ([] if last else ["_lq_seed", "_lq_text"])
     schema = T.StructType([given.schema[n] for n in kept] + (_ADDED.fields if last else [given.schema["_lq_nats"]]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +243,12 @@ def _add_slice(given: DataFrame, model: DataFrame, part: int, parts: int) -> Dat
         for batch, texts in chunked(batches, "_lq_text"):
             column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
             langs = np.array(column("_lq_lang").to_pylist(), object)
-            nats = column("_lq_nats").to_numpy() + _nll(texts, langs, column("_lq_seed").to_numpy(), known, part, parts)
+            nats = column("_lq_nats").to_numpy() + _nll(texts, langs, column("_lq_fold").to_numpy(), column("_lq_seed").to_numpy(), known, part, parts)
             added = [nats]
             if last:
                 found = _base(texts)
-                added = [*found.values(), nats / np.maximum(found["n_words"], 1)]
+                words = found.pop("lettered")
+                added = [*found.values(), nats / np.maximum(words, 1)]
             yield pa.RecordBatch.from_arrays([column(n) for n in kept] + [pa.array(x) for x in added], schema.names)
 
     out = cut(given.mapInArrow(scored, schema), "quality")
@@ -242,19 +257,20 @@ def _add_slice(given: DataFrame, model: DataFrame, part: int, parts: int) -> Dat
 
 
 def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> DataFrame:
-    """(lang, low, high): bounds of the log-perplexity."""
-    bins = scored.filter("not _lq_base_failed").groupBy(F.col("_lq_lang").alias("lang"), F.floor(F.col("_lq_nll") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    by = Window.partitionBy("lang")
+    """(lang, fold, low, high): bounds of the log-perplexity."""
+    keys = [F.col("_lq_lang").alias("lang"), F.col("_lq_fold").alias("fold")]
+    bins = scored.filter("not _lq_base_failed").groupBy(*keys, F.floor(F.col("_lq_nll") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("lang", "fold")
     share = bins.withColumn("share", F.sum("n").over(by.orderBy("bin")) / F.sum("n").over(by))
-    q = share.groupBy("lang").agg(*[(F.min(F.when(F.col("share") >= x, F.col("bin"))) * BIN).alias(n) for n, x in (("q1", 0.25), ("q3", 0.75))])
+    q = share.groupBy("lang", "fold").agg(*[(F.min(F.when(F.col("share") >= x, F.col("bin"))) * BIN).alias(n) for n, x in (("q1", 0.25), ("q3", 0.75))])
     spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(BIN))
-    return q.select("lang", (F.col("q1") - below * spread).alias("low"), (F.col("q3") + BIN + above * spread).alias("high"))
+    return q.select("lang", "fold", (F.col("q1") - below * spread).alias("low"), (F.col("q3") + BIN + above * spread).alias("high"))
 
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, carried: Column) -> DataFrame:
     scored = _scored(docs, text_col, lang_col, carried)
-    limits = bands(scored).select(F.col("lang").alias("_lq_of"), F.col("low").alias("_lq_low"), F.col("high").alias("_lq_high"))
-    judged = scored.join(limits, F.col("_lq_lang") == F.col("_lq_of"), "left").drop("_lq_of")
+    limits = bands(scored).select(F.col("lang").alias("_lq_of"), F.col("fold").alias("_lq_of_fold"), F.col("low").alias("_lq_low"), F.col("high").alias("_lq_high"))
+    judged = scored.join(limits, (F.col("_lq_lang") == F.col("_lq_of")) & (F.col("_lq_fold") == F.col("_lq_of_fold")), "left").drop("_lq_of", "_lq_of_fold")
     inside = F.coalesce(F.col("_lq_nll").between(F.col("_lq_low"), F.col("_lq_high")), F.lit(False))
     return judged.withColumn("_lq_kept", ~F.col("_lq_base_failed") & inside)
 
