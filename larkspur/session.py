@@ -1,13 +1,16 @@
-"""Sessions: a factory for the settings the library expects, and shipping of its modules to executors."""
+"""Sessions: a factory for the settings the library expects, tables in the shared folder, and shipping of the library's modules to executors."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -21,6 +24,33 @@ def session(name: str = "larkspur", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where the session sets none (local tests), a temporary folder is made and set as the session's.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="larkspur-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back.
+
+    Lineage ends there: a lost executor costs no recomputation of what stands above. The columns keep
+    their names and types; the table lives as long as the folder that the cluster names.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that Python functions can import it there.
 
@@ -33,6 +63,7 @@ def ship(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     top = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="larkspur-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     target = os.path.join(folder, "larkspur_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(top.rglob("*.py")):
