@@ -1,71 +1,82 @@
-"""Helpers shared by the operators: cutting lineage in the shared folder, ranks without a hot task."""
+"""Helpers shared by the operators: ranks and prefix sums without a hot task, bitmaps of hashes."""
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import cut
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir.
+#: Bits of a filter of hashes: 16 MB whatever the input. Where it fills up it lets more pass, and an exact join behind it decides.
+FILTER_BITS = 27
+#: Buckets that one window over bucket sums holds.
+GROUP = 4096
 
-    Where the session sets none (local tests), a temporary folder is made and set as the session's.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="larkspur-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+def bucket_count(rows: int, per_bucket: int) -> int:
+    return max(1, math.ceil(rows / per_bucket))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def prefix_sums(df: DataFrame, strata: list[str], spread: Column, order: list[Column], weight: Column, out: str) -> DataFrame:
+    """df with out: the sum of weight over the rows of a stratum that stand before a row, without one task per stratum.
 
-    Lineage ends there: a lost executor costs no recomputation of what stands above. The columns keep
-    their names and types; the table lives as long as the folder that the cluster names.
+    spread is a bucket's number from 0; rows stand in the order of their bucket, then of order. Each (stratum, bucket) is a
+    window of its own; the buckets' sums, one row each, are added up in groups of GROUP buckets, and the groups' sums over the stratum.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df = df.withColumn("_lk_bucket", spread.cast("long")).withColumn("_lk_w", weight.cast("long"))
+    keys = [*strata, "_lk_bucket"]
+    sums = df.groupBy(*keys).agg(F.sum("_lk_w").alias("_lk_n")).withColumn("_lk_group", F.expr(f"_lk_bucket div {GROUP}"))
+    before = lambda keys, by: Window.partitionBy(*keys or [F.lit(0)]).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    groups = sums.groupBy(*strata, "_lk_group").agg(F.sum("_lk_n").alias("_lk_n")).withColumn("_lk_first", upto("_lk_n", before(strata, ["_lk_group"])))
+    named = lambda names, mark: [F.col(k).alias(f"_lk_{mark}{i}") for i, k in enumerate(names)]
+    same = lambda names, mark: [F.col(k).eqNullSafe(F.col(f"_lk_{mark}{i}")) for i, k in enumerate(names)]
+    of_group = [*strata, "_lk_group"]
+    starts = sums.withColumn("_lk_inside", upto("_lk_n", before(of_group, ["_lk_bucket"])))
+    starts = starts.join(groups.select(*named(of_group, "g"), "_lk_first"), same(of_group, "g"))
+    starts = starts.select(*named(keys, "k"), (F.col("_lk_inside") + F.col("_lk_first")).alias("_lk_start"))
+    placed = df.withColumn("_lk_row", upto("_lk_w", before(keys, order))).join(starts, same(keys, "k"), "left")
+    return placed.withColumn(out, F.col("_lk_row") + F.col("_lk_start")).drop("_lk_bucket", "_lk_w", "_lk_row", "_lk_start", *[f"_lk_k{i}" for i in range(len(keys))])
 
 
-def bucket_count(rows: int, per_bucket: int) -> int:
-    return max(1, math.ceil(rows / per_bucket))
+def ranked(df: DataFrame, strata: list[str], spread: Column, order: list[Column], out: str) -> DataFrame:
+    """Number the rows of each stratum gaplessly from 0 (see prefix_sums)."""
+    return prefix_sums(df, strata, spread, order, F.lit(1), out)
 
 
-def ranked(df: DataFrame, strata: list[str], spread: Column, order: list[Column], out: str, buckets: int) -> DataFrame:
-    """Number the rows of each stratum gaplessly from 0, without one task per stratum.
+def _bit(column: str) -> Column:
+    return F.shiftrightunsigned(column, 64 - FILTER_BITS) + 1
 
-    spread is a double in [0, 1) or an int in [0, buckets); rows are numbered by bucket, then by order.
-    Each (stratum, bucket) is a window of its own, and the buckets' counts, one row each, give its start.
-    """
-    b = "_lk_bucket"
-    df = df.withColumn(b, spread.cast("int"))
-    keys = [*strata, b]
-    before = Window.partitionBy(*strata or [F.lit(0)]).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lk_n"))
-        .withColumn("_lk_start", F.coalesce(F.sum("_lk_n").over(before), F.lit(0)))
-        .select(*[F.col(k).alias(f"_lk_k{i}") for i, k in enumerate(keys)], "_lk_start")
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_lk_k{i}")) for i, k in enumerate(keys)]
-    within = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_lk_row", F.row_number().over(within) - 1)
-        .join(starts, same, "left")
-        .withColumn(out, (F.col("_lk_row") + F.col("_lk_start")).cast("long"))
-        .drop(b, "_lk_row", "_lk_start", *[f"_lk_k{i}" for i in range(len(keys))])
-    )
+
+def bitmap(hashes: DataFrame, column: str) -> DataFrame:
+    """(bucket, bits): the leading FILTER_BITS bits of the hashes as a bitmap, a table of 4096 rows at most."""
+    at = _bit(column)
+    return cut(hashes.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), "bitmap")
+
+
+def passing(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
+    """The rows of df whose hash in column may be among those of the bitmap known; JVM-side, without a shuffle of df."""
+    at = F.bitmap_bit_position(_bit(column))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(shiftrightunsigned({column}, {64 - FILTER_BITS}) + 1) & 7 as int))")) != 0
+    return df.join(F.broadcast(known), (F.bitmap_bucket_number(_bit(column)) == F.col("bucket")) & is_set).drop("bucket", "bits")
+
+
+def bit_array(known: DataFrame) -> np.ndarray:
+    """A bitmap as bytes, for functions that run in tasks (see is_set)."""
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in known.toLocalIterator():  # FILTER_BITS bits at most
+        at = (r["bucket"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = hashes.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def free_name(wanted: str, taken: list[str]) -> str:

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._shared import bucket_count, cut
+from larkspur.llm._shared import bucket_count
+from larkspur.session import cut
 
 SAMPLE, RERANK, MARGIN = 20_000, 128, 3.0
 ROW_BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 2_048, 32

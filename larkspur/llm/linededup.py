@@ -22,12 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import cut, free_name, unpacked
+from larkspur.llm._shared import bitmap, free_name, passing, unpacked
+from larkspur.session import cut
 
 #: Lines that decide on a boundary, one in how many lines ends a chunk, and lines of a chunk that may be removed.
 WINDOW, DIVISOR, LEAST_LINES = 2, 4, 2
-#: Bits of the filter of repeated hashes: 16 MB at most.
-FILTER_BITS = 27
 
 
 def _line_hash(line: Column) -> Column:
@@ -99,13 +98,8 @@ def _repeated(pieces: DataFrame, order: str) -> DataFrame:
     """
     hashed = pieces.withColumn("hash", F.xxhash64("body"))
     more = hashed.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a bitmap of the repeated hashes, FILTER_BITS bits whatever the input, spares other pieces the shuffle of their bytes
-    bit = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    bitmap = cut(more.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")), "bitmap")
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(shiftrightunsigned(hash, {64 - FILTER_BITS})) & 7 as int))")) != 0
-    found = hashed.join(F.broadcast(bitmap), (F.bitmap_bucket_number(bit) == F.col("bucket")) & is_set).drop("bucket", "bits")
+    # a bitmap of the repeated hashes spares other pieces the shuffle of their bytes
+    found = passing(hashed, "hash", bitmap(more, "hash"))
     found = cut(found, "chunks")
     place = F.struct("id", "key", order)
     firsts = found.groupBy("hash", "body").agg(F.min(place).alias("kept"), F.max(place).alias("end")).filter("kept <> end or not (kept <=> end)")

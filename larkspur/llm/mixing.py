@@ -21,7 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import cut, unpacked
+from larkspur.llm._shared import unpacked
+from larkspur.session import cut
 
 SECTIONS, STEPS, BLOCK_ROWS, SEED = 32, 6, 256, 17
 WORDS = r"[^\x20\x09-\x0D]+"

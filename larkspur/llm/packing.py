@@ -9,7 +9,7 @@ rank among the pieces of equal length, which is computed without a task that hol
 
 Defined results: a null or empty text is the end id alone; repeated rows are packed once each; an empty table gives an empty
 result; columns other than the id and the text are not looked at. Pieces of equal length are ranked in the order of
-a hash of (id, piece), then of id and piece.
+a hash of (id, piece, start, length, checksum), then of these; pieces that agree in all of them are alike.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._shared import bucket_count, cut, ranked
+from larkspur.llm._shared import bucket_count, ranked
 from larkspur.llm._words import chunked, remembered, words_of
+from larkspur.session import cut
 
 #: Words whose ids a worker remembers; the table is emptied when it is full.
 REMEMBERED = 700_000
@@ -216,8 +217,9 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = _slots(min_bin_slack(histogram, capacity))
     buckets = bucket_count(sum(histogram.values()), BUCKET_ROWS)
-    spread = F.pmod(F.xxhash64("id", "piece"), F.lit(buckets))
-    numbered = ranked(pieces, ["length"], spread, [F.col("id"), F.col("piece")], "_lk_rank", buckets)
+    what = ["id", "piece", "start", "length", "ids_crc32"]
+    spread = F.pmod(F.xxhash64(*what), F.lit(buckets))
+    numbered = ranked(pieces, ["length"], spread, [F.col(c) for c in what], "_lk_rank")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = np.searchsorted(slots["size"], np.arange(capacity + 2))

@@ -31,8 +31,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._shared import cut, unpacked
+from larkspur.llm._shared import unpacked
 from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
+from larkspur.session import cut
 
 ORDER, BELOW, ABOVE, BIN = 5, 6.0, 6.0, 0.01
 #: N-grams that a worker holds at a time; a corpus with more is read once for each slice.

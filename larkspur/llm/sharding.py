@@ -5,7 +5,8 @@ source. Sorted by it, every stretch of the order has the sources in the corpus's
 the shards. Law: `rows`, the counts of any two shards differ by one at most.
 
 Neither ranking nor sorting gathers a source or a shard in one task: rows are dealt into buckets of bounded size, by
-ranges of the hash, then by ranges of the fractional rank, and the buckets' counts say where each starts.
+ranges of the hash, then by ranges of the fractional rank, and the buckets' counts say where each starts. The hash is of the id and
+the text's checksum and size, so rows with a null or repeated id are spread by what they hold.
 
 Defined results: a null source is a source of its own; a null text has size 1 and the checksum of no bytes; rows
 with a null id or with the same id are kept and ranked by hash, id, checksum and size; an empty table gives an empty result;
@@ -17,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import bucket_count, cut, ranked
+from larkspur.llm._shared import bucket_count, ranked
+from larkspur.session import cut
 
 #: Rows of one window.
 BUCKET_ROWS = 20_000
@@ -34,17 +36,18 @@ def assign_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", tex
     """(id, source, size, text_crc32, shard, slot) of every row; slots are gapless from 0 in each shard."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = cut(rows.withColumn("_lk_hash", _seeded(seed, "id")), "shard-rows")
+    # of the id and the text, so that rows without an id are spread too
+    rows = cut(rows.withColumn("_lk_hash", _seeded(seed, "id", "text_crc32", "size")), "shard-rows")
     sources = rows.groupBy("source").agg(F.count(F.lit(1)).alias("_lk_source_rows"))
     total = rows.count()
     buckets = bucket_count(total, BUCKET_ROWS)
     ties = [F.col(c) for c in ("_lk_hash", "id", "text_crc32", "size")]
     spread = F.floor(F.col("_lk_hash") / F.lit(float(1 << _HASH_BITS)) * F.lit(buckets))
-    by_source = ranked(rows, ["source"], spread, ties, "_lk_rank", buckets)
+    by_source = ranked(rows, ["source"], spread, ties, "_lk_rank")
     sized = by_source.join(sources.withColumnRenamed("source", "_lk_source"), F.col("source").eqNullSafe(F.col("_lk_source")), "left").drop("_lk_source")
     fraction = sized.withColumn("_lk_at", (F.col("_lk_rank") + 0.5) / F.col("_lk_source_rows"))
     spread = F.least(F.floor(F.col("_lk_at") * buckets), F.lit(buckets - 1))
-    ordered = ranked(fraction, [], spread, [F.col("_lk_at"), *ties], "_lk_place", buckets)
+    ordered = ranked(fraction, [], spread, [F.col("_lk_at"), *ties], "_lk_place")
     shard = F.expr(f"_lk_place * {shards} div {max(1, total)}").cast("int")
     first = F.expr(f"(shard * {total} + {shards - 1}) div {shards}")
     return ordered.withColumn("shard", shard).withColumn("slot", (F.col("_lk_place") - first).cast("long")).select("id", "source", "size", "text_crc32", "shard", "slot")

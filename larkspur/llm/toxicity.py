@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._shared import cut
 from larkspur.llm._words import chunked, words_of
+from larkspur.session import cut
 
 #: Labelled rows that are fitted to, and the size of the lexicon and of the context vocabulary, at most.
 SAMPLE, TERMS, CONTEXT_TERMS = 20_000, 400, 5_000
