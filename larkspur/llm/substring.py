@@ -2,14 +2,15 @@
 
 A window is `window` consecutive words. Its minimiser is the leftmost of its `minimiser`-word sequences with the least
 hash; consecutive windows that share the minimiser's place form one super-k-mer, which travels as one packed string
-to the bucket of its minimiser. Equal windows have equal minimisers and meet in one bucket, where their words are
-sorted and counted as they are, not by hashes.
+to the bucket of its minimiser. Equal windows have equal minimisers and meet in one bucket, where windows that share a hash are
+sorted and counted by their words.
 
 Two passes read the texts. The first counts minimisers; one that the corpus has once can't belong to a repeated
-window, and a fixed-size filter of the others (FILTER_BITS bits, whatever the input) spares the second pass sending
-such strings. False positives of the filter only send more. Equal strings that meet in one batch are settled
-there and one of them travels, counted twice; a minimiser that many strings share is dealt by the windows' hashes as well, each
-part counting its own windows. So no bucket gathers the copies of a passage.
+window, and a fixed-size bitmap of the others spares the second pass sending
+such strings. False positives only send more. Equal strings that meet in one batch are settled
+there and one of them travels, counted twice. A minimiser that more than BUCKET_STRINGS strings have is dealt into as many parts as it has times that many,
+by its windows' hashes, each part counting its own windows; how many parts is read from a fixed-size table of SLOT_BITS bits of the minimiser, which
+holds the most that any of a slot's minimisers needs. So no bucket grows with the corpus or gathers the copies of a passage.
 
 Defined results: a null or empty text has no words; fewer words than a window are all kept; repeated rows are documents of their
 own, so all windows of both are repeated; ids may be null or repeated, as results are found by text; an empty table gives an
@@ -22,17 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm._shared import bucket_count, cut
-from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
+from larkspur.llm._shared import bit_array, bitmap, bucket_count, is_set
+from larkspur.llm._words import Words, chunked, hashes_of, mixed, window_hashes, words_of
+from larkspur.session import cut
 
-FILTER_BITS = 27
-#: Strings in a bucket, on average; and from which share of all a minimiser's strings are dealt to PARTS parts.
-BUCKET_STRINGS, HOT_SHARE, PARTS = 8_000, 1 / 2000, 32
+#: Strings in a bucket, on average, and bits of a minimiser that find its number of parts.
+BUCKET_STRINGS, SLOT_BITS = 8_000, 20
 _PLACE_BITS = 28
 
 
@@ -69,6 +70,27 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
 
 
+def _part_bits(counts: DataFrame) -> np.ndarray:
+    """For each slot the bits of a window's hash that tell its part: log2 of how many times BUCKET_STRINGS its commonest minimiser has."""
+    slot = F.shiftrightunsigned("minimiser", 64 - SLOT_BITS).alias("slot")
+    most = counts.filter(F.col("n") > BUCKET_STRINGS).groupBy(slot).agg(F.max("n").alias("n")).toArrow()  # 2^SLOT_BITS rows at most
+    out = np.zeros(1 << SLOT_BITS, np.uint8)
+    out[most.column("slot").to_numpy()] = np.ceil(np.log2(most.column("n").to_numpy() / BUCKET_STRINGS))
+    return out
+
+
+def _window_hashes(w: Words, window: int) -> np.ndarray:
+    return mixed(window_hashes(hashes_of(w.distinct)[w.ids], window) + np.uint64(99))
+
+
+def _repeat_within(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+_STRINGS = pa.schema([("bucket", pa.int64()), ("bits", pa.int32()), ("part", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("windows", pa.int64()), ("packed", pa.binary())])
+
+
 def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, minimiser: int = 8) -> DataFrame:
     """(key, ranges): by the MD5 of a text, the word ranges [from, to) that repeated windows cover; may overlap."""
     spark, texts = docs.sparkSession, _keyed(docs, text_col)
@@ -81,100 +103,71 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
     counts = texts.select("text").mapInArrow(counted, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     counts = cut(counts.filter("n > 1"), "minimisers")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bit = F.shiftrightunsigned("minimiser", 64 - FILTER_BITS)
-    packed = counts.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(minimiser, {64 - FILTER_BITS}) & 63 as int))")).alias("bits"))
-    found = packed.toArrow()  # 2^(FILTER_BITS - 6) rows at most
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy()
-    hot = np.sort(np.array([r[0] for r in counts.filter(F.col("n") >= max(200, int(total * HOT_SHARE))).select("minimiser").collect()], np.int64))  # 1 / HOT_SHARE at most
-    filter_, buckets = spark.sparkContext.broadcast(bits), bucket_count(total, BUCKET_STRINGS)
+    known, buckets = spark.sparkContext.broadcast((bit_array(bitmap(counts, "minimiser")), _part_bits(counts))), bucket_count(total, BUCKET_STRINGS)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = filter_.value
+        seen, part_bits = known.value
         for batch, some in chunked(batches, "text"):
             w, keys, first, length = _super_kmers(some, window, minimiser)
-            index = (keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            passed = np.flatnonzero(seen[index >> 6] >> (index & 63) & 1)
-            offsets, doc_keys = w.offsets, batch.column(0).to_pylist()
-            owner = np.searchsorted(offsets, first[passed], "right") - 1
-            strings: dict[bytes, list[tuple[int, int]]] = {}
-            where: dict[bytes, int] = {}
-            for k, d in zip(passed.tolist(), owner.tolist(), strict=True):
-                a, n = int(first[k]), int(length[k])
-                s = b" ".join([w.distinct[i] for i in w.ids[a : a + n + window - 1].tolist()])
-                strings.setdefault(s, []).append((d, a - int(offsets[d])))
-                where[s] = k
-            out: list[tuple] = []
-            for s, places in strings.items():
-                k = where[s]
-                key, n = int(keys[k : k + 1].view(np.int64)[0]), int(length[k])
-                spread = len(hot) and hot[min(np.searchsorted(hot, key), len(hot) - 1)] == key
-                parts = range(PARTS) if spread else [-1]
-                if spread:
-                    edges = np.cumsum([0, *[len(x) + 1 for x in s.split(b" ")]]).tolist()
-                    parts = sorted({_part(s[edges[i] : edges[i + window] - 1]) for i in range(n)})
-                if len(places) > 1:
-                    out += [(-1, -1, doc_keys[d], at, n, None) for d, at in places]
-                    out += [(key % buckets, p, None, 0, n, s) for p in parts]
-                else:
-                    out += [(key % buckets, p, doc_keys[places[0][0]], places[0][1], n, s) for p in parts]
-            names = ["bucket", "part", "key", "at", "windows", "packed"]
-            kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
-            columns = zip(*out, strict=True) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds, strict=True)], names)
-
-    strings = cut(texts.mapInArrow(sent, "bucket long, part int, key binary, at long, windows long, packed binary"), "super-kmers")
-    filter_.destroy()
+            stays = is_set(seen, keys)
+            keys, first, length = keys[stays], first[stays], length[stays]
+            joined = b" ".join([x for x in (b" ".join(t.split()) for t in some) if x])
+            sizes = np.fromiter(map(len, w.distinct), np.int64, len(w.distinct))
+            starts = np.concatenate([[0], np.cumsum(sizes[w.ids] + 1)])
+            ends = starts[first + length + window - 1] - 1
+            coded = pa.array([joined[a:b] for a, b in zip(starts[first].tolist(), ends.tolist(), strict=True)], pa.binary()).dictionary_encode()
+            codes = coded.indices.to_numpy()
+            several = np.bincount(codes, minlength=len(coded.dictionary)) > 1
+            owner = np.searchsorted(w.offsets, first, "right") - 1
+            doc_keys, at = batch.column(0).take(pa.array(owner)), first - w.offsets[owner]
+            # places of strings that the batch has several times are settled here
+            settled = np.flatnonzero(several[codes])
+            none = pa.nulls(len(settled))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(settled), -1)), none.cast(pa.int32()), none.cast(pa.int64()), doc_keys.take(pa.array(settled)), pa.array(at[settled]), pa.array(length[settled]), none.cast(pa.binary())], schema=_STRINGS)
+            one = np.sort(np.unique(codes, return_index=True)[1])
+            bits = part_bits[(keys[one] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
+            part = np.zeros(len(one), np.uint64)
+            if bits.any():  # a row for each part that has one of the string's windows
+                many = np.where(bits > 0, length[one], 1)
+                row = np.repeat(np.arange(len(one)), many)
+                hashes = _window_hashes(w, window)[first[one][row] + _repeat_within(many)]
+                pairs = np.unique(np.stack([row.astype(np.uint64), hashes & ((np.uint64(1) << bits[row]) - np.uint64(1))], 1), axis=0)
+                one, bits, part = one[pairs[:, 0].astype(np.int64)], bits[pairs[:, 0].astype(np.int64)], pairs[:, 1]
+            bucket = mixed(keys[one] + mixed(part)) % np.uint64(buckets)
+            twice, rows = pa.array(several[codes[one]]), pa.array(one)
+            own = pc.if_else(twice, pa.scalar(None, pa.binary()), doc_keys.take(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(bits.astype(np.int32)), pa.array(part.astype(np.int64)), own, pa.array(at[one]), pa.array(length[one]), coded.dictionary.take(coded.indices.take(rows))], schema=_STRINGS)
+
+    strings = cut(texts.mapInArrow(sent, "bucket long, bits int, part long, key binary, at long, windows long, packed binary"), "super-kmers")
+    known.destroy()
 
     def sorted_out(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        keys, ats, packed = (table.column(c).to_pylist() for c in ("key", "at", "packed"))
-        windows: list[tuple[bytes, int, int]] = []
-        for k, s in enumerate(packed):
-            edges = np.cumsum([0, *[len(x) + 1 for x in s.split(b" ")]]).tolist()
-            own = ((s[edges[i] : edges[i + window] - 1], k, i) for i in range(len(edges) - window))
-            windows += own if part < 0 else (x for x in own if _part(x[0]) == part)
-        windows.sort()
-        covered: dict[int, list[int]] = {}
-        start = 0
-        for end in range(1, len(windows) + 1):
-            if end == len(windows) or windows[end][0] != windows[start][0]:
-                if end - start > 1 or keys[windows[start][1]] is None:
-                    for _, k, i in windows[start:end]:
-                        if keys[k] is not None:
-                            covered.setdefault(k, []).append(i)
-                start = end
-        rows: list[tuple[bytes, int, int]] = []
-        for k, hits in covered.items():
-            hits.sort()
-            for i, j in _stretches(hits):
-                rows.append((keys[k], ats[k] + i, ats[k] + j + window))
-        return pa.table({n: pa.array([r[x] for r in rows], kind) for x, (n, kind) in enumerate((("key", pa.binary()), ("from", pa.int64()), ("to", pa.int64())))})
+        packed, bits, part, ats = (table.column(c) for c in ("packed", "bits", "part", "at"))
+        w = words_of(packed.to_pylist())
+        starts, n = w.offsets[:-1], w.counts - window + 1
+        row = np.repeat(np.arange(len(n)), n)
+        place = starts[row] + _repeat_within(n)
+        hashes = _window_hashes(w, window)[place]
+        own = hashes & ((np.uint64(1) << bits.to_numpy().astype(np.uint64)[row]) - np.uint64(1)) == part.to_numpy().astype(np.uint64)[row]
+        _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+        alike = np.flatnonzero(own & (times[which] > 1))
+        hit = alike
+        if len(alike):  # what shares a hash is counted by its words
+            spelled = np.ascontiguousarray(w.ids[place[alike][:, None] + np.arange(window)].astype(np.int32))
+            _, which, times = np.unique(spelled.view(np.dtype((np.void, 4 * window))).reshape(-1), return_inverse=True, return_counts=True)
+            known = np.array(table.column("key").is_valid())
+            hit = alike[(times[which] > 1) & known[row[alike]]]
+        cut_at = np.flatnonzero(np.append(True, (np.diff(row[hit]) != 0) | (np.diff(place[hit]) != 1))) if len(hit) else hit
+        firsts, lasts = hit[cut_at], hit[np.append(cut_at[1:], len(hit)) - 1] if len(hit) else hit
+        base = ats.to_numpy()[row] - starts[row] + place
+        return pa.table({"key": table.column("key").take(pa.array(row[firsts])), "from": base[firsts], "to": base[lasts] + window})
 
     ranges = strings.filter("bucket < 0").select("key", F.col("at").alias("from"), (F.col("at") + F.col("windows") + window - 1).alias("to"))
-    travelled = strings.filter("bucket >= 0")
-    ranges = ranges.unionByName(travelled.groupBy("bucket", "part").applyInArrow(sorted_out, "key binary, from long, to long"))
+    travelled = strings.filter("bucket >= 0").select("bucket", "bits", "part", "key", "at", "packed")
+    ranges = ranges.unionByName(travelled.groupBy("bucket").applyInArrow(sorted_out, "key binary, from long, to long"))
     return ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
-def _part(window: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(window, 99) % PARTS
-
-
-def _stretches(numbers: list[int]) -> Iterator[tuple[int, int]]:
-    """First and last of each stretch of consecutive numbers."""
-    start = before = None
-    for n in numbers:
-        if before is not None and n == before + 1:
-            before = n
-            continue
-        if before is not None:
-            yield start, before
-        start = before = n
-    if before is not None:
-        yield start, before
-
-
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, minimiser: int = 8) -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words that no repeated window covers, joined by one space."""
     ranges = cut(repeated_ranges(docs, text_col, window, minimiser), "ranges").withColumnRenamed("key", "_lk_key")

@@ -37,14 +37,18 @@ def texts(seed=1):
             out.append(copy)
     strings = [" ".join(w) for w in out]
     strings += [strings[0], strings[0], "A b C", "a B c", "a b", "", "   \n", None, "z " * 90, "z " * 200, "é " + strings[3], " ".join(words(rng, 30_000))]
-    return [(i, t, "clash", 7) for i, t in enumerate(strings)] + [(3, strings[3], "clash", 7)]
+    rows = [(i, t, "clash", 7) for i, t in enumerate(strings)]
+    # a row that repeats, and ids that repeat with other texts: copies, a lone one, one without words
+    return [*rows, (3, strings[3], "clash", 7), (1, strings[40], "clash", 7), (2, strings[-3], "clash", 7), (4, "", "clash", 7), (5, "only here " * 3, "clash", 7)]
 
 
-def components_of(rows, k, percent):
-    sets = {}
-    for i, t, *_ in rows:
-        w = (t or "").encode().lower().split()
-        sets[i] = frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+def shingle_set(text, k):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[a : a + k]) for a in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def groups_of(sets, linked_too=()):
+    """For each key the least that it is linked with; linked_too: pairs of keys that are linked anyway."""
     parent = {i: i for i in sets}
 
     def find(x):
@@ -52,14 +56,29 @@ def components_of(rows, k, percent):
             x = parent[x]
         return x
 
+    def link(a, b):
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+
+    for a, b in linked_too:
+        link(a, b)
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= percent * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                link(a, b)
+    return {i: find(i) for i in sets}
+
+
+def components_of(rows, k):
+    """For each row: (id, size of its set, component); rows of one id are one document."""
+    sets = {(i, t or ""): shingle_set(t, k) for i, t, *_ in rows}
+    of = {}
+    for key in sorted(sets):
+        of.setdefault(key[0], []).append(key)
+    root = groups_of(sets, [(keys[0], x) for keys in of.values() for x in keys[1:]])
+    return Counter((i, len(sets[i, t or ""]), root[i, t or ""][0]) for i, t, *_ in rows)
 
 
 @pytest.mark.parametrize("k", [4, 5])
@@ -67,13 +86,31 @@ def test_near_duplicates(spark, k):
     rows = texts()
     got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=k).collect()
     assert len(got) == len(rows)
-    expected = components_of(rows, k, 80)
-    assert {r.id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == components_of(rows, k)
     assert all(r.kept == (r.id == r.component_id) for r in got)
 
 
-def test_near_duplicates_across_many_unlinked_copies(spark):
-    """A group whose members are alike, but mostly not enough: no link may be lost."""
+def test_one_text_of_each_group_stays(spark):
+    """The pipeline's stage, by brute force: rows are told apart by id and text, so a text outlives its id's other texts."""
+    rows = [(i, t, "clash", 7) for i, t, *_ in texts(3)] + [(None, texts(3)[7][1], "clash", 7), (None, "no id", "clash", 7), (None, "no id", "clash", 7), (9, None, "x", 1), (9, "", "x", 1)]
+    keys = sorted({(i, t or "") for i, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    root = groups_of({n: shingle_set(t, 5) for n, (_, t) in enumerate(keys)})
+    expected = {key for n, key in enumerate(keys) if root[n] == n}
+    df = spark.createDataFrame(rows, SCHEMA)
+    for got in (neardup.remove_near_duplicates(df), corpus_pipeline.near_dedup(spark, df, "")):
+        assert got.columns == df.columns
+        assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter(expected)
+    a, b = " ".join(words(random.Random(1), 30)), " ".join(words(random.Random(2), 30))
+    four = spark.createDataFrame([(0, a, "", 0), (1, a, "", 0), (1, b, "", 0), (2, b, "", 0)], SCHEMA)
+    assert {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, four, "").collect()} == {(0, a), (1, b)}
+    assert {(r.id, r.component_id) for r in neardup.near_duplicates(four).collect()} == {(0, 0), (1, 0), (2, 0)}
+    assert neardup.remove_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK, 8])
+def test_near_duplicates_across_many_unlinked_copies(spark, monkeypatch, block):
+    """A group whose members are alike, but mostly not enough: no link may be lost, nor in blocks of a few members."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(5)
     base = words(rng, 150)
     rows = []
@@ -83,7 +120,7 @@ def test_near_duplicates_across_many_unlinked_copies(spark):
             copy[rng.randrange(len(copy))] = f"y{rng.randrange(10**6)}"
         rows.append((i, " ".join(copy), "", 0))
     got = neardup.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=4).collect()
-    assert {r.id: (r.n_shingles, r.component_id) for r in got} == components_of(rows, 4, 80)
+    assert Counter((r.id, r.n_shingles, r.component_id) for r in got) == components_of(rows, 4)
 
 
 def test_near_duplicates_edges(spark):
@@ -101,9 +138,9 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("hot", [substring.HOT_SHARE, 1e-9])
-def test_repeated_windows(spark, monkeypatch, hot):
-    monkeypatch.setattr(substring, "HOT_SHARE", hot)
+@pytest.mark.parametrize("strings", [substring.BUCKET_STRINGS, 2])
+def test_repeated_windows(spark, monkeypatch, strings):
+    monkeypatch.setattr(substring, "BUCKET_STRINGS", strings)
     rows, w = texts(2), 35
     counts = Counter()
     for _, t, *_ in rows:
@@ -200,7 +237,3 @@ def test_repeated_runs_inside_different_texts(spark):
     stage = corpus_pipeline.line_dedup(spark, df.selectExpr("*", "length(text) n_chars"), "").collect()
     assert Counter((r.doc_id, r.text) for r in stage) == Counter({(i, t): n for (i, t, m), n in want.items() if not m or t.split()})
     assert linededup.remove_repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_stretches():
-    assert list(substring._stretches([1, 2, 3, 7, 9, 10])) == [(1, 3), (7, 7), (9, 10)]
