@@ -10,10 +10,21 @@ PLAN_EXTENSIONS = "py ts tsx js jsx sql md yaml yml json toml sh go rs java c cp
 PLAN_ACTION = r"(?i)\b(?:create|modify|test|edit|update|add)\s*:\s*`?([^\s`,;]+)`?"
 PLAN_TICKED = r"`([^`\n]+)`"
 LEADING, TRAILING = "([{<\"'", ".,;:!?)]}>\"'"
-# Names that SQL DDL and script languages export.
+# What SQL DDL, script languages and Python export.
 SQL_OBJECT = r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW|FUNCTION|INDEX|TYPE)\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.]+)"
 SCRIPT_EXPORT = r"^export\s+(?:default\s+)?(?:function|class|const|let|var|type|interface|enum)\s+(\w+)"
-PHASES = ["planning", "implementing", "reviewing", "qa", "fix_loop", "ready_for_approval"]
+# The phases that progress is shown in, in their order.
+PHASES = ["queued", "planning", "implementing", "reviewing", "qa", "ready_for_approval"]
+# Purposes of each category; others are a category of their own.
+PURPOSES = {
+    "web": ["web", "ui", "frontend", "app"],
+    "apis": ["api", "backend", "gateway", "graphql"],
+    "db_cache": ["postgres", "mysql", "db", "database", "redis", "cache", "elasticsearch", "memcached"],
+}
+# What names of branches and developers look like, and branches that are never worked on.
+BRANCH = "^[A-Za-z0-9_][A-Za-z0-9_./-]{0,254}$"
+IDENTIFIER = "^[a-z0-9_-]{1,64}$"
+PROTECTED = ["main", "master"]
 
 
 def stripped(c: Column) -> Column:
@@ -75,7 +86,7 @@ def duration_hours(spec: Column) -> Column:
 
 
 def age(ts: Column, as_of: Column, two_units: bool = False) -> Column:
-    """Seconds, minutes, hours or days since ts; two units also show the next smaller one and clamp the future to 0."""
+    """Seconds, minutes, hours or days since ts; two units also show the next smaller one and clamp the future to 0; ? without a time."""
     s = F.timestamp_diff("SECOND", ts, as_of)
     if two_units:
         s = F.greatest(s, F.lit(0))
@@ -84,7 +95,7 @@ def age(ts: Column, as_of: Column, two_units: bool = False) -> Column:
     else:
         one = lambda big, a: F.concat(F.floor(s / big).cast("string"), F.lit(a))
         text = F.when(s < 60, one(1, "s")).when(s < 3600, one(60, "m")).when(s < 86400, one(3600, "h")).otherwise(one(86400, "d"))
-    return F.coalesce(text, F.lit("-"))
+    return F.when(ts.isNull(), "?").otherwise(text)
 
 
 def phase_progress(status: Column) -> Column:
@@ -110,13 +121,12 @@ def env_pairs(purpose: Column, start: Column, end: Column, prefix: str = "") ->
 
 
 def purpose_category(purpose: Column) -> Column:
-    # fixed values: words that decide a purpose's category
-    groups = {"database": ("postgres", "db", "mysql", "redis", "database"), "web": ("http", "web", "frontend", "ui"), "api": ("api", "backend", "grpc")}
-    out = None
-    for category, words in groups.items():
-        hit = F.lower(purpose).rlike("(^|[-_])(" + "|".join(words) + ")($|[-_])")
-        out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.otherwise("other")
+    """The category that a purpose, without regard to case, is listed in, else the purpose itself."""
+    p = F.lower(purpose)
+    out = p
+    for category, words in PURPOSES.items():
+        out = F.when(p.isin(words), category).otherwise(out)
+    return out
 
 
 def parse_range(spec: Column) -> Column:
@@ -135,12 +145,13 @@ def branch_slug(title: Column) -> Column:
 
 
 def valid_branch(name: Column) -> Column:
-    """A branch name without blanks, '..', control characters or a leading dash or slash."""
-    return name.rlike(r"^[A-Za-z0-9_][A-Za-z0-9._/-]*$") & ~F.contains(name, F.lit("..")) & ~name.rlike(r"(/|\.lock|\.)$")
+    """Whether a name, trimmed, can be worked on as a branch: safe characters, at most 255, and no protected branch."""
+    bare = stripped(name)
+    return bare.rlike(BRANCH) & ~F.contains(bare, F.lit("\n")) & ~F.lower(bare).isin(PROTECTED)
 
 
 def valid_identifier(name: Column) -> Column:
-    return name.rlike(r"^[a-z][a-z0-9_-]{0,62}$")
+    return name.rlike(IDENTIFIER) & ~F.contains(name, F.lit("\n"))
 
 
 def redact_url(url: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.vectors import cosine_or_zero
+from larkspur.session import cut, ship
 
 
 def storage_counts(memory: DataFrame, **tables: DataFrame) -> DataFrame:
@@ -103,17 +107,26 @@ def lock_conflicts(requests: DataFrame, locks: DataFrame, as_of: Column) -> Data
 
 
 def grant_locks(requests: DataFrame, locks: DataFrame, as_of: Column) -> DataFrame:
-    """Locks to append for jobs none of whose paths conflicts; a path the job holds already is not asked again.
+    """Locks to append when jobs ask in the order of their ids, each for all its paths or none.
 
-    Of requests in the same batch that want one path the smallest job id is served; others that want it wait whole.
+    A job gets its paths unless a live lock, or a lock granted to an earlier job of the batch, holds one of them; a refused job takes
+    nothing and stands in nobody's way. A path that the job holds already is not asked again. Rounds decide all jobs that no
+    earlier undecided job shares a path with, and those refused by them, so a batch takes as many rounds as its longest chain of such jobs.
     """
+    path = ["project_id", "file_path"]
+    held = locks.filter(F.col("expires_at") >= as_of).select(*path, "job_id")
     refused = lock_conflicts(requests, locks, as_of).select("job_id").distinct()
-    asked = requests.dropDuplicates(["job_id", "project_id", "file_path"])
-    first = F.min("job_id").over(Window.partitionBy("project_id", "file_path"))
-    late = asked.withColumn("_lk_f", first).filter("job_id <> _lk_f").select("job_id").distinct()
-    held = locks.filter(F.col("expires_at") >= as_of).select("project_id", "file_path", "job_id")
-    ok = asked.join(refused.unionByName(late).distinct(), "job_id", "left_anti").join(held, ["project_id", "file_path", "job_id"], "left_anti")
-    return ok.select("job_id", "project_id", "file_path", as_of.alias("locked_at"), (as_of + F.expr("interval 2 hours")).alias("expires_at"))
+    open_ = cut(requests.select("job_id", *path).distinct().join(refused, "job_id", "left_anti"), "asked")
+    granted = open_.limit(0)
+    while not open_.isEmpty():
+        first = open_.groupBy(*path).agg(F.min("job_id").alias("_lk_first"))
+        seen = open_.join(first, path).groupBy("job_id").agg(F.bool_and(F.col("job_id") == F.col("_lk_first")).alias("_lk_free"))
+        now = cut(open_.join(seen.filter("_lk_free").select("job_id"), "job_id", "left_semi"), "granted")
+        granted = granted.unionByName(now)
+        out = now.select("job_id").unionByName(open_.join(now.select(*path), path, "left_semi").select("job_id")).distinct()
+        open_ = cut(open_.join(out, "job_id", "left_anti"), "asked")
+    new = granted.join(held, [*path, "job_id"], "left_anti")
+    return new.select("job_id", *path, as_of.alias("locked_at"), (as_of + F.expr("interval 2 hours")).alias("expires_at"))
 
 
 def route(events: DataFrame, devs: DataFrame, enabled: list[str], known: list[str]) -> DataFrame:
@@ -151,12 +164,49 @@ def similar_existing(new: DataFrame, existing: DataFrame, key: str, threshold: f
     return new.join(old, (F.col(key) == F.col("_lk_k")) & (cosine_or_zero(F.col("vector"), F.col("_lk_v")) > threshold), "left_anti")
 
 
+#: Rows of a key that one round decides, and kept rows that they are held against at a time.
+ROUND = 4096
+
+
 def greedy_dedup(rows: DataFrame, key: str, order: str, threshold: float = 0.85) -> DataFrame:
     """Rows (id, key, order, vector) that no earlier kept row of their key is more similar to than the threshold.
 
-    Each choice depends on the choices before, so a key is one fold over its rows, in its own task: keys are batches of lessons of a project.
+    Each choice depends on the choices before, so keys are gone through in rounds of ROUND rows: a round's rows are held against
+    blocks of the rows kept so far, each key and block in a task of its own, and what is left is chosen among itself, a key a task.
+    Equal places in the order go by id.
     """
-    packed = F.array_sort(F.collect_list(F.struct(order, "id", "vector")))
-    start = F.array().cast(f"array<struct<{order}:{dict(rows.dtypes)[order]},id:{dict(rows.dtypes)['id']},vector:{dict(rows.dtypes)['vector']}>>")
-    fold = F.aggregate(packed, start, lambda acc, x: F.when(F.exists(acc, lambda k: cosine_or_zero(k["vector"], x["vector"]) > threshold), acc).otherwise(F.concat(acc, F.array(x))))
-    return rows.groupBy(key).agg(fold.alias("kept")).select(key, F.explode("kept").alias("k")).select(key, "k.id", f"k.{order}")
+    ship(rows.sparkSession)
+    place = F.row_number().over(Window.partitionBy(key).orderBy(order, "id")) - 1
+    placed = rows.select(key, "id", order).withColumn("_lk_at", place).withColumn("_lk_round", F.expr(f"_lk_at div {ROUND}"))
+    rows = cut(rows.select(key, "id", order, "vector").join(placed.select(key, "id", order, "_lk_at", "_lk_round"), [key, "id", order]), "ordered")
+    rounds = rows.agg(F.coalesce(F.max("_lk_round"), F.lit(-1))).first()[0] + 1
+    schema = rows.schema
+
+    def unit(table: pa.Table) -> np.ndarray:
+        v = np.array(table.column("vector").to_pylist(), float).reshape(table.num_rows, -1)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+    def apart(_: tuple, new: pa.Table, kept: pa.Table) -> pa.Table:
+        """The new rows that are similar to a kept one."""
+        near = (unit(new) @ unit(kept).T > threshold).any(1) if new.num_rows and kept.num_rows else np.zeros(new.num_rows, bool)
+        return new.filter(pa.array(near)).select(["id"])
+
+    def chosen(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_lk_at")
+        v, stays = unit(table), []
+        for i in range(len(v)):
+            if not (v[stays] @ v[i] > threshold).any():
+                stays.append(i)
+        return table.take(pa.array(stays, pa.int64()))
+
+    kept = rows.limit(0)
+    for n in range(rounds):
+        new = rows.filter(F.col("_lk_round") == n)
+        if n:
+            # kept rows of a round are a block: ROUND a key at most
+            spread = new.withColumn("_lk_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            near = spread.groupBy(key, "_lk_block").cogroup(kept.withColumn("_lk_block", F.col("_lk_round").cast("int")).groupBy(key, "_lk_block")).applyInArrow(apart, T.StructType([schema["id"]]))
+            new = new.join(near.distinct(), "id", "left_anti").select(*rows.columns)
+        kept = kept.unionByName(cut(new.groupBy(key).applyInArrow(chosen, schema), "kept"))
+    return kept.select(key, "id", order)

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from larkspur.session import cut, ship
 
 #: Rows of one stretch that is verified by one window.
 STRETCH = 100_000
@@ -26,23 +33,36 @@ def change_log(before: DataFrame, after: DataFrame, ident: str = "id") -> DataFr
     return both.select(F.coalesce("new_id", "old_id").alias(ident), op.alias("operation"), F.sha2(F.coalesce("new_payload", "old_payload"), 256).alias("payload_hash"))
 
 
-def build_chain(changes: DataFrame) -> DataFrame:
-    """changes (seq, memory_id, operation, actor, project_slug, payload_hash) with prev_hash and row_hash.
+def build_chain(changes: DataFrame, last_hash: str | None = None) -> DataFrame:
+    """changes (seq, memory_id, operation, actor, project_slug, payload_hash) with prev_hash and row_hash; last_hash: of the row that the ledger ends with.
 
-    Each hash needs the one before, so a chain is built by one fold in the order of seq: the ledger has a single writer.
-    A batch of changes is gathered for it; the ledger's past is not.
+    Each hash needs the one before, so the ledger has a single writer. It takes stretches of STRETCH numbers one after the other, each
+    in one task, and hands on the last hash only; no task or driver holds more than a stretch.
     """
+    ship(changes.sparkSession)
     fields = ["seq", "memory_id", "operation", "actor", "project_slug", "payload_hash"]
-    start = F.array().cast("array<struct<seq:bigint,memory_id:string,operation:string,actor:string,project_slug:string,payload_hash:string,prev_hash:string,row_hash:string>>")
-    rows = F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), *fields[1:])))
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)["row_hash"]
-        prev = F.when(F.size(acc) > 0, last)
-        own = row_hash(x["seq"], x["memory_id"], x["operation"], x["actor"], x["project_slug"], x["payload_hash"], prev)
-        return F.concat(acc, F.array(F.struct(*[x[f].alias(f) for f in fields], prev.alias("prev_hash"), own.alias("row_hash"))))
-
-    return changes.agg(F.aggregate(rows, start, step).alias("rows")).select(F.inline("rows"))
+    schema = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(f, T.StringType()) for f in [*fields[1:], "prev_hash", "row_hash"]]])
+    rows = cut(changes.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields[:6]]).withColumn("_lk_part", F.expr(f"seq div {STRETCH}")), "changes")
+    out = rows.select(*fields, F.lit(None).cast("string").alias("prev_hash"), F.lit(None).cast("string").alias("row_hash")).limit(0)
+
+    def chained(last: str | None) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            table, before = table.sort_by("seq").select(fields), last
+            prev, own = [], []
+            for r in zip(*[table.column(f).to_pylist() for f in fields], strict=True):
+                prev.append(before)
+                before = hashlib.sha256("|".join([str(x) for x in r if x is not None] + [before or ""]).encode()).hexdigest()
+                own.append(before)
+            return table.append_column("prev_hash", pa.array(prev, pa.string())).append_column("row_hash", pa.array(own, pa.string()))
+
+        return run
+
+    for part in sorted(r[0] for r in rows.select("_lk_part").distinct().collect()):
+        stretch = rows.filter(F.col("_lk_part") == part).groupBy("_lk_part")
+        done = cut(stretch.applyInArrow(chained(last_hash), schema), "stretch")
+        last_hash = done.agg(F.max_by("row_hash", "seq")).first()[0]
+        out = out.unionByName(done)
+    return out
 
 
 def verify_chain(ledger: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:

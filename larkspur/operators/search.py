@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.functions.text import line_window, source_reference
 from larkspur.functions.vectors import cosine
+from larkspur.session import ship
 
 # Which kinds a source type stands for.
 SOURCE_KINDS = {"session": ("chunk", "session_summary"), "note": ("chunk",), "imported": ("chunk",), "decision": ("decision",), "pattern": ("pattern",), "issue": ("issue",)}
 CODE = "codebase"
-#: Query vectors in one literal, and in one search: they are collected, so they are bounded.
-QUERY_BLOCK, MOST_QUERIES = 64, 10_000
+#: Queries and rows that one task compares.
+QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
 
 
 @dataclass(frozen=True)
@@ -46,21 +51,43 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int, ident: str = "id",
 
 
 def vector_join_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """Each query's k best rows: (query_id, rank, id, score).
+    """Each query's k best rows by cosine: (query_id, rank, id, score), for queries (query_id, vector) and rows (id, vector).
 
-    queries (query_id, vector) is a stated set, collected in blocks of QUERY_BLOCK into literals, so that each block costs a
-    scan with a map-side top k per query and a shuffle of k rows a task and query.
+    Both are dealt into blocks; each pair of blocks is a matrix product in a task of its own, which returns its k best for each query. So
+    no side is collected or broadcast. Ids have one type. A null, zero or non-finite vector, or one of another length than the query's, has no score; ties
+    go to the smaller id.
     """
-    blocks = queries.select("query_id", "vector").limit(MOST_QUERIES + 1).collect()
-    if len(blocks) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search them in parts")
-    out = None
-    for at in range(0, max(1, len(blocks)), QUERY_BLOCK):
-        some = blocks[at : at + QUERY_BLOCK]
-        asked = F.array(*[F.struct(F.lit(r["query_id"]).alias("query_id"), F.lit([float(x) for x in r["vector"]]).alias("v")) for r in some])
-        scored = rows.select("id", F.explode(asked).alias("q"), "vector").select("q.query_id", "id", cosine(F.col("vector"), F.col("q.v")).alias("score")).filter("score is not null")
-        out = scored if out is None else out.unionByName(scored)
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    ship(rows.sparkSession)
+    blocks = lambda df, size: max(1, math.ceil(df.count() / size))
+    row_blocks, query_blocks = blocks(rows, ROW_BLOCK), blocks(queries, QUERY_BLOCK)
+    dealt = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    asked = queries.select(F.col("query_id").alias("id"), vector, F.lit(True).alias("asks"), dealt("query_id", query_blocks).alias("query_block")).withColumn("row_block", every(row_blocks))
+    given = rows.select("id", vector, F.lit(False).alias("asks"), dealt("id", row_blocks).alias("row_block")).withColumn("query_block", every(query_blocks))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+
+    def compared(table: pa.Table) -> pa.Table:
+        table = table.filter(table.column("vector").is_valid()).sort_by("id")
+        ids, asks = table.column("id").combine_chunks(), np.array(table.column("asks"))
+        vectors = [np.array(v, float) for v in table.column("vector").to_pylist()]
+        sizes = np.array([len(v) for v in vectors])
+        out: list[tuple[np.ndarray, ...]] = []
+        for size in np.unique(sizes[asks]):
+            q, r = np.flatnonzero(asks & (sizes == size)), np.flatnonzero(~asks & (sizes == size))
+            v = np.array([vectors[i] for i in np.append(q, r)]).reshape(len(q) + len(r), size)
+            with np.errstate(all="ignore"):
+                v = v / np.linalg.norm(v, axis=1, keepdims=True)
+                score = v[: len(q)] @ v[len(q) :].T
+            for i in range(len(q)):
+                known = np.flatnonzero(np.isfinite(score[i]))
+                best = known[np.argsort(-score[i][known], kind="stable")[:k]]  # rows stand in the order of their ids
+                out.append((np.full(len(best), q[i]), r[best], score[i][best]))
+        who, what, scores = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"query_id": ids.take(pa.array(who)), "id": ids.take(pa.array(what)), "score": scores})
+
+    scored = asked.unionByName(given).groupBy("row_block", "query_block").applyInArrow(compared, schema)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

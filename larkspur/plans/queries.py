@@ -73,11 +73,11 @@ def search_two_branch_merge(spark: SparkSession, d: str) -> DataFrame:
     return search.top_k(both, score, "id", 15).select("id", "kind", "score")
 
 
-@query("vector_join_topk", "SELECT query_id, rank, id, round(s, 4) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) WHERE rank <= 5")
+@query("vector_join_topk", "SELECT query_id, rank, id, round(s, 4) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id)::INT AS rank FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0) WHERE rank <= 5")
 def vector_join_topk(spark: SparkSession, d: str) -> DataFrame:
     (e,) = tables(spark, d, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    asked = rows.filter("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector")
     return search.vector_join_top_k(asked, rows, 5).withColumn("score", F.round("score", 4))
 
 
@@ -234,11 +234,11 @@ def duration_parse(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.coalesce(text.duration_hours(spec), F.lit(-1)).alias("hours"))
 
 
-@query("age_format", "SELECT event_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' WHEN s < 86400 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' END AS long_age FROM (SELECT event_id, floor(epoch(TIMESTAMP '2024-03-01' - ts))::BIGINT AS s FROM events)")
+@query("age_format", "SELECT event_id, CASE WHEN s IS NULL THEN '?' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' WHEN s < 86400 THEN (s // 3600) || 'h' ELSE (s // 86400) || 'd' END AS age, CASE WHEN s IS NULL THEN '?' WHEN s < 60 THEN greatest(s, 0) || 's' WHEN s < 3600 THEN (s // 60) || 'm ' || (s % 60) || 's' WHEN s < 86400 THEN (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' ELSE (s // 86400) || 'd ' || (s % 86400 // 3600) || 'h' END AS long_age FROM (SELECT event_id, CASE WHEN event_id % 10 > 0 THEN floor(epoch(TIMESTAMP '2024-03-01' - ts))::BIGINT END AS s FROM events)")
 def age_format(spark: SparkSession, d: str) -> DataFrame:
     (e,) = tables(spark, d, "events")
     as_of = F.lit("2024-03-01").cast("timestamp")
-    ts = F.col("ts").cast("timestamp")
+    ts = F.when(F.col("event_id") % 10 > 0, F.col("ts").cast("timestamp"))
     return e.select("event_id", text.age(ts, as_of).alias("age"), text.age(ts, as_of, True).alias("long_age"))
 
 
@@ -340,11 +340,18 @@ def anti_live(spark: SparkSession, d: str) -> DataFrame:
     return merge.delete_where_in(li, keys, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("conflict_join", "SELECT r.l_orderkey AS job_id, r.l_partkey::VARCHAR AS file_path, o.l_orderkey AS owner_job_id FROM lineitem r JOIN lineitem o ON o.l_partkey = r.l_partkey AND o.l_linenumber = 1 AND o.l_orderkey <> r.l_orderkey AND o.l_shipdate >= TIMESTAMP '1998-01-01' WHERE r.l_linenumber = 7")
+@query("conflict_join", "SELECT r.l_orderkey AS job_id, r.l_partkey::VARCHAR AS file_path, o.l_orderkey AS owner_job_id FROM lineitem r JOIN lineitem o ON o.l_partkey = r.l_partkey AND o.l_orderkey <> r.l_orderkey AND o.l_shipdate >= TIMESTAMP '2001-06-01' WHERE r.l_shipdate < TIMESTAMP '2001-06-01'")
 def conflict_join(spark: SparkSession, d: str) -> DataFrame:
+    requests, locks = _lock_rows(spark, d)
+    return context.lock_conflicts(requests, locks, F.lit("2001-06-01").cast("timestamp_ntz"))
+
+
+def _lock_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines shipped from June 2001 on hold their part for their order, all others ask for theirs."""
     (li,) = tables(spark, d, "lineitem")
-    rows = li.select(F.col("l_orderkey").alias("job_id"), F.lit("p").alias("project_id"), F.col("l_partkey").cast("string").alias("file_path"), F.col("l_shipdate").alias("expires_at"), "l_linenumber")
-    return context.lock_conflicts(rows.filter("l_linenumber = 7").drop("expires_at"), rows.filter("l_linenumber = 1"), F.lit("1998-01-01").cast("timestamp_ntz"))
+    rows = li.select(F.col("l_orderkey").alias("job_id"), F.lit("p").alias("project_id"), F.col("l_partkey").cast("string").alias("file_path"), F.col("l_shipdate").alias("expires_at"))
+    since = F.col("expires_at") >= F.lit("2001-06-01").cast("timestamp_ntz")
+    return rows.filter(~since).drop("expires_at"), rows.filter(since)
 
 
 RANGES = "(SELECT p_partkey AS id, p_brand AS host, (3000 + p_partkey * 37 % 4000)::INT AS range_start, (3000 + p_partkey * 37 % 4000 + p_size % 40)::INT AS range_end FROM part)"
@@ -397,13 +404,14 @@ def since_marker(spark: SparkSession, d: str) -> DataFrame:
     return jobs.since_marker(_artifacts(spark, d), jobs.FIXES).select("job_id", "id")
 
 
-REVIEW = "('1. **BLOCKING:** ' || split_part(text, chr(10), 1) || chr(10) || '- WARNING — ' || split_part(text, chr(10), 2) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'BLOCKING: again' ELSE '' END || chr(10) || '- BLOCKING → rubric')"
+REVIEW = "('- BLOCKING → rubric' || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: chr(10) || CASE WHEN i % 2 = 1 THEN '1. **BLOCKING:** ' ELSE '- WARNING — ' END || x), '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'BLOCKING: again' ELSE '' END)"
 
 
 def _review(docs: DataFrame) -> DataFrame:
-    line = lambda k: F.coalesce(F.get(F.split("text", "\n", -1), F.lit(k)), F.lit(""))
+    """A review with a finding for every line of a text, blocking and warning by turns."""
+    line = lambda x, i: F.concat(F.when(i % 2 == 0, "\n1. **BLOCKING:** ").otherwise("\n- WARNING — "), x)
     more = F.when(F.col("doc_id") % 3 == 0, "\nBLOCKING: again").otherwise("")
-    return docs.select("doc_id", F.concat(F.lit("1. **BLOCKING:** "), line(0), F.lit("\n- WARNING — "), line(1), more, F.lit("\n- BLOCKING → rubric")).alias("review"))
+    return docs.select("doc_id", F.concat(F.lit("- BLOCKING → rubric"), F.array_join(F.transform(F.split("text", "\n", -1), line), ""), more).alias("review"))
 
 
 @query("marker_count", f"SELECT doc_id, len(regexp_extract_all(regexp_replace(r, 'BLOCKING →', '', 'g'), '(?i)(?:^|\\n)\\s*(?:(?:\\d+\\.\\s*|\\*\\*?|-\\s*)\\s*){{0,4}}BLOCKING\\b'))::INT AS blocking, len(regexp_extract_all(r, '(?i)(?:^|\\n)\\s*(?:(?:\\d+\\.\\s*|\\*\\*?|-\\s*)\\s*){{0,4}}WARNING\\b'))::INT AS warnings, ((len(r) - len(replace(r, chr(10) || '- ', ''))) / 3 + (len(r) - len(replace(r, chr(10) || '1.', ''))) / 3)::INT AS bullets FROM (SELECT doc_id, {REVIEW} AS r FROM documents)")
@@ -413,18 +421,33 @@ def marker_count(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", findings.count_severity(F.col("review"), "BLOCKING").alias("blocking"), findings.count_severity(F.col("review"), "WARNING").alias("warnings"), text.bullet_findings(F.col("review")).alias("bullets"))
 
 
-@query("marker_items", "SELECT doc_id, 0 AS place, regexp_replace('** ' || split_part(text, chr(10), 1), '^\\s+|\\s+$', '', 'g') AS item FROM documents UNION ALL SELECT doc_id, 1, 'again' || chr(10) || '- BLOCKING → rubric' FROM documents WHERE doc_id % 3 = 0")
+@query("marker_items", "SELECT doc_id, ((i - 1) // 2)::INT AS place, regexp_replace('** ' || l[i], '^\\s+|\\s+$', '', 'g') AS item FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(l) + 1, 2)) AS i FROM documents) UNION ALL SELECT doc_id, ((len(string_split(text, chr(10))) + 1) // 2)::INT, 'again' FROM documents WHERE doc_id % 3 = 0")
 def marker_items(spark: SparkSession, d: str) -> DataFrame:
     (docs,) = tables(spark, d, "documents")
     return _review(docs).select("doc_id", F.posexplode(findings.severity_items(F.col("review"), "BLOCKING")).alias("place", "item"))
 
 
-@query("signatures_overlap", "WITH s AS (SELECT doc_id, substr(regexp_replace(lower(trim(split_part(text, chr(10), 1))), '\\s+', ' ', 'g'), 1, 80) AS sig FROM documents WHERE trim(split_part(text, chr(10), 1)) <> '') SELECT DISTINCT c.doc_id FROM s c JOIN s p ON c.sig = p.sig AND c.doc_id % 2 = 1 AND p.doc_id % 2 = 0")
+SIGNATURE = "CASE WHEN regexp_matches(line, '\\S') THEN substr(regexp_replace(regexp_replace(lower(line), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), 1, 80) ELSE '__empty__' END"
+
+
+@query("signatures_overlap", f"WITH s AS (SELECT DISTINCT doc_id, {SIGNATURE} AS sig FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) SELECT DISTINCT doc_id FROM s WHERE sig IN (SELECT sig FROM s WHERE sig <> '__empty__' GROUP BY sig HAVING count(*) > 1)")
 def signatures_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which a line, as a finding, has the signature of a line of another document."""
     (docs,) = tables(spark, d, "documents")
-    one = F.get(findings.signatures(F.lit(None).cast("string"), F.get(F.split("text", "\n", -1), F.lit(0))), F.lit(0))
-    lines = docs.select("doc_id", one.alias("sig")).filter(F.col("sig") != findings.EMPTY_SIGNATURE)
-    return lines.filter("doc_id % 2 = 1").join(lines.filter("doc_id % 2 = 0").select("sig"), "sig", "left_semi").select("doc_id")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    lines = lines.select("doc_id", F.explode(findings.signatures(F.lit(None).cast("string"), F.col("line"))).alias("sig")).filter(F.col("sig") != findings.EMPTY_SIGNATURE).distinct()
+    shared = lines.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
+    return lines.join(shared, "sig", "left_semi").select("doc_id").distinct()
+
+
+@query("repeated_findings", f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT *, {SIGNATURE} AS sig FROM l), hit AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sig ORDER BY i) AS n FROM s WHERE i % 2 = 1 AND EXISTS (SELECT 1 FROM s p WHERE p.doc_id = s.doc_id AND p.sig = s.sig AND p.i % 2 = 0)) SELECT doc_id, string_agg(line, '|' ORDER BY i) AS texts FROM hit WHERE n = 1 GROUP BY 1")
+def repeated_findings(spark: SparkSession, d: str) -> DataFrame:
+    """A text's lines as findings of two rounds by turns: what of one round was found in the other."""
+    (docs,) = tables(spark, d, "documents")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(F.lit(None).cast("string").alias("title"), x.alias("body"), (i % 2).alias("turn")))
+    turn = lambda n: F.filter("l", lambda x: x["turn"] == n)
+    out = docs.select("doc_id", lines.alias("l")).select("doc_id", findings.repeated_findings(turn(0), turn(1)).alias("r"))
+    return out.filter(F.size("r") > 0).select("doc_id", F.array_join("r", "|").alias("texts"))
 
 
 @query("path_extract", "SELECT page_id, paths FROM (SELECT page_id, '/x' || (page_id % 7) || '.py,src/' || page_id || '.ts' AS paths FROM pages)")
@@ -479,7 +502,14 @@ def similar_existing(spark: SparkSession, d: str) -> DataFrame:
     return context.similar_existing(rows.filter("id % 4 = 0"), rows.filter("id % 4 <> 0"), "label", 0.4).select("id")
 
 
-@query("greedy_semantic_dedup", None)
+GREEDY = """WITH RECURSIVE r AS MATERIALIZED (SELECT label::VARCHAR AS batch, vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings),
+f AS (SELECT batch, n, [id] AS ids, [v] AS kept FROM r WHERE n = 1
+  UNION ALL SELECT batch, n, CASE WHEN near THEN ids ELSE list_append(ids, id) END, CASE WHEN near THEN kept ELSE list_append(kept, v) END
+  FROM (SELECT f.batch, r.n, f.ids, f.kept, r.id, r.v, len(list_filter(kept, lambda k: list_cosine_similarity(k, r.v) > 0.4)) > 0 AS near FROM f JOIN r ON r.batch = f.batch AND r.n = f.n + 1))
+SELECT batch, unnest(ids) AS id, unnest(ids) AS seq FROM (SELECT * FROM f QUALIFY n = max(n) OVER (PARTITION BY batch))"""
+
+
+@query("greedy_semantic_dedup", GREEDY)
 def greedy_semantic_dedup(spark: SparkSession, d: str) -> DataFrame:
     (e,) = tables(spark, d, "embeddings")
     rows = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("label").cast("string").alias("batch"), F.col("embedding").alias("vector"))
@@ -512,11 +542,11 @@ def migration_diff(spark: SparkSession, d: str) -> DataFrame:
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     (e,) = tables(spark, d, "events")
-    rows = e.filter("event_id < 300").select((F.col("event_id") + 1).alias("seq"), F.col("user_id").cast("string").alias("memory_id"), F.col("event_type").alias("operation"), F.lit("bot").alias("actor"), F.lit("p").alias("project_slug"), F.sha2("props", 256).alias("payload_hash"))
+    rows = e.select((F.col("event_id") + 1).alias("seq"), F.col("user_id").cast("string").alias("memory_id"), F.col("event_type").alias("operation"), F.lit("bot").alias("actor"), F.lit("p").alias("project_slug"), F.sha2("props", 256).alias("payload_hash"))
     return ledger.build_chain(rows)
 
 
-CHAIN = "WITH RECURSIVE r AS (SELECT event_id + 1 AS seq, user_id::VARCHAR AS memory_id, event_type AS operation, 'bot' AS actor, 'p' AS project_slug, sha256(props) AS payload_hash FROM events WHERE event_id < 300), c AS (SELECT *, NULL::VARCHAR AS prev_hash, sha256(concat_ws('|', seq, memory_id, operation, actor, project_slug, payload_hash, '')) AS row_hash FROM r WHERE seq = 1 UNION ALL SELECT r.*, c.row_hash, sha256(concat_ws('|', r.seq, r.memory_id, r.operation, r.actor, r.project_slug, r.payload_hash, c.row_hash)) FROM c JOIN r ON r.seq = c.seq + 1)"
+CHAIN = "WITH RECURSIVE r AS MATERIALIZED (SELECT event_id + 1 AS seq, user_id::VARCHAR AS memory_id, event_type AS operation, 'bot' AS actor, 'p' AS project_slug, sha256(props) AS payload_hash FROM events), c AS (SELECT *, NULL::VARCHAR AS prev_hash, sha256(concat_ws('|', seq, memory_id, operation, actor, project_slug, payload_hash, '')) AS row_hash FROM r WHERE seq = 1 UNION ALL SELECT r.*, c.row_hash, sha256(concat_ws('|', r.seq, r.memory_id, r.operation, r.actor, r.project_slug, r.payload_hash, c.row_hash)) FROM c JOIN r ON r.seq = c.seq + 1)"
 
 
 @query("hash_chain_build", CHAIN + " SELECT * FROM c")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text, vectors
 from larkspur.operators import context, jobs, ledger, merge, ports
-from larkspur.plans.queries import ARTIFACTS, CHAIN, JOBS, RANGES, _artifacts, _jobs, _ledger, _ranges
+from larkspur.plans.queries import ARTIFACTS, JOBS, RANGES, _artifacts, _jobs, _ledger, _lock_rows, _ranges
 from larkspur.plans.registry import query
 from larkspur.sources.files import tables
 from larkspur.streaming.ingest import live_leases, tail
@@ -60,12 +60,11 @@ def lease_expiry(spark: SparkSession, d: str) -> DataFrame:
     return kept.groupBy("id", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("edge_insert_ignore", "SELECT DISTINCT l_orderkey::VARCHAR AS from_id, l_suppkey::VARCHAR AS to_id, 'uses' AS edge_type FROM lineitem WHERE l_orderkey <> l_suppkey AND l_orderkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_linenumber = 1 AND o.l_orderkey = lineitem.l_orderkey AND o.l_suppkey = lineitem.l_suppkey)")
+@query("edge_insert_ignore", "SELECT DISTINCT l_orderkey::VARCHAR AS from_id, l_suppkey::VARCHAR AS to_id, 'uses' AS edge_type FROM lineitem WHERE l_orderkey <> l_suppkey AND NOT EXISTS (SELECT 1 FROM lineitem o WHERE o.l_linenumber = 1 AND o.l_orderkey = lineitem.l_orderkey AND o.l_suppkey = lineitem.l_suppkey)")
 def edge_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
     (li,) = tables(spark, d, "lineitem")
-    edges = li.select(F.col("l_orderkey").cast("string").alias("from_id"), F.col("l_suppkey").cast("string").alias("to_id"), F.lit("uses").alias("edge_type"), "l_linenumber", "l_orderkey")
-    known, rows = edges.filter("l_linenumber = 1"), edges.filter("l_orderkey % 2 = 1")
-    return merge.insert_edges(known, rows.drop("l_linenumber", "l_orderkey"))
+    edges = li.select(F.col("l_orderkey").cast("string").alias("from_id"), F.col("l_suppkey").cast("string").alias("to_id"), F.lit("uses").alias("edge_type"), "l_linenumber")
+    return merge.insert_edges(edges.filter("l_linenumber = 1"), edges.drop("l_linenumber"))
 
 
 @query("import_counters", "WITH r AS (SELECT doc_id, CASE WHEN source <> 'src3' THEN source END AS slug FROM documents), t AS (SELECT doc_id FROM labels) SELECT count(*) AS rows, count(*) FILTER (WHERE slug IS NULL) AS skipped_no_slug, count(*) FILTER (WHERE slug IS NOT NULL AND t.doc_id IS NULL) AS inserted, count(*) FILTER (WHERE slug IS NOT NULL AND t.doc_id IS NOT NULL) AS skipped_dup FROM r LEFT JOIN t USING (doc_id)")
@@ -127,12 +126,12 @@ def range_reclaim(spark: SparkSession, d: str) -> DataFrame:
     return after.agg((F.count(F.lit(1)) - 1).alias("n"), F.count("archived_at").alias("archived"), F.max(F.when(F.col("project_id") == "new", F.col("purpose"))).alias("purpose"))
 
 
-@query("notification_routing", "SELECT e.event_id, e.user_id AS recipient, CASE WHEN e.event_type NOT IN ('error', 'click', 'view') THEN 'skipped' WHEN c.c_custkey IS NULL THEN 'unknown_dev' WHEN e.event_type = 'view' THEN 'not_subscribed' ELSE 'send' END AS outcome, CASE WHEN e.event_type IN ('error', 'click') AND c.c_custkey IS NOT NULL THEN 'mail' ELSE '-' END AS channel FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 2 = 0 WHERE e.event_id < 2000")
+@query("notification_routing", "SELECT e.event_id, e.user_id AS recipient, CASE WHEN e.event_type NOT IN ('error', 'click', 'view') THEN 'skipped' WHEN c.c_custkey IS NULL THEN 'unknown_dev' WHEN e.event_type = 'view' THEN 'not_subscribed' ELSE 'send' END AS outcome, CASE WHEN e.event_type IN ('error', 'click') AND c.c_custkey IS NOT NULL THEN 'mail' ELSE '-' END AS channel FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 2 = 0")
 def notification_routing(spark: SparkSession, d: str) -> DataFrame:
     e, c = tables(spark, d, "events", "customer")
     channel = F.array(F.struct(F.lit("mail").alias("type"), F.col("c_name").alias("address")), F.struct(F.lit("sms").alias("type"), F.lit("1").alias("address")))
     devs = c.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("dev_id"), channel.alias("channels"), F.array(F.lit("error"), F.lit("click")).alias("event_subscriptions"))
-    events = e.filter("event_id < 2000").select("event_id", "event_type", F.col("user_id").alias("recipient"))
+    events = e.select("event_id", "event_type", F.col("user_id").alias("recipient"))
     return context.route(events, devs, ["mail"], ["error", "click", "view"]).select("event_id", "recipient", "outcome", F.coalesce("channel", F.lit("-")).alias("channel"))
 
 
@@ -144,15 +143,27 @@ def notification_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return context.fan_out(rows).select("event_id", "recipient")
 
 
-@query("lock_grants", "WITH r AS (SELECT DISTINCT l_orderkey AS job_id, l_partkey::VARCHAR AS file_path FROM lineitem WHERE l_linenumber = 7), live AS (SELECT DISTINCT l_orderkey AS job_id, l_partkey::VARCHAR AS file_path FROM lineitem WHERE l_linenumber = 1 AND l_shipdate >= TIMESTAMP '2000-01-01'), bad AS (SELECT r.job_id FROM r JOIN live ON live.file_path = r.file_path AND live.job_id <> r.job_id), late AS (SELECT job_id FROM (SELECT *, min(job_id) OVER (PARTITION BY file_path) AS f FROM r) WHERE job_id <> f) SELECT job_id, file_path FROM r WHERE job_id NOT IN (SELECT job_id FROM bad) AND job_id NOT IN (SELECT job_id FROM late) AND NOT EXISTS (SELECT 1 FROM live WHERE live.job_id = r.job_id AND live.file_path = r.file_path)")
+# jobs in the order of their ids, as rounds: a job is free if it is the first open one for all its paths; what it then holds refuses others
+GRANTS = """WITH RECURSIVE rows AS MATERIALIZED (SELECT l_orderkey AS job_id, l_partkey::VARCHAR AS file_path, l_shipdate >= TIMESTAMP '2001-06-01' AS held FROM lineitem),
+live AS (SELECT DISTINCT job_id, file_path FROM rows WHERE held), asked AS (SELECT DISTINCT job_id, file_path FROM rows WHERE NOT held),
+bad AS (SELECT DISTINCT a.job_id FROM asked a JOIN live l ON l.file_path = a.file_path AND l.job_id <> a.job_id),
+s AS (SELECT 0 AS round, job_id, file_path, 'open' AS state FROM asked WHERE job_id NOT IN (SELECT job_id FROM bad)
+  UNION ALL
+  SELECT round + 1, job_id, file_path, CASE WHEN state <> 'open' THEN state WHEN free THEN 'granted' WHEN taken THEN 'refused' ELSE 'open' END
+  FROM (SELECT *, bool_or(beside) OVER (PARTITION BY job_id) AS taken
+    FROM (SELECT *, bool_or(free) OVER (PARTITION BY file_path) AS beside
+      FROM (SELECT *, bool_and(first) OVER (PARTITION BY job_id) AS free
+        FROM (SELECT *, state = 'open' AND job_id = min(CASE WHEN state = 'open' THEN job_id END) OVER (PARTITION BY file_path) AS first, count(*) FILTER (state = 'open') OVER () AS left_open FROM s))) WHERE left_open > 0))
+SELECT job_id, file_path FROM s WHERE round = (SELECT max(round) FROM s) AND state = 'granted' AND (job_id, file_path) NOT IN (SELECT job_id, file_path FROM live)"""
+
+
+@query("lock_grants", GRANTS)
 def lock_grants(spark: SparkSession, d: str) -> DataFrame:
-    (li,) = tables(spark, d, "lineitem")
-    rows = li.select(F.col("l_orderkey").alias("job_id"), F.lit("p").alias("project_id"), F.col("l_partkey").cast("string").alias("file_path"), F.col("l_shipdate").cast("timestamp").alias("expires_at"), "l_linenumber")
-    granted = context.grant_locks(rows.filter("l_linenumber = 7").select("job_id", "project_id", "file_path"), rows.filter("l_linenumber = 1"), F.lit("2000-01-01").cast("timestamp"))
-    return granted.select("job_id", "file_path")
+    requests, locks = _lock_rows(spark, d)
+    return context.grant_locks(requests, locks, F.lit("2001-06-01").cast("timestamp_ntz")).select("job_id", "file_path")
 
 
-@query("audit_slug_range", CHAIN + " SELECT min(seq) AS min_seq, max(seq) AS max_seq, count(*) FILTER (WHERE seq BETWEEN 10 AND 99) AS n FROM c")
+@query("audit_slug_range", "SELECT min(event_id) + 1 AS min_seq, max(event_id) + 1 AS max_seq, count(*) FILTER (WHERE event_id + 1 BETWEEN 10 AND 99) AS n FROM events")
 def audit_slug_range(spark: SparkSession, d: str) -> DataFrame:
     chain = _ledger(spark, d)
     return ledger.slug_range(chain, "p").crossJoin(ledger.range_count(chain, 10, 99, "p"))
@@ -164,10 +175,15 @@ def status_updates(spark: SparkSession, d: str) -> DataFrame:
     return jobs.transition(j, j.filter("project_id % 2 = 0").select("id", F.lit("planning").alias("new_status"))).select("id", "status")
 
 
-@query("phase_progress_preview", f"SELECT job_id, id, CASE phase WHEN 'planning' THEN 1 WHEN 'reviewing' THEN 3 ELSE 5 END AS progress, substr(id, 1, 9) AS head FROM {ARTIFACTS}")
+# Statuses that jobs have, in no order.
+STATUSES = ["queued", "planning", "implementing", "reviewing", "qa", "fix_loop", "ready_for_approval", "failed", "approved", "none"]
+
+
+@query("phase_progress_preview", f"SELECT job_id, id, CASE s WHEN 'queued' THEN 1 WHEN 'planning' THEN 2 WHEN 'implementing' THEN 3 WHEN 'reviewing' THEN 4 WHEN 'qa' THEN 5 WHEN 'ready_for_approval' THEN 6 ELSE 0 END AS progress, substr(id, 1, 9) AS head FROM (SELECT *, {STATUSES}[(job_id % 10 + 1)::INT] AS s FROM {ARTIFACTS})")
 def phase_progress_preview(spark: SparkSession, d: str) -> DataFrame:
     a = _artifacts(spark, d)
-    return a.select("job_id", "id", text.phase_progress(F.col("phase")).alias("progress"), text.preview(F.col("id"), 9).alias("head"))
+    status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("job_id") % 10 + 1).cast("int"))
+    return a.select("job_id", "id", text.phase_progress(status).alias("progress"), text.preview(F.col("id"), 9).alias("head"))
 
 
 @query("tail_since", "SELECT event_id FROM events WHERE event_id > 9000")
@@ -197,11 +213,27 @@ def decoded_paths(spark: SparkSession, d: str) -> DataFrame:
     return p.select("page_id", text.decode_project_path(path, "/home/u").alias("dir"))
 
 
-@query("purpose_categories", "SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'database' WHEN 1 THEN 'web' WHEN 2 THEN 'api' ELSE 'other' END AS category FROM supplier")
+PURPOSES = ["web", "UI", "frontend", "App", "api", "Backend", "gateway", "graphql", "Postgres", "mysql", "DB", "database", "redis", "cache", "elasticsearch", "memcached", "queue", "main-db", "web-1", ""]
+
+
+@query("purpose_categories", f"SELECT id, CASE WHEN p IN ('web', 'ui', 'frontend', 'app') THEN 'web' WHEN p IN ('api', 'backend', 'gateway', 'graphql') THEN 'apis' WHEN p IN ('postgres', 'mysql', 'db', 'database', 'redis', 'cache', 'elasticsearch', 'memcached') THEN 'db_cache' ELSE p END AS category FROM (SELECT p_partkey AS id, lower(CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE {PURPOSES}[(p_partkey % 20 + 1)::INT] END) AS p FROM part)")
 def purpose_categories(spark: SparkSession, d: str) -> DataFrame:
-    (s,) = tables(spark, d, "supplier")
-    purpose = F.element_at(F.array(F.lit("main-db"), F.lit("web"), F.lit("grpc_api"), F.lit("queue")), (F.col("s_suppkey") % 4 + 1).cast("int"))
-    return s.select(F.col("s_suppkey").alias("id"), text.purpose_category(purpose).alias("category"))
+    (p,) = tables(spark, d, "part")
+    listed = F.element_at(F.array(*map(F.lit, PURPOSES)), (F.col("p_partkey") % 20 + 1).cast("int"))
+    purpose = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(listed)
+    return p.select(F.col("p_partkey").alias("id"), text.purpose_category(purpose).alias("category"))
+
+
+NAMES = ["main", " Master ", "feat/a-1", "-x", ".x", "a..b", "x/", "a b", "_ok", "7up", "ABC", "a:b", "", "a_b-c"]
+
+
+@query("name_checks", f"SELECT id, regexp_full_match(trim(n), '[A-Za-z0-9_][A-Za-z0-9_./-]{{0,254}}') AND lower(trim(n)) NOT IN ('main', 'master') AS branch, regexp_full_match(n, '[a-z0-9_-]{{1,64}}') AS identifier FROM (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN {NAMES}[(p_partkey // 4 % 14 + 1)::INT] WHEN 1 THEN repeat('n', (p_partkey % 80)::INT) WHEN 2 THEN repeat('b', (240 + p_partkey % 30)::INT) ELSE p_name END AS n FROM part)")
+def name_checks(spark: SparkSession, d: str) -> DataFrame:
+    (p,) = tables(spark, d, "part")
+    k = F.col("p_partkey")
+    listed = F.element_at(F.array(*map(F.lit, NAMES)), (F.expr("p_partkey div 4") % 14 + 1).cast("int"))
+    name = F.when(k % 4 == 0, listed).when(k % 4 == 1, F.repeat(F.lit("n"), (k % 80).cast("int"))).when(k % 4 == 2, F.repeat(F.lit("b"), (240 + k % 30).cast("int"))).otherwise(F.col("p_name"))
+    return p.select(k.alias("id"), text.valid_branch(name).alias("branch"), text.valid_identifier(name).alias("identifier"))
 
 
 @query("vector_text_round_trip", "SELECT vec_id AS id, len(embedding) AS size, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS norm, 0.0::DOUBLE AS zero FROM embeddings")

@@ -118,9 +118,12 @@ def test_small_formats(spark):
     assert one(spark, "a\0b", text.without_nul) == "ab"
     assert one(spark, "abcdefgh", text.estimate_tokens) == 2
     assert one(spark, "x\n- a\n- b\n1. c", text.bullet_findings) == 3
-    assert one(spark, "db-main", text.purpose_category) == "database" and one(spark, "x", text.purpose_category) == "other"
-    assert [one(spark, x, text.valid_branch) for x in ("feat/a-1", "a..b", "-x", "x/", "a b")] == [True, False, False, False, False]
-    assert one(spark, "qa", text.phase_progress) == 4 and one(spark, "none", text.phase_progress) == 0
+    assert [one(spark, x, text.purpose_category) for x in ("DB", "UI", "gateway", "db-main")] == ["db_cache", "web", "apis", "db-main"]
+    names = ["feat/a-1", " a..b ", "x/", "b" * 255, "b" * 256, "-x", "a b", "main", " MASTER", "", "a\n"]
+    assert [one(spark, x, text.valid_branch) for x in names] == [True, True, True, True, False, False, False, False, False, False, True]
+    assert [one(spark, x, text.valid_identifier) for x in ("7a_-", "A", "", "a" * 64, "a" * 65, "a\n")] == [True, False, False, True, False, False]
+    assert [one(spark, x, text.phase_progress) for x in ("queued", "planning", "reviewing", "qa", "ready_for_approval", "fix_loop", "none")] == [1, 2, 4, 5, 6, 0, 0]
+    assert one(spark, None, lambda c: text.age(c.cast("timestamp"), F.lit("2024-01-01").cast("timestamp"))) == "?"
     assert one(spark, "web-1", lambda c: text.env_pairs(c, F.lit(3), F.lit(5), "P_")) == {"P_WEB_1_PORT_START": "3", "P_WEB_1_PORT_END": "5"}
     assert one(spark, '{"a": 1, "b": 2}', lambda c: text.merge_json(c, F.lit('{"b": [3], "c": null}'))) == '{"a":1,"b":[3],"c":null}'
     assert one(spark, None, lambda c: text.merge_json(c, F.lit('{"b": 3}'))) == '{"b":3}'

@@ -201,6 +201,21 @@ def test_context(spark):
     asked = spark.createDataFrame([(2, "p", "shared"), (2, "p", "only2"), (3, "p", "old"), (3, "p", "free"), (4, "p", "free"), (5, "q", "shared"), (6, "p", "edge")], "job_id int, project_id string, file_path string")
     assert {(r.job_id, r.file_path, r.owner_job_id) for r in context.lock_conflicts(asked, locks, F.lit(NOW)).collect()} == {(2, "shared", 1), (6, "edge", 1)}
     assert {(r.job_id, r.file_path) for r in context.grant_locks(asked, locks, F.lit(NOW)).collect()} == {(3, "old"), (3, "free"), (5, "shared")}
+    # a job that is refused takes nothing, so a later one gets what both want; and so along a chain
+    wants = [(1, "p", "a"), (1, "p", "b"), (2, "p", "b"), (3, "q", "x"), (4, "q", "x"), (4, "q", "y"), (5, "q", "y"), (5, "q", "z"), (6, "q", "z"), (7, "q", "y")]
+    held = locks.limit(0).unionByName(spark.createDataFrame([("p", "a", 9, stamp(1))], locks.schema))
+    got = context.grant_locks(spark.createDataFrame(wants, asked.schema), held, F.lit(NOW)).collect()
+    assert {(r.job_id, r.file_path) for r in got} == {(2, "b"), (3, "x"), (5, "y"), (5, "z")}
+    rng = random.Random(3)
+    wants = [(rng.randrange(60), "p", f"f{rng.randrange(40)}") for _ in range(150)]
+    taken = {f"f{k}": -1 for k in range(3)}
+    for job in sorted({w[0] for w in wants}):
+        mine = {w[2] for w in wants if w[0] == job}
+        if not mine & taken.keys():
+            taken.update(dict.fromkeys(mine, job))
+    held = spark.createDataFrame([("p", f"f{k}", -1, stamp(1)) for k in range(3)], locks.schema)
+    got = context.grant_locks(spark.createDataFrame(wants, asked.schema), held, F.lit(NOW)).collect()
+    assert {r.file_path: r.job_id for r in got} == {f: j for f, j in taken.items() if j >= 0}
     devs = spark.createDataFrame([("a", [("mail", "a@x"), ("sms", "1")], ["done"]), ("b", [("mail", "b@x")], [])], "dev_id string, channels array<struct<type:string,address:string>>, event_subscriptions array<string>")
     events = spark.createDataFrame([(1, "done", "a"), (2, "odd", "a"), (3, "done", "zz"), (4, "done", "b")], "event_id int, event_type string, recipient string")
     assert {(r.event_id, r.channel, r.outcome) for r in context.route(events, devs, ["mail"], ["done"]).collect()} == {(1, "mail", "send"), (2, None, "skipped"), (3, None, "unknown_dev"), (4, None, "not_subscribed")}
