@@ -4,10 +4,12 @@ A source's weight is its share of the tokens to the power of alpha, normalised.
 share of its maximum, or until no source is read more often than the repetition limit. A step evaluates SECTIONS exponents at once in one
 aggregation over the sources, so only so many rows come to the driver, however many sources there are.
 
+Tokens are words here, as white space separates them: shares and budgets need no tokenizer's ids.
+
 The weights are realised as budgeted block permutations: each source's tokens are its weight's part of the budget. Whole epochs take every
 document; the last epoch goes through the source's blocks in a seeded order and takes documents while they fit. Blocks are ranges of a
-seeded hash with about BLOCK_ROWS documents, so prefix sums run over blocks, and over rows only in the one block where a source's budget
-ends; no task has a whole source's rows.
+seeded hash of the id and the text with about BLOCK_ROWS documents, so prefix sums run over blocks, by ranges of their order (see prefix_sums), and over rows only in the one block where a source's budget
+ends; no task has a whole source's rows or blocks.
 
 Defined results: a null source is a source of its own; null or empty texts have 0 tokens and are taken with their block; a source without tokens gets
 no weight and no rows; rows with the same or a null id are rows of their own; an empty table gives an empty result; in
@@ -21,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm._shared import unpacked
+from larkspur.llm._shared import prefix_sums, unpacked
 from larkspur.session import cut
 
 SECTIONS, STEPS, BLOCK_ROWS, SEED = 32, 6, 256, 17
@@ -89,8 +91,8 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     """
     tokens = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORDS)).cast("long")
     own = [F.struct("*").alias("row")] if keep else []
-    names = {n: f"_lk_{n}" for n in ("id", "source", "tokens")}
-    rows = docs.select(*own, F.col(id_col).alias(names["id"]), F.col(source_col).alias(names["source"]), tokens.alias(names["tokens"]))
+    names = {n: f"_lk_{n}" for n in ("id", "source", "tokens", "check")}
+    rows = docs.select(*own, F.col(id_col).alias(names["id"]), F.col(source_col).alias(names["source"]), tokens.alias(names["tokens"]), _hash48(F.col(text_col)).alias(names["check"]))
     narrow = cut(rows.select(*[F.col(v).alias(k) for k, v in names.items()]), "mix-rows")
     shares = cut(source_shares(narrow), "mix-shares")
     plan = cut(weigh(shares, find_alpha(shares, entropy, repetition, budget), budget), "mix-plan")
@@ -99,7 +101,7 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     last = whole + 1
 
     def placed(df: DataFrame) -> DataFrame:
-        spread = F.floor(_hash48(F.lit(seed), F.col("_lk_id")) / F.lit(float(1 << _BITS)) * F.col("blocks")).cast("long")
+        spread = F.floor(_hash48(F.lit(seed), F.col("_lk_id"), F.col("_lk_check")) / F.lit(float(1 << _BITS)) * F.col("blocks")).cast("long")
         out = df.join(plan, F.col("_lk_source").eqNullSafe(F.col("_lk_plan"))).withColumn("_lk_block", spread)
         return out.withColumn("_lk_whole", whole).withColumn("_lk_rest", rest)
 
@@ -107,29 +109,31 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
         return _hash48(F.lit(seed), epoch, F.col("_lk_source"), F.col("_lk_block"))
 
     def row_key(epoch: Column) -> Column:
-        return _hash48(F.lit(seed), epoch, F.col("_lk_id"))
+        return _hash48(F.lit(seed), epoch, F.col("_lk_id"), F.col("_lk_check"))
 
     at = placed(narrow.select(*[F.col(k).alias(v) for k, v in names.items()]))
-    blocks = at.groupBy("_lk_source", "_lk_block").agg(F.sum("_lk_tokens").alias("n"), F.first("_lk_rest").alias("rest"), F.first("_lk_whole").alias("whole"))
-    order = Window.partitionBy("_lk_source").orderBy(block_key(F.col("whole") + 1), "_lk_block")
-    blocks = blocks.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("before", F.coalesce("before", F.lit(0)))
+    blocks = at.groupBy("_lk_source", "_lk_block").agg(F.sum("_lk_tokens").alias("n"), F.first("_lk_rest").alias("rest"), F.first("_lk_whole").alias("whole"), F.first("blocks").alias("blocks"))
+    # blocks stand in the order of their keys; ranges of it hold some BLOCK_ROWS blocks each
+    blocks = blocks.withColumn("key", block_key(F.col("whole") + 1))
+    spread = F.floor(F.col("key") / F.lit(float(1 << _BITS)) * F.ceil(F.col("blocks") / BLOCK_ROWS))
+    blocks = prefix_sums(blocks, ["_lk_source"], spread, [F.col("key"), F.col("_lk_block")], F.col("n"), "before")
     blocks = cut(blocks.select(F.col("_lk_source").alias("_lk_s"), F.col("_lk_block").alias("_lk_b"), "n", "before", "rest").filter("before <= rest and rest > 0"), "mix-blocks")
     same = F.col("_lk_source").eqNullSafe(F.col("_lk_s")) & (F.col("_lk_block") == F.col("_lk_b"))
     ends = blocks.filter("before + n > rest")
-    within = Window.partitionBy("_lk_source", "_lk_block").orderBy(row_key(last), "_lk_id", "_lk_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_lk_source", "_lk_block").orderBy(row_key(last), "_lk_id", "_lk_tokens", "_lk_check").rowsBetween(Window.unboundedPreceding, 0)
     cutting = at.join(ends, same).withColumn("upto", F.sum("_lk_tokens").over(within) + F.col("before"))
     # in the block where a budget ends, rows up to a key of the order are taken
-    bound = cutting.filter("upto <= rest").groupBy("_lk_source", "_lk_block").agg(F.max(F.struct(row_key(last).alias("k"), F.col("_lk_id").alias("i"), F.col("_lk_tokens").alias("t"))).alias("bound"))
+    bound = cutting.filter("upto <= rest").groupBy("_lk_source", "_lk_block").agg(F.max(F.struct(row_key(last).alias("k"), F.col("_lk_id").alias("i"), F.col("_lk_tokens").alias("t"), F.col("_lk_check").alias("c"))).alias("bound"))
     bound = bound.select(F.col("_lk_source").alias("_lk_s2"), F.col("_lk_block").alias("_lk_b2"), "bound")
     limits = blocks.join(bound, F.col("_lk_s").eqNullSafe(F.col("_lk_s2")) & (F.col("_lk_b") == F.col("_lk_b2")), "left").select("_lk_s", "_lk_b", (F.col("before") + F.col("n") <= F.col("rest")).alias("all_in"), "bound")
     limits = cut(limits.filter("all_in or bound is not null"), "mix-limits")
     read = placed(rows).join(limits, same, "left")
-    key = F.struct(row_key(last).alias("k"), F.col("_lk_id").alias("i"), F.col("_lk_tokens").alias("t"))
+    key = F.struct(row_key(last).alias("k"), F.col("_lk_id").alias("i"), F.col("_lk_tokens").alias("t"), F.col("_lk_check").alias("c"))
     more = F.coalesce(F.col("all_in") | (key <= F.col("bound")), F.lit(False))
     read = read.withColumn("_lk_readings", (F.col("_lk_whole") + more.cast("int")).cast("int")).filter("_lk_readings > 0")
     read = read.select("*", F.explode(F.sequence(F.lit(1), F.col("_lk_readings"))).alias("_lk_epoch"))
     added = [F.col("_lk_epoch"), block_key(F.col("_lk_epoch")).alias("_lk_block_key"), row_key(F.col("_lk_epoch")).alias("_lk_row_key")]
-    out = read.select(*["row"] * keep, *names.values(), *added)
+    out = read.select(*["row"] * keep, *[names[n] for n in ("id", "source", "tokens")], *added)
     return out if keep else out.toDF(*[c.removeprefix("_lk_") for c in out.columns])
 
 

@@ -44,7 +44,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @_query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    packed = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
     return packed.withColumnRenamed("id", "doc_id")
 
 
@@ -163,7 +163,7 @@ def op10_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_temperature_mixing"] = f"""
 WITH RECURSIVE
-rows AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
+rows AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(text, '')), 1, 12))::BIGINT AS chk, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS tokens FROM documents),
 shares AS (SELECT source, sum(tokens)::BIGINT AS tokens, count(*) AS n, sum(tokens) / (SELECT sum(tokens) FROM rows)::DOUBLE AS share FROM rows GROUP BY source HAVING sum(tokens) > 0),
 halves AS (
   SELECT 0 AS step, 0.0::DOUBLE AS lo, 8.0::DOUBLE AS hi
@@ -174,16 +174,16 @@ alpha AS (SELECT CASE WHEN (SELECT count(*) FROM shares) < 2 THEN 1.0 ELSE round
 plan AS (SELECT source, tokens AS all_tokens, round(pow(share, a) / (SELECT sum(pow(share, a)) FROM shares, alpha) * (SELECT sum(tokens) FROM shares)::DOUBLE)::BIGINT AS quota, ceil(n / 256.0)::BIGINT AS blocks FROM shares, alpha),
 placed AS (
   SELECT r.*, quota // all_tokens AS whole, quota % all_tokens AS rest,
-         floor(('0x' || substr(md5('17|' || coalesce(r.doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 * blocks)::BIGINT AS block
+         floor(('0x' || substr(md5('17|' || coalesce(r.doc_id::VARCHAR, '') || '|' || chk), 1, 12))::BIGINT / 281474976710656.0 * blocks)::BIGINT AS block
   FROM rows r JOIN plan p ON r.source IS NOT DISTINCT FROM p.source),
 keyed AS (
   SELECT *, ('0x' || substr(md5('17|' || (whole + 1) || '|' || coalesce(source, '') || '|' || block), 1, 12))::BIGINT AS bk,
-         ('0x' || substr(md5('17|' || (whole + 1) || '|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS rk FROM placed),
-summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY bk, block, rk, doc_id, tokens) AS upto FROM keyed),
+         ('0x' || substr(md5('17|' || (whole + 1) || '|' || coalesce(doc_id::VARCHAR, '') || '|' || chk), 1, 12))::BIGINT AS rk FROM placed),
+summed AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY bk, block, rk, doc_id, tokens, chk) AS upto FROM keyed),
 counted AS (SELECT *, whole + (rest > 0 AND upto <= rest)::INT AS readings FROM summed),
-read AS (SELECT doc_id, source, tokens, block, unnest(generate_series(1, readings)) AS epoch FROM counted WHERE readings > 0)
+read AS (SELECT doc_id, source, tokens, chk, block, unnest(generate_series(1, readings)) AS epoch FROM counted WHERE readings > 0)
 SELECT doc_id, source, tokens, epoch::INT AS epoch,
        ('0x' || substr(md5('17|' || epoch || '|' || coalesce(source, '') || '|' || block), 1, 12))::BIGINT AS block_key,
-       ('0x' || substr(md5('17|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS row_key
+       ('0x' || substr(md5('17|' || epoch || '|' || coalesce(doc_id::VARCHAR, '') || '|' || chk), 1, 12))::BIGINT AS row_key
 FROM read
 """

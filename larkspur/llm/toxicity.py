@@ -9,7 +9,8 @@ Each hit is read with CONTEXT words to both sides: quotation marks around it, wo
 weights, learned as the terms' are, tell quotation from abuse. A document's features are its exact, misspelled and quoted
 hits, plain and by length, and the context weights of its hits; a logistic model fitted to the labels gives the score.
 
-Fitting uses at most SAMPLE labelled rows, those whose ids have the least hashes; scoring covers all texts whole.
+Fitting uses at most SAMPLE labelled rows, those whose ids have the least hashes, of rows with one id the text with the least hash; which words are terms or
+contexts is decided by thresholds, so their number follows from the sample. Scoring covers all texts whole.
 
 Defined results: a null or empty text has no hits and gets a score below 1/2 (the model's for no hits); null labels and labels of
 ids without a document are not used; of several labels of an id the largest counts; rows with the same or a null id are
@@ -33,9 +34,10 @@ from pyspark.sql import types as T
 from larkspur.llm._words import chunked, words_of
 from larkspur.session import cut
 
-#: Labelled rows that are fitted to, and the size of the lexicon and of the context vocabulary, at most.
-SAMPLE, TERMS, CONTEXT_TERMS = 20_000, 400, 5_000
-CONTEXT, LEAST_LENGTH, LEAST_DOCUMENTS = 6, 5, 4
+#: Labelled rows that are fitted to, at most.
+SAMPLE = 20_000
+#: Words to both sides of a hit, letters of a term that may be misspelled, toxic texts that a term is in and contexts that a context word is in.
+CONTEXT, LEAST_LENGTH, LEAST_DOCUMENTS, LEAST_CONTEXTS = 6, 5, 4, 20
 #: Words of reporting, in the languages of the corpus: fixed values.
 REPORTING = "said says saying quote quoted quotes wrote writes called word words term dijo dice palabra sagte sagt schrieb zitat wort dit mot citation".split()
 _QUOTES = re.compile(r"[\"'“”„«»‘’‹›]")
@@ -218,7 +220,7 @@ def _contexts(terms: list[str]) -> Callable[[list[bytes]], Iterator[tuple[int, s
 def learn(sample: DataFrame) -> Model | None:
     """Lexicon, context weights and score from rows (text, label); None unless both labels occur.
 
-    Words are counted by tasks; the driver gets TERMS terms, CONTEXT_TERMS context words and FEATURES numbers a row.
+    Words are counted by tasks; the driver gets the terms, the context words and FEATURES numbers a row of the sample.
     """
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
@@ -227,9 +229,8 @@ def learn(sample: DataFrame) -> Model | None:
     odds = F.log((F.col("toxic") + 0.05) / (n[1] + 1)) - F.log((F.col("clean") + 0.05) / (n[0] + 1))
     # a term must raise the odds of its documents well past even, and be in several
     sure = counts.withColumn("odds", odds).filter((F.col("toxic") >= LEAST_DOCUMENTS) & (F.length("word") >= 3) & (F.col("toxic") >= 4 * F.col("clean")) & (F.col("odds") >= math.log(8)))
-    terms = [r["word"] for r in sure.orderBy(F.desc(F.col("toxic") * F.col("odds")), "word").limit(TERMS).collect()]
-    near = _counted(sample, _contexts(terms)).filter(F.col("toxic") + F.col("clean") >= 20)
-    near = near.orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(CONTEXT_TERMS + 1).collect()
+    terms = [r["word"] for r in sure.orderBy("word").collect()]
+    near = _counted(sample, _contexts(terms)).filter(F.col("toxic") + F.col("clean") >= LEAST_CONTEXTS).collect()
     seen = next(((r["toxic"], r["clean"]) for r in near if r["word"] == ""), (0, 0))  # "" counts the contexts
     context = {}
     if all(seen):
@@ -253,7 +254,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     chosen = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # SAMPLE rows of two numbers at most: 0.3 MB
-    sample = cut(texts.join(F.broadcast(chosen), "id").filter("text is not null").select("text", "label"), "labelled")
+    sample = texts.join(F.broadcast(chosen), "id").filter("text is not null")
+    sample = cut(sample.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).select("text", "label"), "labelled")
     model = learn(sample)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
 

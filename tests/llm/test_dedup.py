@@ -190,6 +190,7 @@ def test_line_chunks(spark):
         at = rng.randrange(40)
         rows.append((i, "\n".join(own + lines[at : at + rng.randrange(0, 20)]), "c", 1))
     rows += [(200, None, "c", 1), (201, "", "c", 1), (3, rows[3][1], "c", 1), (None, rows[5][1], "c", 1), (202, "\n\n\n\n", "c", 1)]
+    rows += [(300 + k, "\n".join([*(f"long {i % 7000}" for i in range(20_000)), *lines]), "c", 1) for k in range(2)]  # very long
     distinct = sorted({(i, t) for i, t, *_ in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
     seen, expected = set(), {}
     for i, t in distinct:
@@ -218,7 +219,7 @@ def test_repeated_runs_inside_different_texts(spark):
         at, a = rng.randrange(len(own) + 1), rng.randrange(36)
         own[at:at] = passage[a : a + rng.randrange(0, 5)]
         rows.append((i, "\n".join(own)))
-    rows += [(100, None), (101, ""), (102, "z\nz\nz\nz\nz"), (103, "a\nz\nz\nz\nb"), (3, rows[3][1]), (None, rows[5][1])]
+    rows += [(100, None), (101, ""), (102, "z\nz\nz\nz\nz"), (103, "a\nz\nz\nz\nb"), (3, rows[3][1]), (None, rows[5][1]), (104, "\n".join(f"long {i % 7000}" for i in range(20_000)))]
     distinct = sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
     first, expected = {}, {}
     for i, t in distinct:
