@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions.vectors import cosine_or_zero
+from larkspur.operators.jobs import TERMINAL
 from larkspur.session import cut, ship
 
 
@@ -40,12 +41,40 @@ def context_json(df: DataFrame, key: str, by: str, columns: list[str], n: int =
     return rows.groupBy(key).agg(F.to_json(F.transform(items, lambda x: x["v"])).alias("items"))
 
 
-def project_context(projects: DataFrame, parts: dict[str, DataFrame], slug: str, n: int = 5, by: str = "created_at") -> dict[str, DataFrame]:
-    """The newest rows of each part for one project; an unknown slug is an error."""
-    row = projects.filter(F.col("slug") == slug).select("id").limit(1).collect()
-    if not row:
+def recent_or_open(archived_at: Column, as_of: Column, hours: int = 24) -> Column:
+    """Not archived, or archived within the last hours."""
+    return archived_at.isNull() | (archived_at > as_of - F.make_dt_interval(hours=F.lit(hours)))
+
+
+def project_context(projects: DataFrame, memory: DataFrame, jobs: DataFrame, locks: DataFrame, slug: str, as_of: Column, n: int = 5) -> DataFrame:
+    """One row: the project, its n newest live decisions, issues and patterns, open jobs and lately completed ones, and how many locks are live.
+
+    An unknown slug is an error. What memory has no column for is null.
+    """
+    found = projects.filter(F.col("slug") == slug).limit(1).collect()
+    if not found:
         raise ValueError(f"no project {slug!r}")
-    return {name: recent(df.filter(F.col("project_id") == row[0]["id"]), n, by) for name, df in parts.items()}
+    of = lambda df: df.filter(F.col("project_id") == found[0]["id"])
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    title, content, created = F.col("title"), F.col("content"), F.col("created_at")
+    shapes = {
+        "recent_decisions": ("decision", [title, content.alias("decision"), none("rationale"), created]),
+        "recent_issues": ("issue", [title, none("category"), content.alias("description"), none("fix_applied"), created]),
+        "relevant_patterns": ("pattern", [title.alias("name"), none("category"), content.alias("description")]),
+    }
+    live = of(memory).filter("archived_at is null")
+    lists = {name: recent(live.filter(F.col("kind") == kind), n, "created_at").select("created_at", "id", F.struct(*shape).alias("v")) for name, (kind, shape) in shapes.items()}
+    state = ["title", "status", "current_phase", "branch_name"]
+    open_jobs = of(jobs).filter(~F.col("status").isin(TERMINAL) & F.col("archived_at").isNull())
+    lists["active_jobs"] = recent(open_jobs, n, "created_at").select("created_at", "id", F.struct(*state).alias("v"))
+    done = of(jobs).filter(F.col("status").isin(TERMINAL) & recent_or_open(F.col("archived_at"), as_of))
+    lists["recent_completed_jobs"] = recent(done, n, "updated_at").select(F.col("updated_at").alias("created_at"), "id", F.struct(*state, "error_count", "archived_at").alias("v"))
+    shown = [c for c in ("name", "description", "root_path", "constraints", "tech_stack") if c in projects.columns]
+    out = projects.filter(F.col("slug") == slug).limit(1).select(F.struct(*shown).alias("project"))
+    newest_first = lambda a, b: F.when(a["created_at"] > b["created_at"], -1).when(a["created_at"] < b["created_at"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
+    for name, rows in lists.items():  # n rows each
+        out = out.crossJoin(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "v")), newest_first), lambda x: x["v"]).alias(name)))
+    return out.crossJoin(of(locks).filter(F.col("expires_at") > as_of).agg(F.count(F.lit(1)).alias("active_file_locks")))
 
 
 def list_with_counts(parents: DataFrame, children: DataFrame, key: str, live: Column) -> DataFrame:

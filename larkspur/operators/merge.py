@@ -5,9 +5,16 @@ Parquet has no constraints or transactions, so idempotency comes from anti-joins
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.session import cut
+
+_log = logging.getLogger(__name__)
+
 
 def _key(df: DataFrame, keys: list[str]) -> list[Column]:
     return [df[k] for k in keys]
@@ -142,6 +149,48 @@ def backfill_counts(rows: DataFrame, memory: DataFrame, kind: str, valid: Column
     return flagged.agg(F.count(F.lit(1)).alias("scanned"), n(no_project).alias("skipped_no_project"), n(~no_project & ~F.col("_lk_ok")).alias("skipped_invalid"), n(usable & F.col("_lk_p").isNull()).alias("would_insert"), F.greatest(F.lit(0), n(usable & F.col("_lk_p").isNotNull())).alias("already"))
 
 
+def backfill(rows: DataFrame, memory: Callable[[], DataFrame], kind: str, valid: Column, append: Callable[[DataFrame], None], batch_rows: int = 1_000_000) -> dict[str, int]:
+    """Append rows (id, project_id, ...) to memory as (kind, provenance_id, ...) in batches; returns counts.
+
+    Batches are dealt by a hash of the id once, so each reads its own part only. memory is read anew for each batch, so rows that were
+    appended meanwhile, by an earlier run or another writer, count as skipped_dup, and running again inserts nothing. A batch whose append fails is
+    counted in batch_failures, and the others go on.
+    """
+    named = rows.withColumn("_lk_state", F.when(F.col("project_id").isNull(), "skipped_no_project").when(~F.coalesce(valid, F.lit(False)), "skipped_invalid").otherwise("ready"))
+    counts = {k: 0 for k in ("scanned", "inserted", "skipped_dup", "skipped_no_project", "skipped_invalid", "batch_failures")}
+    for r in named.groupBy("_lk_state").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts["scanned"] += r["n"]
+        if r["_lk_state"] != "ready":
+            counts[r["_lk_state"]] = r["n"]
+    ready = counts["scanned"] - counts["skipped_no_project"] - counts["skipped_invalid"]
+    batches = max(1, -(-ready // batch_rows))
+    dealt = cut(named.filter("_lk_state = 'ready'").drop("_lk_state").withColumn("_lk_batch", F.pmod(F.xxhash64("id"), F.lit(batches))).repartitionByRange("_lk_batch", "id"), "backfill")
+    for n in range(batches):
+        batch = dealt.filter(F.col("_lk_batch") == n).drop("_lk_batch").withColumnRenamed("id", "provenance_id").withColumn("kind", F.lit(kind))
+        try:
+            new = cut(insert_ignore(memory(), batch, ["provenance_id", "kind"], [F.col("provenance_id")]), "backfill-new")
+            append(new)
+        except Exception as e:  # noqa: BLE001  whatever a store may raise fails one batch only
+            _log.warning("batch %d of %d failed: %s", n + 1, batches, e)
+            counts["batch_failures"] += 1
+            continue
+        inserted = new.count()
+        counts["inserted"] += inserted
+        counts["skipped_dup"] += batch.count() - inserted
+    return counts
+
+
+def replace_grown(sessions: DataFrame, children: DataFrame, files: DataFrame, rebuild: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """sessions and children after files (path, content_hash, ...) are read: a session whose content is new for its path is replaced, and its
+    children, whose source_id is the path, are dropped and rebuilt from the new row. Files that didn't change leave all as it was.
+    """
+    changed = files.join(sessions.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
+    paths = changed.select("path").distinct()
+    kept = sessions.join(paths, "path", "left_anti").select(*sessions.columns).unionByName(changed.select(*sessions.columns))
+    rest = children.join(paths.select(F.col("path").alias("source_id")), "source_id", "left_anti").select(*children.columns)
+    return kept, rest.unionByName(rebuild(changed).select(*children.columns))
+
+
 def with_total(counts: DataFrame, name: str) -> DataFrame:
     """Rows of counts and their sum as a row named TOTAL."""
     sums = [F.sum(c).alias(c) for c in counts.columns if c != name]
@@ -157,3 +206,22 @@ def import_rows(target: DataFrame, rows: DataFrame, projects: DataFrame, keys: l
     new = insert_ignore(target, ready, keys, order)
     counters = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("project_slug").isNull()).alias("skipped_no_slug")).crossJoin(new.agg(F.count(F.lit(1)).alias("inserted"))).withColumn("skipped_dup", F.expr("rows - skipped_no_slug - inserted"))
     return {"insert": new, "projects": stubs, "counters": counters}
+
+
+def import_export(parts: dict[str, DataFrame], targets: dict[str, DataFrame], projects: DataFrame, keys: dict[str, list[str]], append: Callable[[dict[str, DataFrame]], None], dry_run: bool = False) -> dict[str, dict[str, int]]:
+    """Import the parts of an export, each into its target; counters by part. Nothing is handed to append, once and with all there is to write, before every part is worked out;
+    with dry_run nothing is.
+    """
+    writes, counters = {}, {}
+    stubs = None
+    for name, rows in parts.items():
+        found = import_rows(targets[name], rows, projects, keys[name], [F.col(k) for k in keys[name]])
+        writes[name] = cut(found["insert"], "import")
+        stubs = found["projects"] if stubs is None else stubs.unionByName(found["projects"])
+        counters[name] = found["counters"].first().asDict()
+    if stubs is not None:
+        writes["projects"] = cut(stubs.distinct(), "import")
+        counters["projects"] = {"inserted": writes["projects"].count()}
+    if not dry_run:
+        append(writes)
+    return counters

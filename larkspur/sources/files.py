@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import sqlite3
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import without_nul
+from larkspur.functions.text import redact_url, without_nul
 
-# Folders that a source scan leaves out.
-SKIPPED = ["node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", ".next", "coverage"]
-CODE = ["py", "ts", "tsx", "js", "jsx", "sql", "md", "sh", "yaml", "yml", "json", "toml"]
+# The usual extensions of a source scan, folders that settings leave out, and folders that are always left out.
+CODE = ["py", "ts", "tsx", "js", "sql"]
+IGNORED = ["node_modules", ".venv", "__pycache__", "dist", "build", ".next"]
+SKIPPED = [".git", ".openclaw", ".claude", "vendor", "coverage", ".pytest_cache", ".mypy_cache", ".ruff_cache"]
+# Fixed value: the version of the export's layout.
+EXPORT_VERSION = 1
 # Names of a text column in a legacy store, in order of preference.
 TEXT_COLUMNS = ["content", "text", "body", "message", "value", "chunk"]
 
@@ -27,16 +30,32 @@ def scan_files(spark: SparkSession, paths: list[str], pattern: str, least_bytes:
     return rows.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).filter(F.col("size") >= least_bytes)
 
 
-def source_tree(spark: SparkSession, root: str, changed: DataFrame | None = None, most_bytes: int = 100 << 10) -> DataFrame:
-    """(path, content, content_hash) of source files; changed (path): only those."""
+def source_tree(spark: SparkSession, root: str, changed: DataFrame | None = None, most_bytes: int = 100_000, types: list[str] = CODE, ignored: list[str] = IGNORED) -> DataFrame:
+    """(path, content, content_hash) of source files of the given types, without the ignored folders; changed (path, below root): only those."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = rows.filter((F.col("length") <= most_bytes) & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(CODE))
-    rows = rows.filter(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, SKIPPED))))
+    rows = rows.filter((F.col("length") <= most_bytes) & F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(list(types)))
+    # folders above the root don't count
+    below = F.regexp_replace(F.substring_index(F.col("path"), root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "/[^/]*$", "")
+    rows = rows.filter(~F.arrays_overlap(F.split(below, "/"), F.array(*map(F.lit, [*ignored, *SKIPPED]))))
     if changed is not None:
-        rows = rows.join(changed.select("path"), "path", "left_semi")
+        ends = changed.select(F.concat(F.lit(root.rstrip("/") + "/"), "path").alias("_lk_path"))
+        rows = rows.join(ends, F.regexp_replace("path", "^file:/*", "/") == F.regexp_replace("_lk_path", "^file:/*", "/"), "left_semi")
     return rows.select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
 
 
+def changed_files(listing: DataFrame) -> DataFrame:
+    """(path, removed) from a version control listing, a column `value` of lines 'status TAB path' or 'status TAB old TAB new'.
+
+    Of a rename the old path is removed and the new one changed; plain lines are changed paths; empty lines are skipped.
+    """
+    part = F.split("value", "\t", -1)
+    kind, n = F.upper(F.substring(part[0], 1, 1)), F.size(part)
+    one = lambda path, gone: F.struct(path.alias("path"), gone.alias("removed"))
+    moved = F.when(kind == "R", F.array(one(part[1], F.lit(True)), one(F.get(part, F.lit(2)), F.lit(False)))).otherwise(F.array(one(F.get(part, F.lit(2)), F.lit(False))))
+    found = F.when(n == 1, F.array(one(part[0], F.lit(False)))).when(n == 2, F.array(one(part[1], kind == "D"))).otherwise(moved)
+    return listing.filter(F.trim("value") != "").select(F.explode(found).alias("c")).select("c.*").distinct()
+
+
 def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     """Rows whose (source_app, content_hash) hasn't been ingested."""
     return rows.dropDuplicates(["source_app", "content_hash"]).join(seen.select("source_app", "content_hash"), ["source_app", "content_hash"], "left_anti")
@@ -74,18 +93,43 @@ def read_registry(spark: SparkSession, text: str) -> tuple[DataFrame, list[str]]
     return spark.createDataFrame(rows, "slug string, name string, purpose string, range_start int, range_end int"), errors
 
 
-def write_export(path: str, compress: bool = False, **parts: DataFrame) -> dict[str, int]:
-    """Each part as JSON lines in a folder of its own, ordered within files; returns counts."""
+def write_export(path: str, migration: str | None, source: str | None = None, compress: bool = False, **parts: DataFrame) -> dict[str, int]:
+    """A folder with one header document (version, exported_at, source) and each part as JSON lines; returns counts, taken while writing.
+
+    source is the address of the store; its password is left out. An export holds whole transcripts and channels: the folder belongs where only its
+    owner can read.
+    """
+    spark = next(iter(parts.values())).sparkSession
+    told = F.struct(redact_url(F.lit(source).cast("string")).alias("database_url"), F.lit(migration).cast("string").alias("schema_migration_top"))
+    header = spark.range(1).select(F.lit(EXPORT_VERSION).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("exported_at"), told.alias("source"))
+    header.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/header")
     counts = {}
     for name, df in parts.items():
         order = [c for c in ("created_at", "id") if c in df.columns]
-        (df.sortWithinPartitions(*order) if order else df).write.mode("overwrite").option("compression", "gzip" if compress else "none").option("ignoreNullFields", "false").json(f"{path}/{name}")
-        counts[name] = df.count()
+        seen = Observation()
+        rows = (df.sortWithinPartitions(*order) if order else df).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").option("compression", "gzip" if compress else "none").option("ignoreNullFields", "false").json(f"{path}/{name}")
+        counts[name] = seen.get["n"]
     return counts
 
 
-def read_export(spark: SparkSession, path: str, schemas: dict[str, str], version: str, expected: str) -> dict[str, DataFrame]:
-    """The parts of an export; its schema version must be the expected one."""
-    if version != expected:
-        raise ValueError(f"export has schema {version}, this store has {expected}")
+def export_header(spark: SparkSession, path: str) -> dict:
+    rows = spark.read.schema("version int, exported_at string, source struct<database_url: string, schema_migration_top: string>").json(f"{path}/header").collect()
+    if not rows:
+        raise ValueError("the export has no header")
+    return rows[0].asDict(recursive=True)
+
+
+def read_export(spark: SparkSession, path: str, schemas: dict[str, str], migration: str | None) -> dict[str, DataFrame]:
+    """The parts of an export whose header has this library's version and whose store stood at the same migration as this one."""
+    header = export_header(spark, path)
+    if header["version"] != EXPORT_VERSION:
+        raise ValueError(f"unsupported export version {header['version']!r}; this reads version {EXPORT_VERSION}")
+    top = (header["source"] or {}).get("schema_migration_top")
+    if top is None:
+        raise ValueError("the export has no schema_migration_top: export again from a migrated store")
+    if migration is None:
+        raise ValueError("this store has no migration: migrate it first")
+    if top != migration:
+        raise ValueError(f"schema mismatch: the export was made at {top!r}, this store is at {migration!r}")
     return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}

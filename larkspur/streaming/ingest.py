@@ -49,10 +49,16 @@ def live_leases(rows: DataFrame, as_of: str) -> DataFrame:
     return rows.filter(F.col("expires_at") >= F.lit(as_of).cast("timestamp"))
 
 
-def job_states(log: DataFrame, initial: str = "queued") -> DataFrame:
-    """(job_id, status, moves, rejected) after each micro-batch of a status log (job_id, seq, status): moves that aren't legal are counted, not made."""
+def job_states(log: DataFrame, initial: str = "queued", idle_ms: int | None = None) -> DataFrame:
+    """(job_id, status, moves, rejected, error_count) after each micro-batch of a status log (job_id, seq, status): moves that aren't legal are counted, not made.
+
+    idle_ms: a job that nothing came for as long is forgotten, so the state doesn't grow with all jobs there ever were; a later row of it begins anew.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, moves, rejected, errors = state.get if state.exists else (initial, 0, 0, 0)
         rows = pd.concat(list(batches)).sort_values("seq")
         for new in rows["status"]:
@@ -62,6 +68,8 @@ def job_states(log: DataFrame, initial: str = "queued") -> DataFrame:
             else:
                 rejected += 1
         state.update((status, moves, rejected, errors))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "moves": [moves], "rejected": [rejected], "error_count": [errors]})
 
-    return log.groupBy("job_id").applyInPandasWithState(update, "job_id string, status string, moves int, rejected int, error_count int", "status string, moves int, rejected int, error_count int", "update", GroupStateTimeout.NoTimeout)
+    return log.groupBy("job_id").applyInPandasWithState(update, "job_id string, status string, moves int, rejected int, error_count int", "status string, moves int, rejected int, error_count int", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -93,6 +93,43 @@ def test_import(spark):
     assert (c.rows, c.inserted, c.skipped_no_slug, c.skipped_dup) == (4, 2, 1, 1)
 
 
+def test_backfill(spark):
+    """Counts by reason, one failing batch doesn't stop the others, and a second run inserts nothing."""
+    rows = spark.createDataFrame([(f"r{i}", None if i % 10 == 0 else "p", f"c{i}", "" if i % 10 == 1 else "text") for i in range(100)], "id string, project_id string, title string, content string")
+    store = [spark.createDataFrame([("p", "t", "x", "r2", "chunk"), ("p", "t", "x", "r3", "decision")], "project_id string, title string, content string, provenance_id string, kind string")]
+    calls = []
+
+    def append(new):
+        calls.append(new.count())
+        if len(calls) == 2:
+            raise OSError("full")
+        store[0] = store[0].unionByName(new)
+
+    run = lambda: merge.backfill(rows, lambda: store[0], "chunk", F.col("content") != "", append, 20)
+    first = run()
+    assert (first["scanned"], first["skipped_no_project"], first["skipped_invalid"], first["batch_failures"]) == (100, 10, 10, 1) and len(calls) == 4
+    assert first["inserted"] == sum(calls) - calls[1] and first["skipped_dup"] <= 1
+    second, third = run(), run()
+    assert second["inserted"] == calls[1] and second["batch_failures"] == 0 and (third["inserted"], third["skipped_dup"]) == (0, 80)
+    assert store[0].filter("kind = 'chunk'").count() == 80
+
+
+def test_project_context(spark):
+    projects = spark.createDataFrame([("s", "p", "S", "d")], "slug string, id string, name string, description string")
+    memory = spark.createDataFrame([(i, "p", ["decision", "issue", "pattern"][i % 3], f"t{i}", f"c{i}", stamp(i), NOW if i == 3 else None) for i in range(24)], "id int, project_id string, kind string, title string, content string, created_at timestamp, archived_at timestamp")
+    states = ["queued", "approved", "failed", "reviewing"]
+    job = spark.createDataFrame([(i, "p" if i != 8 else "q", f"j{i}", states[i % 4], "x", "b", 0, stamp(i), stamp(-i), stamp(-30) if i == 1 else stamp(-2) if i in (2, 4) else None) for i in range(16)], "id int, project_id string, title string, status string, current_phase string, branch_name string, error_count int, created_at timestamp, updated_at timestamp, archived_at timestamp")
+    locks = spark.createDataFrame([("p", stamp(1)), ("p", NOW), ("q", stamp(1))], "project_id string, expires_at timestamp")
+    r = context.project_context(projects, memory, job, locks, "s", F.lit(NOW)).collect()
+    assert len(r) == 1 and r[0].project.asDict() == {"name": "S", "description": "d"} and r[0].active_file_locks == 1
+    assert [d.title for d in r[0].recent_decisions] == ["t21", "t18", "t15", "t12", "t9"] and r[0].recent_decisions[0].rationale is None
+    assert [d.description for d in r[0].recent_issues] == ["c22", "c19", "c16", "c13", "c10"] and [d.name for d in r[0].relevant_patterns][0] == "t23"
+    assert [j.title for j in r[0].active_jobs] == ["j15", "j12", "j11", "j7", "j3"]
+    assert [j.title for j in r[0].recent_completed_jobs] == ["j2", "j5", "j6", "j9", "j10"]
+    with pytest.raises(ValueError):
+        context.project_context(projects, memory, job, locks, "other", F.lit(NOW))
+
+
 def _chain(n=300):
     rows, prev = [], None
     for seq in range(1, n + 1):
@@ -223,8 +260,6 @@ def test_context(spark):
     assert sorted((r.event_id, r.recipient) for r in context.fan_out(two).collect()) == [(1, "a"), (1, "b"), (2, "a"), (3, "a")]
     same = devs.select(context.add_channel(F.col("channels"), "mail", "a@x").alias("c"), context.remove_channel(F.col("channels"), "mail", "a@x").alias("r"), "dev_id").filter("dev_id = 'a'").first()
     assert len(same.c) == 2 and len(same.r) == 1
-    with pytest.raises(ValueError):
-        context.project_context(spark.createDataFrame([("s", "p")], "slug string, id string"), {}, "other")
     assert context.write_drift(locks.limit(0), locks) and not context.write_drift(locks, locks)
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import render_session, session_json
+from larkspur.operators import merge
 from larkspur.sources import files, transcripts
 from larkspur.streaming import ingest
 
@@ -90,14 +91,72 @@ def test_stores(spark, tmp_path):
     assert files.read_sqlite(spark, str(tmp_path / "m.db"), "missing").count() == 0
     rows, errors = files.read_registry(spark, json.dumps({"projects": {"p": {"name": "P", "ports": {"web": "3000-3010", "db": 5432, "bad": "9-1", "odd": "x"}}}}))
     assert {(r.purpose, r.range_start, r.range_end) for r in rows.collect()} == {("web", 3000, 3010), ("db", 5432, 5432)} and len(errors) == 2
-    data = spark.createDataFrame([(1, "a", [0.1, 1e-6]), (2, None, None)], "id int, t string, v array<double>")
+
+
+def test_exports(spark, tmp_path):
+    """Parts come back bit by bit, plain and compressed; the header decides whether they fit; a dry run writes nothing and a second import nothing new."""
+    data = spark.createDataFrame([(1, "a", [0.1, 1e-6], "s"), (2, None, None, "s"), (3, "z" * 5000, [1.5], "new"), (4, "x", None, None)], "id int, t string, v array<double>, project_slug string")
+    sizes = {}
     for gz in (False, True):
         out = str(tmp_path / f"e{gz}")
-        assert files.write_export(out, gz, memory=data) == {"memory": 2}
-        back = files.read_export(spark, out, {"memory": "id int, t string, v array<double>"}, "15", "15")["memory"]
-        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, data.collect()))
+        assert files.write_export(out, "015.sql", "postgresql://u:secret@h/db", gz, memory=data) == {"memory": 4}
+        header = files.export_header(spark, out)
+        assert header["version"] == 1 and header["source"] == {"database_url": "postgresql://u:***@h/db", "schema_migration_top": "015.sql"} and header["exported_at"]
+        back = files.read_export(spark, out, {"memory": "id int, t string, v array<double>, project_slug string"}, "015.sql")
+        assert sorted(map(tuple, back["memory"].collect())) == sorted(map(tuple, data.collect()))
+        sizes[gz] = sum(p.stat().st_size for p in (tmp_path / f"e{gz}" / "memory").iterdir())
+    assert sizes[True] < sizes[False] / 2
+    for migration in ("014.sql", None):
+        with pytest.raises(ValueError):
+            files.read_export(spark, str(tmp_path / "eTrue"), {}, migration)
+    files.write_export(str(tmp_path / "old"), None, memory=data)
+    with pytest.raises(ValueError):
+        files.read_export(spark, str(tmp_path / "old"), {}, "015.sql")
+    (tmp_path / "other" / "header").mkdir(parents=True)
+    (tmp_path / "other" / "header" / "x.json").write_text('{"version": 2, "source": {"schema_migration_top": "015.sql"}}')
     with pytest.raises(ValueError):
-        files.read_export(spark, "x", {}, "14", "15")
+        files.read_export(spark, str(tmp_path / "other"), {}, "015.sql")
+    store = {"memory": spark.createDataFrame([(1, "own", None, "p1")], "id int, t string, v array<double>, project_id string"), "projects": spark.createDataFrame([("s", "p1")], "slug string, id string")}
+    written = []
+
+    def append(writes):
+        written.append(writes)
+        store["memory"] = store["memory"].unionByName(writes["memory"])
+        store["projects"] = store["projects"].unionByName(writes["projects"].selectExpr("slug", "concat('new:', slug) id"))
+
+    def run(dry_run):
+        return merge.import_export(back, {"memory": store["memory"]}, store["projects"], {"memory": ["id"]}, append, dry_run)
+
+    first = {"memory": {"rows": 4, "skipped_no_slug": 1, "inserted": 2, "skipped_dup": 1}, "projects": {"inserted": 1}}
+    assert run(True) == first and not written and run(False) == first and len(written) == 1
+    assert {(r.id, r.project_id) for r in store["memory"].collect()} == {(1, "p1"), (2, "p1"), (3, "new:new")}
+    again = run(False)
+    assert again["memory"]["inserted"] == 0 and again["memory"]["skipped_dup"] == 3 and again["projects"]["inserted"] == 0
+
+
+def test_grown_sessions_are_replaced(spark):
+    sessions = spark.createDataFrame([("/a", "h1", "one"), ("/b", "h2", "two")], "path string, content_hash string, value string")
+    chunks = spark.createDataFrame([("/a", "one"), ("/b", "two"), ("/other", "kept")], "source_id string, content string")
+    seen = spark.createDataFrame([("/a", "h1", "one"), ("/b", "h3", "two more"), ("/c", "h4", "new")], sessions.schema)
+    rebuild = lambda rows: rows.select(F.col("path").alias("source_id"), F.explode(F.split("value", " ")).alias("content"))
+    kept, built = merge.replace_grown(sessions, chunks, seen, rebuild)
+    assert {tuple(r) for r in kept.collect()} == {("/a", "h1", "one"), ("/b", "h3", "two more"), ("/c", "h4", "new")}
+    assert {tuple(r) for r in built.collect()} == {("/a", "one"), ("/b", "two"), ("/b", "more"), ("/c", "new"), ("/other", "kept")}
+    same = merge.replace_grown(kept, built, seen, rebuild)
+    assert {tuple(r) for r in same[1].collect()} == {tuple(r) for r in built.collect()}
+
+
+def test_changed_files(spark, tmp_path):
+    listing = spark.createDataFrame([("M\ta.py",), ("A\tsub/b.py",), ("D\tgone.py",), ("R100\told.py\tnew.py",), ("C75\ta.py\tcopy.py",), ("plain.py",), ("",)], "value string")
+    found = files.changed_files(listing)
+    assert {(r.path, r.removed) for r in found.collect()} == {("a.py", False), ("sub/b.py", False), ("gone.py", True), ("old.py", True), ("new.py", False), ("copy.py", False), ("plain.py", False)}
+    for name in ("a.py", "sub/b.py", "vendor/c.py", "d.py", "e.go"):
+        _write((tmp_path / "vendor" / "tree" / name).parent, name.rsplit("/", 1)[-1], "x")
+    root = str(tmp_path / "vendor" / "tree")
+    names = lambda df: sorted(r.path.split("/tree/", 1)[1] for r in df.collect())
+    assert names(files.source_tree(spark, root)) == ["a.py", "d.py", "sub/b.py"]
+    assert names(files.source_tree(spark, root, types=["go", "py"], ignored=["sub"])) == ["a.py", "d.py", "e.go"]
+    assert names(files.source_tree(spark, root, changed=found.filter("not removed"))) == ["a.py", "sub/b.py"]
 
 
 def test_streaming_ingest(spark, tmp_path):
