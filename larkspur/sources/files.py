@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import sqlite3
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import redact_url, without_nul
+from larkspur.functions.text import estimate_tokens, redact_url, stripped, without_nul
+from larkspur.session import cut
 
 # The usual extensions of a source scan, folders that settings leave out, and folders that are always left out.
 CODE = ["py", "ts", "tsx", "js", "sql"]
@@ -16,8 +18,9 @@ IGNORED = ["node_modules", ".venv", "__pycache__", "dist", "build", ".next"]
 SKIPPED = [".git", ".openclaw", ".claude", "vendor", "coverage", ".pytest_cache", ".mypy_cache", ".ruff_cache"]
 # Fixed value: the version of the export's layout.
 EXPORT_VERSION = 1
-# Names of a text column in a legacy store, in order of preference.
-TEXT_COLUMNS = ["content", "text", "body", "message", "value", "chunk"]
+# Names of a text column in a legacy store, and how many characters of a text are embedded.
+TEXT_COLUMNS = ["content", "text", "chunk"]
+EMBEDDED_CHARS = 2000
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -61,14 +64,22 @@ def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["source_app", "content_hash"]).join(seen.select("source_app", "content_hash"), ["source_app", "content_hash"], "left_anti")
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str, least_chars: int = 20) -> DataFrame:
-    """(id, text) of a local SQLite table, read on the driver: a one-time import of a small store."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        columns = [r[1] for r in db.execute(f'pragma table_info("{table}")')]
-        text = next((c for c in TEXT_COLUMNS if c in columns), None)
-        rows = db.execute(f'select rowid, "{text}" from "{table}"').fetchall() if text else []
-    df = spark.createDataFrame([(int(i), None if t is None else str(t)) for i, t in rows], "id long, text string")
-    return df.withColumn("text", without_nul(F.col("text"))).filter(F.length(F.trim("text")) >= least_chars)
+def read_sqlite(spark: SparkSession, path: str, table: str, text_columns: list[str] = TEXT_COLUMNS, least_chars: int = 20, most_chars: int | None = None, page: int = 10_000) -> DataFrame:
+    """(id, text, embed_text, token_count) of a local SQLite table, which only the driver can read: a one-time import, a page at a time.
+
+    The text is the table's first column with one of the names; other values than strings and short texts are left out, and texts are cut to most_chars.
+    """
+    schema = "id long, text string"
+    out = spark.createDataFrame([], schema)
+    with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        text = next((r[1] for r in db.execute(f'pragma table_info("{table}")') if r[1] in text_columns), None)
+        rows = db.execute(f'select rowid, "{text}" from "{table}"') if text else None
+        while rows and (some := rows.fetchmany(page)):
+            out = out.unionByName(cut(spark.createDataFrame([(int(i), t) for i, t in some if isinstance(t, str)], schema), "sqlite"))
+    bare = out.filter(F.length(stripped(F.col("text"))) >= least_chars).withColumn("text", without_nul(F.col("text")))
+    tokens = estimate_tokens(F.col("text")).alias("token_count")
+    kept = F.col("text") if most_chars is None else F.substring("text", 1, most_chars)
+    return bare.select("id", kept.alias("text"), F.substring("text", 1, EMBEDDED_CHARS).alias("embed_text"), tokens)
 
 
 def read_registry(spark: SparkSession, text: str) -> tuple[DataFrame, list[str]]:

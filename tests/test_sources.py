@@ -85,9 +85,11 @@ def test_scans(spark, tmp_path):
 
 def test_stores(spark, tmp_path):
     with sqlite3.connect(tmp_path / "m.db") as db:
-        db.execute("create table mem (key text, body text)")
-        db.executemany("insert into mem values (?, ?)", [("a", "x" * 30), ("b", "short"), ("c", None), ("d", "y\0" * 20)])
-    assert sorted(r.text for r in files.read_sqlite(spark, str(tmp_path / "m.db"), "mem").collect()) == ["x" * 30, "y" * 20]
+        db.execute("create table mem (key text, text text, content text)")
+        db.executemany("insert into mem values (?, ?, 'other')", [("a", "x" * 30), ("b", "short"), ("c", None), ("d", "y\0" * 20), ("e", "z" * 6000), ("f", 7)])
+    for page in (2, 10_000):
+        got = files.read_sqlite(spark, str(tmp_path / "m.db"), "mem", most_chars=5000, page=page)
+        assert sorted((r.text, len(r.embed_text), r.token_count) for r in got.collect()) == [("x" * 30, 30, 7), ("y" * 20, 20, 5), ("z" * 5000, 2000, 1500)]
     assert files.read_sqlite(spark, str(tmp_path / "m.db"), "missing").count() == 0
     rows, errors = files.read_registry(spark, json.dumps({"projects": {"p": {"name": "P", "ports": {"web": "3000-3010", "db": 5432, "bad": "9-1", "odd": "x"}}}}))
     assert {(r.purpose, r.range_start, r.range_end) for r in rows.collect()} == {("web", 3000, 3010), ("db", 5432, 5432)} and len(errors) == 2
