@@ -40,11 +40,17 @@ ARTIFACTS = f"(SELECT l_orderkey AS job_id, CASE l_returnflag WHEN 'A' THEN 'rev
 
 
 def _artifacts(spark: SparkSession, d: str) -> DataFrame:
+    """lineitem as artifacts; their id is a struct that orders as TIES does (see _told)."""
     (li,) = tables(spark, d, "lineitem")
-    pad = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    ties = F.concat_ws("|", pad(F.col("l_linenumber"), 4), pad(F.col("l_partkey"), 10), pad(F.col("l_suppkey"), 10), pad(F.round(F.col("l_extendedprice") * 100).cast("long"), 14), F.col("l_returnflag"), pad(F.col("l_quantity").cast("long"), 4))
+    ident = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), "l_returnflag", F.col("l_quantity").cast("long").alias("quantity"))
     phase = F.when(F.col("l_returnflag") == "A", "reviewing").when(F.col("l_returnflag") == "R", "fix_loop").otherwise("planning")
-    return li.select(F.col("l_orderkey").alias("job_id"), phase.alias("phase"), F.when(F.col("l_linestatus") == "O", "arch_review").otherwise("plan_doc").alias("artifact_type"), (F.col("l_quantity") % 5).cast("int").alias("findings_count"), (F.col("l_quantity") % 3).cast("int").alias("blocking_count"), F.col("l_shipdate").alias("created_at"), ties.alias("id"))
+    return li.select(F.col("l_orderkey").alias("job_id"), phase.alias("phase"), F.when(F.col("l_linestatus") == "O", "arch_review").otherwise("plan_doc").alias("artifact_type"), (F.col("l_quantity") % 5).cast("int").alias("findings_count"), (F.col("l_quantity") % 3).cast("int").alias("blocking_count"), F.col("l_shipdate").alias("created_at"), ident.alias("id"))
+
+
+def _told(artifacts: DataFrame) -> DataFrame:
+    """artifacts with the id as a string."""
+    pad = lambda c, n: F.lpad(F.col(f"id.{c}").cast("string"), n, "0")
+    return artifacts.withColumn("id", F.concat_ws("|", pad("l_linenumber", 4), pad("l_partkey", 10), pad("l_suppkey", 10), pad("cents", 14), F.col("id.l_returnflag"), pad("quantity", 4)))
 
 
 COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
@@ -396,12 +402,12 @@ def transition_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("last_round_window", f"SELECT job_id, id, blocking_count FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC, id DESC) AS n, count(*) OVER (PARTITION BY job_id) AS c FROM {ARTIFACTS} WHERE phase = 'reviewing') WHERE n IN (3, 4) AND c >= 4")
 def last_round_window(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.last_round(_artifacts(spark, d)).select("job_id", "id", "blocking_count")
+    return _told(jobs.last_round(_artifacts(spark, d))).select("job_id", "id", "blocking_count")
 
 
 @query("since_marker", f"SELECT a.job_id, a.id FROM {ARTIFACTS} a LEFT JOIN (SELECT job_id, max(struct_pack(a := created_at, b := id)) AS m FROM {ARTIFACTS} WHERE phase = 'fix_loop' GROUP BY 1) f USING (job_id) WHERE m IS NULL OR struct_pack(a := a.created_at, b := a.id) >= m")
 def since_marker(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.since_marker(_artifacts(spark, d), jobs.FIXES).select("job_id", "id")
+    return _told(jobs.since_marker(_artifacts(spark, d), jobs.FIXES)).select("job_id", "id")
 
 
 REVIEW = "('- BLOCKING → rubric' || array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: chr(10) || CASE WHEN i % 2 = 1 THEN '1. **BLOCKING:** ' ELSE '- WARNING — ' END || x), '') || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'BLOCKING: again' ELSE '' END)"

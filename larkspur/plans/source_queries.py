@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import findings, text
 from larkspur.operators import context, jobs, ledger
 from larkspur.plans.queries import ARTIFACTS, JOBS, RANGES, _artifacts, _jobs, _ranges
+from larkspur.plans.queries import _told as _artifact_names
 from larkspur.plans.registry import query
 from larkspur.sources import transcripts
 from larkspur.sources.files import changed_files, tables
@@ -143,7 +144,7 @@ def change_operations(spark: SparkSession, d: str) -> DataFrame:
 
 @query("prior_items", f"SELECT job_id, artifact_type, id AS item FROM (SELECT *, max(struct_pack(a := created_at, b := id)) OVER (PARTITION BY job_id, artifact_type) AS m FROM {ARTIFACTS}) WHERE struct_pack(a := created_at, b := id) < m")
 def prior_items(spark: SparkSession, d: str) -> DataFrame:
-    a = _artifacts(spark, d).withColumn("content", F.concat(F.lit("Notes\n1. **BLOCKING:** "), "id", F.lit("\n- WARNING: other")))
+    a = _artifact_names(_artifacts(spark, d)).withColumn("content", F.concat(F.lit("Notes\n1. **BLOCKING:** "), "id", F.lit("\n- WARNING: other")))
     return jobs.prior_items(a).select("job_id", "artifact_type", F.regexp_replace("item", r"^\*\* ", "").alias("item"))
 
 

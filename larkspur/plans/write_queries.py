@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import text, vectors
 from larkspur.operators import context, jobs, ledger, merge, ports
-from larkspur.plans.queries import ARTIFACTS, JOBS, RANGES, _artifacts, _jobs, _ledger, _lock_rows, _ranges
+from larkspur.plans.queries import ARTIFACTS, JOBS, RANGES, _artifacts, _jobs, _ledger, _lock_rows, _ranges, _told
 from larkspur.plans.registry import query
 from larkspur.sources.files import tables
 from larkspur.streaming.ingest import live_leases, tail
@@ -181,7 +181,7 @@ STATUSES = ["queued", "planning", "implementing", "reviewing", "qa", "fix_loop",
 
 @query("phase_progress_preview", f"SELECT job_id, id, CASE s WHEN 'queued' THEN 1 WHEN 'planning' THEN 2 WHEN 'implementing' THEN 3 WHEN 'reviewing' THEN 4 WHEN 'qa' THEN 5 WHEN 'ready_for_approval' THEN 6 ELSE 0 END AS progress, substr(id, 1, 9) AS head FROM (SELECT *, {STATUSES}[(job_id % 10 + 1)::INT] AS s FROM {ARTIFACTS})")
 def phase_progress_preview(spark: SparkSession, d: str) -> DataFrame:
-    a = _artifacts(spark, d)
+    a = _told(_artifacts(spark, d))
     status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("job_id") % 10 + 1).cast("int"))
     return a.select("job_id", "id", text.phase_progress(status).alias("progress"), text.preview(F.col("id"), 9).alias("head"))
 
