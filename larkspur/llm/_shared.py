@@ -68,7 +68,7 @@ def passing(df: DataFrame, column: str, known: DataFrame) -> DataFrame:
 def bit_array(known: DataFrame) -> np.ndarray:
     """A bitmap as bytes, for functions that run in tasks (see is_set)."""
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in known.toLocalIterator():  # FILTER_BITS bits at most
+    for r in known.toArrow().to_pylist():  # FILTER_BITS bits at most
         at = (r["bucket"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
     return out
