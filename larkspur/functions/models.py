@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.findings import parse_lessons
+from larkspur.session import ship
 
 Embedder = Callable[[list[str]], list[list[float]]]
 Writer = Callable[[str], "str | None"]
@@ -75,6 +76,7 @@ def embed(df: DataFrame, text_col: str, out: str, embedder: Embedder = hash_embe
                             found.append([0.0] * size)
             yield pd.Series(found, dtype=object)
 
+    ship(df.sparkSession)
     return df.withColumn(out, F.pandas_udf(vectors, "array<float>")(F.col(text_col).cast("string")))
 
 
@@ -88,6 +90,7 @@ def summarise(df: DataFrame, text_col: str, out: str, writer: Writer = extract,
         for texts in batches:
             yield texts.map(lambda t: None if t is None else writer(t[:cut]), na_action="ignore")
 
+    ship(df.sparkSession)
     return df.withColumn(out, F.pandas_udf(written, "string")(F.col(text_col).cast("string")))
 
 

@@ -8,13 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.functions import findings, text
+from larkspur.functions import findings, models, text
 from larkspur.operators import context, jobs, ledger
 from larkspur.plans.queries import ARTIFACTS, JOBS, RANGES, _artifacts, _jobs, _ranges
 from larkspur.plans.queries import _told as _artifact_names
 from larkspur.plans.registry import query
 from larkspur.sources import transcripts
-from larkspur.sources.files import changed_files, tables
+from larkspur.sources.files import changed_files, tables, unseen
 
 TRIMMED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 
@@ -193,3 +193,39 @@ def project_context(spark: SparkSession, d: str) -> DataFrame:
     out = context.project_context(projects, memory, work, locks, f"s{first}", F.lit("1997-01-01").cast("timestamp_ntz"))
     names = lambda c, f: F.array_join(F.transform(c, lambda x: x[f]), ",")
     return out.select(F.col("project.name").alias("project"), names("recent_decisions", "title").alias("decisions"), names("recent_issues", "description").alias("issues"), names("relevant_patterns", "name").alias("patterns"), names("active_jobs", "title").alias("active"), names("recent_completed_jobs", "title").alias("completed"), F.col("active_file_locks").alias("locks"))
+
+
+@query("model_embedding", "SELECT doc_id, CASE WHEN length(text) > 10000 THEN 0 ELSE length(text) END AS chars, CASE WHEN length(text) > 10000 THEN 0 ELSE length(text) - length(replace(text, 'e', '')) END AS es FROM documents")
+def model_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """A model that fails on batches with a long text, and on very long ones alone too: those get zeros."""
+    (docs,) = tables(spark, d, "documents")
+
+    def counting(texts: list[str]) -> list[list[float]]:
+        if any(len(t) > (10_000 if len(texts) == 1 else 2_000) for t in texts):
+            raise ValueError("too long")
+        return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+    out = models.reembed(docs.select("doc_id", "text"), "text", counting, 2)
+    return out.select("doc_id", *[F.col("embedding")[k].cast("long").alias(n) for k, n in enumerate(("chars", "es"))])
+
+
+@query("model_summaries", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'kept' ELSE coalesce(nullif(split_part(substr(text, 1, 12000), chr(10), 1), ''), '-') END AS summary FROM documents")
+def model_summaries(spark: SparkSession, d: str) -> DataFrame:
+    (docs,) = tables(spark, d, "documents")
+    sessions = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), F.col("text").alias("raw_content"), F.when(F.col("doc_id") % 3 == 0, "kept").alias("summary"))
+    filled, _ = models.fill_summaries(sessions, lambda t: t.split("\n")[0] or None)
+    return filled.select(F.col("id").alias("doc_id"), F.coalesce("summary", F.lit("-")).alias("summary"))
+
+
+@query("model_lessons", r"SELECT doc_id AS job_id, lesson, 'c' AS category FROM (SELECT doc_id, regexp_replace(split_part(substr(text, 1, 8000), chr(10), 1), '^\s+|\s+$', '', 'g') AS lesson FROM documents) WHERE lesson <> ''")
+def model_lessons(spark: SparkSession, d: str) -> DataFrame:
+    (docs,) = tables(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("job_id"), F.lit(0).alias("created_at"), F.lit("a").alias("id"), F.col("text").alias("content"))
+    return models.extract_lessons(rows, lambda t: "LESSON: " + t.split("\n")[0] + "\nCATEGORY: C").select("job_id", "lesson", "category")
+
+
+@query("unseen_sources", "SELECT DISTINCT source AS source_app, sha256(text) AS content_hash FROM documents EXCEPT SELECT source, sha256(text) FROM documents WHERE doc_id % 4 = 0")
+def unseen_sources(spark: SparkSession, d: str) -> DataFrame:
+    (docs,) = tables(spark, d, "documents")
+    rows = docs.select("doc_id", F.col("source").alias("source_app"), text.sha256_hex(F.col("text")).alias("content_hash"))
+    return unseen(rows, rows.filter("doc_id % 4 = 0")).select("source_app", "content_hash")
