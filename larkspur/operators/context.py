@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.vectors import cosine_or_zero
 from larkspur.operators.jobs import TERMINAL
 from larkspur.session import cut, ship
 
@@ -187,43 +186,58 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key), key, "left_anti")
 
 
-def similar_existing(new: DataFrame, existing: DataFrame, key: str, threshold: float = 0.85) -> DataFrame:
-    """New rows (id, key, vector) without an existing one of the same key that is more similar than the threshold."""
-    old = existing.select(F.col(key).alias("_lk_k"), F.col("vector").alias("_lk_v"))
-    return new.join(old, (F.col(key) == F.col("_lk_k")) & (cosine_or_zero(F.col("vector"), F.col("_lk_v")) > threshold), "left_anti")
+#: Rows of a key that a task holds on either side, and that one round of greedy_dedup decides.
+ROUND = 4096
 
 
-#: Rows of a key that one round decides, and kept rows that they are held against at a time.
-ROUND = 4096
+def _unit(table: pa.Table) -> np.ndarray:
+    """The vectors, of length 1, or 0 for a zero vector."""
+    v = np.array(table.column("vector").to_pylist(), float).reshape(table.num_rows, -1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _similar(new: DataFrame, old: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(id) of the rows of new (id, key, vector) that are more similar to a row of old of their key than the threshold.
+
+    Both sides of a key are dealt into blocks of about ROUND rows, and each pair of blocks is a matrix product in a task of its own.
+    """
+    ship(new.sparkSession)
+    most = lambda df: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    blocks = {"_lk_a": max(1, -(-most(new) // ROUND)), "_lk_b": max(1, -(-most(old) // ROUND))}
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        rows = df.select("id", key, "vector").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks[own])).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))).groupBy(key, "_lk_a", "_lk_b")
+
+    def near(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        hit = (_unit(left) @ _unit(right).T > threshold).any(1) if left.num_rows and right.num_rows else np.zeros(left.num_rows, bool)
+        return left.filter(pa.array(hit)).select(["id"])
+
+    return dealt(new, "_lk_a", "_lk_b").cogroup(dealt(old, "_lk_b", "_lk_a")).applyInArrow(near, T.StructType([new.schema["id"]])).distinct()
+
+
+def similar_existing(new: DataFrame, existing: DataFrame, key: str, threshold: float = 0.85) -> DataFrame:
+    """New rows (id, key, vector) without an existing one of the same key that is more similar than the threshold; rows without a key have none."""
+    return new.join(_similar(new, existing.filter(F.col(key).isNotNull()), key, threshold), "id", "left_anti").select(*new.columns)
 
 
 def greedy_dedup(rows: DataFrame, key: str, order: str, threshold: float = 0.85) -> DataFrame:
     """Rows (id, key, order, vector) that no earlier kept row of their key is more similar to than the threshold.
 
     Each choice depends on the choices before, so keys are gone through in rounds of ROUND rows: a round's rows are held against
-    blocks of the rows kept so far, each key and block in a task of its own, and what is left is chosen among itself, a key a task.
-    Equal places in the order go by id.
+    the rows kept so far, and what is left is chosen among itself, a key a task. Equal places in the order go by id, which is unique.
     """
     ship(rows.sparkSession)
     place = F.row_number().over(Window.partitionBy(key).orderBy(order, "id")) - 1
     placed = rows.select(key, "id", order).withColumn("_lk_at", place).withColumn("_lk_round", F.expr(f"_lk_at div {ROUND}"))
-    rows = cut(rows.select(key, "id", order, "vector").join(placed.select(key, "id", order, "_lk_at", "_lk_round"), [key, "id", order]), "ordered")
+    rows = cut(rows.select(key, "id", order, "vector").join(placed.select("id", "_lk_at", "_lk_round"), "id"), "ordered")
     rounds = rows.agg(F.coalesce(F.max("_lk_round"), F.lit(-1))).first()[0] + 1
     schema = rows.schema
 
-    def unit(table: pa.Table) -> np.ndarray:
-        v = np.array(table.column("vector").to_pylist(), float).reshape(table.num_rows, -1)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
-
-    def apart(_: tuple, new: pa.Table, kept: pa.Table) -> pa.Table:
-        """The new rows that are similar to a kept one."""
-        near = (unit(new) @ unit(kept).T > threshold).any(1) if new.num_rows and kept.num_rows else np.zeros(new.num_rows, bool)
-        return new.filter(pa.array(near)).select(["id"])
-
     def chosen(table: pa.Table) -> pa.Table:
         table = table.sort_by("_lk_at")
-        v, stays = unit(table), []
+        v, stays = _unit(table), []
         for i in range(len(v)):
             if not (v[stays] @ v[i] > threshold).any():
                 stays.append(i)
@@ -233,9 +247,6 @@ def greedy_dedup(rows: DataFrame, key: str, order: str, threshold: float = 0.85)
     for n in range(rounds):
         new = rows.filter(F.col("_lk_round") == n)
         if n:
-            # kept rows of a round are a block: ROUND a key at most
-            spread = new.withColumn("_lk_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-            near = spread.groupBy(key, "_lk_block").cogroup(kept.withColumn("_lk_block", F.col("_lk_round").cast("int")).groupBy(key, "_lk_block")).applyInArrow(apart, T.StructType([schema["id"]]))
-            new = new.join(near.distinct(), "id", "left_anti").select(*rows.columns)
+            new = new.join(_similar(new, kept, key, threshold), "id", "left_anti").select(*rows.columns)
         kept = kept.unionByName(cut(new.groupBy(key).applyInArrow(chosen, schema), "kept"))
     return kept.select(key, "id", order)

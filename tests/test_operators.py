@@ -263,7 +263,10 @@ def test_context(spark):
     assert context.write_drift(locks.limit(0), locks) and not context.write_drift(locks, locks)
 
 
-def test_greedy_dedup(spark):
+@pytest.mark.parametrize("most", [context.ROUND, 12])
+def test_greedy_dedup(spark, monkeypatch, most):
+    """In one round and in several."""
+    monkeypatch.setattr(context, "ROUND", most)
     rng = random.Random(3)
     rows = [(i, f"k{i % 3}", i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(90)]
     got = {r.id for r in context.greedy_dedup(spark.createDataFrame(rows, "id int, key string, seq int, vector array<double>"), "key", "seq", 0.5).collect()}
@@ -273,6 +276,10 @@ def test_greedy_dedup(spark):
         if all(cos(v, w) <= 0.5 for _, w in kept.setdefault(k, [])):
             kept[k].append((i, v))
     assert got == {i for v in kept.values() for i, _ in v}
+    df = spark.createDataFrame([*rows, (100, None, 0, [0.0] * 4)], "id int, key string, seq int, vector array<double>")
+    old = df.filter("id % 4 > 0")
+    new = {r.id for r in context.similar_existing(df.filter("id % 4 = 0"), old, "key", 0.5).collect()}
+    assert new == {i for i, k, _, v in rows if i % 4 == 0 and all(cos(v, w) <= 0.5 for j, o, _, w in rows if j % 4 and o == k)} | {100}
 
 
 def chunks_of(text, most, carry):
