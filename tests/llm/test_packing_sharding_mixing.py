@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from larkspur.llm import mixing, packing, sharding
+from larkspur.llm import _shared, mixing, packing, sharding
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, source string, row string, id int"
@@ -78,6 +78,7 @@ def test_bins_use_each_piece_once():
 
 def test_shards_match_the_mixture(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(_shared, "GROUP", 3)
     data, shards = rows(n=300), 16
     got = sharding.assign_shards(spark.createDataFrame(data, SCHEMA), shards).collect()
     size = lambda t: len((t or "").encode()) + 1
@@ -106,6 +107,7 @@ def test_written_shards(spark, tmp_path):
 @pytest.mark.parametrize("options", [{"entropy": 0.97}, {"repetition": 1.5}, {"repetition": 1.5, "budget": None}, {"entropy": 0.5, "budget": 0.3}])
 def test_mixing(spark, monkeypatch, options):
     monkeypatch.setattr(mixing, "BLOCK_ROWS", 9)
+    monkeypatch.setattr(_shared, "GROUP", 3)
     data = rows(n=400)
     df = spark.createDataFrame(data, SCHEMA)
     got = mixing.mix(df, **options).collect()
