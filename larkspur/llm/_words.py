@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,6 +76,16 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int = CHUNK_BYTE
     trim()
 
 
+def over_chunks(batches: Iterator[pa.RecordBatch], text: str, work: Callable[[pa.RecordBatch, list[bytes]], list[pa.RecordBatch]], most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """What work makes of each slice (see chunked). Nothing of a slice is held any more when free memory is given back."""
+    slices = chunked(batches, text, most)
+    while (some := next(slices, None)) is not None:
+        out = work(*some)
+        del some
+        yield from out
+        del out
+
+
 def trim() -> None:
     """Give free memory back to the system, as a worker stays for other tasks."""
     gc.collect()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm._shared import bit_array, bitmap, bucket_count, is_set, passing, unpacked
-from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
+from larkspur.llm._words import hashes_of, mixed, over_chunks, window_hashes, words_of
 from larkspur.session import cut
 
 BANDS, ROWS = 20, 5
@@ -89,15 +89,14 @@ def _sketches(docs: DataFrame, k: int, bands: int, rows: int, seed: int) -> Data
     carried = docs.schema.fields[:-1]
     schema = T.StructType([*carried, T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
 
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunked(batches, "text", TEXT_BYTES):
-            sets = _shingles(texts, k)
-            keys = _signatures(sets, bands, rows, seed)
-            n = np.fromiter(map(len, sets), np.int64, len(sets))
-            offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, 2 * bands, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(n), _digests(sets), pa.ListArray.from_arrays(offsets, keys.reshape(-1))], schema.names)
+    def sketched(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
+        sets = _shingles(texts, k)
+        keys = _signatures(sets, bands, rows, seed)
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, 2 * bands, 0))]).astype(np.int32)
+        return [pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], pa.array(n), _digests(sets), pa.ListArray.from_arrays(offsets, keys.reshape(-1))], schema.names)]
 
-    return docs.mapInArrow(sketched, schema)
+    return docs.mapInArrow(lambda batches: over_chunks(batches, "text", sketched, TEXT_BYTES), schema)
 
 
 def _sides(classes: DataFrame, bands: int) -> DataFrame:
@@ -130,12 +129,11 @@ def _set_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     some = passing(hashed, "hash", bitmap(ids.select(F.xxhash64("id").alias("hash")), "hash")).select("id", "text")
     some = some.join(ids.hint("merge"), "id", "left_semi").select("text")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunked(batches, "text", TEXT_BYTES):
-            sets = _shingles(texts, k)
-            yield pa.RecordBatch.from_arrays([_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"])
+    def made(_: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
+        sets = _shingles(texts, k)
+        return [pa.RecordBatch.from_arrays([_digests(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "set"])]
 
-    sets = some.mapInArrow(made, "digest binary, set binary").join(wanted.select("digest").distinct(), "digest", "left_semi")
+    sets = some.mapInArrow(lambda batches: over_chunks(batches, "text", made, TEXT_BYTES), "digest binary, set binary").join(wanted.select("digest").distinct(), "digest", "left_semi")
     return cut(sets.groupBy("digest").agg(F.min("set").alias("set")), "sets")
 
 

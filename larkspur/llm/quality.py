@@ -22,7 +22,6 @@ the same or a null id are judged each; an empty table gives an empty result; all
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm._shared import unpacked
-from larkspur.llm._words import chunked, hashes_of, mixed, window_hashes, words_of
+from larkspur.llm._words import hashes_of, mixed, over_chunks, window_hashes, words_of
 from larkspur.session import cut
 
 ORDER, BELOW, ABOVE, BIN = 5, 6.0, 6.0, 0.01
@@ -61,25 +60,29 @@ def _xxhash64(x: np.ndarray, seed: int) -> np.ndarray:
 
 def _symbols(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of all strings, from 1 to 3648, and how many each has; different strings have different symbols."""
-    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
+    ends = np.cumsum([0, *map(len, strings)])
     wide = points >= PLAIN
-    starts = np.cumsum(1 + wide) - (1 + wide)
-    out = np.empty(len(points) + int(wide.sum()), np.int64)
-    out[starts] = np.where(wide, PLAIN + 1 + (points >> 10), points + 1)
-    out[starts[wide] + 1] = PLAIN + 1089 + (points[wide] & 1023)
-    ends = np.append(starts, len(out))[np.cumsum([0, *map(len, strings)])]
-    return out.astype(np.uint64), np.diff(ends)
+    if not wide.any():
+        return (points + np.uint32(1)).astype(np.uint16), np.diff(ends)
+    starts = np.cumsum(np.add(wide, 1, dtype=np.int32), dtype=np.int32) - np.int32(1) - wide
+    total = len(points) + int(wide.sum())
+    out = np.empty(total, np.uint16)
+    out[starts] = np.where(wide, np.uint32(PLAIN + 1) + (points >> np.uint32(10)), points + np.uint32(1))
+    out[starts[wide] + 1] = np.uint32(PLAIN + 1089) + (points[wide] & np.uint32(1023))
+    return out, np.diff(np.append(starts, total)[ends])
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram that ends at each symbol, packed in 60 bits, text after text; symbols of each text."""
     found, counts = _symbols([t.decode("utf-8", "replace") for t in texts])
     at = np.arange(len(found)) + (order - 1) * np.repeat(np.arange(1, len(texts) + 1), counts)
-    symbols = np.zeros(len(found) + (order - 1) * len(texts), np.uint64)
+    symbols = np.zeros(len(found) + (order - 1) * len(texts), np.uint16)
     symbols[at] = found
-    packed = symbols[at].copy()
+    packed = found.astype(np.uint64)
     for k in range(1, order):
-        packed |= symbols[at - k] << np.uint64(_BITS * k)
+        at -= 1
+        packed |= symbols[at].astype(np.uint64) << np.uint64(_BITS * k)
     return packed, counts
 
 
@@ -95,20 +98,20 @@ def _fold(text: Column) -> Column:
 def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, order: int = ORDER) -> DataFrame:
     """(lang, gram, n0, n1) over all characters of all texts: how often each fold has it."""
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in chunked(batches, "text"):
-            langs, folds = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
-            for lang in sorted(set(langs)):
-                own = np.flatnonzero(langs == lang)
-                grams, counts = _grams([texts[i] for i in own], order)
-                codes, distinct = pd.factorize(grams)
-                second = np.repeat(folds[own], counts) == 1
-                n = [np.bincount(codes[x], minlength=len(distinct)).astype(np.int64) for x in (~second, second)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), *map(pa.array, n)], ["lang", "gram", "n0", "n1"])
+    def counted(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
+        langs, folds, out = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), []
+        for lang in sorted(set(langs)):
+            own = np.flatnonzero(langs == lang)
+            grams, counts = _grams([texts[i] for i in own], order)
+            codes, distinct = pd.factorize(grams)
+            second = np.repeat(folds[own], counts) == 1
+            n = [np.bincount(codes[x], minlength=len(distinct)).astype(np.int64) for x in (~second, second)]
+            out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), *map(pa.array, n)], ["lang", "gram", "n0", "n1"]))
+        return out
 
     text = F.col(text_col).cast("string")
     texts = docs.select(_lang(lang_col).alias("lang"), _fold(text).alias("fold"), text.alias("text"))
-    return texts.mapInArrow(counted, "lang string, gram long, n0 long, n1 long").groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return texts.mapInArrow(lambda batches: over_chunks(batches, "text", counted), "lang string, gram long, n0 long, n1 long").groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -177,6 +180,7 @@ def _nll(texts: list[bytes], langs: np.ndarray, folds: np.ndarray, seeds: np.nda
         grams, counts = _grams([texts[i] for i in own], ORDER)
         if len(grams):
             codes, distinct = pd.factorize(grams)
+            del grams
             hashes = _xxhash64(distinct | np.uint64(ORDER << 60), int(seeds[own[0]]))
             mine = np.flatnonzero(hashes & np.uint64(parts - 1) == np.uint64(part))
             values = np.zeros((len(distinct), 2))
@@ -239,20 +243,18 @@ def _add_slice(given: DataFrame, model: DataFrame, part: int, parts: int) -> Dat
     kept = ["row", "_lq_lang", "_lq_fold"] + ([] if last else ["_lq_seed", "_lq_text"])
     schema = T.StructType([given.schema[n] for n in kept] + (_ADDED.fields if last else [given.schema["_lq_nats"]]))
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = arrays.value
-        for batch, texts in chunked(batches, "_lq_text"):
-            column = lambda n: batch.column(batch.schema.get_field_index(n))  # noqa: B023, E731
-            langs = np.array(column("_lq_lang").to_pylist(), object)
-            nats = column("_lq_nats").to_numpy() + _nll(texts, langs, column("_lq_fold").to_numpy(), column("_lq_seed").to_numpy(), known, part, parts)
-            added = [nats]
-            if last:
-                found = _base(texts)
-                words = found.pop("lettered")
-                added = [*found.values(), nats / np.maximum(words, 1)]
-            yield pa.RecordBatch.from_arrays([column(n) for n in kept] + [pa.array(x) for x in added], schema.names)
-
-    out = cut(given.mapInArrow(scored, schema), "quality")
+    def scored(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
+        column = lambda n: batch.column(batch.schema.get_field_index(n))
+        langs = np.array(column("_lq_lang").to_pylist(), object)
+        nats = column("_lq_nats").to_numpy() + _nll(texts, langs, column("_lq_fold").to_numpy(), column("_lq_seed").to_numpy(), arrays.value, part, parts)
+        added = [nats]
+        if last:
+            found = _base(texts)
+            words = found.pop("lettered")
+            added = [*found.values(), nats / np.maximum(words, 1)]
+        return [pa.RecordBatch.from_arrays([column(n) for n in kept] + [pa.array(x) for x in added], schema.names)]
+
+    out = cut(given.mapInArrow(lambda batches: over_chunks(batches, "_lq_text", scored), schema), "quality")
     arrays.destroy()
     return out
 
