@@ -8,7 +8,7 @@ sorted and counted by their words.
 Two passes read the texts. The first counts minimisers; one that the corpus has once can't belong to a repeated
 window, and a fixed-size bitmap of the others spares the second pass sending
 such strings. False positives only send more. Equal strings that meet in one batch are settled
-there and one of them travels, counted twice. A minimiser that more than BUCKET_STRINGS strings have is dealt into as many parts as it has times that many,
+there and one of them travels, counted twice. A minimiser that more than PART_STRINGS strings have is dealt into as many parts as it has times that many,
 by its windows' hashes, each part counting its own windows; how many parts is read from a fixed-size table of SLOT_BITS bits of the minimiser, which
 holds the most that any of a slot's minimisers needs. So no bucket grows with the corpus or gathers the copies of a passage.
 
@@ -32,8 +32,8 @@ from larkspur.llm._shared import bit_array, bitmap, bucket_count, is_set
 from larkspur.llm._words import Words, chunked, hashes_of, mixed, window_hashes, words_of
 from larkspur.session import cut
 
-#: Strings in a bucket, on average, and bits of a minimiser that find its number of parts.
-BUCKET_STRINGS, SLOT_BITS = 2_000, 20
+#: Strings in a bucket, on average, strings of a minimiser in a part, and bits of a minimiser that find its number of parts.
+BUCKET_STRINGS, PART_STRINGS, SLOT_BITS = 2_000, 8_000, 20
 _PLACE_BITS = 28
 
 
@@ -71,11 +71,11 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _part_bits(counts: DataFrame) -> np.ndarray:
-    """For each slot the bits of a window's hash that tell its part: log2 of how many times BUCKET_STRINGS its commonest minimiser has."""
+    """For each slot the bits of a window's hash that tell its part: log2 of how many times PART_STRINGS its commonest minimiser has."""
     slot = F.shiftrightunsigned("minimiser", 64 - SLOT_BITS).alias("slot")
-    most = counts.filter(F.col("n") > BUCKET_STRINGS).groupBy(slot).agg(F.max("n").alias("n")).toArrow()  # 2^SLOT_BITS rows at most
+    most = counts.filter(F.col("n") > PART_STRINGS).groupBy(slot).agg(F.max("n").alias("n")).toArrow()  # 2^SLOT_BITS rows at most
     out = np.zeros(1 << SLOT_BITS, np.uint8)
-    out[most.column("slot").to_numpy()] = np.ceil(np.log2(most.column("n").to_numpy() / BUCKET_STRINGS))
+    out[most.column("slot").to_numpy()] = np.ceil(np.log2(most.column("n").to_numpy() / PART_STRINGS))
     return out
 
 

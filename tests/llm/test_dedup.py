@@ -136,8 +136,9 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("strings", [substring.BUCKET_STRINGS, 2])
+@pytest.mark.parametrize("strings", [substring.PART_STRINGS, 2])
 def test_repeated_windows(spark, monkeypatch, strings):
+    monkeypatch.setattr(substring, "PART_STRINGS", strings)
     monkeypatch.setattr(substring, "BUCKET_STRINGS", strings)
     rows, w = texts(2), 35
     counts = Counter()
