@@ -346,17 +346,17 @@ def anti_live(spark: SparkSession, d: str) -> DataFrame:
     return merge.delete_where_in(li, keys, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("conflict_join", "SELECT r.l_orderkey AS job_id, r.l_partkey::VARCHAR AS file_path, o.l_orderkey AS owner_job_id FROM lineitem r JOIN lineitem o ON o.l_partkey = r.l_partkey AND o.l_orderkey <> r.l_orderkey AND o.l_shipdate >= TIMESTAMP '2001-06-01' WHERE r.l_shipdate < TIMESTAMP '2001-06-01'")
+@query("conflict_join", "SELECT r.l_orderkey AS job_id, r.l_partkey::VARCHAR AS file_path, o.l_orderkey AS owner_job_id FROM lineitem r JOIN lineitem o ON o.l_partkey = r.l_partkey AND o.l_orderkey <> r.l_orderkey AND o.l_shipdate >= TIMESTAMP '2001-10-20' WHERE r.l_shipdate < TIMESTAMP '2001-10-20'")
 def conflict_join(spark: SparkSession, d: str) -> DataFrame:
     requests, locks = _lock_rows(spark, d)
-    return context.lock_conflicts(requests, locks, F.lit("2001-06-01").cast("timestamp_ntz"))
+    return context.lock_conflicts(requests, locks, F.lit("2001-10-20").cast("timestamp_ntz"))
 
 
 def _lock_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Lines shipped from June 2001 on hold their part for their order, all others ask for theirs."""
+    """Lines shipped from 20 October 2001 on hold their part for their order, all others ask for theirs."""
     (li,) = tables(spark, d, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("job_id"), F.lit("p").alias("project_id"), F.col("l_partkey").cast("string").alias("file_path"), F.col("l_shipdate").alias("expires_at"))
-    since = F.col("expires_at") >= F.lit("2001-06-01").cast("timestamp_ntz")
+    since = F.col("expires_at") >= F.lit("2001-10-20").cast("timestamp_ntz")
     return rows.filter(~since).drop("expires_at"), rows.filter(since)
 
 

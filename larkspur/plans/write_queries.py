@@ -144,7 +144,7 @@ def notification_fan_out(spark: SparkSession, d: str) -> DataFrame:
 
 
 # jobs in the order of their ids, as rounds: a job is free if it is the first open one for all its paths; what it then holds refuses others
-GRANTS = """WITH RECURSIVE rows AS MATERIALIZED (SELECT l_orderkey AS job_id, l_partkey::VARCHAR AS file_path, l_shipdate >= TIMESTAMP '2001-06-01' AS held FROM lineitem),
+GRANTS = """WITH RECURSIVE rows AS MATERIALIZED (SELECT l_orderkey AS job_id, l_partkey::VARCHAR AS file_path, l_shipdate >= TIMESTAMP '2001-10-20' AS held FROM lineitem),
 live AS (SELECT DISTINCT job_id, file_path FROM rows WHERE held), asked AS (SELECT DISTINCT job_id, file_path FROM rows WHERE NOT held),
 bad AS (SELECT DISTINCT a.job_id FROM asked a JOIN live l ON l.file_path = a.file_path AND l.job_id <> a.job_id),
 s AS (SELECT 0 AS round, job_id, file_path, 'open' AS state FROM asked WHERE job_id NOT IN (SELECT job_id FROM bad)
@@ -160,7 +160,7 @@ SELECT job_id, file_path FROM s WHERE round = (SELECT max(round) FROM s) AND sta
 @query("lock_grants", GRANTS)
 def lock_grants(spark: SparkSession, d: str) -> DataFrame:
     requests, locks = _lock_rows(spark, d)
-    return context.grant_locks(requests, locks, F.lit("2001-06-01").cast("timestamp_ntz")).select("job_id", "file_path")
+    return context.grant_locks(requests, locks, F.lit("2001-10-20").cast("timestamp_ntz")).select("job_id", "file_path")
 
 
 @query("audit_slug_range", "SELECT min(event_id) + 1 AS min_seq, max(event_id) + 1 AS max_seq, count(*) FILTER (WHERE event_id + 1 BETWEEN 10 AND 99) AS n FROM events")
