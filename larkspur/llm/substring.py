@@ -33,7 +33,7 @@ from larkspur.llm._words import Words, chunked, hashes_of, mixed, window_hashes,
 from larkspur.session import cut
 
 #: Strings in a bucket, on average, strings of a minimiser in a part, and bits of a minimiser that find its number of parts.
-BUCKET_STRINGS, PART_STRINGS, SLOT_BITS = 2_000, 8_000, 20
+BUCKET_STRINGS, PART_STRINGS, SLOT_BITS = 8_000, 8_000, 20
 _PLACE_BITS = 28
 
 
