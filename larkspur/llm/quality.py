@@ -37,6 +37,8 @@ from larkspur.session import cut
 ORDER, BELOW, ABOVE, BIN = 5, 6.0, 6.0, 0.01
 #: N-grams that a worker holds at a time; a corpus with more is read once for each slice.
 SLICE = 1 << 23
+#: Rows of bands that are broadcast (some MB); more are joined, and adaptive execution splits what is large.
+MOST_BANDS = 100_000
 REPEAT_WINDOW, LEAST_WORDS, MOST_REPEATED_PERCENT = 8, 20, 30
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
 _BITS = 12  # of a symbol: 0 stands before a text's first character
@@ -272,7 +274,10 @@ def bands(scored: DataFrame, below: float = BELOW, above: float = ABOVE) -> Data
 
 def _judged(docs: DataFrame, text_col: str, lang_col: str, carried: Column) -> DataFrame:
     scored = _scored(docs, text_col, lang_col, carried)
-    limits = bands(scored).select(F.col("lang").alias("_lq_of"), F.col("fold").alias("_lq_of_fold"), F.col("low").alias("_lq_low"), F.col("high").alias("_lq_high"))
+    limits = cut(bands(scored), "bands").select(F.col("lang").alias("_lq_of"), F.col("fold").alias("_lq_of_fold"), F.col("low").alias("_lq_low"), F.col("high").alias("_lq_high"))
+    # two rows a language: sent to the rows where they are few, or the commonest language's texts would meet in one task
+    if limits.count() <= MOST_BANDS:
+        limits = F.broadcast(limits)
     judged = scored.join(limits, (F.col("_lq_lang") == F.col("_lq_of")) & (F.col("_lq_fold") == F.col("_lq_of_fold")), "left").drop("_lq_of", "_lq_of_fold")
     inside = F.coalesce(F.col("_lq_nll").between(F.col("_lq_low"), F.col("_lq_high")), F.lit(False))
     return judged.withColumn("_lq_kept", ~F.col("_lq_base_failed") & inside)
