@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.ann import build_index, search
+from larkspur.llm.lexical import TERM, rank_documents
 from larkspur.llm.linededup import DIVISOR, LEAST_LINES, remove_repeated_chunks
 from larkspur.llm.mixing import mix
 from larkspur.llm.neardup import near_duplicates
@@ -187,3 +188,24 @@ SELECT doc_id, source, tokens, epoch::INT AS epoch,
        ('0x' || substr(md5('17|' || epoch || '|' || coalesce(doc_id::VARCHAR, '') || '|' || chk), 1, 12))::BIGINT AS row_key
 FROM read
 """
+
+
+@_query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')"
+ORACLES["op11_ranked_search"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT row, doc_id, len(terms)::BIGINT AS n FROM docs),
+total AS (SELECT count(*) FILTER (n > 0) AS big_n, sum(n)::BIGINT AS big_l FROM sized),
+asked AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+found AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) SEMI JOIN asked USING (term) GROUP BY ALL),
+weighed AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM found, total GROUP BY term, big_n),
+parts AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * big_n) // big_l))) AS part FROM found JOIN weighed USING (term) JOIN sized USING (row), total),
+scored AS (SELECT item_id, row, doc_id, sum(part * repeats)::BIGINT AS score FROM parts JOIN asked USING (term) GROUP BY ALL),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
