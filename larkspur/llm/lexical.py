@@ -7,7 +7,7 @@ scan counts df, N and L, a second one scores, and each task keeps the k best doc
 by documents first.
 
 Items are gone through in blocks of about BLOCK_TERMS terms, which bounds the automaton that travels; each block scans the documents anew. A block's
-documents are scored in slices of at most SLICE cells, in 64-bit integers (or in doubles where every sum is below 2^53, which is the same).
+documents are scored in slices of at most SLICE cells, in 64-bit integers (in doubles where every sum is below EXACT, which is the same).
 
 Defined results: terms are the maximal runs of ASCII letters and digits and of characters beyond ASCII, of which only A-Z are lower-cased; a null or empty
 text has none; an item without terms, or whose terms no document has, has no rows; rows of one item id (null is one, too) are one item with the terms of all its distinct
@@ -34,6 +34,8 @@ from larkspur.session import cut
 
 #: Rows (item, term) of a block of items, cells that are scored at once, candidates that a task holds before it sorts them.
 BLOCK_TERMS, SLICE, HELD = 100_000, 2_000_000, 400_000
+#: Whole numbers below this add up exactly in doubles; larger scores are added in integers.
+EXACT = 1 << 53
 #: Parts that an item's candidates are ranked in before they meet.
 PARTS = 64
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -131,7 +133,7 @@ def _candidates(texts: DataFrame, block: Block, weights: np.ndarray, n_docs: int
     per_term, n_items = np.diff(block.starts), len(block.items)
     top = np.zeros(n_items)
     np.add.at(top, block.item, block.repeats * np.repeat(weights, per_term) * 1e6)
-    exact_doubles = top.max(initial=0) < 1 << 53
+    exact_doubles = top.max(initial=0) < EXACT
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, floor = block.automaton(), np.ones(n_items, np.int64)

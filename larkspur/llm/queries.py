@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.ann import build_index, search
 from larkspur.llm.lexical import TERM, rank_documents
+from larkspur.llm.licenses import scan_licenses
 from larkspur.llm.linededup import DIVISOR, LEAST_LINES, remove_repeated_chunks
 from larkspur.llm.mixing import mix
 from larkspur.llm.neardup import near_duplicates
@@ -20,6 +21,7 @@ from larkspur.llm.sharding import assign_shards
 from larkspur.llm.substring import remove_repeated
 from larkspur.llm.toxicity import score_toxicity
 from larkspur.llm.urlfilter import PATH, host_of, match_captures
+from larkspur.llm.whitening import whiten
 from larkspur.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +211,27 @@ scored AS (SELECT item_id, row, doc_id, sum(part * repeats)::BIGINT AS score FRO
 ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
 SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@_query
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    own, more = F.col("base.label"), F.col("found.label")
+    joined = lambda labels: F.concat_ws(",", F.array_sort(F.array_distinct(labels)))
+    starts = F.col("base.first_word")
+    # a base phrase stands as it is; a template has its share
+    score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max("found.share"), F.lit(0.0)))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        joined(own).alias("base_labels"), joined(F.concat(own, more)).alias("labels"), score.alias("score"), "found")
+
+
+@_query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whiten(_table(spark, sf_dir, "embeddings"))
+    n, shares = (model.n, [float(v / model.trace) for v in model.values]) if model else (0, [])
+    each = rows.select("id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    # deviations beyond a long are null here; the operator has 38 digits
+    return each.select(
+        F.col("id").alias("vec_id"), (F.col("at") + 1).cast("int").alias("component"), F.lit(n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"), "whitened",
+        F.get(F.array(*map(F.lit, shares)).cast("array<double>"), F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
