@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.functions import findings, text, vectors
-from larkspur.operators import chunking, context, jobs, ledger, merge, ports, search
-from larkspur.plans.registry import query
+from larkspur.operators import chunking, context, jobs, ledger, merge, ports, search, vector_index
+from larkspur.plans.registry import ORACLES, query
 from larkspur.sources.files import tables
 
 AS_OF = "2000-01-01"
@@ -87,6 +87,22 @@ def vector_join_topk(spark: SparkSession, d: str) -> DataFrame:
     return search.vector_join_top_k(asked, rows, 5).withColumn("score", F.round("score", 4))
 
 
+@query("vector_index_topk", ORACLES["vector_topk"])
+def vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    (e,) = tables(spark, d, "embeddings")
+    index = vector_index.build_vector_index(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    return index.search(_query_vector(e), 10).select("id", F.round("score", 4).alias("score"))
+
+
+@query("vector_index_join_topk", ORACLES["vector_join_topk"])
+def vector_index_join_topk(spark: SparkSession, d: str) -> DataFrame:
+    (e,) = tables(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vector_index.build_vector_index(rows.filter("id % 5 <> 0"))
+    index.add(rows.filter("id % 5 = 0"))  # what came after the centres were fitted
+    return index.join(rows.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), 5).withColumn("score", F.round("score", 4))
+
+
 DEEP = f"""WITH s AS (SELECT e.vec_id, e.label, {COSINE} AS s, len(string_split(d.text, chr(10)))::INT AS n, d.doc_id FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id AND e.label < 4)
 SELECT vec_id::VARCHAR AS id, CASE WHEN label < 4 THEN 'chunk' WHEN label < 6 THEN 'decision' WHEN label < 8 THEN 'pattern' ELSE 'codebase' END AS kind, round(s, 4) AS score,
 CASE WHEN doc_id IS NOT NULL THEN 'session_' || substr(vec_id::VARCHAR, 1, 8) || ':1-3' ELSE CASE WHEN label < 4 THEN 'chunk' WHEN label < 6 THEN 'decision' WHEN label < 8 THEN 'pattern' ELSE 'codebase' END || '_' || substr(vec_id::VARCHAR, 1, 8) || ':?-?' END AS reference,
