@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.operators.jobs import TERMINAL
+from larkspur.operators.placing import PART_ROWS, placed, sorted_parts
 from larkspur.session import cut, ship
 
 
@@ -88,24 +92,56 @@ def latest_per_key(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame, boundary: bool = True) -> DataFrame:
-    """(path, slug): the root (slug, root) that is the longest prefix of each path; null without one.
+    """(path, slug): the root (slug, root) that is the longest prefix of each path; null without one. Of equal roots the largest slug counts.
 
-    With boundary a path's own prefixes up to each '/' are exploded and meet roots by an equi-join. Without it every
-    prefix of at most the longest root's length is.
+    With boundary a path's own prefixes up to each '/' are exploded and meet roots by an equi-join. Without it paths and roots are sorted
+    together (see prefix_search).
     """
     distinct = paths.select("path").distinct()
-    clean = F.rtrim(F.col("path"), F.lit("/"))
     if boundary:
-        parts = F.split(clean, "/", -1)
+        parts = F.split(F.rtrim(F.col("path"), F.lit("/")), "/", -1)
         prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+        keyed = distinct.select("path", F.explode_outer(prefixes).alias("prefix"))
+        hits = keyed.join(roots.select("slug", F.rtrim(F.col("root"), F.lit("/")).alias("prefix")), "prefix").groupBy("path").agg(F.max_by("slug", F.struct(F.length("prefix"), "slug")).alias("slug"))
     else:
-        most = roots.agg(F.coalesce(F.max(F.length("root")), F.lit(0))).first()[0]
-        prefixes = F.when(F.length("path") > 0, F.transform(F.sequence(F.lit(1), F.least(F.length("path"), F.lit(max(1, most)))), lambda i: F.substring("path", F.lit(1), i)))
-    keyed = distinct.select("path", F.explode_outer(prefixes).alias("prefix"))
-    hits = keyed.join(roots.select("slug", F.rtrim(F.col("root"), F.lit("/")).alias("prefix")), "prefix").groupBy("path").agg(F.max_by("slug", F.struct(F.length("prefix"), "slug")).alias("slug"))
+        named = roots.select("slug", F.rtrim(F.col("root"), F.lit("/")).alias("root")).filter("root <> ''").groupBy("root").agg(F.max("slug").alias("slug"))
+        found = prefix_search(distinct.filter("path is not null"), named.select("root"))
+        hits = found.join(named, "root").select("path", "slug")
     return paths.join(hits, "path", "left")
 
 
+def prefix_search(paths: DataFrame, roots: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
+    """(path, root): the longest root that each path begins with, for distinct paths (path) and distinct roots (root); paths without one are left out.
+
+    Paths and roots are sorted together by range. Whatever stands between a root and a text that begins with it begins with it too, so going
+    through a part with a stack of the roots that enclose each other, the top of those that the path begins with is its longest. What a part must know of the parts
+    before are the roots that its first text begins with: that text's prefixes, one text a part, meet the roots by an equi-join. So
+    each path and root is shuffled once, whatever its length.
+    """
+    ship(paths.sparkSession)
+    both = paths.select(F.col("path").alias("text"), F.lit(False).alias("is_root")).unionByName(roots.select(F.col("root").alias("text"), F.lit(True).alias("is_root")))
+    parts = sorted_parts(both, ["text"], "part", part_rows)
+    first = parts.groupBy("part").agg(F.min("text").alias("first"))
+    prefixes = F.explode(F.transform(F.sequence(F.lit(1), F.length("first")), lambda i: F.substring(F.col("first"), F.lit(1), i))).alias("text")
+    open_ = first.filter("first <> ''").select("part", prefixes).join(roots.select(F.col("root").alias("text")), "text").select("text", F.lit(True).alias("is_root"), "part")
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("root", T.StringType())])
+
+    def searched(table: pa.Table) -> pa.Table:
+        stack: list[str] = []
+        out: list[tuple[str, str]] = []
+        rows = zip(table.column("text").to_pylist(), table.column("is_root").to_pylist(), strict=True)
+        for text, is_root in sorted(rows, key=lambda r: (r[0].encode(), not r[1])):  # a root before the path that equals it
+            while stack and not text.startswith(stack[-1]):
+                stack.pop()
+            if is_root:
+                stack.append(text)
+            elif stack:
+                out.append((text, stack[-1]))
+        return pa.table({"path": pa.array([p for p, _ in out], pa.string()), "root": pa.array([r for _, r in out], pa.string())})
+
+    return parts.select("text", "is_root", "part").unionByName(open_).groupBy("part").applyInArrow(searched, schema)
+
+
 def attribute_orphans(rows: DataFrame, roots: DataFrame, fallback: str | None = None) -> DataFrame:
     """rows (id, project, path) with project filled by path, and outcome: kept, attributed, fallback or unrecoverable."""
     found = longest_prefix(rows.withColumn("path", F.coalesce("path", F.lit(""))), roots)
@@ -197,41 +233,97 @@ def _unit(table: pa.Table) -> np.ndarray:
     return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
 
 
-def _similar(new: DataFrame, old: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(id) of the rows of new (id, key, vector) that are more similar to a row of old of their key than the threshold.
+def _similar(new: DataFrame, old: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    """(id) of the rows of new (id, keys, vector) that are more similar to a row of old of the same keys than the threshold.
 
-    Both sides of a key are dealt into blocks of about ROUND rows, and each pair of blocks is a matrix product in a task of its own.
+    Each key's rows are dealt into blocks of about ROUND rows on either side, as many as that key needs, and each pair of blocks is a matrix product in a task
+    of its own. How many blocks a key has travels to its rows by a join on the key, so a large key leaves the others' rows alone.
     """
     ship(new.sparkSession)
-    most = lambda df: df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    blocks = {"_lk_a": max(1, -(-most(new) // ROUND)), "_lk_b": max(1, -(-most(old) // ROUND))}
+
+    def sized(df: DataFrame, n: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / ROUND).cast("int").alias(n))
+
+    names = [f"_lk_k{i}" for i in range(len(keys))]
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    # keys without rows on both sides drop out here
+    blocks = cut(sized(new, "_lk_na").join(sized(old, "_lk_nb").select(*named, "_lk_nb"), same).select(*names, "_lk_na", "_lk_nb"), "blocks")
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
-        rows = df.select("id", key, "vector").withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks[own])).cast("int"))
-        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks[other] - 1)))).groupBy(key, "_lk_a", "_lk_b")
+        rows = df.select("id", *keys, "vector").join(blocks, same)
+        rows = rows.withColumn(f"_lk_{own}", F.pmod(F.xxhash64("id"), F.col(f"_lk_n{own}")).cast("int"))
+        rows = rows.withColumn(f"_lk_{other}", F.explode(F.sequence(F.lit(0), F.col(f"_lk_n{other}") - 1)))
+        # columns of their own, as both sides may come from one table
+        return rows.select(*[F.col(c).alias(c) for c in ("id", *keys, "vector", "_lk_a", "_lk_b")]).groupBy(*keys, "_lk_a", "_lk_b")
 
     def near(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         hit = (_unit(left) @ _unit(right).T > threshold).any(1) if left.num_rows and right.num_rows else np.zeros(left.num_rows, bool)
         return left.filter(pa.array(hit)).select(["id"])
 
-    return dealt(new, "_lk_a", "_lk_b").cogroup(dealt(old, "_lk_b", "_lk_a")).applyInArrow(near, T.StructType([new.schema["id"]])).distinct()
+    return dealt(new, "a", "b").cogroup(dealt(old, "b", "a")).applyInArrow(near, T.StructType([new.schema["id"]])).distinct()
+
 
+def signed(rows: DataFrame, tables: int, bits: int, seed: int = 11) -> DataFrame:
+    """rows (id, key, vector) once for each of `tables` tables, with table and signature: the sides of `bits` random hyperplanes that the vector lies on.
 
-def similar_existing(new: DataFrame, existing: DataFrame, key: str, threshold: float = 0.85) -> DataFrame:
-    """New rows (id, key, vector) without an existing one of the same key that is more similar than the threshold; rows without a key have none."""
-    return new.join(_similar(new, existing.filter(F.col(key).isNotNull()), key, threshold), "id", "left_anti").select(*new.columns)
+    Two vectors at the angle a lie on the same sides with probability (1 - a / pi) ** bits in each table. Zero vectors, which are similar to nothing, are left out.
+    """
+    ship(rows.sparkSession)
+    schema = T.StructType([rows.schema["id"], rows.schema["key"], T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("table", T.IntegerType()), T.StructField("signature", T.LongType())])
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = b.column(2).to_pylist()
+            sizes = np.array([len(v) for v in vectors])
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                own = np.flatnonzero(sizes == size)
+                v = np.array([vectors[i] for i in own])
+                planes = np.random.default_rng([seed, size]).normal(size=(size, tables * bits))
+                side = (v @ planes > 0).reshape(len(own), tables, bits)
+                signature = (side * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+                has = np.flatnonzero((v != 0).any(1))
+                row = np.repeat(has, tables)
+                at = pa.array(own[row])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(has))), pa.array(signature[has].reshape(-1))], schema.names)
+
+    return rows.select("id", "key", F.col("vector").cast("array<double>").alias("vector")).filter("vector is not null").mapInArrow(sides, schema)
+
+
+def tables_for(threshold: float, bits: int, sure: float = 0.99) -> int:
+    """How many tables find a pair at the threshold with the probability `sure`."""
+    share = (1 - math.acos(threshold) / math.pi) ** bits
+    return max(1, math.ceil(math.log(1 - sure) / math.log(1 - share)))
+
+
+def _near(new: DataFrame, old: DataFrame, key: str, threshold: float, bits: int | None) -> DataFrame:
+    """(id) of similar rows of new: of all pairs of a key, or, with bits, of those that share a signature in some table."""
+    if bits is None:
+        return _similar(new, old, [key], threshold)
+    tables = tables_for(threshold, bits)
+    both = [signed(df.select("id", F.col(key).alias("key"), "vector"), tables, bits) for df in (new, old)]
+    return _similar(*both, ["key", "table", "signature"], threshold)
+
+
+def similar_existing(new: DataFrame, existing: DataFrame, key: str, threshold: float = 0.85, bits: int | None = None) -> DataFrame:
+    """New rows (id, key, vector) without an existing one of the same key that is more similar than the threshold; rows without a key have none.
+
+    bits None compares all pairs of a key. With bits only pairs that lie on the same sides of `bits` random hyperplanes in one of
+    tables_for(threshold, bits) tables are compared, by their vectors: a pair at the threshold is missed with the probability 0.01, nearer ones less often.
+    """
+    return new.join(_near(new, existing.filter(F.col(key).isNotNull()), key, threshold, bits), "id", "left_anti").select(*new.columns)
 
 
-def greedy_dedup(rows: DataFrame, key: str, order: str, threshold: float = 0.85) -> DataFrame:
+def greedy_dedup(rows: DataFrame, key: str, order: str, threshold: float = 0.85, bits: int | None = None) -> DataFrame:
     """Rows (id, key, order, vector) that no earlier kept row of their key is more similar to than the threshold.
 
     Each choice depends on the choices before, so keys are gone through in rounds of ROUND rows: a round's rows are held against
-    the rows kept so far, and what is left is chosen among itself, a key a task. Equal places in the order go by id, which is unique.
+    the rows kept so far (see similar_existing for bits), and what is left is chosen among itself, a key a task. Places in the order are found by range, so no task has
+    a whole key. Equal places in the order go by id, which is unique.
     """
     ship(rows.sparkSession)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(order, "id")) - 1
-    placed = rows.select(key, "id", order).withColumn("_lk_at", place).withColumn("_lk_round", F.expr(f"_lk_at div {ROUND}"))
-    rows = cut(rows.select(key, "id", order, "vector").join(placed.select("id", "_lk_at", "_lk_round"), "id"), "ordered")
+    with_place = placed(rows.select(key, "id", order, "vector"), key, [order, "id"], "_lk_at")
+    rows = cut(with_place.withColumn("_lk_round", F.expr(f"_lk_at div {ROUND}")), "ordered")
     rounds = rows.agg(F.coalesce(F.max("_lk_round"), F.lit(-1))).first()[0] + 1
     schema = rows.schema
 
@@ -247,6 +339,6 @@ def greedy_dedup(rows: DataFrame, key: str, order: str, threshold: float = 0.85)
     for n in range(rounds):
         new = rows.filter(F.col("_lk_round") == n)
         if n:
-            new = new.join(_similar(new, kept, key, threshold), "id", "left_anti").select(*rows.columns)
+            new = new.join(_near(new, kept, key, threshold, bits), "id", "left_anti").select(*rows.columns)
         kept = kept.unionByName(cut(new.groupBy(key).applyInArrow(chosen, schema), "kept"))
     return kept.select(key, "id", order)

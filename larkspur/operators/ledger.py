@@ -1,23 +1,32 @@
-"""A hash-chained ledger: appending, and verifying without one task for the whole chain."""
+"""A hash-chained ledger: appending, verifying without one task for the whole chain, also as a table function of SQL."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
 
-from larkspur.session import cut, ship
+from larkspur.session import cut, shared_dir, ship
 
 #: Rows of one stretch that is verified by one window.
 STRETCH = 100_000
+_BREAK = T.StructType([T.StructField("broken_at_seq", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("expected_hash", "actual_hash", "reason")]])
 
 
 def row_hash(seq: Column, memory_id: Column, operation: Column, actor: Column, slug: Column, payload_hash: Column, prev_hash: Column) -> Column:
-    return F.sha2(F.concat_ws("|", seq.cast("string"), memory_id, operation, actor, slug, payload_hash, F.coalesce(prev_hash, F.lit(""))), 256)
+    """A row's hash; null where a part but the previous hash is null, so that such a row never verifies."""
+    bar = F.lit("|")
+    return F.sha2(F.concat(seq.cast("string"), bar, memory_id, bar, operation, bar, actor, bar, slug, bar, payload_hash, bar, F.coalesce(prev_hash, F.lit(""))), 256)
+
+
+def _hash_of(seq: int, memory_id: str, operation: str, actor: str, slug: str, payload_hash: str, prev_hash: str | None) -> str:
+    return hashlib.sha256("|".join([str(seq), memory_id, operation, actor, slug, payload_hash, prev_hash or ""]).encode()).hexdigest()
 
 
 def classify(old_archived: Column, new_archived: Column, has_old: Column, has_new: Column) -> Column:
@@ -37,32 +46,36 @@ def build_chain(changes: DataFrame, last_hash: str | None = None) -> DataFrame:
     """changes (seq, memory_id, operation, actor, project_slug, payload_hash) with prev_hash and row_hash; last_hash: of the row that the ledger ends with.
 
     Each hash needs the one before, so the ledger has a single writer. It takes stretches of STRETCH numbers one after the other, each
-    in one task, and hands on the last hash only; no task or driver holds more than a stretch.
+    in one task, and hands on the last hash only; no task or driver holds more than a stretch. A null in a field is an error, as the ledger's columns have none.
     """
-    ship(changes.sparkSession)
+    spark = changes.sparkSession
+    ship(spark)
     fields = ["seq", "memory_id", "operation", "actor", "project_slug", "payload_hash"]
     schema = T.StructType([T.StructField("seq", T.LongType()), *[T.StructField(f, T.StringType()) for f in [*fields[1:], "prev_hash", "row_hash"]]])
     rows = cut(changes.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields[:6]]).withColumn("_lk_part", F.expr(f"seq div {STRETCH}")), "changes")
-    out = rows.select(*fields, F.lit(None).cast("string").alias("prev_hash"), F.lit(None).cast("string").alias("row_hash")).limit(0)
+    path = f"{shared_dir(spark)}/tables/chain-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
 
     def chained(last: str | None) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
             table, before = table.sort_by("seq").select(fields), last
             prev, own = [], []
             for r in zip(*[table.column(f).to_pylist() for f in fields], strict=True):
+                if None in r:
+                    raise ValueError(f"a change has a null: {dict(zip(fields, r, strict=True))}")
                 prev.append(before)
-                before = hashlib.sha256("|".join([str(x) for x in r if x is not None] + [before or ""]).encode()).hexdigest()
+                before = _hash_of(*r, before)
                 own.append(before)
             return table.append_column("prev_hash", pa.array(prev, pa.string())).append_column("row_hash", pa.array(own, pa.string()))
 
         return run
 
-    for part in sorted(r[0] for r in rows.select("_lk_part").distinct().collect()):
-        stretch = rows.filter(F.col("_lk_part") == part).groupBy("_lk_part")
-        done = cut(stretch.applyInArrow(chained(last_hash), schema), "stretch")
-        last_hash = done.agg(F.max_by("row_hash", "seq")).first()[0]
-        out = out.unionByName(done)
-    return out
+    for part in sorted(r[0] for r in rows.select("_lk_part").distinct().collect()):  # a number a stretch
+        stretch = rows.filter(F.col("_lk_part") == part).groupBy("_lk_part").applyInArrow(chained(last_hash), schema)
+        stretch.write.mode("append").parquet(path)
+        written = spark.read.schema(schema).parquet(path).filter(F.col("seq").between(part * STRETCH, part * STRETCH + STRETCH - 1))
+        last_hash = written.agg(F.max_by("row_hash", "seq")).first()[0]
+    return spark.read.schema(schema).parquet(path)
 
 
 def verify_chain(ledger: DataFrame, start: int = 1, end: int | None = None) -> DataFrame:
@@ -90,6 +103,67 @@ def verify_chain(ledger: DataFrame, start: int = 1, end: int | None = None) -> D
     return breaks.orderBy("broken_at_seq").limit(1)
 
 
+def stretches(ledger: DataFrame, start: int = 1) -> DataFrame:
+    """The ledger as the table function verify_chain reads it, dealt into stretches: with stretch, and own, which is false for what a stretch needs to know of others.
+
+    That is the last row before it, one row a stretch, and for the stretch that start lies in a row with seq null, so that it is looked at even where it has no rows.
+    """
+    columns = ["seq", "memory_id", "operation", "actor", "project_slug", "payload_hash", "prev_hash", "row_hash"]
+    rows = ledger.select(*columns).withColumn("stretch", F.expr(f"seq div {STRETCH}")).withColumn("own", F.lit(True))
+    ends = rows.groupBy("stretch").agg(F.max_by(F.struct(*columns), "seq").alias("r"))
+    carried = ends.withColumn("to", F.lead("stretch").over(Window.orderBy("stretch"))).filter("to is not null").select("r.*", F.col("to").alias("stretch"), F.lit(False).alias("own"))
+    mark = ledger.sparkSession.range(1).select(*[F.lit(None).cast(ledger.schema[c].dataType).alias(c) for c in columns], F.lit(start // STRETCH).cast("long").alias("stretch"), F.lit(False).alias("own"))
+    return rows.unionByName(carried).unionByName(mark)
+
+
+@udtf(returnType=_BREAK)
+class VerifyChain:
+    """verify_chain(TABLE(...) PARTITION BY stretch ORDER BY seq, start_seq => 1, end_seq => NULL): the first break of each stretch, over rows as `stretches` deals them.
+
+    A break is (seq, expected, actual, which), '' for no hash; broken_at_seq is 0 where start_seq is above 1 and the row before it isn't there. The row with the least
+    broken_at_seq is the chain's first break; no row says that the range is whole.
+    """
+
+    def __init__(self) -> None:
+        self.previous: str | None = None
+        self.has_predecessor = self.holds_start = False
+        self.found: tuple | None = None
+        self.start = 1
+
+    def eval(self, row: Row, start_seq: int = 1, end_seq: int | None = None) -> None:
+        self.start = start_seq
+        if row["stretch"] == start_seq // STRETCH:
+            self.holds_start = True
+        seq = row["seq"]
+        if seq is None or seq < start_seq - 1 or (end_seq is not None and seq > end_seq):
+            return
+        if seq == start_seq - 1:
+            self.has_predecessor = True
+        if seq < start_seq or not row["own"]:
+            self.previous = row["row_hash"] if seq >= 1 else None
+            return
+        if self.found is None:
+            parts = [row[c] for c in ("seq", "memory_id", "operation", "actor", "project_slug", "payload_hash")]
+            own = None if None in parts else _hash_of(*parts, row["prev_hash"])
+            if row["prev_hash"] != self.previous:
+                self.found = seq, self.previous or "", row["prev_hash"] or "", "prev_hash-mismatch"
+            elif row["row_hash"] is None or row["row_hash"] != own:
+                self.found = seq, own, row["row_hash"], "row_hash-mismatch"
+        self.previous = row["row_hash"]
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.holds_start and self.start > 1 and not self.has_predecessor:
+            yield 0, None, None, "gap-before-start"
+        elif self.found is not None:
+            yield self.found
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make verify_chain known to the session's SQL."""
+    ship(spark)
+    spark.udtf.register("verify_chain", VerifyChain)
+
+
 def slug_range(ledger: DataFrame, slug: str) -> DataFrame:
     return ledger.filter(F.col("project_slug") == slug).agg(F.min("seq").alias("min_seq"), F.max("seq").alias("max_seq"))
 

@@ -31,10 +31,19 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: li
 
 
 def get_or_create(target: DataFrame, rows: DataFrame, keys: list[str], ident: str = "id") -> DataFrame:
-    """(keys, id, created): the target's id where the key exists, else the row's own."""
+    """(keys, id, created) for each row: the target's id where the key exists, else the least id among the rows of the key, so a key has one id.
+
+    created is true for the row whose own id that is, and for one of them if several have it. A null in a key matches nothing: such a row creates its own.
+    """
     have = target.groupBy(*keys).agg(F.min(ident).alias("_lk_have"))
-    out = rows.join(have, keys, "left")
-    return out.select(*keys, F.coalesce("_lk_have", ident).alias(ident), F.col("_lk_have").isNull().alias("created"))
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    firsts = rows.groupBy(*keys).agg(F.min(ident).alias("_lk_least")).filter(whole)
+    out = rows.join(have, keys, "left").join(firsts, keys, "left")
+    turn = F.row_number().over(Window.partitionBy(*keys, ident).orderBy(F.lit(0)))
+    own = F.col("_lk_least").isNull() | (F.col(ident).eqNullSafe(F.col("_lk_least")) & (turn == 1))
+    return out.select(*keys, F.coalesce("_lk_have", "_lk_least", ident).alias(ident), (F.col("_lk_have").isNull() & own).alias("created"))
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], latest: Column, keep_old: list[str] = (), overwrite: bool = True) -> DataFrame:
@@ -59,17 +68,21 @@ def upsert_latest_row(target: DataFrame, rows: DataFrame, keys: list[str], creat
     return rows.join(newest, keys, "left")
 
 
-def coalesce_update(target: DataFrame, rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Null-preserving update: new values where they are not null."""
-    new = rows.select(*keys, *[F.col(c).alias(f"_lk_{c}") for c in columns])
-    out = target.join(new, keys, "left")
+def once(source: DataFrame, keys: list[str], columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row a key of source, with _lk_ before the columns: in each column the first non-null value by order, or the least one. So a repeated key multiplies nothing."""
+    value = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order, c))) if order else F.min(c)
+    return source.groupBy(*keys).agg(*[value(c).alias(f"_lk_{c}") for c in columns])
+
+
+def coalesce_update(target: DataFrame, rows: DataFrame, keys: list[str], columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """Null-preserving update: new values where they are not null. Of a key that repeats in rows see once."""
+    out = target.join(once(rows, keys, columns, order), keys, "left")
     return out.select(*[F.coalesce(f"_lk_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
-def fill_nulls(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Only nulls are filled; the source must have a key once."""
-    new = source.select(*keys, *[F.col(c).alias(f"_lk_{c}") for c in columns])
-    out = target.join(new, keys, "left")
+def fill_nulls(target: DataFrame, source: DataFrame, keys: list[str], columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """Only nulls are filled. Of a key that repeats in source see once."""
+    out = target.join(once(source, keys, columns, order), keys, "left")
     return out.select(*[F.coalesce(c, f"_lk_{c}").alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
@@ -180,14 +193,24 @@ def backfill(rows: DataFrame, memory: Callable[[], DataFrame], kind: str, valid:
     return counts
 
 
-def replace_grown(sessions: DataFrame, children: DataFrame, files: DataFrame, rebuild: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """sessions and children after files (path, content_hash, ...) are read: a session whose content is new for its path is replaced, and its
-    children, whose source_id is the path, are dropped and rebuilt from the new row. Files that didn't change leave all as it was.
+def replace_grown(sessions: DataFrame, children: DataFrame, read: DataFrame, rebuild: Callable[[DataFrame], DataFrame], latest: Column, keep: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """sessions and children after rows of read came in. A session is one (source_app, session_id), whatever files it stands in.
+
+    Content that the application has already, by content_hash, is passed over. Of several new rows of a session the last by latest, then content_hash, counts. It takes the place of
+    the session's rows, but for the columns of keep, whose old values stay where they are not null. The session's children (source_app, source_id) go and are rebuilt from
+    it. A row without a session_id is a session of its own, which nothing replaces. What didn't change leaves all as it was.
     """
-    changed = files.join(sessions.select("path", "content_hash"), ["path", "content_hash"], "left_anti")
-    paths = changed.select("path").distinct()
-    kept = sessions.join(paths, "path", "left_anti").select(*sessions.columns).unionByName(changed.select(*sessions.columns))
-    rest = children.join(paths.select(F.col("path").alias("source_id")), "source_id", "left_anti").select(*children.columns)
+    ident = ["source_app", "session_id"]
+    fresh = read.dropDuplicates(["source_app", "content_hash"]).join(sessions.select("source_app", "content_hash"), ["source_app", "content_hash"], "left_anti")
+    by = Window.partitionBy(*ident).orderBy(latest.desc_nulls_last(), F.desc("content_hash"))
+    named = fresh.filter("session_id is not null").withColumn("_lk_n", F.row_number().over(by)).filter("_lk_n = 1").drop("_lk_n")
+    old = sessions.groupBy(*ident).agg(*[F.max(c).alias(f"_lk_{c}") for c in keep], F.lit(True).alias("_lk_old"))
+    named = named.join(old, ident, "left")
+    named = named.select(*[F.coalesce(f"_lk_{c}", c).alias(c) if c in keep else F.col(c) for c in sessions.columns])
+    changed = cut(named.unionByName(fresh.filter("session_id is null").select(*sessions.columns)), "grown")
+    replaced = changed.filter("session_id is not null").select(*ident)
+    kept = sessions.join(replaced, ident, "left_anti").select(*sessions.columns).unionByName(changed)
+    rest = children.join(replaced.withColumnRenamed("session_id", "source_id"), ["source_app", "source_id"], "left_anti").select(*children.columns)
     return kept, rest.unionByName(rebuild(changed).select(*children.columns))
 
 

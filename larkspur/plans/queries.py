@@ -581,6 +581,25 @@ def hash_chain_verify(spark: SparkSession, d: str) -> DataFrame:
     return ledger.verify_chain(_ledger(spark, d).filter("seq <> 150"))
 
 
+_VERIFIED = "SELECT '{0}' AS range, {1}::BIGINT AS broken_at_seq, {2} AS expected_hash, {3} AS actual_hash, '{4}' AS reason"
+
+
+@query("verify_chain_sql", CHAIN + f" {_VERIFIED.format('gap', 151, '(SELECT row_hash FROM c WHERE seq = 149)', 'prev_hash', 'prev_hash-mismatch')} FROM c WHERE seq = 151 UNION ALL {_VERIFIED.format('no predecessor', 0, 'NULL', 'NULL', 'gap-before-start')} UNION ALL {_VERIFIED.format('changed', 301, 'row_hash', chr(39) + 'x' + chr(39), 'row_hash-mismatch')} FROM c WHERE seq = 301")
+def verify_chain_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Four ranges of the ledger by the table function: with a row missing, with its predecessor missing, with a hash changed, and one that is whole and gives no row."""
+    ledger.register_functions(spark)
+    chain = _ledger(spark, d)
+    missing, changed = chain.filter("seq <> 150"), chain.withColumn("row_hash", F.when(F.col("seq") == 301, "x").otherwise(F.col("row_hash")))
+    cases = [("gap", missing, 1, None), ("no predecessor", missing, 151, None), ("changed", changed, 152, None), ("whole", missing, 1, 149)]
+    out = None
+    for name, rows, start, end in cases:
+        span = f"start_seq => {start}, end_seq => CAST({'NULL' if end is None else end} AS BIGINT)"
+        found = spark.sql("SELECT * FROM verify_chain(TABLE({rows}) PARTITION BY stretch ORDER BY seq, " + span + ") ORDER BY broken_at_seq LIMIT 1", rows=ledger.stretches(rows, start))
+        one = found.select(F.lit(name).alias("range"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("sql_text", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def sql_text(spark: SparkSession, d: str) -> DataFrame:
     from larkspur.plans.catalog import run_select

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import json
 import sqlite3
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -82,28 +81,6 @@ def read_sqlite(spark: SparkSession, path: str, table: str, text_columns: list[s
     return bare.select("id", kept.alias("text"), F.substring("text", 1, EMBEDDED_CHARS).alias("embed_text"), tokens)
 
 
-def read_registry(spark: SparkSession, text: str) -> tuple[DataFrame, list[str]]:
-    """Projects with ranges from a registry document (JSON, or YAML if a parser is installed), and errors by row."""
-    try:
-        data = json.loads(text)
-    except ValueError:
-        import yaml
-
-        data = yaml.safe_load(text)
-    rows, errors = [], []
-    for slug, project in (data.get("projects") or {}).items():
-        for purpose, spec in (project.get("ports") or {}).items():
-            try:
-                a, _, b = str(spec).partition("-")
-                start, end = int(a), int(b or a)
-                if not 1 <= start <= end <= 65535:
-                    raise ValueError("out of range")
-                rows.append((slug, project.get("name", slug), purpose, start, end))
-            except ValueError as e:
-                errors.append(f"{slug}.{purpose}: {e}")
-    return spark.createDataFrame(rows, "slug string, name string, purpose string, range_start int, range_end int"), errors
-
-
 def write_export(path: str, migration: str | None, source: str | None = None, compress: bool = False, **parts: DataFrame) -> dict[str, int]:
     """A folder with one header document (version, exported_at, source) and each part as JSON lines; returns counts, taken while writing.
 

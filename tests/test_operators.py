@@ -62,7 +62,13 @@ def test_merges(spark):
     assert {r.p: r.v for r in kept.collect()} == {"a": 5, "b": None, "z": 1}
     assert {r.p: r.v for r in merge.fill_nulls(target, spark.createDataFrame([("a", 0), ("b", 2)], "p string, v int"), ["p"], ["v"]).collect()} == {"a": 5, "b": 2}
     found = merge.get_or_create(target, rows, ["p"])
-    assert {(r.p, r.id, r.created) for r in found.filter("p is not null").collect()} == {("a", 1, False), ("c", 4, True), ("c", 5, True)}
+    assert {(r.p, r.id, r.created) for r in found.filter("p is not null").collect()} == {("a", 1, False), ("c", 4, True), ("c", 4, False)}
+    assert sorted((r.id, r.created) for r in found.filter("p is null").collect()) == [(6, True), (7, True)]
+    twice = merge.get_or_create(target, spark.createDataFrame([("k1", 5), ("k1", 5), ("k1", 6)], "p string, id int"), ["p"])
+    assert sorted(tuple(r) for r in twice.collect()) == [("k1", 5, False), ("k1", 5, False), ("k1", 5, True)]
+    again = spark.createDataFrame([("a", None, 1), ("a", 9, 2), ("a", 7, 3), ("b", 4, 1)], "p string, v int, t int")
+    assert sorted((r.p, r.v) for r in merge.coalesce_update(target.select("p", "v"), again, ["p"], ["v"], ["t"]).collect()) == [("a", 9), ("b", 4)]
+    assert sorted((r.p, r.v) for r in merge.fill_nulls(target.select("p", "v"), again, ["p"], ["v"]).collect()) == [("a", 5), ("b", 4)]
     edges = spark.createDataFrame([("a", "b", "t")], "from_id string, to_id string, edge_type string")
     more = spark.createDataFrame([("a", "b", "t"), ("a", "a", "t"), ("b", "a", "t"), ("b", "a", "t")], "from_id string, to_id string, edge_type string")
     assert [tuple(r) for r in merge.insert_edges(edges, more).collect()] == [("b", "a", "t")]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions.text import render_session, session_json
 from larkspur.operators import merge
-from larkspur.sources import files, transcripts
+from larkspur.sources import files, registry, transcripts
 from larkspur.streaming import ingest
 
 
@@ -91,8 +91,6 @@ def test_stores(spark, tmp_path):
         got = files.read_sqlite(spark, str(tmp_path / "m.db"), "mem", most_chars=5000, page=page)
         assert sorted((r.text, len(r.embed_text), r.token_count) for r in got.collect()) == [("x" * 30, 30, 7), ("y" * 20, 20, 5), ("z" * 5000, 2000, 1500)]
     assert files.read_sqlite(spark, str(tmp_path / "m.db"), "missing").count() == 0
-    rows, errors = files.read_registry(spark, json.dumps({"projects": {"p": {"name": "P", "ports": {"web": "3000-3010", "db": 5432, "bad": "9-1", "odd": "x"}}}}))
-    assert {(r.purpose, r.range_start, r.range_end) for r in rows.collect()} == {("web", 3000, 3010), ("db", 5432, 5432)} and len(errors) == 2
 
 
 def test_exports(spark, tmp_path):
@@ -137,15 +135,42 @@ def test_exports(spark, tmp_path):
 
 
 def test_grown_sessions_are_replaced(spark):
-    sessions = spark.createDataFrame([("/a", "h1", "one"), ("/b", "h2", "two")], "path string, content_hash string, value string")
-    chunks = spark.createDataFrame([("/a", "one"), ("/b", "two"), ("/other", "kept")], "source_id string, content string")
-    seen = spark.createDataFrame([("/a", "h1", "one"), ("/b", "h3", "two more"), ("/c", "h4", "new")], sessions.schema)
-    rebuild = lambda rows: rows.select(F.col("path").alias("source_id"), F.explode(F.split("value", " ")).alias("content"))
-    kept, built = merge.replace_grown(sessions, chunks, seen, rebuild)
-    assert {tuple(r) for r in kept.collect()} == {("/a", "h1", "one"), ("/b", "h3", "two more"), ("/c", "h4", "new")}
-    assert {tuple(r) for r in built.collect()} == {("/a", "one"), ("/b", "two"), ("/b", "more"), ("/c", "new"), ("/other", "kept")}
-    same = merge.replace_grown(kept, built, seen, rebuild)
-    assert {tuple(r) for r in same[1].collect()} == {tuple(r) for r in built.collect()}
+    """A session is known by its application and id: from another file, or grown several times, it stays one."""
+    schema = "source_app string, session_id string, path string, content_hash string, modified int, value string, project string"
+    sessions = spark.createDataFrame([("x", "s1", "/a", "h1", 1, "one", "p"), ("x", "s2", "/b", "h2", 1, "two", "p"), ("y", "s2", "/b", "h2", 1, "other", None), ("x", None, "/n", "h9", 1, "loose", None)], schema)
+    chunks = spark.createDataFrame([("x", "s1", "one"), ("x", "s2", "two"), ("y", "s2", "other"), ("x", "note", "kept")], "source_app string, source_id string, content string")
+    read = [("x", "s1", "/moved", "h1", 5, "one", None), ("x", "s2", "/c", "h3", 2, "two more", "q"), ("x", "s2", "/b", "h4", 3, "two more yet", "q"), ("x", "s2", "/b2", "h4", 3, "two more yet", "q"), ("x", "s3", "/d", "h5", 1, "new", None), ("x", None, "/n", "h9", 1, "loose", None), ("x", None, "/n", "h8", 1, "loose end", None)]
+    seen = spark.createDataFrame(read, schema)
+    rebuild = lambda rows: rows.select("source_app", F.coalesce("session_id", "content_hash").alias("source_id"), F.explode(F.split("value", " ")).alias("content"))
+    kept, built = merge.replace_grown(sessions, chunks, seen, rebuild, F.col("modified"), keep=["project"])
+    rows = {(r.source_app, r.session_id, r.content_hash, r.value, r.project) for r in kept.collect()}
+    assert rows == {("x", "s1", "h1", "one", "p"), ("x", "s2", "h4", "two more yet", "p"), ("y", "s2", "h2", "other", None), ("x", "s3", "h5", "new", None), ("x", None, "h9", "loose", None), ("x", None, "h8", "loose end", None)}
+    assert kept.count() == 6
+    want = [("x", "s1", "one"), ("x", "s2", "two"), ("x", "s2", "more"), ("x", "s2", "yet"), ("y", "s2", "other"), ("x", "note", "kept"), ("x", "s3", "new"), ("x", "h8", "loose"), ("x", "h8", "end")]
+    assert sorted(tuple(r) for r in built.collect()) == sorted(want)
+    same = merge.replace_grown(kept, built, seen.filter("content_hash <> 'h3'"), rebuild, F.col("modified"), keep=["project"])
+    assert sorted(tuple(r) for r in same[1].collect()) == sorted(want) and same[0].count() == 6
+
+
+REGISTRY = {"projects": {
+    "p": {"name": "P", "team": "t", "status": " Inactive ", "path": "/p", "compose_project": "c", "ports": {"web": "3000-3010", "db": 5432, "bad": "9-1", "odd": "x", "none": None, "list": [1]}},
+    "portless": {}, "named": {"name": ""}, "text": "x", "nothing": None, "number": 5, "gone": {"status": "lost", "ports": {"web": 80}}, "list": {"ports": [80]}}}
+
+
+@pytest.mark.parametrize("yaml", [False, True])
+def test_registries(spark, yaml):
+    texts = [json.dumps(REGISTRY), "", "[]", "{\"projects\": []}", "{broken", None, json.dumps({"projects": {"p": {"name": "second", "ports": {"web": "1-2", "new": "7"}}}})]
+    if yaml:
+        texts[0] = "projects:\n" + "".join(f"  {k}: {json.dumps(v)}\n" for k, v in REGISTRY["projects"].items())
+    found = registry.read_registry(spark.createDataFrame([(f"{i}", t) for i, t in enumerate(texts)], "path string, value string"), yaml=yaml)
+    assert {tuple(r)[1:] for r in found.projects.filter("source = '0'").collect()} == {("p", "P", "t", "inactive", "/p", "c"), ("portless", "portless", None, "active", None, None), ("named", "named", None, "active", None, None), ("list", "list", None, "active", None, None)}
+    assert {(r.slug, r.purpose, r.range_start, r.range_end) for r in found.ranges.filter("source = '0'").collect()} == {("p", "web", 3000, 3010), ("p", "db", 5432, 5432)}
+    assert sorted(r.message for r in found.skipped.collect()) == sorted(["p/bad: bad port spec '9-1'", "p/odd: bad port spec 'x'", "p/none: bad port spec 'null'", "p/list: bad port spec '[1]'", "text: config is not a mapping", "nothing: config is not a mapping", "number: config is not a mapping", "gone: unknown status 'lost'", "list: ports are not a mapping"])
+    have = spark.createDataFrame([("p", "web", 3000, 3010), ("p", "db", 1, 2)], "slug string, purpose string, range_start int, range_end int")
+    out = registry.import_registry(found, spark.createDataFrame([("p",), ("else",)], "slug string"), have)
+    assert out["counts"].first().asDict() == {"projects_created": 3, "projects_existing": 1, "ports_created": 1, "ports_existing": 2, "skipped": 9}
+    assert {(r.purpose, r.action) for r in out["ranges"].collect()} == {("web", "existing"), ("db", "update"), ("new", "insert")}
+    assert {(r.slug, r.name, r.action) for r in out["projects"].filter("slug = 'p'").collect()} == {("p", "P", "update")}
 
 
 def test_changed_files(spark, tmp_path):
