@@ -7,13 +7,14 @@ model of the other fold: a document's own n-grams don't vouch for it, and what t
 counts stand in one table, so Spark works out the value of each n-gram that a fold has under the other fold's model, back-off included,
 and only these values go to the workers: sorted 64-bit hashes of the n-grams of each language with two values
 beside them. Within a language the hash is a bijection of the packed n-gram, so no two n-grams share a value. SLICE n-grams at most
-(about 130 MB) are sent at a time; a corpus that has more is read again for each further slice, which adds the slice's share.
+(about 130 MB) are sent at a time; a corpus that has more is read again for each further slice, and the slices' shares, one number a distinct text, are added up.
 
-A character is one symbol, or two from U+0600 on, so that five symbols fit 60 bits and no two characters are one. A document's perplexity is that of
-its words: the exponential of the negative log-probability of all its characters, divided by the number of words that have a letter or digit. (By character, symbols that
-follow every word look cheap, as do signs between blanks by word; so what isn't a word counts against the words.) Each language's and fold's band
-reaches BELOW interquartile ranges of the log-perplexity under the first and ABOVE over the third quartile of the documents
-that pass the base rules; both come from a histogram with bins of BIN over all documents.
+The model's vocabulary is closed: letters, digits, marks and white space, and of all other characters those that at least COMMON of all documents with a text have. Other characters are unknown: an
+n-gram neither ends with one nor reaches across one, so signs that a few documents are full of can't make each other likely, and
+each costs what the model leaves for a symbol that it has never seen. The digits 0 to 9 are one character. A known character is one symbol, or two from U+0600 on, so that five symbols fit 60 bits and no two others
+are one. A document's perplexity is that of its characters, known and unknown: the exponential of the mean negative log-probability. As each character counts once, neither the length of words nor the share
+of signs is in it but by what the model makes of them. Each language's and fold's band reaches BELOW interquartile ranges of the log-perplexity under the first and
+ABOVE over the third quartile of the documents that pass the base rules; both come from a histogram with bins of BIN over all documents.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a language of its own; rows with
 the same or a null id are judged each; an empty table gives an empty result; all columns are passed on by filter_quality.
@@ -21,7 +22,9 @@ the same or a null id are judged each; an empty table gives an empty result; all
 
 from __future__ import annotations
 
-import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,10 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm._shared import unpacked
-from larkspur.llm._words import hashes_of, mixed, over_chunks, window_hashes, words_of
+from larkspur.llm._words import chunked, hashes_of, mixed, over_chunks, window_hashes, words_of
 from larkspur.session import cut
 
-ORDER, BELOW, ABOVE, BIN = 5, 6.0, 6.0, 0.01
+ORDER, BELOW, ABOVE, BIN = 5, 8.0, 6.0, 0.002
+#: Share of the documents that must have a sign for it to be in the vocabulary.
+COMMON = 0.1
 #: N-grams that a worker holds at a time; a corpus with more is read once for each slice.
 SLICE = 1 << 23
 #: Rows of bands that are broadcast (some MB); more are joined, and adaptive execution splits what is large.
@@ -44,7 +49,6 @@ _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
 _BITS = 12  # of a symbol: 0 stands before a text's first character
 #: Code points below PLAIN are one symbol; others are two, of 1088 first and 1024 second ones.
 PLAIN = 1536
-_LETTER = re.compile(r"[^\W_]")
 _PRIMES = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -60,32 +64,62 @@ def _xxhash64(x: np.ndarray, seed: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
-def _symbols(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbols of all strings, from 1 to 3648, and how many each has; different strings have different symbols."""
+def _is_sign(c: str) -> bool:
+    return not c.isspace() and unicodedata.category(c)[0] not in "LNM"
+
+
+def vocabulary(texts: DataFrame, common: float = COMMON) -> np.ndarray:
+    """For each code point whether it is known, from texts (text); bits, packed."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, signs = 0, Counter()
+        for _, some in chunked(batches, "text"):
+            n += len(some) - some.count(b"")
+            found: Counter = Counter()
+            for t in some:
+                found.update(set(t.decode("utf-8", "replace")))
+            signs.update({c: k for c, k in found.items() if _is_sign(c)})
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(ord, signs)], pa.int32()), pa.array([n, *signs.values()], pa.int64())], ["point", "n"])
+
+    counts = texts.mapInArrow(counted, "point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    n = counts.filter("point < 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    known = [r["point"] for r in counts.filter((F.col("point") >= 0) & (F.col("n") >= common * n)).collect()]  # 1 / common times the signs of a document, on average
+    out = np.fromiter((not _is_sign(chr(c)) for c in range(0x110000)), bool, 0x110000)
+    out[known] = True
+    return np.packbits(out)
+
+
+def _grams(texts: list[bytes], order: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-gram that ends at each symbol, packed in 60 bits, and 0 for each unknown character, text after text; of each text how many these are, and its characters."""
+    strings = [t.decode("utf-8", "replace") for t in texts]
     points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), "<u4")
-    ends = np.cumsum([0, *map(len, strings)])
-    wide = points >= PLAIN
-    if not wide.any():
-        return (points + np.uint32(1)).astype(np.uint16), np.diff(ends)
-    starts = np.cumsum(np.add(wide, 1, dtype=np.int32), dtype=np.int32) - np.int32(1) - wide
-    total = len(points) + int(wide.sum())
-    out = np.empty(total, np.uint16)
-    out[starts] = np.where(wide, np.uint32(PLAIN + 1) + (points >> np.uint32(10)), points + np.uint32(1))
-    out[starts[wide] + 1] = np.uint32(PLAIN + 1089) + (points[wide] & np.uint32(1023))
-    return out, np.diff(np.append(starts, total)[ends])
-
-
-def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends at each symbol, packed in 60 bits, text after text; symbols of each text."""
-    found, counts = _symbols([t.decode("utf-8", "replace") for t in texts])
-    at = np.arange(len(found)) + (order - 1) * np.repeat(np.arange(1, len(texts) + 1), counts)
-    symbols = np.zeros(len(found) + (order - 1) * len(texts), np.uint16)
-    symbols[at] = found
-    packed = found.astype(np.uint64)
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    del strings
+    inside = np.unpackbits(known).view(bool)[points]
+    points = np.where((points >= 48) & (points <= 57), np.uint32(48), points)
+    # a symbol or two for each known character, one place for an unknown one
+    places = np.add(inside & (points >= PLAIN), 1, dtype=np.uint8)
+    upto = np.cumsum(places, dtype=np.int64)
+    starts = upto - places
+    symbols = np.zeros(int(upto[-1]) if len(upto) else 0, np.uint16)
+    wide = places == 2
+    symbols[starts] = np.where(wide, np.uint32(PLAIN + 1) + (points >> np.uint32(10)), np.where(inside, points + np.uint32(1), np.uint32(0)))
+    symbols[starts[wide] + 1] = np.uint32(PLAIN + 1089) + (points[wide] & np.uint32(1023))
+    del points, inside, places, wide
+    counts = np.diff(np.append(0, upto)[np.cumsum(np.append(0, sizes))])
+    # what an n-gram may reach back to: its text, from the last unknown character on
+    at = np.arange(len(symbols), dtype=np.int64)
+    begin = np.repeat(np.cumsum(counts) - counts, counts)
+    reach = np.maximum(begin, np.maximum.accumulate(np.where(symbols == 0, at + 1, 0))) if len(at) else at
+    back = (at - reach).astype(np.int32)
+    del begin, reach, at
+    packed = symbols.astype(np.uint64)
     for k in range(1, order):
-        at -= 1
-        packed |= symbols[at].astype(np.uint64) << np.uint64(_BITS * k)
-    return packed, counts
+        earlier = np.zeros(len(symbols), np.uint64)
+        earlier[k:] = symbols[:-k] if k < len(symbols) else 0
+        packed |= np.where(back >= k, earlier, np.uint64(0)) << np.uint64(_BITS * k)
+    packed[symbols == 0] = 0
+    return packed, counts, sizes
 
 
 def _lang(lang_col: str) -> Column:
@@ -97,16 +131,16 @@ def _fold(text: Column) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
 
-def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n0, n1) over all characters of all texts: how often each fold has it."""
+def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, known: np.ndarray, order: int = ORDER) -> DataFrame:
+    """(lang, gram, n0, n1) over all known characters of all texts: how often each fold has it."""
 
     def counted(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
         langs, folds, out = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy(), []
         for lang in sorted(set(langs)):
             own = np.flatnonzero(langs == lang)
-            grams, counts = _grams([texts[i] for i in own], order)
-            codes, distinct = pd.factorize(grams)
-            second = np.repeat(folds[own], counts) == 1
+            grams, counts, _ = _grams([texts[i] for i in own], order, known)
+            second = (np.repeat(folds[own], counts) == 1)[grams > 0]
+            codes, distinct = pd.factorize(grams[grams > 0])
             n = [np.bincount(codes[x], minlength=len(distinct)).astype(np.int64) for x in (~second, second)]
             out.append(pa.RecordBatch.from_arrays([pa.array([lang] * len(distinct), pa.string()), pa.array(distinct.view(np.int64)), *map(pa.array, n)], ["lang", "gram", "n0", "n1"]))
         return out
@@ -117,7 +151,10 @@ def count_ngrams(docs: DataFrame, text_col: str, lang_col: str, order: int = ORD
 
 
 def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, n0, n1, p0, p1): the probability of each n-gram's last symbol after the others under either fold's interpolated model."""
+    """(lang, gram, p0, p1): the probability of each n-gram's last symbol after the others under either fold's interpolated model.
+
+    The gram 0 has the probability of a symbol that the model has never seen: a share of what all unigrams lost.
+    """
     folds = (0, 1)
     tables = {order: cut(counts, "ngrams")}
     for k in range(order - 1, 0, -1):
@@ -144,6 +181,9 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
         contexts = t.groupBy("lang", "context").agg(*sums)
         grams = t.select("lang", "gram", "context", "distinct", "n0", "n1", "off0", "off1").join(contexts, ["lang", "context"])
         if lower is None:
+            # of the context of no symbols; a fold without any symbol gives every symbol the same
+            unseen = contexts.join(stats.filter(F.col("k") == 1).select("lang", "distinct"), "lang").select("lang", F.lit(0).cast("long").alias("gram"), *[F.coalesce(F.expr(f"try_divide(lost{f}, all{f})"), F.lit(1.0)).alias(f"share{f}") for f in folds], "distinct")
+            unseen = unseen.select("lang", "gram", *[(F.col(f"share{f}") / (F.col("distinct") + 1)).alias(f"p{f}") for f in folds])
             grams = grams.select("*", *[(1.0 / (F.col("distinct") + 1)).alias(f"below{f}") for f in folds])
         else:
             shorter = F.col("gram").bitwiseAND((1 << _BITS * (k - 1)) - 1)
@@ -151,7 +191,8 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
             grams = grams.withColumn("shorter", shorter).join(below, ["lang", "shorter"])
         # a context that the fold lacks backs off
         p = [F.when(F.col(f"all{f}") > 0, (F.col(f"n{f}") - F.col(f"off{f}") + F.col(f"lost{f}") * F.col(f"below{f}")) / F.col(f"all{f}")).otherwise(F.col(f"below{f}")).alias(f"p{f}") for f in folds]
-        lower = cut(grams.select("lang", "gram", "n0", "n1", *p), f"model-{k}")
+        values = grams.select("lang", "gram", *p)
+        lower = cut(values.unionByName(unseen) if k == order else values, f"model-{k}")
     return lower
 
 
@@ -174,13 +215,13 @@ def model_slice(model: DataFrame, part: int, parts: int) -> dict[str, tuple[np.n
     return out
 
 
-def _nll(texts: list[bytes], langs: np.ndarray, folds: np.ndarray, seeds: np.ndarray, arrays: dict, part: int, parts: int) -> np.ndarray:
-    """Nats of the n-grams of each whole text that the slice has; 0 for an empty text."""
+def _nll(texts: list[bytes], langs: np.ndarray, folds: np.ndarray, seeds: np.ndarray, arrays: dict, known: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Nats a character of the n-grams of each whole text that the slice has; 0 for an empty text, and for a language without any known character."""
     out = np.zeros(len(texts))
     for lang in sorted(set(langs)):
         own = np.flatnonzero(langs == lang)
-        grams, counts = _grams([texts[i] for i in own], ORDER)
-        if len(grams):
+        grams, counts, sizes = _grams([texts[i] for i in own], ORDER, known)
+        if len(grams) and lang in arrays:
             codes, distinct = pd.factorize(grams)
             del grams
             hashes = _xxhash64(distinct | np.uint64(ORDER << 60), int(seeds[own[0]]))
@@ -191,7 +232,7 @@ def _nll(texts: list[bytes], langs: np.ndarray, folds: np.ndarray, seeds: np.nda
                 values[mine] = logp[np.searchsorted(keys, hashes[mine])]
             sums = np.concatenate([[0.0], np.cumsum(values[codes, np.repeat(folds[own], counts)])])
             ends = np.cumsum(counts)
-            out[own] = sums[ends - counts] - sums[ends]
+            out[own] = (sums[ends - counts] - sums[ends]) / np.maximum(sizes, 1)
     return out
 
 
@@ -217,9 +258,7 @@ def _base(texts: list[bytes]) -> dict[str, np.ndarray]:
         full = [x for x in t.split(b"\n") if x.strip()]
         lines[i] = len(full) - len(set(full))
     failed = (w.counts < LEAST_WORDS) | (100 * repeated > MOST_REPEATED_PERCENT * w.counts)
-    lettered = np.fromiter((_LETTER.search(x.decode("utf-8", "replace")) is not None for x in w.distinct), bool, len(w.distinct))
-    read = np.bincount(w.owners, lettered[w.ids], minlength=len(texts)).astype(np.int64)
-    return {"n_words": w.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated, "base_failed": failed, "lettered": read}
+    return {"n_words": w.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": lines, "n_repeat_words": repeated, "base_failed": failed}
 
 
 _ADDED = T.StructType([T.StructField(f"_lq_{n}", T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("_lq_base_failed", T.BooleanType()), T.StructField("_lq_nll", T.DoubleType())])
@@ -227,34 +266,47 @@ _ADDED = T.StructType([T.StructField(f"_lq_{n}", T.LongType()) for n in ("n_word
 
 def _scored(docs: DataFrame, text_col: str, lang_col: str, carried: Column) -> DataFrame:
     """(row, _lq_lang, _lq_fold and the columns of _ADDED) as a table; row: what is carried of docs."""
-    model = kneser_ney(count_ngrams(docs, text_col, lang_col))
+    text = F.col(text_col).cast("string")
+    known = vocabulary(docs.select(text.alias("text")))
+    model = kneser_ney(count_ngrams(docs, text_col, lang_col, known))
     n, parts = model.count(), 1
     while parts * SLICE < n:
         parts *= 2
-    text = F.col(text_col).cast("string")
-    given = docs.select(carried.alias("row"), _lang(lang_col).alias("_lq_lang"), _fold(text).alias("_lq_fold"), F.xxhash64(_lang(lang_col)).alias("_lq_seed"), text.alias("_lq_text"), F.lit(0.0).alias("_lq_nats"))
+    fields = [_lang(lang_col).alias("_lq_lang"), _fold(text).alias("_lq_fold"), F.xxhash64(_lang(lang_col)).alias("_lq_seed"), text.alias("_lq_text")]
+    given = docs.select(carried.alias("row"), *fields)
+    if parts == 1:
+        return _with_nats(given, model, known, "row", 0, 1)
+    # one row for each distinct text of a language and slice: its share; the texts themselves aren't written
+    key = F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("_lq_key")
+    shares = None
     for part in range(parts):
-        given = _add_slice(given, model, part, parts)
-    return given
+        found = _with_nats(docs.select(key, *fields), model, known, "_lq_key", part, parts).groupBy("_lq_lang", "_lq_key").agg(F.max("_lq_nll").alias("share"))
+        shares = found if shares is None else shares.unionByName(found)
+    sums = shares.groupBy("_lq_lang", "_lq_key").agg(F.sum("share").alias("_lq_nll")).select(F.col("_lq_lang").alias("_lq_l"), F.col("_lq_key").alias("_lq_k"), "_lq_nll")
+    keyed = given.withColumn("_lq_key", F.md5(F.coalesce("_lq_text", F.lit("")).cast("binary")))
+    schema = T.StructType([keyed.schema[n] for n in ("row", "_lq_lang", "_lq_fold", "_lq_key")] + _ADDED.fields[:-1])
+
+    def counted(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
+        own = [batch.column(batch.schema.get_field_index(n)) for n in ("row", "_lq_lang", "_lq_fold", "_lq_key")]
+        return [pa.RecordBatch.from_arrays([*own, *map(pa.array, _base(texts).values())], schema.names)]
+
+    based = keyed.mapInArrow(lambda batches: over_chunks(batches, "_lq_text", counted), schema)
+    return cut(based.join(sums, (F.col("_lq_lang") == F.col("_lq_l")) & (F.col("_lq_key") == F.col("_lq_k"))).drop("_lq_l", "_lq_k", "_lq_key"), "quality")
 
 
-def _add_slice(given: DataFrame, model: DataFrame, part: int, parts: int) -> DataFrame:
-    """given with the slice's share added to _lq_nats; after the last slice (row, _lq_lang, _lq_fold and the columns of _ADDED)."""
+def _with_nats(given: DataFrame, model: DataFrame, known: np.ndarray, carried: str, part: int, parts: int) -> DataFrame:
+    """The carried column, _lq_lang, _lq_fold and the slice's share as _lq_nll, as a table; where there is one slice only also the other columns of _ADDED."""
     arrays = given.sparkSession.sparkContext.broadcast(model_slice(model, part, parts))
-    last = part == parts - 1
-    kept = ["row", "_lq_lang", "_lq_fold"] + ([] if last else ["_lq_seed", "_lq_text"])
-    schema = T.StructType([given.schema[n] for n in kept] + (_ADDED.fields if last else [given.schema["_lq_nats"]]))
+    kept, added = [carried, "_lq_lang", "_lq_fold"], _ADDED.fields if parts == 1 else _ADDED.fields[-1:]
+    schema = T.StructType([given.schema[n] for n in kept] + added)
 
     def scored(batch: pa.RecordBatch, texts: list[bytes]) -> list[pa.RecordBatch]:
         column = lambda n: batch.column(batch.schema.get_field_index(n))
         langs = np.array(column("_lq_lang").to_pylist(), object)
-        nats = column("_lq_nats").to_numpy() + _nll(texts, langs, column("_lq_fold").to_numpy(), column("_lq_seed").to_numpy(), arrays.value, part, parts)
-        added = [nats]
-        if last:
-            found = _base(texts)
-            words = found.pop("lettered")
-            added = [*found.values(), nats / np.maximum(words, 1)]
-        return [pa.RecordBatch.from_arrays([column(n) for n in kept] + [pa.array(x) for x in added], schema.names)]
+        found = [_nll(texts, langs, column("_lq_fold").to_numpy(), column("_lq_seed").to_numpy(), arrays.value, known, part, parts)]
+        if parts == 1:
+            found = [*_base(texts).values(), *found]
+        return [pa.RecordBatch.from_arrays([column(n) for n in kept] + [pa.array(x) for x in found], schema.names)]
 
     out = cut(given.mapInArrow(lambda batches: over_chunks(batches, "_lq_text", scored), schema), "quality")
     arrays.destroy()
