@@ -5,15 +5,21 @@ hash; consecutive windows that share the minimiser's place form one super-k-mer,
 to the bucket of its minimiser. Equal windows have equal minimisers and meet in one bucket, where windows that share a hash are
 sorted and counted by their words.
 
-Two passes read the texts. The first counts minimisers; one that the corpus has once can't belong to a repeated
+A first pass counts minimisers; one that the corpus has once can't belong to a repeated
 window, and a fixed-size bitmap of the others spares the second pass sending
 such strings. False positives only send more. Equal strings that meet in one batch are settled
-there and one of them travels, counted twice. A minimiser that more than PART_STRINGS strings have is dealt into as many parts as it has times that many,
-by its windows' hashes, each part counting its own windows; how many parts is read from a fixed-size table of SLOT_BITS bits of the minimiser, which
-holds the most that any of a slot's minimisers needs. So no bucket grows with the corpus or gathers the copies of a passage.
+there and one of them travels.
+
+A minimiser that more than HOT_STRINGS strings have is hot: their strings would fill a bucket, and though the windows of a common passage are equal, the strings
+are not, as each has its own text's words at its ends. Which minimisers are hot is read from a fixed-size table of SLOT_BITS bits of their hash. The windows of
+hot ones are counted apart, by hash first: each batch sends a window's hash (128 bits) once, with how often it has it, and Spark adds these up before
+and after the shuffle. A third pass then sends the words of the windows whose hash is repeated, for which a fixed-size bitmap stands in, again once a batch, and
+a window is repeated where all words of its hash are equal and were counted twice or more. (Hashes with several words are counted by words in one more
+pass, which hardly any corpus needs.) Places of such windows meet these counts by hash; those of a hash that many texts have are dealt into parts by their texts' hashes, as
+many as it takes for HOT_STRINGS places each. So no bucket, group or join key grows with the copies of a passage.
 
 Defined results: a null or empty text has no words; fewer words than a window are all kept; repeated rows are documents of their
-own, so all windows of both are repeated; ids may be null or repeated, as results are found by text; an empty table gives an
+own, so all windows of both are repeated; ids may be null or repeated, as results are found by text; a text may have any number of words; an empty table gives an
 empty result; other columns are not looked at.
 """
 
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,9 +38,12 @@ from larkspur.llm._shared import bit_array, bitmap, bucket_count, is_set
 from larkspur.llm._words import Words, chunked, hashes_of, mixed, window_hashes, words_of
 from larkspur.session import cut
 
-#: Strings in a bucket, on average, strings of a minimiser in a part, and bits of a minimiser that find its number of parts.
-BUCKET_STRINGS, PART_STRINGS, SLOT_BITS = 8_000, 8_000, 20
-_PLACE_BITS = 28
+#: Strings in a bucket, on average; strings of a minimiser beyond which it is hot, and places of a window in a part; bits of a hash that find its slot.
+BUCKET_STRINGS, HOT_STRINGS, SLOT_BITS = 8_000, 8_000, 20
+#: Windows whose words are compared or sent at once.
+AT_ONCE = 20_000
+#: A chunk is one text or a few million bytes, and a text has less than 2^31 bytes.
+_PLACE_BITS = 31
 
 
 def _super_kmers(texts: list[bytes], window: int, m: int) -> tuple:
@@ -46,8 +55,6 @@ def _super_kmers(texts: list[bytes], window: int, m: int) -> tuple:
         return w, empty.astype(np.uint64), empty, empty
     h = window_hashes(hashes_of(w.distinct)[w.ids], m)
     low = (1 << _PLACE_BITS) - 1
-    if n > low:
-        raise ValueError("a text has more words than places")
     keyed = (mixed(h) & ~np.uint64(low)) | np.arange(len(h), dtype=np.uint64)
     least, width = keyed, 1
     while 2 * width <= span:
@@ -70,17 +77,29 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
 
 
-def _part_bits(counts: DataFrame) -> np.ndarray:
-    """For each slot the bits of a window's hash that tell its part: log2 of how many times PART_STRINGS its commonest minimiser has."""
-    slot = F.shiftrightunsigned("minimiser", 64 - SLOT_BITS).alias("slot")
-    most = counts.filter(F.col("n") > PART_STRINGS).groupBy(slot).agg(F.max("n").alias("n")).toArrow()  # 2^SLOT_BITS rows at most
-    out = np.zeros(1 << SLOT_BITS, np.uint8)
-    out[most.column("slot").to_numpy()] = np.ceil(np.log2(most.column("n").to_numpy() / PART_STRINGS))
+def _slot(column: str) -> Column:
+    return F.shiftrightunsigned(column, 64 - SLOT_BITS)
+
+
+def _slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slots(counts: DataFrame, column: str, n: str) -> DataFrame:
+    """(slot, bits) of the slots with a hash that is counted more than HOT_STRINGS times: bits tell as many parts as the commonest needs. 2^SLOT_BITS rows at most."""
+    most = counts.filter(F.col(n) > HOT_STRINGS).groupBy(_slot(column).alias("slot")).agg(F.max(n).alias("n"))
+    return cut(most.select("slot", F.ceil(F.log2(F.col("n") / HOT_STRINGS)).cast("int").alias("bits")), "slots")
+
+
+def _slot_array(slots: DataFrame) -> np.ndarray:
+    """For each slot its bits and 1 more, or 0 for a slot that isn't there."""
+    out, found = np.zeros(1 << SLOT_BITS, np.uint8), slots.toArrow()
+    out[found.column("slot").to_numpy()] = found.column("bits").to_numpy() + 1
     return out
 
 
-def _window_hashes(w: Words, window: int) -> np.ndarray:
-    return mixed(window_hashes(hashes_of(w.distinct)[w.ids], window) + np.uint64(99))
+def _window_hashes(w: Words, window: int, seed: int = 0) -> np.ndarray:
+    return mixed(window_hashes(hashes_of(w.distinct, seed)[w.ids], window) + np.uint64(99))
 
 
 def _repeat_within(n: np.ndarray) -> np.ndarray:
@@ -88,7 +107,53 @@ def _repeat_within(n: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
 
 
-_STRINGS = pa.schema([("bucket", pa.int64()), ("bits", pa.int32()), ("part", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("windows", pa.int64()), ("packed", pa.binary())])
+def _packed(texts: list[bytes], w: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The texts' words with a blank after each, where each word starts in that, and how long it is."""
+    joined = b" ".join([x for x in (b" ".join(t.split()) for t in texts) if x])
+    sizes = np.fromiter(map(len, w.distinct), np.int64, len(w.distinct))[w.ids]
+    return joined, np.cumsum(sizes + 1) - sizes - 1, sizes
+
+
+_STRINGS = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("windows", pa.int64()), ("packed", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
+_ROWS = "bucket long, key binary, at long, windows long, packed binary, h1 long, h2 long, n long"
+#: Buckets of rows that don't travel to one: places that are settled, hashes of hot windows, words of hot windows, places of hot windows.
+SETTLED, HASHES, WORDS, PLACES = -1, -2, -3, -4
+
+
+def _rows(bucket: int | np.ndarray, size: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of _STRINGS with the columns that are given, null in the others."""
+    columns["bucket"] = pa.array(np.broadcast_to(bucket, size).astype(np.int64))
+    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _STRINGS], schema=_STRINGS)
+
+
+def _hot_windows(w: Words, first: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of some super-k-mers: where each starts, and its hash in two numbers."""
+    at = np.repeat(first, length) + _repeat_within(length)
+    if not len(at):
+        return at, at.astype(np.uint64), at.astype(np.uint64)
+    return at, _window_hashes(w, window)[at], _window_hashes(w, window, 1)[at]
+
+
+def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first of each pair of numbers, how often it is there, and which one each pair is."""
+    both = np.stack([h1, h2], 1).view([("a", np.uint64), ("b", np.uint64)]).reshape(-1)
+    _, first, which, n = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
+    return first, n.astype(np.int64), which.reshape(-1)
+
+
+def _slices(n: int, most: int) -> Iterator[slice]:
+    return (slice(at, min(at + most, n)) for at in range(0, n, most))
+
+
+def _by_words(w: Words, at: np.ndarray, h1: np.ndarray, h2: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows at some words, one of each hash and words, and how often it is there. (Windows that share a hash with other words are given each.)"""
+    one, _, which = _distinct(h1, h2)
+    same = np.ones(len(at), bool)
+    for some in _slices(len(at), AT_ONCE):
+        steps = np.arange(window)
+        same[some] = (w.ids[at[some][:, None] + steps] == w.ids[at[one][which[some]][:, None] + steps]).all(1)
+    odd = np.flatnonzero(~same)
+    return np.append(one, odd), np.append(np.bincount(which[same], minlength=len(one)), np.ones(len(odd), np.int64)).astype(np.int64)
 
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, minimiser: int = 8) -> DataFrame:
@@ -102,19 +167,23 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
 
     counts = texts.select("text").mapInArrow(counted, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
     counts = cut(counts.filter("n > 1"), "minimisers")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known, buckets = spark.sparkContext.broadcast((bit_array(bitmap(counts, "minimiser")), _part_bits(counts))), bucket_count(total, BUCKET_STRINGS)
+    hot_slots = _slot_array(_slots(counts, "minimiser", "n"))
+    total = counts.agg(F.coalesce(F.sum(F.when(F.col("n") <= HOT_STRINGS, F.col("n"))), F.lit(0))).first()[0]
+    known, buckets = spark.sparkContext.broadcast((bit_array(bitmap(counts, "minimiser")), hot_slots)), bucket_count(total, BUCKET_STRINGS)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, part_bits = known.value
+        seen, hot = known.value
         for batch, some in chunked(batches, "text"):
             w, keys, first, length = _super_kmers(some, window, minimiser)
-            stays = is_set(seen, keys)
+            stays, is_hot = is_set(seen, keys), hot[_slots_of(keys)] > 0
+            at, h1, h2 = _hot_windows(w, first[is_hot], length[is_hot], window)
+            one, n, _ = _distinct(h1, h2)
+            yield _rows(HASHES, len(one), h1=pa.array(h1[one].view(np.int64)), h2=pa.array(h2[one].view(np.int64)), n=pa.array(n))
+            stays &= ~is_hot
             keys, first, length = keys[stays], first[stays], length[stays]
-            joined = b" ".join([x for x in (b" ".join(t.split()) for t in some) if x])
-            sizes = np.fromiter(map(len, w.distinct), np.int64, len(w.distinct))
-            starts = np.concatenate([[0], np.cumsum(sizes[w.ids] + 1)])
-            ends = starts[first + length + window - 1] - 1
+            joined, starts, sizes = _packed(some, w)
+            last = first + length + window - 2
+            ends = starts[last] + sizes[last]
             coded = pa.array([joined[a:b] for a, b in zip(starts[first].tolist(), ends.tolist(), strict=True)], pa.binary()).dictionary_encode()
             codes = coded.indices.to_numpy()
             several = np.bincount(codes, minlength=len(coded.dictionary)) > 1
@@ -122,36 +191,24 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
             doc_keys, at = batch.column(0).take(pa.array(owner)), first - w.offsets[owner]
             # places of strings that the batch has several times are settled here
             settled = np.flatnonzero(several[codes])
-            none = pa.nulls(len(settled))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(settled), -1)), none.cast(pa.int32()), none.cast(pa.int64()), doc_keys.take(pa.array(settled)), pa.array(at[settled]), pa.array(length[settled]), none.cast(pa.binary())], schema=_STRINGS)
+            yield _rows(SETTLED, len(settled), key=doc_keys.take(pa.array(settled)), at=pa.array(at[settled]), windows=pa.array(length[settled]))
             one = np.sort(np.unique(codes, return_index=True)[1])
-            bits = part_bits[(keys[one] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
-            part = np.zeros(len(one), np.uint64)
-            if bits.any():  # a row for each part that has one of the string's windows
-                many = np.where(bits > 0, length[one], 1)
-                row = np.repeat(np.arange(len(one)), many)
-                hashes = _window_hashes(w, window)[first[one][row] + _repeat_within(many)]
-                pairs = np.unique(np.stack([row.astype(np.uint64), hashes & ((np.uint64(1) << bits[row]) - np.uint64(1))], 1), axis=0)
-                one, bits, part = one[pairs[:, 0].astype(np.int64)], bits[pairs[:, 0].astype(np.int64)], pairs[:, 1]
-            bucket = mixed(keys[one] + mixed(part)) % np.uint64(buckets)
-            twice, rows = pa.array(several[codes[one]]), pa.array(one)
+            bucket, twice, rows = mixed(keys[one]) % np.uint64(buckets), pa.array(several[codes[one]]), pa.array(one)
             own = pc.if_else(twice, pa.scalar(None, pa.binary()), doc_keys.take(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(bits.astype(np.int32)), pa.array(part.astype(np.int64)), own, pa.array(at[one]), pa.array(length[one]), coded.dictionary.take(coded.indices.take(rows))], schema=_STRINGS)
+            yield _rows(bucket, len(one), key=own, at=pa.array(at[one]), windows=pa.array(length[one]), packed=coded.dictionary.take(coded.indices.take(rows)))
 
-    strings = cut(texts.mapInArrow(sent, "bucket long, bits int, part long, key binary, at long, windows long, packed binary"), "super-kmers")
+    strings = cut(texts.mapInArrow(sent, _ROWS), "super-kmers")
     known.destroy()
 
     def sorted_out(table: pa.Table) -> pa.Table:
-        packed, bits, part, ats = (table.column(c) for c in ("packed", "bits", "part", "at"))
+        packed, ats = (table.column(c) for c in ("packed", "at"))
         w = words_of(packed.to_pylist())
         starts, n = w.offsets[:-1], w.counts - window + 1
         row = np.repeat(np.arange(len(n)), n)
         place = starts[row] + _repeat_within(n)
         hashes = _window_hashes(w, window)[place]
-        own = hashes & ((np.uint64(1) << bits.to_numpy().astype(np.uint64)[row]) - np.uint64(1)) == part.to_numpy().astype(np.uint64)[row]
         _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        alike = np.flatnonzero(own & (times[which] > 1))
-        hit = alike
+        hit = alike = np.flatnonzero(times[which] > 1)
         if len(alike):  # what shares a hash is counted by its words
             spelled = np.ascontiguousarray(w.ids[place[alike][:, None] + np.arange(window)].astype(np.int32))
             _, which, times = np.unique(spelled.view(np.dtype((np.void, 4 * window))).reshape(-1), return_inverse=True, return_counts=True)
@@ -162,12 +219,74 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
         base = ats.to_numpy()[row] - starts[row] + place
         return pa.table({"key": table.column("key").take(pa.array(row[firsts])), "from": base[firsts], "to": base[lasts] + window})
 
-    ranges = strings.filter("bucket < 0").select("key", F.col("at").alias("from"), (F.col("at") + F.col("windows") + window - 1).alias("to"))
-    travelled = strings.filter("bucket >= 0").select("bucket", "bits", "part", "key", "at", "packed")
+    ranges = strings.filter(F.col("bucket") == SETTLED).select("key", F.col("at").alias("from"), (F.col("at") + F.col("windows") + window - 1).alias("to"))
+    travelled = strings.filter("bucket >= 0").select("bucket", "key", "at", "packed")
     ranges = ranges.unionByName(travelled.groupBy("bucket").applyInArrow(sorted_out, "key binary, from long, to long"))
+    if hot_slots.any():
+        hashes = strings.filter(F.col("bucket") == HASHES).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1")
+        ranges = ranges.unionByName(_hot_ranges(texts, cut(hashes, "hot-hashes"), hot_slots, window, minimiser))
     return ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
+def _hot_ranges(texts: DataFrame, hashes: DataFrame, hot_slots: np.ndarray, window: int, minimiser: int) -> DataFrame:
+    """(key, from, to) of the repeated windows of hot minimisers, from texts (key, text) and the hashes (h1, h2, n) that repeat."""
+    spark, slots = texts.sparkSession, _slots(hashes, "h1", "n")
+
+    def looked_up(filter_of: DataFrame, words: bool) -> DataFrame:
+        """The words of each window whose hash passes a bitmap, once a batch with how often it has them, and its places; words: with the words beside the places."""
+        known = spark.sparkContext.broadcast((bit_array(bitmap(filter_of, "h1")), hot_slots, _slot_array(slots)))
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen, hot, parts = known.value
+            for batch, some in chunked(batches, "text"):
+                w, keys, first, length = _super_kmers(some, window, minimiser)
+                is_hot = hot[_slots_of(keys)] > 0
+                at, h1, h2 = _hot_windows(w, first[is_hot], length[is_hot], window)
+                stays = is_set(seen, h1)
+                at, h1, h2 = at[stays], h1[stays], h2[stays]
+                joined, starts, sizes = _packed(some, w)
+
+                def spelled(at: np.ndarray) -> pa.Array:
+                    ends = at + window - 1
+                    return pa.array([joined[a:b] for a, b in zip(starts[at].tolist(), (starts[ends] + sizes[ends]).tolist(), strict=True)], pa.binary())  # noqa: B023
+
+                signed = lambda h: pa.array(h.view(np.int64))
+                one, n = _by_words(w, at, h1, h2, window)
+                for x in _slices(len(one), AT_ONCE):
+                    yield _rows(WORDS, len(one[x]), h1=signed(h1[one[x]]), h2=signed(h2[one[x]]), packed=spelled(at[one[x]]), n=pa.array(n[x]))
+                # equal texts of a batch have the same places
+                owner = np.searchsorted(w.offsets, at, "right") - 1
+                new = np.zeros(len(some), bool)
+                new[np.unique(batch.column(0).dictionary_encode().indices.to_numpy(), return_index=True)[1]] = True
+                own = np.flatnonzero(new[owner])
+                for x in (own[x] for x in _slices(len(own), AT_ONCE)):
+                    keys_of = batch.column(0).take(pa.array(owner[x]))
+                    bits = np.maximum(parts[_slots_of(h1[x])], 1).astype(np.uint64) - np.uint64(1)
+                    salt = np.frombuffer(b"".join(k[:8] for k in keys_of.to_pylist()), np.uint64) & ((np.uint64(1) << bits) - np.uint64(1))
+                    more = {"packed": spelled(at[x])} if words else {}
+                    yield _rows(PLACES, len(x), key=keys_of, at=pa.array(at[x] - w.offsets[owner[x]]), h1=signed(h1[x]), h2=signed(h2[x]), windows=pa.array(salt.astype(np.int64)), **more)
+
+        out = cut(texts.mapInArrow(found, _ROWS), "hot-windows")
+        known.destroy()
+        return out
+
+    rows = looked_up(hashes, False)
+    counted = rows.filter(F.col("bucket") == WORDS).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("packed").alias("least"), F.max("packed").alias("most"))
+    counted = cut(counted.filter("n > 1"), "hot-counts")
+    # a hash that fills several parts is there once for each
+    named = slots.select(F.col("slot").alias("of"), "bits")
+    repeated = counted.filter("least = most").select("h1", "h2").join(named, _slot("h1") == F.col("of"), "left")
+    repeated = repeated.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, coalesce(bits, 0)) - 1"))).alias("windows"))
+    hit = rows.filter(F.col("bucket") == PLACES).join(repeated, ["h1", "h2", "windows"], "left_semi").select("key", "at")
+    mixed_up = counted.filter("least <> most").select("h1", "h2")
+    if not mixed_up.isEmpty():
+        spelled = looked_up(mixed_up, True)
+        several = spelled.filter(F.col("bucket") == WORDS).groupBy("packed").agg(F.sum("n").alias("n")).filter("n > 1").select("packed")
+        places = spelled.filter(F.col("bucket") == PLACES).join(mixed_up, ["h1", "h2"], "left_semi")
+        hit = hit.unionByName(places.join(several, "packed", "left_semi").select("key", "at"))
+    return hit.select("key", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
+
+
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, minimiser: int = 8) -> DataFrame:
     """(id, n_words, n_removed, kept): kept has the words that no repeated window covers, joined by one space."""
     ranges = cut(repeated_ranges(docs, text_col, window, minimiser), "ranges").withColumnRenamed("key", "_lk_key")

@@ -6,10 +6,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from larkspur.llm import linededup, neardup, substring
+from larkspur.session import cut
 
 SCHEMA = "doc_id long, text string, _lk_id string, component_id int"
 
@@ -136,10 +138,20 @@ def test_components_of_a_path(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("strings", [substring.PART_STRINGS, 2])
-def test_repeated_windows(spark, monkeypatch, strings):
-    monkeypatch.setattr(substring, "PART_STRINGS", strings)
+@pytest.mark.parametrize("strings, weak", [(substring.HOT_STRINGS, False), (2, False), (2, True)])
+def test_repeated_windows(spark, monkeypatch, strings, weak):
+    """Without hot minimisers, with most of them hot, and with hashes of hot windows that several windows share."""
+    monkeypatch.setattr(substring, "HOT_STRINGS", strings)
     monkeypatch.setattr(substring, "BUCKET_STRINGS", strings)
+    monkeypatch.setattr(substring, "AT_ONCE", 7 if strings == 2 else 20_000)
+    if weak:
+        strong = substring._hot_windows
+
+        def hot_windows(*a):
+            at, h1, h2 = strong(*a)
+            return at, h1 & np.uint64(15) << np.uint64(60), h2 & np.uint64(1)
+
+        monkeypatch.setattr(substring, "_hot_windows", hot_windows)
     rows, w = texts(2), 35
     counts = Counter()
     for _, t, *_ in rows:
@@ -158,6 +170,34 @@ def test_repeated_windows(spark, monkeypatch, strings):
     assert any(r.n_removed for r in got)
 
 
+def largest_bucket(spark, monkeypatch, n):
+    """Strings in the largest bucket or join key, and rows sent, for n texts that share a passage of 40 words."""
+    rng, made = random.Random(n), {}
+
+    def kept(df, name):
+        made[name] = cut(df, name)
+        return made[name]
+
+    monkeypatch.setattr(substring, "cut", kept)
+    passage = " ".join(words(rng, 40))
+    rows = [(i, f"{' '.join(words(rng, 30, 10**12))} {passage} {' '.join(words(rng, 30, 10**12))}", "", 0) for i in range(n)]
+    out = substring.remove_repeated(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert out.filter("n_removed <> 40 or n_words <> 100").count() == 0
+    strings, hot = made["super-kmers"], made["hot-windows"]
+    sizes = strings.filter("bucket >= 0").groupBy("bucket").count().agg({"count": "max"}).first()[0] or 0
+    places = hot.filter(f"bucket = {substring.PLACES}").groupBy("h1", "h2", "windows").count().agg({"count": "max"}).first()[0]
+    return sizes, places, strings.count() + hot.count()
+
+
+def test_copies_of_a_passage_fill_no_bucket(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT_STRINGS", 200)
+    monkeypatch.setattr(substring, "BUCKET_STRINGS", 200)
+    few = largest_bucket(spark, monkeypatch, 2000)
+    many = largest_bucket(spark, monkeypatch, 4000)
+    assert max(*few[:2], *many[:2]) < 500
+    assert many[2] / few[2] < 2.1
+
+
 def test_repeated_windows_edges(spark):
     assert substring.remove_repeated(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, None, "", 0), (1, "", "", 0), (None, "q " * 40, "", 0)]
