@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import contextlib
+import json
 import sqlite3
+from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions.text import estimate_tokens, redact_url, stripped, without_nul
-from larkspur.session import cut
+from larkspur.sources.datasources import register_sources
 
 # The usual extensions of a source scan, folders that settings leave out, and folders that are always left out.
 CODE = ["py", "ts", "tsx", "js", "sql"]
@@ -64,40 +66,44 @@ def unseen(rows: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str, text_columns: list[str] = TEXT_COLUMNS, least_chars: int = 20, most_chars: int | None = None, page: int = 10_000) -> DataFrame:
-    """(id, text, embed_text, token_count) of a local SQLite table, which only the driver can read: a one-time import, a page at a time.
+    """(id, text, embed_text, token_count) of a SQLite table on a path that all executors share, read by them in ranges of row ids, `page` rows each.
 
-    The text is the table's first column with one of the names; other values than strings and short texts are left out, and texts are cut to most_chars.
+    The text is the table's first column with one of the names; other values than strings and short texts are left out, and texts are cut to most_chars. A table that isn't there or has
+    no such column gives no rows.
     """
-    schema = "id long, text string"
-    out = spark.createDataFrame([], schema)
+    register_sources(spark)
     with contextlib.closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
-        text = next((r[1] for r in db.execute(f'pragma table_info("{table}")') if r[1] in text_columns), None)
-        rows = db.execute(f'select rowid, "{text}" from "{table}"') if text else None
-        while rows and (some := rows.fetchmany(page)):
-            out = out.unionByName(cut(spark.createDataFrame([(int(i), t) for i, t in some if isinstance(t, str)], schema), "sqlite"))
+        text = next((r[1] for r in db.execute("select * from pragma_table_info(?)", (table,)) if r[1] in text_columns), None)
+    out = spark.createDataFrame([], "id long, text string")
+    if text:
+        out = spark.read.format("sqlite_rows").option("table", table).option("column", text).option("rowsPerPartition", page).load(path)
     bare = out.filter(F.length(stripped(F.col("text"))) >= least_chars).withColumn("text", without_nul(F.col("text")))
     tokens = estimate_tokens(F.col("text")).alias("token_count")
     kept = F.col("text") if most_chars is None else F.substring("text", 1, most_chars)
     return bare.select("id", kept.alias("text"), F.substring("text", 1, EMBEDDED_CHARS).alias("embed_text"), tokens)
 
 
-def write_export(path: str, migration: str | None, source: str | None = None, compress: bool = False, **parts: DataFrame) -> dict[str, int]:
+def write_export(path: str, migration: str | None, source: str | None = None, compress: bool = False, part_rows: int = 500_000, **parts: DataFrame) -> dict[str, int]:
     """A folder with one header document (version, exported_at, source) and each part as JSON lines; returns counts, taken while writing.
 
-    source is the address of the store; its password is left out. An export holds whole transcripts and channels: the folder belongs where only its
-    owner can read.
+    A part's files follow each other in the order of created_at and id, those of them that it has, so that read one after the other they are sorted; nulls come first. source is the address of the store;
+    its password is left out. An export holds whole transcripts and channels: only its owner can read it. A part is there whole or, if its write fails, as it was
+    before. The path is one that the driver and all executors share.
     """
     spark = next(iter(parts.values())).sparkSession
+    register_sources(spark)
     told = F.struct(redact_url(F.lit(source).cast("string")).alias("database_url"), F.lit(migration).cast("string").alias("schema_migration_top"))
     header = spark.range(1).select(F.lit(EXPORT_VERSION).alias("version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("exported_at"), told.alias("source"))
-    header.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/header")
+    lines = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")
+    header.coalesce(1).select(lines(header)).write.format("ordered_export").mode("overwrite").save(f"{path}/header")
     counts = {}
     for name, df in parts.items():
         order = [c for c in ("created_at", "id") if c in df.columns]
-        seen = Observation()
-        rows = (df.sortWithinPartitions(*order) if order else df).observe(seen, F.count(F.lit(1)).alias("n"))
-        rows.write.mode("overwrite").option("compression", "gzip" if compress else "none").option("ignoreNullFields", "false").json(f"{path}/{name}")
-        counts[name] = seen.get["n"]
+        rows = df.select(*order, lines(df))
+        if order:
+            rows = rows.repartitionByRange(max(1, -(-df.count() // part_rows)), *order).sortWithinPartitions(*order)
+        rows.select("value").write.format("ordered_export").option("compressed", str(compress).lower()).mode("overwrite").save(f"{path}/{name}")
+        counts[name] = json.loads(Path(path.removeprefix("file://"), name, "_manifest.json").read_text())["rows"]
     return counts
 
 
