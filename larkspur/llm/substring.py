@@ -11,11 +11,11 @@ such strings. False positives only send more. Equal strings that meet in one bat
 there and one of them travels.
 
 A minimiser that more than HOT_STRINGS strings have is hot: their strings would fill a bucket, and though the windows of a common passage are equal, the strings
-are not, as each has its own text's words at its ends. Which minimisers are hot is read from a fixed-size table of SLOT_BITS bits of their hash. The windows of
-hot ones are counted apart, by hash first: each batch sends a window's hash (128 bits) once, with how often it has it, and Spark adds these up before
-and after the shuffle. A third pass then sends the words of the windows whose hash is repeated, for which a fixed-size bitmap stands in, again once a batch, and
+are not, as each has its own text's words at its ends. Which minimisers are hot is read from a fixed-size table of SLOT_BITS bits of their hash. The strings of
+hot ones stay where they were written, and their windows are counted there, by hash first: each batch sends a window's hash (128 bits) once, with how often it has it, and Spark adds these up before
+and after the shuffle. Then the strings' batches send the words of the windows whose hash is repeated, for which a fixed-size bitmap stands in, again once a batch, and
 a window is repeated where all words of its hash are equal and were counted twice or more. (Hashes with several words are counted by words in one more
-pass, which hardly any corpus needs.) Places of such windows meet these counts by hash; those of a hash that many texts have are dealt into parts by their texts' hashes, as
+pass over the strings, which hardly any corpus needs.) Places of such windows meet these counts by hash, one row for all places that AT_ONCE windows have; the rows of a hash that many texts have are dealt into parts, as
 many as it takes for HOT_STRINGS places each. So no bucket, group or join key grows with the copies of a passage.
 
 Defined results: a null or empty text has no words; fewer words than a window are all kept; repeated rows are documents of their
@@ -114,46 +114,50 @@ def _packed(texts: list[bytes], w: Words) -> tuple[bytes, np.ndarray, np.ndarray
     return joined, np.cumsum(sizes + 1) - sizes - 1, sizes
 
 
-_STRINGS = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("windows", pa.int64()), ("packed", pa.binary()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int64())])
-_ROWS = "bucket long, key binary, at long, windows long, packed binary, h1 long, h2 long, n long"
-#: Buckets of rows that don't travel to one: places that are settled, hashes of hot windows, words of hot windows, places of hot windows.
-SETTLED, HASHES, WORDS, PLACES = -1, -2, -3, -4
+_STRINGS = pa.schema([("bucket", pa.int64()), ("key", pa.binary()), ("at", pa.int64()), ("windows", pa.int64()), ("packed", pa.binary()), ("n", pa.int64())])
+_ROWS = "bucket long, key binary, at long, windows long, packed binary, n long"
+#: Words of hot windows with how often they are there, and places of hot windows (keys and ats) where n is null.
+_WINDOWS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("packed", pa.binary()), ("n", pa.int64()), ("part", pa.int64()), ("keys", pa.list_(pa.binary())), ("ats", pa.list_(pa.int64()))])
+_WINDOW_ROWS = "h1 long, h2 long, packed binary, n long, part long, keys array<binary>, ats array<long>"
+#: Buckets of rows that don't travel to one: places that are settled, strings of hot minimisers.
+SETTLED, HOT = -1, -2
 
 
-def _rows(bucket: int | np.ndarray, size: int, **columns: pa.Array) -> pa.RecordBatch:
-    """A batch of _STRINGS with the columns that are given, null in the others."""
-    columns["bucket"] = pa.array(np.broadcast_to(bucket, size).astype(np.int64))
-    return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in _STRINGS], schema=_STRINGS)
+def _rows(schema: pa.Schema, size: int, **columns: pa.Array | pa.ChunkedArray) -> pa.RecordBatch:
+    """A batch with the columns that are given, null in the others."""
+    whole = {n: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for n, c in columns.items()}
+    return pa.RecordBatch.from_arrays([whole[f.name].cast(f.type) if f.name in whole else pa.nulls(size, f.type) for f in schema], schema=schema)
 
 
-def _hot_windows(w: Words, first: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of some super-k-mers: where each starts, and its hash in two numbers."""
-    at = np.repeat(first, length) + _repeat_within(length)
-    if not len(at):
-        return at, at.astype(np.uint64), at.astype(np.uint64)
-    return at, _window_hashes(w, window)[at], _window_hashes(w, window, 1)[at]
+def _windows_of(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of some strings: the string, the first word, and the hash in two numbers."""
+    n = np.maximum(w.counts - window + 1, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    place = w.offsets[:-1][row] + _repeat_within(n)
+    if not len(place):
+        return row, place, place.astype(np.uint64), place.astype(np.uint64)
+    return row, place, _window_hashes(w, window)[place], _window_hashes(w, window, 1)[place]
 
 
-def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The first of each pair of numbers, how often it is there, and which one each pair is."""
+def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each pair of numbers, and which one each pair is."""
     both = np.stack([h1, h2], 1).view([("a", np.uint64), ("b", np.uint64)]).reshape(-1)
-    _, first, which, n = np.unique(both, return_index=True, return_inverse=True, return_counts=True)
-    return first, n.astype(np.int64), which.reshape(-1)
+    _, first, which = np.unique(both, return_index=True, return_inverse=True)
+    return first, which.reshape(-1)
 
 
 def _slices(n: int, most: int) -> Iterator[slice]:
     return (slice(at, min(at + most, n)) for at in range(0, n, most))
 
 
-def _by_words(w: Words, at: np.ndarray, h1: np.ndarray, h2: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of windows at some words, one of each hash and words, and how often it is there. (Windows that share a hash with other words are given each.)"""
-    one, _, which = _distinct(h1, h2)
-    same = np.ones(len(at), bool)
+def _by_words(w: Words, at: np.ndarray, h1: np.ndarray, h2: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows at some words, each of them n times, one of each hash and words, and how often it is there. (Windows that share a hash with other words are given each.)"""
+    one, which = _distinct(h1, h2)
+    same, steps = np.ones(len(at), bool), np.arange(window)
     for some in _slices(len(at), AT_ONCE):
-        steps = np.arange(window)
         same[some] = (w.ids[at[some][:, None] + steps] == w.ids[at[one][which[some]][:, None] + steps]).all(1)
     odd = np.flatnonzero(~same)
-    return np.append(one, odd), np.append(np.bincount(which[same], minlength=len(one)), np.ones(len(odd), np.int64)).astype(np.int64)
+    return np.append(one, odd), np.append(np.bincount(which[same], n[same], minlength=len(one)), n[odd]).astype(np.int64)
 
 
 def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, minimiser: int = 8) -> DataFrame:
@@ -175,27 +179,24 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
         seen, hot = known.value
         for batch, some in chunked(batches, "text"):
             w, keys, first, length = _super_kmers(some, window, minimiser)
-            stays, is_hot = is_set(seen, keys), hot[_slots_of(keys)] > 0
-            at, h1, h2 = _hot_windows(w, first[is_hot], length[is_hot], window)
-            one, n, _ = _distinct(h1, h2)
-            yield _rows(HASHES, len(one), h1=pa.array(h1[one].view(np.int64)), h2=pa.array(h2[one].view(np.int64)), n=pa.array(n))
-            stays &= ~is_hot
+            stays = is_set(seen, keys)
             keys, first, length = keys[stays], first[stays], length[stays]
             joined, starts, sizes = _packed(some, w)
             last = first + length + window - 2
             ends = starts[last] + sizes[last]
             coded = pa.array([joined[a:b] for a, b in zip(starts[first].tolist(), ends.tolist(), strict=True)], pa.binary()).dictionary_encode()
             codes = coded.indices.to_numpy()
-            several = np.bincount(codes, minlength=len(coded.dictionary)) > 1
+            times = np.bincount(codes, minlength=len(coded.dictionary))
             owner = np.searchsorted(w.offsets, first, "right") - 1
             doc_keys, at = batch.column(0).take(pa.array(owner)), first - w.offsets[owner]
             # places of strings that the batch has several times are settled here
-            settled = np.flatnonzero(several[codes])
-            yield _rows(SETTLED, len(settled), key=doc_keys.take(pa.array(settled)), at=pa.array(at[settled]), windows=pa.array(length[settled]))
+            settled = np.flatnonzero(times[codes] > 1)
+            yield _rows(_STRINGS, len(settled), bucket=pa.array(np.full(len(settled), SETTLED)), key=doc_keys.take(pa.array(settled)), at=pa.array(at[settled]), windows=pa.array(length[settled]))
             one = np.sort(np.unique(codes, return_index=True)[1])
-            bucket, twice, rows = mixed(keys[one]) % np.uint64(buckets), pa.array(several[codes[one]]), pa.array(one)
-            own = pc.if_else(twice, pa.scalar(None, pa.binary()), doc_keys.take(rows))
-            yield _rows(bucket, len(one), key=own, at=pa.array(at[one]), windows=pa.array(length[one]), packed=coded.dictionary.take(coded.indices.take(rows)))
+            bucket = np.where(hot[_slots_of(keys[one])] > 0, HOT, (mixed(keys[one]) % np.uint64(buckets)).astype(np.int64))
+            rows = pa.array(one)
+            own = pc.if_else(pa.array(times[codes[one]] > 1), pa.scalar(None, pa.binary()), doc_keys.take(rows))
+            yield _rows(_STRINGS, len(one), bucket=pa.array(bucket), key=own, at=pa.array(at[one]), windows=pa.array(length[one]), packed=coded.dictionary.take(coded.indices.take(rows)), n=pa.array(times[codes[one]]))
 
     strings = cut(texts.mapInArrow(sent, _ROWS), "super-kmers")
     known.destroy()
@@ -223,68 +224,79 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = 35, m
     travelled = strings.filter("bucket >= 0").select("bucket", "key", "at", "packed")
     ranges = ranges.unionByName(travelled.groupBy("bucket").applyInArrow(sorted_out, "key binary, from long, to long"))
     if hot_slots.any():
-        hashes = strings.filter(F.col("bucket") == HASHES).groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1")
-        ranges = ranges.unionByName(_hot_ranges(texts, cut(hashes, "hot-hashes"), hot_slots, window, minimiser))
+        ranges = ranges.unionByName(_hot_ranges(strings.filter(F.col("bucket") == HOT).select("key", "at", "packed", "n"), window))
     return ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("ranges"))
 
 
-def _hot_ranges(texts: DataFrame, hashes: DataFrame, hot_slots: np.ndarray, window: int, minimiser: int) -> DataFrame:
-    """(key, from, to) of the repeated windows of hot minimisers, from texts (key, text) and the hashes (h1, h2, n) that repeat."""
-    spark, slots = texts.sparkSession, _slots(hashes, "h1", "n")
+def _hot_ranges(strings: DataFrame, window: int) -> DataFrame:
+    """(key, from, to) of the repeated windows of strings (key, at, packed, n); a string without a key counts n times and has no place."""
+    spark = strings.sparkSession
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, some in chunked(batches, "packed"):
+            row, _, h1, h2 = _windows_of(words_of(some), window)
+            one, which = _distinct(h1, h2)
+            n = np.bincount(which, batch.column(3).to_numpy()[row], minlength=len(one)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h1[one].view(np.int64)), pa.array(h2[one].view(np.int64)), pa.array(n)], ["h1", "h2", "n"])
+
+    hashes = strings.mapInArrow(hashed, "h1 long, h2 long, n long").groupBy("h1", "h2").agg(F.sum("n").alias("n")).filter("n > 1")
+    hashes = cut(hashes, "hot-hashes")
+    slots = _slots(hashes, "h1", "n")
 
     def looked_up(filter_of: DataFrame, words: bool) -> DataFrame:
         """The words of each window whose hash passes a bitmap, once a batch with how often it has them, and its places; words: with the words beside the places."""
-        known = spark.sparkContext.broadcast((bit_array(bitmap(filter_of, "h1")), hot_slots, _slot_array(slots)))
+        known = spark.sparkContext.broadcast((bit_array(bitmap(filter_of, "h1")), _slot_array(slots)))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen, hot, parts = known.value
-            for batch, some in chunked(batches, "text"):
-                w, keys, first, length = _super_kmers(some, window, minimiser)
-                is_hot = hot[_slots_of(keys)] > 0
-                at, h1, h2 = _hot_windows(w, first[is_hot], length[is_hot], window)
+            seen, parts = known.value
+            for batch, some in chunked(batches, "packed"):
+                w = words_of(some)
+                row, at, h1, h2 = _windows_of(w, window)
                 stays = is_set(seen, h1)
-                at, h1, h2 = at[stays], h1[stays], h2[stays]
+                row, at, h1, h2 = row[stays], at[stays], h1[stays], h2[stays]
                 joined, starts, sizes = _packed(some, w)
+                signed = lambda h: pa.array(h.view(np.int64))
 
                 def spelled(at: np.ndarray) -> pa.Array:
                     ends = at + window - 1
                     return pa.array([joined[a:b] for a, b in zip(starts[at].tolist(), (starts[ends] + sizes[ends]).tolist(), strict=True)], pa.binary())  # noqa: B023
 
-                signed = lambda h: pa.array(h.view(np.int64))
-                one, n = _by_words(w, at, h1, h2, window)
+                one, n = _by_words(w, at, h1, h2, batch.column(3).to_numpy()[row], window)
                 for x in _slices(len(one), AT_ONCE):
-                    yield _rows(WORDS, len(one[x]), h1=signed(h1[one[x]]), h2=signed(h2[one[x]]), packed=spelled(at[one[x]]), n=pa.array(n[x]))
-                # equal texts of a batch have the same places
-                owner = np.searchsorted(w.offsets, at, "right") - 1
-                new = np.zeros(len(some), bool)
-                new[np.unique(batch.column(0).dictionary_encode().indices.to_numpy(), return_index=True)[1]] = True
-                own = np.flatnonzero(new[owner])
+                    yield _rows(_WINDOWS, len(one[x]), h1=signed(h1[one[x]]), h2=signed(h2[one[x]]), packed=spelled(at[one[x]]), n=pa.array(n[x]))
+                own = np.flatnonzero(np.array(batch.column(0).is_valid())[row])
                 for x in (own[x] for x in _slices(len(own), AT_ONCE)):
-                    keys_of = batch.column(0).take(pa.array(owner[x]))
-                    bits = np.maximum(parts[_slots_of(h1[x])], 1).astype(np.uint64) - np.uint64(1)
-                    salt = np.frombuffer(b"".join(k[:8] for k in keys_of.to_pylist()), np.uint64) & ((np.uint64(1) << bits) - np.uint64(1))
-                    more = {"packed": spelled(at[x])} if words else {}
-                    yield _rows(PLACES, len(x), key=keys_of, at=pa.array(at[x] - w.offsets[owner[x]]), h1=signed(h1[x]), h2=signed(h2[x]), windows=pa.array(salt.astype(np.int64)), **more)
-
-        out = cut(texts.mapInArrow(found, _ROWS), "hot-windows")
+                    places = pa.table({"h1": signed(h1[x]), "h2": signed(h2[x]), "keys": batch.column(0).take(pa.array(row[x])), "ats": batch.column(1).to_numpy()[row[x]] + at[x] - w.offsets[row[x]]})
+                    by = ["h1", "h2"]
+                    if words:
+                        places, by = places.append_column("packed", spelled(at[x])), [*by, "packed"]
+                    groups = places.group_by(by).aggregate([("keys", "list"), ("ats", "list")])
+                    # any of the parts that the hash's slot has, by the first place's text
+                    seed = np.frombuffer(batch.column(0)[int(row[x[0]])].as_py()[:8], np.uint64) + np.uint64(at[x[0]])
+                    bits = np.maximum(parts[_slots_of(groups.column("h1").to_numpy().view(np.uint64))], 1).astype(np.uint64) - np.uint64(1)
+                    dealt = mixed(np.arange(len(groups), dtype=np.uint64) + mixed(seed)) & ((np.uint64(1) << bits) - np.uint64(1))
+                    yield _rows(_WINDOWS, len(groups), part=pa.array(dealt.astype(np.int64)), keys=groups.column("keys_list"), ats=groups.column("ats_list"), **{c: groups.column(c) for c in by})
+
+        out = cut(strings.mapInArrow(found, _WINDOW_ROWS), "hot-windows")
         known.destroy()
         return out
 
     rows = looked_up(hashes, False)
-    counted = rows.filter(F.col("bucket") == WORDS).groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("packed").alias("least"), F.max("packed").alias("most"))
+    counted = rows.filter("n is not null").groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("packed").alias("least"), F.max("packed").alias("most"))
     counted = cut(counted.filter("n > 1"), "hot-counts")
     # a hash that fills several parts is there once for each
     named = slots.select(F.col("slot").alias("of"), "bits")
     repeated = counted.filter("least = most").select("h1", "h2").join(named, _slot("h1") == F.col("of"), "left")
-    repeated = repeated.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, coalesce(bits, 0)) - 1"))).alias("windows"))
-    hit = rows.filter(F.col("bucket") == PLACES).join(repeated, ["h1", "h2", "windows"], "left_semi").select("key", "at")
+    repeated = repeated.select("h1", "h2", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, coalesce(bits, 0)) - 1"))).alias("part"))
+    hit = rows.filter("n is null").join(repeated, ["h1", "h2", "part"], "left_semi").select("keys", "ats")
     mixed_up = counted.filter("least <> most").select("h1", "h2")
     if not mixed_up.isEmpty():
         spelled = looked_up(mixed_up, True)
-        several = spelled.filter(F.col("bucket") == WORDS).groupBy("packed").agg(F.sum("n").alias("n")).filter("n > 1").select("packed")
-        places = spelled.filter(F.col("bucket") == PLACES).join(mixed_up, ["h1", "h2"], "left_semi")
-        hit = hit.unionByName(places.join(several, "packed", "left_semi").select("key", "at"))
-    return hit.select("key", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
+        several = spelled.filter("n is not null").groupBy("h1", "h2", "packed").agg(F.sum("n").alias("n")).filter("n > 1").select("h1", "h2", "packed")
+        places = spelled.filter("n is null").join(several, ["h1", "h2", "packed"], "left_semi").join(mixed_up, ["h1", "h2"], "left_semi")
+        hit = hit.unionByName(places.select("keys", "ats"))
+    each = hit.select(F.explode(F.arrays_zip("keys", "ats")).alias("place"))
+    return each.select(F.col("place.keys").alias("key"), F.col("place.ats").alias("from"), (F.col("place.ats") + window).alias("to"))
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, minimiser: int = 8) -> DataFrame:
