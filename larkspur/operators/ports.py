@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from larkspur.session import ship
 
 #: Width of the buckets that ranges are dealt into for an overlap join.
 BUCKET = 64
@@ -57,6 +64,60 @@ def suggest(active: DataFrame, archived: DataFrame, base: int, size: int, cap: i
     return clean.withColumn("needs_approval", F.lit(False)).unionByName(reuse.withColumn("needs_approval", F.lit(True)))
 
 
+class _Host:
+    """The ports of one host: which are held, and from where the search for a size goes on, as a place that was too small stays so."""
+
+    def __init__(self, cap: int):
+        self.held, self.cap, self.at = np.zeros(cap + 2, bool), cap, {}
+
+    def hold(self, start: int, end: int) -> None:
+        self.held[max(start, 0) : max(min(end, self.cap) + 1, 0)] = True
+
+    def first(self, base: int, size: int) -> int | None:
+        at = self.at.get((base, size), max(base, 1))
+        while at + size - 1 <= self.cap:
+            taken = np.flatnonzero(self.held[at : at + size])
+            if not len(taken):
+                break
+            at += int(taken[-1]) + 1
+        self.at[base, size] = at
+        return at if at + size - 1 <= self.cap else None
+
+
+def allocate(occupied: DataFrame, requests: DataFrame, cap: int = 65535, key: str = "host") -> DataFrame:
+    """(key, seq, range_start, range_end) of each request (key, seq, base, size), as if one after the other took the first free range at or above its base; null where there is none.
+
+    Requests of a host go in the order of seq, then base and size, past occupied ranges (key, range_start, range_end) and what earlier ones got. Rows are sorted by host and stream through their
+    task, which holds the ports of one host at a time and no rows, however many a host has. A request with a null or a size below 1 gets none.
+    """
+    ship(requests.sparkSession)
+    told = occupied.select(key, F.lit(0).alias("_lk_kind"), F.lit(None).cast("long").alias("seq"), F.col("range_start").cast("long").alias("_lk_a"), F.col("range_end").cast("long").alias("_lk_b"))
+    asked = requests.select(key, F.lit(1).alias("_lk_kind"), F.col("seq").cast("long").alias("seq"), F.col("base").cast("long").alias("_lk_a"), F.col("size").cast("long").alias("_lk_b"))
+    schema = T.StructType([requests.schema[key], T.StructField("seq", T.LongType()), T.StructField("range_start", T.IntegerType()), T.StructField("range_end", T.IntegerType())])
+
+    def served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        host, ports = object(), _Host(cap)
+        for batch in batches:
+            keys, seqs, starts, asks = batch.column(0).to_pylist(), [], [], []
+            for i, (k, kind, seq, a, b) in enumerate(zip(keys, *(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
+                if k != host:
+                    host, ports = k, _Host(cap)
+                if kind == 0:
+                    if a is not None and b is not None:
+                        ports.hold(a, b)
+                    continue
+                at = ports.first(a, b) if a is not None and b is not None and b >= 1 else None
+                if at is not None:
+                    ports.hold(at, at + b - 1)
+                asks.append(i)
+                seqs.append(seq)
+                starts.append((at, at + b - 1) if at is not None else (None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(asks, pa.int64())), pa.array(seqs, pa.int64()), pa.array([s for s, _ in starts], pa.int32()), pa.array([e for _, e in starts], pa.int32())], schema.names)
+
+    rows = told.unionByName(asked).repartition(key).sortWithinPartitions(key, "_lk_kind", "seq", "_lk_a", "_lk_b")
+    return rows.mapInArrow(served, schema)
+
+
 def reclaim(assignments: DataFrame, host: str, start: int, end: int, project_id: str, as_of: Column) -> DataFrame:
     """Assignments after the exact range changes hands: holders are archived, the latest purpose goes to the new owner."""
     exact = (F.col("host") == host) & (F.col("range_start") == start) & (F.col("range_end") == end)
