@@ -488,6 +488,31 @@ def code_imports(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", info.alias("i")).select("doc_id", F.array_join("i.imports", ";").alias("imports"), F.array_join("i.exports", ";").alias("exports"), "i.summary")
 
 
+@query("code_of_lines", rf"""WITH l AS (SELECT doc_id, regexp_extract(line, '[A-Za-z]+') AS w, i % 6 AS k, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT doc_id, i, k, CASE WHEN w = '' THEN 'x' ELSE w END AS w FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k IN (0, 1) ORDER BY i) AS imported, row_number() OVER (PARTITION BY doc_id, k IN (2, 3) ORDER BY i) AS named FROM c)
+SELECT doc_id, coalesce(string_agg(CASE k WHEN 0 THEN 'import ' || w ELSE 'from ' || w || ' import y' END, ';' ORDER BY i) FILTER (k IN (0, 1) AND imported <= 50), '') AS imports, coalesce(string_agg(w, ';' ORDER BY i) FILTER (k IN (2, 3) AND named <= 50), '') AS exports FROM r GROUP BY 1""")
+def code_of_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose lines become imports, definitions, indented definitions and comments by turns, each named by the line's first word."""
+    (docs,) = tables(spark, d, "documents")
+
+    def line(x: F.Column, i: F.Column) -> F.Column:
+        w = F.regexp_extract(x, "[A-Za-z]+", 0)
+        w = F.when(w == "", "x").otherwise(w)
+        forms = ["import {}", "from {} import y", "def {}(a):", "class {}:", "# def {}():", "{} = def_(1)"]
+        out = None
+        for k, form in enumerate(forms):
+            before, after = form.split("{}")
+            made = F.concat(F.lit(before), w, F.lit(after))
+            out = F.when(i % 6 == k, made) if out is None else out.when(i % 6 == k, made)
+        return out
+
+    code = F.array_join(F.transform(F.split("text", "\n", -1), line), "\n")
+    info = text.file_info(F.lit("m.py"), code)
+    rows = docs.filter("text is not null").select("doc_id", info.alias("i"))
+    return rows.select("doc_id", F.array_join("i.imports", ";").alias("imports"), F.array_join("i.exports", ";").alias("exports"))
+
+
 @query("session_render", "SELECT conv_id, string_agg('[' || turn || '] [' || role || '] ' || substr(text, 1, 2000), chr(10) ORDER BY turn) AS body, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY 1")
 def session_render(spark: SparkSession, d: str) -> DataFrame:
     (c,) = tables(spark, d, "conversations")

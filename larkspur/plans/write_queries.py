@@ -243,8 +243,12 @@ def vector_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.size(v).cast("long").alias("size"), F.round(vectors.dot(v, F.col("embedding")), 5).alias("norm"), vectors.cosine_or_zero(v, vectors.zero_vector(64)).alias("zero"))
 
 
-@query("channel_lists", "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 2 END AS n FROM customer")
+@query("channel_lists", "SELECT c_custkey AS id, concat_ws(',', 'mail:c' || c_custkey % 5 || '@x', CASE WHEN c_custkey % 3 = 0 AND c_nationkey <> 3 THEN 'sms:n' || c_nationkey END, CASE WHEN c_custkey % 5 <> 1 THEN 'mail:c1@x' END) AS channels FROM customer")
 def channel_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Customers' channels, of which some have the one that is added, and some the one that is removed."""
     (c,) = tables(spark, d, "customer")
-    have = F.array(F.struct(F.lit("mail").alias("type"), F.when(F.col("c_custkey") % 2 == 0, "a@x").otherwise("b@x").alias("address")))
-    return c.select(F.col("c_custkey").alias("id"), F.size(context.add_channel(have, "mail", "a@x")).alias("n"))
+    channel = lambda kind, address: F.struct(F.lit(kind).alias("type"), address.alias("address"))
+    mail = channel("mail", F.concat(F.lit("c"), F.col("c_custkey") % 5, F.lit("@x")))
+    have = F.when(F.col("c_custkey") % 3 == 0, F.array(mail, channel("sms", F.concat(F.lit("n"), "c_nationkey")))).otherwise(F.array(mail))
+    done = context.remove_channel(context.add_channel(have, "mail", "c1@x"), "sms", "n3")
+    return c.select(F.col("c_custkey").alias("id"), F.array_join(F.transform(done, lambda x: F.concat(x["type"], F.lit(":"), x["address"])), ",").alias("channels"))

@@ -18,7 +18,8 @@ from larkspur.session import ship
 
 #: How long a lease lasts.
 LEASE_MS = 2 * 60 * 60 * 1000
-_OUT = T.StructType([T.StructField("project_id", T.StringType()), T.StructField("job_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("event", T.StringType()), T.StructField("at_ms", T.LongType()), T.StructField("expires_ms", T.LongType()), T.StructField("owner_job_id", T.LongType())])
+#: What leases gives.
+EVENTS = T.StructType([T.StructField("project_id", T.StringType()), T.StructField("job_id", T.LongType()), T.StructField("path", T.StringType()), T.StructField("event", T.StringType()), T.StructField("at_ms", T.LongType()), T.StructField("expires_ms", T.LongType()), T.StructField("owner_job_id", T.LongType())])
 
 
 class LeaseKeeper(StatefulProcessor):
@@ -78,4 +79,4 @@ def leases(requests: DataFrame, delay: str = "10 minutes", lease_ms: int = LEASE
     ship(requests.sparkSession)
     known = requests.withWatermark("at", delay).filter("project_id is not null and job_id is not null and at is not null")
     rows = known.select(F.col("project_id").cast("string").alias("project_id"), F.col("job_id").cast("long").alias("job_id"), "kind", "paths", F.unix_millis("at").alias("at_ms"), "at")
-    return rows.groupBy("project_id").transformWithState(LeaseKeeper(lease_ms), _OUT, "append", "EventTime")
+    return rows.groupBy("project_id").transformWithState(LeaseKeeper(lease_ms), EVENTS, "append", "EventTime")

@@ -11,8 +11,10 @@ import sys
 import duckdb
 import pytest
 
+import larkspur.plans.import_queries  # noqa: F401
 import larkspur.plans.queries  # noqa: F401
 import larkspur.plans.source_queries  # noqa: F401
+import larkspur.plans.state_queries  # noqa: F401
 import larkspur.plans.write_queries  # noqa: F401
 from larkspur.plans.catalog import TABLES
 from larkspur.plans.registry import ORACLES, QUERIES
