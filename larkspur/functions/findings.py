@@ -98,6 +98,10 @@ def repeated_findings(current: Column, prior: Column) -> Column:
     return F.transform(first, lambda m: m["t"])
 
 
+# The keys of a lesson's lines.
+LESSON, CATEGORY, CONTEXT = "LESSON", "CATEGORY", "CONTEXT"
+
+
 def parse_lessons(text: Column) -> Column:
     """array<struct(lesson, category, context)> from LESSON / CATEGORY / CONTEXT lines."""
     lines = F.filter(F.transform(F.split(text, "\n", -1), stripped), lambda x: x != "")
@@ -113,6 +117,6 @@ def parse_lessons(text: Column) -> Column:
         category = F.concat(rest, F.array(F.struct(last["lesson"].alias("lesson"), F.lower(value(x)).alias("category"), last["context"].alias("context"))))
         context = F.concat(rest, F.array(F.struct(last["lesson"].alias("lesson"), last["category"].alias("category"), value(x).alias("context"))))
         started = F.size(acc) > 0
-        return F.when(is_a(x, "LESSON"), fresh).when(started & is_a(x, "CATEGORY"), category).when(started & is_a(x, "CONTEXT"), context).otherwise(acc)
+        return F.when(is_a(x, LESSON), fresh).when(started & is_a(x, CATEGORY), category).when(started & is_a(x, CONTEXT), context).otherwise(acc)
 
     return F.filter(F.aggregate(lines, start, step), lambda s: s["lesson"] != "")

@@ -6,13 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File extensions that make a token a path, and the punctuation around one.
-PLAN_EXTENSIONS = "py ts tsx js jsx sql md yaml yml json toml sh go rs java c cpp h css html txt env".split()
+PLAN_EXTENSIONS = ["py", "ts", "tsx", "js", "jsx", "sql", "md", "yaml", "yml", "json", "toml", "sh", "go", "rs", "java", "c", "cpp", "h", "css", "html", "txt", "env"]
 PLAN_ACTION = r"(?i)\b(?:create|modify|test|edit|update|add)\s*:\s*`?([^\s`,;]+)`?"
 PLAN_TICKED = r"`([^`\n]+)`"
 LEADING, TRAILING = "([{<\"'", ".,;:!?)]}>\"'"
 # What SQL DDL, script languages and Python export.
 SQL_OBJECT = r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?(?:TABLE|VIEW|FUNCTION|INDEX|TYPE)\s+(?:IF\s+NOT\s+EXISTS\s+)?([\w.]+)"
 SCRIPT_EXPORT = r"^export\s+(?:default\s+)?(?:function|class|const|let|var|type|interface|enum)\s+(\w+)"
+# The list of exported names, definitions and docstrings of Python, and encoded work trees.
+PYTHON_ALL = r"__all__\s*=\s*\[([^\]]+)\]"
+PYTHON_NAME = r"^(?:def|class)\s+(\w+)"
+PYTHON_DOC = r'(?s)^"""(.*?)"""'
+WORK_TREE = r"^(.+)/worktrees/([0-9a-f][0-9a-f-]{3,39})(/.*)?$"
 # The phases that progress is shown in, in their order.
 PHASES = ["queued", "planning", "implementing", "reviewing", "qa", "ready_for_approval"]
 # Purposes of each category; others are a category of their own.
@@ -178,7 +183,7 @@ def decode_project_path(path: Column, home: str) -> Column:
     first = F.split_part(F.substring(path, len(prefix) + 1, 1 << 20), F.lit("/"), F.lit(1))
     bare = F.ltrim(first, F.lit("-"))
     decoded = F.concat(F.lit("/"), F.translate(bare, "-", "/"))
-    glued = F.regexp_replace(decoded, r"^(.+)/worktrees/([0-9a-f][0-9a-f-]{3,39})(/.*)?$", "$1-worktrees/$2$3")
+    glued = F.regexp_replace(decoded, WORK_TREE, "$1-worktrees/$2$3")
     return F.when(F.startswith(path, F.lit(prefix)) & (bare != ""), glued)
 
 
@@ -186,14 +191,14 @@ def python_info(content: Column) -> Column:
     """struct(imports, exports, summary) of Python source."""
     lines = F.transform(F.split(content, r"\r\n|\r|\n", -1), stripped)
     imports = F.filter(lines, lambda x: F.startswith(x, F.lit("import ")) | F.startswith(x, F.lit("from ")))
-    named = F.filter(F.transform(lines, lambda x: F.when(~F.startswith(x, F.lit("import ")) & ~F.startswith(x, F.lit("from ")), F.regexp_extract(x, r"^(?:def|class)\s+(\w+)", 1))), lambda x: x.isNotNull() & (x != ""))
-    listed = F.regexp_extract(content, r"__all__\s*=\s*\[([^\]]+)\]", 1)
+    named = F.filter(F.transform(lines, lambda x: F.when(~F.startswith(x, F.lit("import ")) & ~F.startswith(x, F.lit("from ")), F.regexp_extract(x, PYTHON_NAME, 1))), lambda x: x.isNotNull() & (x != ""))
+    listed = F.regexp_extract(content, PYTHON_ALL, 1)
     declared = F.transform(F.split(listed, ",", -1), lambda x: F.trim(stripped(x), F.lit("\"'")))
     # the list replaces names above it; names below are added
     marker = F.array_position(F.transform(lines, lambda x: F.startswith(x, F.lit("__all__"))), True).cast("int")
-    below = F.filter(F.transform(F.slice(lines, F.greatest(marker, F.lit(1)), F.size(lines)), lambda x: F.regexp_extract(x, r"^(?:def|class)\s+(\w+)", 1)), lambda x: x != "")
+    below = F.filter(F.transform(F.slice(lines, F.greatest(marker, F.lit(1)), F.size(lines)), lambda x: F.regexp_extract(x, PYTHON_NAME, 1)), lambda x: x != "")
     exports = F.when((marker > 0) & (listed != ""), F.concat(declared, below)).otherwise(named)
-    doc = F.split(stripped(F.regexp_extract(content, r'(?s)^"""(.*?)"""', 1)), "\n")[0]
+    doc = F.split(stripped(F.regexp_extract(content, PYTHON_DOC, 1)), "\n")[0]
     summary = F.when(doc != "", doc).otherwise(F.concat(F.size(exports).cast("string"), F.lit(" exports, "), F.size(imports).cast("string"), F.lit(" imports")))
     return F.struct(imports.alias("imports"), exports.alias("exports"), summary.alias("summary"))
 
