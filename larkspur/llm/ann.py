@@ -8,8 +8,8 @@ precision, products added in the order of the dimensions: first RERANK of them,
 one's approximate score, raised by the mean and MARGIN deviations of the errors seen, is below the k-th best. So a
 dense cluster whose codes are alike is reranked whole.
 
-Rows are dealt into blocks by their ids' hashes; each pair of a query block and a row block is a task of bounded size, which
-gives each query's best k. Equal vectors of a block are scanned once, so copies can't crowd out others.
+Queries go in blocks of about QUERY_BLOCK, which travel to the tasks (some MB); each block scans the index where it lies, ROW_BLOCK rows at a time, and a task gives each query's best k
+of all its rows. So rows aren't shuffled, and what is grows with queries times tasks. Equal vectors of a block are scanned once, so copies can't crowd out others.
 
 Defined results: vectors that are null, zero, hold a null, NaN or infinite component, or have another length than most, take no part,
 nor do rows with a null id; of rows with the same id and different vectors each is a candidate, and the least vector is the
@@ -30,7 +30,7 @@ from larkspur.llm._shared import bucket_count
 from larkspur.session import cut
 
 SAMPLE, RERANK, MARGIN = 20_000, 128, 3.0
-ROW_BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 2_048, 32
+ROW_BLOCK, QUERY_BLOCK, AT_ONCE = 16_384, 8_192, 32
 #: Inner products under this share of the norms count little; it sets eta.
 THRESHOLD = 0.2
 
@@ -108,6 +108,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in blocks of ROW_BLOCK, the last one smaller."""
+    held, n = [], 0
+    for b in batches:
+        while len(b):
+            some = b.slice(0, ROW_BLOCK - n)
+            b = b.slice(len(some))
+            held.append(some)
+            n += len(some)
+            if n == ROW_BLOCK:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def build_index(docs: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, np.ndarray | None]:
     """(id, v, codes) of every usable row, 4 bits a code, as a table; and the codebooks."""
     rows = _usable(docs, id_col, vector_col)
@@ -173,28 +189,48 @@ def _scan(q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.n
             yield at + j, who[once], what[once]
 
 
+def _kept(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of each query among (query, id, score), ties to the smaller id; an id is kept once."""
+    query, who, what = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((-what, who, query))
+    query, who, what = query[order], who[order], what[order]
+    best = np.append(True, (query[1:] != query[:-1]) | (who[1:] != who[:-1])) if len(query) else np.empty(0, bool)
+    query, who, what = query[best], who[best], what[best]
+    order = np.lexsort((who, -what, query))
+    query, who, what = query[order], who[order], what[order]
+    stays = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return [(query[stays], who[stays], what[stays])]
+
+
 def search(index: DataFrame, books: np.ndarray | None, is_query: Column, k: int = 20) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each row of the index that is a query."""
-    id_type = index.schema["id"].dataType
+    id_type, spark = index.schema["id"].dataType, index.sparkSession
     schema = T.StructType([T.StructField("query_id", id_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
-    queries = index.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    row_blocks, query_blocks = bucket_count(index.count(), ROW_BLOCK), bucket_count(queries.count(), QUERY_BLOCK)
-
-    def scanned(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids, vectors = table.column("id").to_numpy(), _matrix(table.column("v"))
-        rows = np.flatnonzero(~asks)
-        out = []
-        if len(rows) and asks.any():
-            codes = np.frombuffer(b"".join(table.column("codes").take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), -1)
-            own = np.flatnonzero(asks)
-            out = [(np.full(len(who), ids[own[j]]), who, what) for j, who, what in _scan(ids[own], vectors[own], ids[rows], np.ascontiguousarray(vectors[rows]), codes, books, k)]
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pa.table({f.name: pa.array(c, kind) for f, c, kind in zip(schema, columns, (table.schema.field("id").type, table.schema.field("id").type, pa.float64()), strict=True)})
-
-    row_block, query_block = F.pmod(F.xxhash64("id"), F.lit(row_blocks)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks))
-    asked = queries.select("id", "v", F.lit(b"").alias("codes"), F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("row_block"), query_block.alias("query_block"))
-    given = index.select("id", "v", "codes", F.lit(False).alias("asks"), row_block.alias("row_block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))).alias("query_block"))
-    found = asked.unionByName(given).groupBy("row_block", "query_block").applyInArrow(scanned, schema)
+    queries = cut(index.filter(is_query).groupBy("id").agg(F.min("v").alias("v")), "queries")
+    blocks = bucket_count(queries.count(), QUERY_BLOCK)
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        asked = queries.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)) == block).toArrow()  # about QUERY_BLOCK rows
+        if not len(asked):
+            continue
+        sent = spark.sparkContext.broadcast((asked.column("id").to_numpy(), _matrix(asked.column("v"))))
+
+        def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, q_vectors = sent.value  # noqa: B023
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for rows in _row_blocks(batches):
+                vectors = np.ascontiguousarray(_matrix(rows.column("v")))
+                codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(len(rows), -1)
+                held += [(np.full(len(who), j), who, what) for j, who, what in _scan(q_ids, q_vectors, rows.column("id").to_numpy(), vectors, codes, books, k)]
+                held = _kept(held, k) if held else held
+            for query, who, what in held:
+                for at in range(0, len(query), ROW_BLOCK):
+                    part = slice(at, at + ROW_BLOCK)
+                    kind = asked.schema.field("id").type  # noqa: B023
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[query[part]], kind), pa.array(who[part], kind), pa.array(what[part])], schema.names)
+
+        found = found.unionByName(cut(index.select("id", "v", "codes").mapInArrow(scanned, schema), "nearest"))
+        sent.destroy()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    once = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
