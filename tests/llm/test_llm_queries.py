@@ -39,6 +39,38 @@ def test_there_are_thirteen():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
+def linked(documents, k=4, percent=80):
+    """Component of each id, by comparing the shingle sets of all pairs, and the sets."""
+    sets = {}
+    for i, t in documents.items():
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").encode().split()
+        sets[i] = {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    least = {i: i for i in sets}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * min(len(a), len(b)) >= percent * max(len(a), len(b)):
+                both = len(a & b)
+                if 100 * both >= percent * (len(a) + len(b) - both):
+                    x, y = sorted((find(i), find(j)))
+                    least[y] = x
+    return {i: find(i) for i in ids}, sets
+
+
+def test_near_duplicates_by_brute_force(spark, documents):
+    components, sets = linked(documents)
+    got = QUERIES["op7_minhash_near_dedup"](spark, SF).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(sets[i]), c, c == i) for i, c in components.items()}
+    assert len(set(components.values())) < len(components)
+
+
 def test_near_duplicates_and_windows(spark, documents):
     near = QUERIES["op7_minhash_near_dedup"](spark, SF)
     assert set(near.columns) >= {"doc_id", "n_shingles", "component_id", "kept"}
