@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,13 +14,13 @@ from pyspark.sql import types as T
 
 from larkspur.functions.text import line_window, source_reference
 from larkspur.functions.vectors import cosine
-from larkspur.session import ship
+from larkspur.session import cut, ship
 
 # Which kinds a source type stands for.
 SOURCE_KINDS = {"session": ("chunk", "session_summary"), "note": ("chunk",), "imported": ("chunk",), "decision": ("decision",), "pattern": ("pattern",), "issue": ("issue",)}
 CODE = "codebase"
-#: Queries and rows that one task compares.
-QUERY_BLOCK, ROW_BLOCK = 1024, 16_384
+#: Queries that travel at once, rows that they are compared with at once, and pairs that a task holds before it keeps the best.
+QUERY_BLOCK, ROW_BLOCK, HELD = 4096, 1024, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -50,44 +51,67 @@ def vector_top_k(rows: DataFrame, query: list[float], k: int, ident: str = "id",
     return top_k(rows, cosine(F.col(vector), F.lit([float(x) for x in query])), ident, k)
 
 
+def _units(vectors: list[list[float] | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length the places of the vectors that have one, and the vectors at length 1; rows that aren't finite stand for vectors without a direction."""
+    sizes = np.array([-1 if v is None else len(v) for v in vectors], np.int64)
+    out = {}
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        own = np.flatnonzero(sizes == size)
+        v = np.array([vectors[i] for i in own], float).reshape(len(own), size)
+        with np.errstate(all="ignore"):
+            out[size] = own, v / np.linalg.norm(v, axis=1, keepdims=True)
+    return out
+
+
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query q, by falling score, then id."""
+    found = found.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")])
+    q = found.column("q").to_numpy()
+    return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+
 def vector_join_top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """Each query's k best rows by cosine: (query_id, rank, id, score), for queries (query_id, vector) and rows (id, vector).
 
-    Both are dealt into blocks; each pair of blocks is a matrix product in a task of its own, which returns its k best for each query. So
-    no side is collected or broadcast. Ids have one type. A null, zero or non-finite vector, or one of another length than the query's, has no score; ties
-    go to the smaller id.
+    Queries go in blocks of about QUERY_BLOCK, which travel to the rows: each block is one pass over the rows where they lie, a matrix product for ROW_BLOCK rows, and a task gives the k best of all its
+    rows for each query. So rows aren't shuffled, however many queries there are. A null, zero or non-finite vector, or one of another length than the query's, has no score; ties
+    go to the smaller id, null last.
     """
-    ship(rows.sparkSession)
-    blocks = lambda df, size: max(1, math.ceil(df.count() / size))
-    row_blocks, query_blocks = blocks(rows, ROW_BLOCK), blocks(queries, QUERY_BLOCK)
-    dealt = lambda ident, n: F.pmod(F.xxhash64(ident), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spark = rows.sparkSession
+    ship(spark)
     vector = F.col("vector").cast("array<double>").alias("vector")
-    asked = queries.select(F.col("query_id").alias("id"), vector, F.lit(True).alias("asks"), dealt("query_id", query_blocks).alias("query_block")).withColumn("row_block", every(row_blocks))
-    given = rows.select("id", vector, F.lit(False).alias("asks"), dealt("id", row_blocks).alias("row_block")).withColumn("query_block", every(query_blocks))
+    asked, given = cut(queries.select("query_id", vector), "asked"), rows.select("id", vector)
+    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-
-    def compared(table: pa.Table) -> pa.Table:
-        table = table.filter(table.column("vector").is_valid()).sort_by("id")
-        ids, asks = table.column("id").combine_chunks(), np.array(table.column("asks"))
-        vectors = [np.array(v, float) for v in table.column("vector").to_pylist()]
-        sizes = np.array([len(v) for v in vectors])
-        out: list[tuple[np.ndarray, ...]] = []
-        for size in np.unique(sizes[asks]):
-            q, r = np.flatnonzero(asks & (sizes == size)), np.flatnonzero(~asks & (sizes == size))
-            v = np.array([vectors[i] for i in np.append(q, r)]).reshape(len(q) + len(r), size)
-            with np.errstate(all="ignore"):
-                v = v / np.linalg.norm(v, axis=1, keepdims=True)
-                score = v[: len(q)] @ v[len(q) :].T
-            for i in range(len(q)):
-                known = np.flatnonzero(np.isfinite(score[i]))
-                best = known[np.argsort(-score[i][known], kind="stable")[:k]]  # rows stand in the order of their ids
-                out.append((np.full(len(best), q[i]), r[best], score[i][best]))
-        who, what, scores = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.empty(0, int), np.empty(0, int), np.empty(0))
-        return pa.table({"query_id": ids.take(pa.array(who)), "id": ids.take(pa.array(what)), "score": scores})
-
-    scored = asked.unionByName(given).groupBy("row_block", "query_block").applyInArrow(compared, schema)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # about QUERY_BLOCK rows
+        if not len(some):
+            continue
+        sent = spark.sparkContext.broadcast((some.column("query_id").combine_chunks(), _units(some.column("vector").to_pylist())))
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, units = sent.value  # noqa: B023
+            held: list[pa.Table] = []
+            for batch in (b.slice(at, ROW_BLOCK) for b in batches for at in range(0, len(b), ROW_BLOCK)):
+                for size, (row, v) in _units(batch.column(1).to_pylist()).items():
+                    if size not in units:
+                        continue
+                    query, q = units[size]
+                    with np.errstate(all="ignore"):
+                        score = q @ v.T
+                    score = np.where(np.isfinite(score), score, -np.inf)
+                    least = np.partition(score, -k, axis=1)[:, -k :][:, :1] if score.shape[1] > k else -np.inf
+                    at, of = np.nonzero((score >= least) & (score > -np.inf))
+                    held.append(pa.table({"q": query[at], "id": batch.column(0).take(pa.array(row[of])), "score": score[at, of]}))
+                if sum(map(len, held)) > HELD:
+                    held = [_first(pa.concat_tables(held), k)]
+            for b in _first(pa.concat_tables(held), k).combine_chunks().to_batches() if held else []:
+                yield pa.RecordBatch.from_arrays([names.take(b.column(0)), b.column(1), b.column(2)], schema.names)
+
+        found = found.unionByName(cut(given.mapInArrow(compared, schema), "nearest"))
+        sent.destroy()
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from larkspur.operators import context, ledger, placing, snapshots
+from larkspur.operators import context, ledger, placing, search, snapshots
 
 MEMORY = "id int, content string, archived_at string, bucket int"
 
@@ -157,6 +157,26 @@ def test_greedy_dedup_in_order(spark, monkeypatch, most, bits):
     assert got == want if bits is None else len(got ^ want) <= 0.1 * len(rows)
 
 
+@pytest.mark.parametrize("queries, held, rows_at_once", [(4096, 1_000_000, 1024), (7, 20, 9)])
+def test_vector_join(spark, monkeypatch, queries, held, rows_at_once):
+    """In one block and in several, with ties, odd vectors, other lengths and ids of text."""
+    for name, value in (("QUERY_BLOCK", queries), ("HELD", held), ("ROW_BLOCK", rows_at_once)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(4)
+    vectors = [(f"r{i:03d}", [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    vectors += [(f"s{i}", vectors[5][1]) for i in range(6)] + [(f"t{i}", [float(x) for x in rng.normal(size=3)]) for i in range(20)]
+    odd = [("n1", None), ("n2", [0.0] * 4), ("n3", [float("nan")] * 4), ("n4", [1.0, None, 1.0, 1.0]), ("n5", [])]
+    asked = vectors[::4] + odd
+    frame = lambda rows, name: spark.createDataFrame([(i, v, 1) for i, v in rows], f"{name} string, vector array<double>, score int").repartition(3)
+    got: dict = {}
+    for r in sorted(search.vector_join_top_k(frame(asked, "query_id"), frame(vectors + odd, "id"), 8).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.id)
+    want = {q: [i for i, w in sorted(((i, w) for i, w in vectors if len(w) == len(v)), key=lambda x: (-round(cosine(v, x[1]), 12), x[0]))[:8]] for q, v in vectors[::4]}
+    assert got == want
+    assert search.vector_join_top_k(frame(asked, "query_id").limit(0), frame(vectors, "id"), 3).count() == 0
+    assert search.vector_join_top_k(frame(asked, "query_id"), frame(vectors, "id").limit(0), 3).count() == 0
+
+
 @pytest.mark.parametrize("part", [5, 1_000_000])
 def test_prefix_search(spark, part):
     rng = random.Random(2)
