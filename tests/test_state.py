@@ -113,3 +113,44 @@ def test_ranges_for_many_requests(spark):
     odd = spark.createDataFrame([("h", 1, None, 1), ("h", 2, 1, 0), ("h", 3, 1, 101), (None, 4, 1, 1), ("h", 5, 0, 100), ("h", 6, 1, 1)], "host string, seq int, base int, size int")
     none = spark.createDataFrame([], "host string, range_start int, range_end int")
     assert {(r.host, r.seq): r.range_start for r in ports.allocate(none, odd, cap=100).collect()} == {("h", 1): None, ("h", 2): None, ("h", 3): None, (None, 4): 1, ("h", 5): 1, ("h", 6): None}
+
+
+class Kept:
+    """A state and its timers in memory, with the calls that each gets."""
+
+    def __init__(self):
+        self.of, self.timers, self.calls = {}, set(), 0
+
+    def getMapState(self, *_):
+        return self
+
+    def _called(self, result=None):
+        self.calls += 1
+        return result
+
+    containsKey = lambda self, k: self._called(k in self.of)
+    getValue = lambda self, k: self._called(self.of[k])
+    updateValue = lambda self, k, v: self._called(self.of.__setitem__(k, v))
+    removeKey = lambda self, k: self._called(self.of.pop(k, None))
+    iterator = lambda self: self._called(iter(list(self.of.items())))
+    registerTimer = lambda self, t: self._called(self.timers.add(t))
+
+
+class At(int):
+    getExpiryTimeInMs = getCurrentWatermarkInMs = lambda self: int(self)
+
+
+def test_leases_call_the_state_by_the_path(spark):
+    """Many requests for few paths in a batch: the state is called for the paths; all leases that are left run out, each once."""
+    kept = Kept()
+    keeper = leases.LeaseKeeper(100)
+    keeper.init(kept)
+    asked = [{"at_ms": 1000 * i, "job_id": i, "kind": "acquire", "paths": [f"p{i % 5}"]} for i in range(500)]
+    got = list(keeper.handleInputRows(("p",), iter(asked), None))
+    assert [r.event for r in got] == ["granted"] * 500 and kept.calls <= 5 * 3 + 1
+    told = []
+    while kept.timers:
+        now = min(kept.timers)
+        kept.timers.remove(now)
+        told += keeper.handleExpiredTimer(("p",), At(now), At(now))
+    assert sorted((r.path, r.job_id, r.at_ms) for r in told) == sorted((f"p{i % 5}", i, 1000 * i + 101) for i in range(495, 500)) and not kept.of
