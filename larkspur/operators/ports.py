@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,21 +65,27 @@ def suggest(active: DataFrame, archived: DataFrame, base: int, size: int, cap: i
 
 
 class _Host:
-    """The ports of one host: which are held, and from where the search for a size goes on, as a place that was too small stays so."""
+    """The ports of one host: the runs of held ones, sorted and apart, and from where the search for a size goes on, as a place that was too small stays so."""
 
     def __init__(self, cap: int):
-        self.held, self.cap, self.at = np.zeros(cap + 2, bool), cap, {}
+        self.starts, self.ends, self.cap, self.at = [], [], cap, {}
 
     def hold(self, start: int, end: int) -> None:
-        self.held[max(start, 0) : max(min(end, self.cap) + 1, 0)] = True
+        start, end = max(start, 0), min(end, self.cap)
+        if start > end:
+            return
+        # the runs that the range overlaps or touches become one with it
+        i, j = bisect_left(self.ends, start - 1), bisect_right(self.starts, end + 1)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
 
     def first(self, base: int, size: int) -> int | None:
         at = self.at.get((base, size), max(base, 1))
-        while at + size - 1 <= self.cap:
-            taken = np.flatnonzero(self.held[at : at + size])
-            if not len(taken):
-                break
-            at += int(taken[-1]) + 1
+        i, n = bisect_left(self.ends, at), len(self.ends)
+        while i < n and self.starts[i] < at + size:
+            at = self.ends[i] + 1
+            i += 1
         self.at[base, size] = at
         return at if at + size - 1 <= self.cap else None
 
@@ -88,7 +94,7 @@ def allocate(occupied: DataFrame, requests: DataFrame, cap: int = 65535, key: st
     """(key, seq, range_start, range_end) of each request (key, seq, base, size), as if one after the other took the first free range at or above its base; null where there is none.
 
     Requests of a host go in the order of seq, then base and size, past occupied ranges (key, range_start, range_end) and what earlier ones got. Rows are sorted by host and stream through their
-    task, which holds the ports of one host at a time and no rows, however many a host has. A request with a null or a size below 1 gets none.
+    task, which holds the runs of held ports of one host at a time and no rows, however many a host has; a request costs a search among the runs. A request with a null or a size below 1 gets none.
     """
     ship(requests.sparkSession)
     told = occupied.select(key, F.lit(0).alias("_lk_kind"), F.lit(None).cast("long").alias("seq"), F.col("range_start").cast("long").alias("_lk_a"), F.col("range_end").cast("long").alias("_lk_b"))

@@ -37,7 +37,7 @@ def range_allocation(spark: SparkSession, d: str) -> DataFrame:
     host = lambda c: F.concat(F.lit("h"), c).alias("host")
     occupied = s.select(host("s_suppkey"), F.lit(3000).alias("range_start"), F.lit(3004).alias("range_end"))
     asked = lines.select(host("l_suppkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.lit(3000).alias("base"), F.col("l_quantity").cast("int").alias("size"))
-    return ports.allocate(occupied, asked, cap=5_000_000)
+    return ports.allocate(occupied, asked, cap=2**31 - 1)
 
 
 @query("export_order", "SELECT o_orderkey AS id, o_orderstatus AS status, strftime(o_orderdate, '%Y-%m-%d') AS created_at, true AS in_order FROM orders")

@@ -154,3 +154,15 @@ def test_leases_call_the_state_by_the_path(spark):
         kept.timers.remove(now)
         told += keeper.handleExpiredTimer(("p",), At(now), At(now))
     assert sorted((r.path, r.job_id, r.at_ms) for r in told) == sorted((f"p{i % 5}", i, 1000 * i + 101) for i in range(495, 500)) and not kept.of
+
+
+def test_ranges_of_many_sizes_are_searched_once(spark):
+    """One request after the other, of 200 sizes: each goes behind the last one, past what is held, without stepping over all that lies before. Runs that touch become one."""
+    host, at = ports._Host(2**31 - 1), 3005
+    host.hold(3000, 3004)
+    for i in range(20_000):
+        size = i * 37 % 200 + 1
+        assert host.first(3000, size) == at
+        host.hold(at, at + size - 1)
+        at += size
+    assert host.starts == [3000] and host.ends == [at - 1]
