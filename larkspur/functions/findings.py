@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,12 +91,28 @@ def signatures(title: Column, body: Column) -> Column:
 
 
 def repeated_findings(current: Column, prior: Column) -> Column:
-    """Texts of the current findings (title, body) that share a signature with a prior one, once per signature set, in order."""
-    before = F.flatten(F.transform(prior, lambda f: signatures(f["title"], f["body"])))
-    marked = F.transform(current, lambda f: F.struct(F.array_sort(signatures(f["title"], f["body"])).alias("s"), F.coalesce(F.when(f["body"] != "", f["body"]), f["title"], F.lit("")).alias("t")))
-    hits = F.filter(marked, lambda m: F.arrays_overlap(m["s"], before))
-    first = F.filter(hits, lambda m, i: F.array_position(F.transform(hits, lambda x: x["s"]), m["s"]) == i + 1)
-    return F.transform(first, lambda m: m["t"])
+    """Texts of the current findings (title, body) that share a signature with a prior one, once per signature set, in order.
+
+    Lambdas of columns would look through all prior findings, and all hits, for each one; sets in Python look each up, so the work grows with the findings and not with their pairs.
+    """
+    sets = lambda c: F.transform(c, lambda f: F.array_sort(signatures(f["title"], f["body"])))
+    texts = F.transform(current, lambda f: F.coalesce(F.when(f["body"] != "", f["body"]), f["title"], F.lit("")))
+
+    def repeats(current: pa.Array, texts: pa.Array, prior: pa.Array) -> pa.Array:
+        out: list[list[str] | None] = []
+        for own, told, before in zip(current.to_pylist(), texts.to_pylist(), prior.to_pylist(), strict=True):
+            if own is None:
+                out.append(None)
+                continue
+            known, hits = {s for other in before or [] for s in other}, {}
+            for s, text in zip(map(tuple, own), told, strict=True):
+                if s not in hits and not known.isdisjoint(s):
+                    hits[s] = text
+            out.append(list(hits.values()))
+        return pa.array(out, pa.list_(pa.string()))
+
+    # nondeterministic, so that a filter on the result doesn't work it out again
+    return F.arrow_udf(repeats, "array<string>").asNondeterministic()(sets(current), texts, sets(prior))
 
 
 # The keys of a lesson's lines.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,16 @@ def test_vectors(spark):
     df = spark.sql("select array(3f, 4f) a, array(4f, 3f) b, array(0f, 0f) z")
     r = df.select(vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.cosine(F.col("a"), F.col("z")).alias("n"), vectors.cosine_or_zero(F.col("a"), F.col("z")).alias("o"), vectors.parse_vector(vectors.format_vector(F.col("a"))).alias("p"), vectors.zero_vector(3).alias("v")).first()
     assert abs(r.c - 0.96) < 1e-12 and r.n is None and r.o == 0.0 and r.p == [3.0, 4.0] and r.v == [0.0] * 3
+
+
+def test_repeats_take_time_by_the_finding(spark):
+    """5,000 findings, each as in the round before: lambdas that look each up among all others don't end in this time."""
+    n = 5000
+    found = lambda start: F.transform(F.sequence(F.lit(start), F.lit(start + n - 1)), lambda i: F.struct(F.lit(None).cast("string").alias("title"), F.concat(F.lit("Line  "), i.cast("string")).alias("body")))
+    df = spark.range(1).select(found(0).alias("cur"), found(10).alias("old"), found(0).alias("none"))
+    began = time.monotonic()
+    got = df.select(findings.repeated_findings(F.concat("cur", "cur"), F.col("old")).alias("r")).filter(F.size("r") > 0).first().r
+    assert got == [f"Line  {i}" for i in range(10, n)]
+    assert time.monotonic() - began < 30
+    odd = df.select(findings.repeated_findings(F.when(F.lit(False), F.col("cur")), F.col("old")).alias("a"), findings.repeated_findings(F.col("cur"), F.when(F.lit(False), F.col("old"))).alias("b"))
+    assert tuple(odd.first()) == (None, [])
