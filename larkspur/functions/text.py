@@ -134,11 +134,12 @@ def purpose_category(purpose: Column) -> Column:
     return out
 
 
-def parse_range(spec: Column) -> Column:
-    """'a-b' or 'a' to struct(start, end); null unless 1 <= a <= b <= 65535."""
-    a = F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+))?\s*$", 1).try_cast("int")
-    b = F.coalesce(F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+))?\s*$", 2).try_cast("int"), a)
-    return F.when((a >= 1) & (a <= b) & (b <= 65535), F.struct(a.alias("start"), b.alias("end")))
+def parse_range(spec: Column, cap: int = 65535) -> Column:
+    """'a-b' or 'a' to struct(start, end); null unless 1 <= a <= b <= cap. The fields are int where the cap is one, else long."""
+    kind = "int" if cap < 1 << 31 else "long"
+    a = F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+))?\s*$", 1).try_cast(kind)
+    b = F.coalesce(F.regexp_extract(spec, r"^\s*(\d+)\s*(?:-\s*(\d+))?\s*$", 2).try_cast(kind), a)
+    return F.when((a >= 1) & (a <= b) & (b <= cap), F.struct(a.alias("start"), b.alias("end")))
 
 
 def format_range(start: Column, end: Column) -> Column:

@@ -174,3 +174,9 @@ def test_repeats_take_time_by_the_finding(spark):
     assert time.monotonic() - began < 30
     odd = df.select(findings.repeated_findings(F.when(F.lit(False), F.col("cur")), F.col("old")).alias("a"), findings.repeated_findings(F.col("cur"), F.when(F.lit(False), F.col("old"))).alias("b"))
     assert tuple(odd.first()) == (None, [])
+
+
+def test_ranges_up_to_another_cap(spark):
+    df = spark.createDataFrame([("70000-70001",), ("9999999999",), ("7-6",)], "s string")
+    assert [r[0] for r in df.select(text.parse_range(F.col("s"))["start"]).collect()] == [None, None, None]
+    assert [r[0] for r in df.select(text.parse_range(F.col("s"), cap=2**63 - 1)["start"]).collect()] == [70000, 9999999999, None]
