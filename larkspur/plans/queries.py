@@ -619,7 +619,7 @@ def verify_chain_sql(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, rows, start, end in cases:
         span = f"start_seq => {start}, end_seq => CAST({'NULL' if end is None else end} AS BIGINT)"
-        found = spark.sql("SELECT * FROM verify_chain(TABLE({rows}) PARTITION BY stretch ORDER BY seq, " + span + ") ORDER BY broken_at_seq LIMIT 1", rows=ledger.stretches(rows, start))
+        found = spark.sql("SELECT * FROM verify_chain(TABLE({rows}) PARTITION BY stretch ORDER BY seq, " + span + ") ORDER BY broken_at_seq LIMIT 1", rows=ledger.stretches(rows, start, end))
         one = found.select(F.lit(name).alias("range"), "*")
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import DataFrameReader
 from pyspark.sql import functions as F
 
 from larkspur.operators import chunking, context, jobs, ledger, merge, ports, search
@@ -168,6 +169,18 @@ def test_ledger(spark, monkeypatch, stretch):
     assert tuple(ledger.slug_range(df, "q").first()) == (2, 300) and ledger.range_count(df, 10, 20, "p").first().n == 5
 
 
+def test_a_stretch_is_read_by_itself(spark, monkeypatch):
+    """Building a chain of many stretches reads each change twice, once to deal it and once to chain it, and no row of the chain."""
+    monkeypatch.setattr(ledger, "STRETCH", 10)
+    read, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *paths, **options: read.append(found := parquet(self, *paths, **options)) or found)
+    rows = _chain(95)
+    got = ledger.build_chain(spark.createDataFrame(rows[::-1], LEDGER).drop("prev_hash", "row_hash"))
+    assert [tuple(r) for r in got.orderBy("seq").collect()] == [tuple(r) for r in rows]
+    # the changes for their stretches' numbers, ten stretches, and the result
+    assert len(read) == 12 and sum(len(d.inputFiles()) for d in read[1:-1]) == 10
+
+
 def test_change_log(spark):
     s = "id int, content string, archived_at timestamp"
     before = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", NOW), (4, "d", None), (5, "e", None)], s)
