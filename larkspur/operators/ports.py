@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -10,25 +11,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.session import ship
+from larkspur.session import cut, ship
 
-#: Width of the buckets that ranges are dealt into for an overlap join.
-BUCKET = 64
+#: Pairs that a task of an overlap join looks at, about.
+PAIRS = 4_000_000
+#: Tasks of an overlap join at most.
+MOST_TASKS = 10_000
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
     return (a_start <= b_end) & (b_start <= a_end)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = BUCKET) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int | None = None) -> DataFrame:
     """Pairs (left_id, right_id) of ranges (id, key, range_start, range_end) that overlap and have the same key.
 
-    Ranges are dealt into buckets and meet by an equi-join; a pair is kept in the bucket of its overlap's start only.
+    Of two ranges that overlap one holds the other's start: that one is dealt into all buckets that it reaches, the other into its start's only, and they meet there by an
+    equi-join, once. Buckets are a quarter of the mean range wide by default, so most that meet overlap. A bucket has as many blocks as its pairs need, and the
+    tasks follow the number of pairs, as few bytes of ranges can have very many.
     """
-    dealt = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col(key).alias("_lk_key"), F.col("range_start").alias(f"{n}_s"), F.col("range_end").alias(f"{n}_e"), F.explode(F.sequence(F.expr(f"range_start div {width}"), F.expr(f"range_end div {width}"))).alias("_lk_bucket"))
-    both = dealt(left, "left").join(dealt(right, "right"), ["_lk_key", "_lk_bucket"])
-    first = F.greatest("left_s", "right_s")
-    return both.filter(overlaps(F.col("left_s"), F.col("left_e"), F.col("right_s"), F.col("right_e")) & (F.floor(first / width) == F.col("_lk_bucket"))).select(F.col("_lk_key").alias(key), "left_id", "right_id")
+    named = lambda df, n: df.select(F.col("id").alias(f"{n}_id"), F.col(key).alias("_lk_key"), F.col("range_start").cast("long").alias(f"{n}_s"), F.col("range_end").cast("long").alias(f"{n}_e")).filter(f"_lk_key is not null and {n}_s is not null and {n}_e is not null")
+    sides = {"left": named(left, "left"), "right": named(right, "right")}
+    if width is None:
+        sizes = [df.filter(f"{n}_s <= {n}_e").agg(F.avg(F.col(f"{n}_e") - F.col(f"{n}_s") + 1)).first()[0] or 1 for n, df in sides.items()]
+        width = max(1, int(max(sizes)) // 4)
+    bucket = lambda c: F.expr(f"({c} - pmod({c}, {width})) div {width}")
+    out = None
+    for wide, narrow in (("left", "right"), ("right", "left")):
+        reach = sides[wide].filter(f"{wide}_s <= {wide}_e").withColumn("_lk_bucket", F.explode(F.sequence(bucket(f"{wide}_s"), bucket(f"{wide}_e"))))
+        start = sides[narrow].withColumn("_lk_bucket", bucket(f"{narrow}_s"))
+        at = ["_lk_key", "_lk_bucket"]
+        pairs = F.col("n").cast("double") * F.col("m")
+        counts = reach.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).join(start.groupBy(*at).agg(F.count(F.lit(1)).alias("m")), at)
+        blocks = cut(counts.select(*at, pairs.alias("pairs"), F.ceil(pairs / PAIRS).cast("int").alias("_lk_blocks")), "blocks")
+        tasks = min(max(1, math.ceil((blocks.agg(F.sum("pairs")).first()[0] or 0) / PAIRS)), MOST_TASKS)
+        blocks = blocks.select(*at, "_lk_blocks")
+        reach = reach.join(blocks, at).withColumn("_lk_block", F.pmod(F.xxhash64(f"{wide}_id"), F.col("_lk_blocks")).cast("int"))
+        start = start.join(blocks, at).withColumn("_lk_block", F.explode(F.sequence(F.lit(0), F.col("_lk_blocks") - 1)))
+        dealt = lambda df: df.drop("_lk_blocks").repartition(tasks, *at, "_lk_block")  # noqa: B023, E731  a number of its own isn't merged by size
+        # of equal starts the pair comes from the left's reach
+        first = F.col("left_s") <= F.col("right_s") if wide == "left" else F.col("right_s") < F.col("left_s")
+        found = dealt(reach).join(dealt(start).hint("merge"), [*at, "_lk_block"]).filter(first & overlaps(F.col("left_s"), F.col("left_e"), F.col("right_s"), F.col("right_e"))).select(F.col("_lk_key").alias(key), "left_id", "right_id")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def covering(ranges: DataFrame, start: int, end: int) -> DataFrame:

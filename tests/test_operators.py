@@ -181,6 +181,20 @@ def test_a_stretch_is_read_by_itself(spark, monkeypatch):
     assert len(read) == 12 and sum(len(d.inputFiles()) for d in read[1:-1]) == 10
 
 
+@pytest.mark.parametrize("pairs", [4_000_000, 50])
+def test_overlaps_follow_the_pairs(spark, monkeypatch, pairs):
+    """Many ranges in one place are dealt over many tasks, though they have few bytes; each pair comes once, also of long, single, reversed and negative ranges."""
+    monkeypatch.setattr(ports, "PAIRS", pairs)
+    rng = random.Random(3)
+    starts = [rng.randrange(-20, 60) for _ in range(150)]
+    rows = [(i, "hot" if i % 5 else "b", a, a + rng.choice([-2, 0, 1, 7, 40])) for i, a in enumerate(starts)] + [(200, None, 1, 2), (201, "b", None, 2)]
+    df = spark.createDataFrame(rows, "id int, host string, range_start int, range_end int")
+    joined = ports.overlap_join(df, df, "host")
+    got = [(r.left_id, r.right_id) for r in joined.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a[0], b[0]) for a in rows for b in rows if a[1] and a[1] == b[1] and None not in (a[2], b[2]) and a[2] <= b[3] and b[2] <= a[3]}
+    assert pairs > 50 or joined.rdd.getNumPartitions() > 50
+
+
 def test_change_log(spark):
     s = "id int, content string, archived_at timestamp"
     before = spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", NOW), (4, "d", None), (5, "e", None)], s)
