@@ -40,10 +40,16 @@ def get_or_create(target: DataFrame, rows: DataFrame, keys: list[str], ident: st
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     firsts = rows.groupBy(*keys).agg(F.min(ident).alias("_lk_least")).filter(whole)
-    out = rows.join(have, keys, "left").join(firsts, keys, "left")
-    turn = F.row_number().over(Window.partitionBy(*keys, ident).orderBy(F.lit(0)))
-    own = F.col("_lk_least").isNull() | (F.col(ident).eqNullSafe(F.col("_lk_least")) & (turn == 1))
-    return out.select(*keys, F.coalesce("_lk_have", "_lk_least", ident).alias(ident), (F.col("_lk_have").isNull() & own).alias("created"))
+    known = firsts.join(have, keys, "left")
+    # the rows stream past a task's keys and are never sorted, however many a key has
+    out = rows.select(*keys, ident).join(known.hint("shuffle_hash"), keys, "left")
+    fresh, least = F.col("_lk_have").isNull(), F.col("_lk_least")
+    first = F.coalesce(fresh & (F.col(ident) == least), F.lit(False))
+    others = out.filter(~first).select(*keys, F.coalesce("_lk_have", "_lk_least", ident).alias(ident), (fresh & least.isNull()).alias("created"))
+    # rows of one key and id are alike, so they are counted, and one of them is the one that creates
+    counted = out.filter(first).groupBy(*keys).agg(F.min("_lk_least").alias(ident), F.count(F.lit(1)).cast("int").alias("_lk_n"))
+    creators = counted.withColumn("_lk_i", F.explode(F.sequence(F.lit(1), F.col("_lk_n")))).select(*keys, ident, (F.col("_lk_i") == 1).alias("created"))
+    return others.unionByName(creators)
 
 
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], latest: Column, keep_old: list[str] = (), overwrite: bool = True) -> DataFrame:

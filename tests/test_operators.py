@@ -181,6 +181,16 @@ def test_a_stretch_is_read_by_itself(spark, monkeypatch):
     assert len(read) == 12 and sum(len(d.inputFiles()) for d in read[1:-1]) == 10
 
 
+def test_rows_that_ask_for_a_key_are_not_sorted(spark):
+    """The rows of get_or_create stream past their keys, without a window that sorts them; rows that repeat, nulls and known keys come out as said."""
+    target = spark.createDataFrame([("a", -1)], "k string, id int")
+    rows = spark.createDataFrame([("a", 5), ("b", 3), ("b", 2), ("b", 2), (None, 7), (None, 7), ("c", None), ("d", None), ("d", 4)], "k string, id int")
+    got = merge.get_or_create(target, rows, ["k"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", -1, False), ("b", 2, False), ("b", 2, False), ("b", 2, True), (None, 7, True), (None, 7, True), ("c", None, True), ("d", 4, False), ("d", 4, True)], key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("ShuffledHashJoin") == 2
+
+
 @pytest.mark.parametrize("pairs", [4_000_000, 50])
 def test_overlaps_follow_the_pairs(spark, monkeypatch, pairs):
     """Many ranges in one place are dealt over many tasks, though they have few bytes; each pair comes once, also of long, single, reversed and negative ranges."""
