@@ -8,8 +8,8 @@ occur more than once are compared by their bytes, so chunks that merely share a
 Chunks are found inside each row, without a shuffle; what is shuffled are chunk hashes, and the bytes of chunks that
 pass a fixed-size filter of the repeated hashes. Counts are aggregated before the shuffle, so a line that a third of all documents have costs one row a task.
 
-Cut points depend on the text, so chunks miss most passages that lie inside otherwise different documents. remove_repeated_runs has
-every two neighbouring lines as a piece instead: each run of two or more lines that the corpus has elsewhere goes, but for its first
+Cut points depend on the text, so chunks miss most passages that lie inside otherwise different documents. remove_repeated_runs takes what the chunks
+find, and then has every two neighbouring lines as a piece for what they miss: each run of two or more lines that the corpus has elsewhere goes, but for its first
 occurrence. It is the same way from hashes to bytes, with pieces that overlap.
 
 Defined results: a null text stays null, an empty one empty; rows with equal id and text are one row's worth: they keep and lose the same
@@ -77,11 +77,13 @@ def line_pairs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, key, spans) of the texts that lose lines; spans (first_line, n_lines) are sorted and apart.
 
-    A line goes if it lies in a pair of lines that is not the pair's first occurrence and doesn't overlap that.
+    A line goes if it lies in a repeated chunk, or in a pair of lines that is not the pair's first occurrence and doesn't overlap that.
     """
+    chunks = repeated_chunks(docs, id_col, text_col).select("id", "key", F.explode(F.sequence("first_line", F.col("first_line") + F.col("n_lines") - 2)).alias("first_line"))
     gone = _repeated(line_pairs(docs, id_col, text_col), "first_line")
     same = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("key") == F.col("kept.key"))
-    gone = cut(gone.filter(~(same & (F.col("first_line") == F.col("kept.first_line") + 1))).select("id", "key", "first_line"), "gone")
+    pairs = gone.filter(~(same & (F.col("first_line") == F.col("kept.first_line") + 1))).select("id", "key", "first_line")
+    gone = cut(chunks.unionByName(pairs), "gone")
     starts = gone.groupBy("id", "key").agg(F.array_sort(F.collect_set("first_line")).alias("starts"))
     at = lambda i: F.get("starts", i)
     last = F.size("starts") - 1

@@ -278,3 +278,18 @@ def test_repeated_runs_inside_different_texts(spark):
     stage = corpus_pipeline.line_dedup(spark, df.selectExpr("*", "length(text) n_chars"), "").collect()
     assert Counter((r.doc_id, r.text) for r in stage) == Counter({(i, t): n for (i, t, m), n in want.items() if not m or t.split()})
     assert linededup.remove_repeated_runs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_runs_go_by_chunks_first(spark, monkeypatch):
+    """Without any pair of lines the chunks alone take out their copies; with them the result is that of all runs."""
+    rng = random.Random(9)
+    passage = [f"line {i}" for i in range(12)]
+    rows = [(i, "\n".join([f"own {i} {rng.random()}" for _ in range(3)] + passage + [f"end {i}"])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    told = lambda df: sorted(tuple(r) for r in df.collect())
+    runs = told(linededup.remove_repeated_runs(docs))
+    assert [r[2] for r in runs] == [0] + [12] * 5
+    pairs = linededup.line_pairs
+    monkeypatch.setattr(linededup, "line_pairs", lambda *a: pairs(*a).filter("false"))
+    chunks = told(linededup.remove_repeated_runs(docs))
+    assert chunks == told(linededup.remove_repeated_chunks(docs)) and sum(r[2] for r in chunks) > 0
