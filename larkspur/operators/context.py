@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -170,26 +171,66 @@ def lock_conflicts(requests: DataFrame, locks: DataFrame, as_of: Column) -> Data
     return requests.join(live, ["project_id", "file_path"]).filter(F.col("job_id") != F.col("owner_job_id")).select("job_id", "file_path", "owner_job_id")
 
 
+#: Rows of asking jobs that one task decides by itself, in the order of the jobs.
+ALONE = 200_000
+
+
+def _in_order(asked: DataFrame) -> DataFrame:
+    """Of a bounded number of rows (job_id, path columns) those of the jobs that find all their paths free as they ask one after the other, in one task."""
+
+    def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taken: set[tuple] = set()
+        out: list[dict] = []
+        schema = None
+        for _, rows in groupby((r for b in batches if (schema := b.schema) for r in b.to_pylist()), key=lambda r: r["job_id"]):
+            own = list(rows)
+            paths = [tuple(r.values())[1:] for r in own]
+            if taken.isdisjoint(paths):
+                taken.update(paths)
+                out += own
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return asked.coalesce(1).sortWithinPartitions("job_id").mapInArrow(decided, asked.schema)
+
+
 def grant_locks(requests: DataFrame, locks: DataFrame, as_of: Column) -> DataFrame:
     """Locks to append when jobs ask in the order of their ids, each for all its paths or none.
 
     A job gets its paths unless a live lock, or a lock granted to an earlier job of the batch, holds one of them; a refused job takes
-    nothing and stands in nobody's way. A path that the job holds already is not asked again. Rounds decide all jobs that no
-    earlier undecided job shares a path with, and those refused by them, so a batch takes as many rounds as its longest chain of such jobs.
+    nothing and stands in nobody's way. A path that the job holds already is not asked again; rows without a job ask for nothing. Rounds decide all jobs that no
+    earlier undecided job shares a path with, and those refused by them: a job is free if it comes first on as many paths as it asks for. The last
+    ALONE rows are decided by one task in order. Where a round decides fewer, as along a chain of jobs that wait for each other, the next stretch of about ALONE rows is, too,
+    so a batch takes at most about two rounds for each ALONE rows, however long its chains. The paths of one job meet in one task.
     """
+    ship(requests.sparkSession)
     path = ["project_id", "file_path"]
-    held = locks.filter(F.col("expires_at") >= as_of).select(*path, "job_id")
-    refused = lock_conflicts(requests, locks, as_of).select("job_id").distinct()
-    open_ = cut(requests.select("job_id", *path).distinct().join(refused, "job_id", "left_anti"), "asked")
-    granted = open_.limit(0)
-    while not open_.isEmpty():
-        first = open_.groupBy(*path).agg(F.min("job_id").alias("_lk_first"))
-        seen = open_.join(first, path).groupBy("job_id").agg(F.bool_and(F.col("job_id") == F.col("_lk_first")).alias("_lk_free"))
-        now = cut(open_.join(seen.filter("_lk_free").select("job_id"), "job_id", "left_semi"), "granted")
+    live = cut(locks.filter(F.col("expires_at") >= as_of).select(*path, "job_id"), "live")
+    # the least and the greatest holder tell whether another job holds a path, however many do
+    holders = live.groupBy(*path).agg(F.min("job_id").alias("_lk_low"), F.max("job_id").alias("_lk_high"))
+    refused = requests.join(holders, path).filter((F.col("job_id") != F.col("_lk_low")) | (F.col("job_id") != F.col("_lk_high"))).select("job_id").distinct()
+    # a hash table of the refused jobs of a task spares the sort of all requests; a job's rows then lie together for what follows
+    asked = requests.select("job_id", *path).filter("job_id is not null").join(refused.hint("shuffle_hash"), "job_id", "left_anti").distinct()
+    open_ = cut(asked.withColumn("_lk_n", F.count(F.lit(1)).over(Window.partitionBy("job_id"))), "asked")
+    granted = open_.limit(0).drop("_lk_n")
+    left, stretch = open_.count(), False
+    while left > ALONE:
+        if stretch:
+            head = sorted_parts(open_, ["job_id"], "_lk_part", ALONE).filter("_lk_part = 0").drop("_lk_part")
+            now = cut(_in_order(head.drop("_lk_n")), "granted")
+        else:
+            head = open_.limit(0)
+            first = open_.groupBy(*path).agg(F.min("job_id").alias("job_id"), F.min_by("_lk_n", "job_id").alias("_lk_n"))
+            won = first.withColumn("_lk_won", F.count(F.lit(1)).over(Window.partitionBy("job_id")))
+            now = cut(won.filter("_lk_won = _lk_n").select("job_id", *path), "granted")
         granted = granted.unionByName(now)
-        out = now.select("job_id").unionByName(open_.join(now.select(*path), path, "left_semi").select("job_id")).distinct()
+        taken = now.select(*[F.col(c).alias(f"_lk_{c}") for c in path])
+        same = [F.col(c).eqNullSafe(F.col(f"_lk_{c}")) for c in path]
+        out = open_.join(taken, same, "left_semi").select("job_id").unionByName(head.select("job_id")).distinct()  # those that got theirs among them
         open_ = cut(open_.join(out, "job_id", "left_anti"), "asked")
-    new = granted.join(held, [*path, "job_id"], "left_anti")
+        before, left = left, open_.count()
+        stretch = not stretch and before - left < ALONE
+    new = granted.unionByName(_in_order(open_.drop("_lk_n"))).join(live, [*path, "job_id"], "left_anti")
     return new.select("job_id", *path, as_of.alias("locked_at"), (as_of + F.expr("interval 2 hours")).alias("expires_at"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import datetime
 import math
 import random
 
@@ -245,3 +246,78 @@ def test_chains_take_no_nulls(spark):
     changes = spark.createDataFrame([(1, "m", "update", "bot", "p", "h"), (2, None, "update", "bot", "p", "h")], "seq long, memory_id string, operation string, actor string, project_slug string, payload_hash string")
     with pytest.raises(Exception, match="null"):
         ledger.build_chain(changes).collect()
+
+
+ASKED, LOCKS = "job_id int, project_id string, file_path string", "project_id string, file_path string, job_id int, expires_at timestamp"
+NOW = datetime.datetime(2026, 1, 1)
+
+
+def granted_in_order(wants, locks):
+    """Brute force: jobs one after the other."""
+    taken = {}
+    for p, f, j, until in locks:
+        if until >= NOW and p is not None and f is not None:
+            taken.setdefault((p, f), set()).add(j)
+    got = set()
+    for job in sorted({w[0] for w in wants if w[0] is not None}):
+        mine = {w[1:] for w in wants if w[0] == job}
+        if all(taken.get(m, {job}) == {job} for m in mine):
+            got |= {(job, *m) for m in mine if m not in taken}
+            taken.update({m: {job} for m in mine})
+    return got
+
+
+def most_rows(frame):
+    """The most rows that an operator of the executed plan puts out."""
+    frame.collect()
+    todo, most = [frame._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        if p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
+@pytest.mark.parametrize("alone", [200_000, 60, 0])
+def test_locks_go_in_order(spark, monkeypatch, alone):
+    """By one task, by rounds and then one task, and by rounds only; with several holders of a path, and without a path or a job."""
+    monkeypatch.setattr(context, "ALONE", alone, raising=False)
+    rng = random.Random(7)
+    path = lambda: ("p" if rng.random() < 0.8 else "q", None if rng.random() < 0.02 else f"f{rng.randrange(50)}")
+    wants = [(None if rng.random() < 0.01 else rng.randrange(120), *path()) for _ in range(300)]
+    wants += wants[:40]
+    locks = [("p", f"f{i % 3}", rng.randrange(120), NOW) for i in range(5)] + [("q", "f9", 7, NOW), ("p", "f8", 7, NOW - datetime.timedelta(1)), ("p", "f20", wants[0][0], NOW)]
+    got = context.grant_locks(spark.createDataFrame(wants, ASKED), spark.createDataFrame(locks, LOCKS), F.lit(NOW)).collect()
+    assert len(got) == len({(r.job_id, r.project_id, r.file_path) for r in got})
+    assert {(r.job_id, r.project_id, r.file_path) for r in got} == granted_in_order(wants, locks)
+
+
+@pytest.mark.parametrize("alone, most", [(200_000, 2), (100, 40)])
+def test_a_chain_of_waiting_jobs_takes_few_rounds(spark, monkeypatch, alone, most):
+    """Each job waits for the one before, which is 150 rounds of two tables each if nothing but rounds decides."""
+    made = []
+    keep = context.cut
+    monkeypatch.setattr(context, "ALONE", alone, raising=False)
+    monkeypatch.setattr(context, "cut", lambda df, name: made.append(name) or keep(df, name))
+    wants = [(i, "p", f"f{i + k}") for i in range(300) for k in (0, 1)]
+    got = context.grant_locks(spark.createDataFrame(wants, ASKED), spark.createDataFrame([], LOCKS), F.lit(NOW)).collect()
+    assert {(r.job_id, r.project_id, r.file_path) for r in got} == granted_in_order(wants, []) and {r.job_id for r in got} == set(range(0, 300, 2))
+    assert len(made) <= most
+
+
+def test_holders_and_requests_of_a_path_make_no_pairs(spark, monkeypatch):
+    """300 jobs ask for what 300 jobs hold: 90,000 pairs, none of which is needed to refuse them."""
+    most = []
+    keep = context.cut
+    monkeypatch.setattr(context, "cut", lambda df, name: most.append(most_rows(df)) or keep(df, name))
+    wants = [(i, "p", "hot") for i in range(300)] + [(i, "p", f"f{i}") for i in range(600)]
+    locks = [("p", "hot", i, NOW) for i in range(300, 600)]
+    got = context.grant_locks(spark.createDataFrame(wants, ASKED), spark.createDataFrame(locks, LOCKS), F.lit(NOW)).collect()
+    assert {r.job_id for r in got} == set(range(300, 600))
+    assert 0 < max(most) <= 900
